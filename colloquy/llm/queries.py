@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join
+from . import decontaminate, jaccard_join, language, toxicity
 from .session import table
 
 
+def op1_language(spark, d):
+    return language.report(table(spark, d, "documents"))
+
+
 def op2_decontaminate(spark, d):
     return decontaminate.report(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -14,6 +18,10 @@ def op5_jaccard_join(spark, d):
     return jaccard_join.near_classes(table(spark, d, "documents"))
 
 
+def op9_toxicity(spark, d):
+    return toxicity.report(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -32,5 +40,10 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
 """
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op5_jaccard_join": op5_jaccard_join}
+QUERIES = {
+    "op1_language": op1_language,
+    "op2_decontaminate": op2_decontaminate,
+    "op5_jaccard_join": op5_jaccard_join,
+    "op9_toxicity": op9_toxicity,
+}
 ORACLE = {"op2_decontaminate": OP2_SQL}
