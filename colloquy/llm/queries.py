@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, language, toxicity
+from . import decontaminate, jaccard_join, language, media, mixing, toxicity
 from .session import table
 
 
@@ -18,10 +18,18 @@ def op5_jaccard_join(spark, d):
     return jaccard_join.near_classes(table(spark, d, "documents"))
 
 
+def op7_media(spark, d):
+    return media.report(table(spark, d, "documents"))
+
+
 def op9_toxicity(spark, d):
     return toxicity.report(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op10_mixing(spark, d):
+    return mixing.report(table(spark, d, "documents"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -44,6 +52,8 @@ QUERIES = {
     "op1_language": op1_language,
     "op2_decontaminate": op2_decontaminate,
     "op5_jaccard_join": op5_jaccard_join,
+    "op7_media": op7_media,
     "op9_toxicity": op9_toxicity,
+    "op10_mixing": op10_mixing,
 }
 ORACLE = {"op2_decontaminate": OP2_SQL}
