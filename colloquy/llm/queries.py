@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, language, media, mixing, toxicity
+from pyspark.sql import functions as F
+
+from . import decontaminate, jaccard_join, language, licences, media, mixing, toxicity, warc
 from .session import table
 
 
@@ -14,6 +16,10 @@ def op2_decontaminate(spark, d):
     return decontaminate.report(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def op3_licences(spark, d):
+    return licences.report(table(spark, d, "documents"))
+
+
 def op5_jaccard_join(spark, d):
     return jaccard_join.near_classes(table(spark, d, "documents"))
 
@@ -22,6 +28,13 @@ def op7_media(spark, d):
     return media.report(table(spark, d, "documents"))
 
 
+def op8_warc(spark, d):
+    """Audits a replica of all pages that has one character overwritten in some of them."""
+    pages = table(spark, d, "pages")
+    worn = F.when((F.col("page_id") * 7919 % 101 == 3) & (F.length("html") > 1), F.concat(F.expr("substring(html, 1, cast(floor(length(html) / 2) as int))"), F.lit("\u007f"), F.expr("substring(html, cast(floor(length(html) / 2) as int) + 2)"))).otherwise(F.col("html"))
+    return warc.audit(warc.records(pages), warc.records(pages.withColumn("worn", worn), "worn"))[0]
+
+
 def op9_toxicity(spark, d):
     return toxicity.report(table(spark, d, "documents"), table(spark, d, "labels"))
 
@@ -48,12 +61,43 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN pos ON d.doc_id = pos.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
 """
 
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_NORM = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+_GRAMS = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+OP3_SQL = f"""
+WITH t AS (SELECT template, licence, {_GRAMS.format("w")} AS grams FROM (SELECT template, licence, string_split({_NORM.format("text")}, ' ') AS w
+  FROM (VALUES {", ".join(f"({i}, {_sql(a)}, {_sql(b)})" for i, (a, b) in enumerate(licences.TEMPLATES))}) v(template, licence, text))),
+u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, unit FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n\\s*\\n')) AS unit FROM documents WHERE regexp_matches(text, '\\n\\s*\\n')) WHERE contains(unit, chr(10))
+  UNION ALL SELECT doc_id, text FROM documents WHERE contains(text, chr(10))),
+g AS (SELECT doc_id, {_GRAMS.format("w")} AS have FROM (SELECT doc_id, string_split({_NORM.format("unit")}, ' ') AS w FROM u)),
+p AS (SELECT doc_id, licence, 2.0::DOUBLE * len(list_intersect(have, grams)) / (len(have) + len(grams)) AS dice FROM g, t
+  WHERE len(have) > 0 AND len(have) <= 1.5 * len(grams) + 1 AND len(grams) <= 1.5 * len(have) + 1),
+m AS (SELECT doc_id, count(*) AS n_matches, count(DISTINCT licence) AS n_licences, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, max(dice) AS best_dice FROM p WHERE dice >= {licences.THRESHOLD} GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(n_licences, 0) AS n_licences, coalesce(licences, '') AS licences, coalesce(best_dice, 0.0::DOUBLE) AS best_dice
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN m ON d.doc_id = m.doc_id
+"""
+
+_HEAD = "'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'WARC-Payload-Digest: sha256:' || d || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || bytes || chr(13) || chr(10) || chr(13) || chr(10)"
+OP8_SQL = f"""
+WITH p AS (SELECT page_id, url, strlen(coalesce(html, '')) AS bytes, sha256(coalesce(html, '')) AS d,
+  sha256(coalesce(CASE WHEN page_id * 7919 % 101 = 3 AND length(html) > 1 THEN substr(html, 1, length(html) // 2) || chr(127) || substr(html, length(html) // 2 + 2) ELSE html END, '')) AS s FROM pages),
+r AS (SELECT page_id, strlen({_HEAD}) + bytes + 4 AS length, sha256({_HEAD} || d) AS a, sha256({_HEAD} || s) AS b FROM p),
+o AS (SELECT *, page_id // {warc.FILE} AS file, row_number() OVER w - 1 AS n, sum(length) OVER w - length AS "offset" FROM r WINDOW w AS (PARTITION BY page_id // {warc.FILE} ORDER BY page_id, a, b ROWS UNBOUNDED PRECEDING))
+SELECT file, CAST(0 AS INTEGER) AS part, n, page_id, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, a AS left_sha256, b AS right_sha256 FROM o WHERE a <> b
+"""
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_decontaminate": op2_decontaminate,
+    "op3_licences": op3_licences,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_media": op7_media,
+    "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
-ORACLE = {"op2_decontaminate": OP2_SQL}
+ORACLE = {"op2_decontaminate": OP2_SQL, "op3_licences": OP3_SQL, "op8_warc": OP8_SQL}
