@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language, licences, media, mixing, toxicity, warc
+from . import decontaminate, jaccard_join, language, licences, media, mixing, passages, toxicity, warc
 from .session import table
 
 
@@ -24,6 +24,10 @@ def op5_jaccard_join(spark, d):
     return jaccard_join.near_classes(table(spark, d, "documents"))
 
 
+def op6_passages(spark, d):
+    return passages.report(table(spark, d, "documents"))
+
+
 def op7_media(spark, d):
     return media.report(table(spark, d, "documents"))
 
@@ -95,6 +99,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_licences": op3_licences,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_passages": op6_passages,
     "op7_media": op7_media,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
