@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language, licences, media, mixing, passages, toxicity, warc
+from . import decontaminate, jaccard_join, language, licences, media, mixing, passages, token_counts, toxicity, warc
 from .session import table
 
 
@@ -20,6 +20,10 @@ def op3_licences(spark, d):
     return licences.report(table(spark, d, "documents"))
 
 
+def op4_token_counts(spark, d):
+    return token_counts.report(table(spark, d, "documents"))
+
+
 def op5_jaccard_join(spark, d):
     return jaccard_join.near_classes(table(spark, d, "documents"))
 
@@ -98,6 +102,7 @@ QUERIES = {
     "op1_language": op1_language,
     "op2_decontaminate": op2_decontaminate,
     "op3_licences": op3_licences,
+    "op4_token_counts": op4_token_counts,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_passages": op6_passages,
     "op7_media": op7_media,
