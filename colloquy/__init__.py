@@ -1,0 +1 @@
+"""Task-oriented dialogue and agent-trace analytics on Spark DataFrames."""
