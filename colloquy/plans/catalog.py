@@ -1,6 +1,6 @@
 """All registered queries of the library's own operators."""
 
-from . import corpora, evaluation  # noqa: F401
+from . import benchmarks, corpora, evaluation, lookups  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
