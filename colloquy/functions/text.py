@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -167,3 +168,10 @@ def clock(c) -> Column:
     ok = c.rlike(r"^\s*\d+:\d+")
     part = lambda i: F.try_to_number(F.regexp_extract(c, r"(\d+):(\d+)", i), F.lit("999999")).cast("int")
     return F.when(ok, part(1) * 100 + part(2))
+
+
+def rendered(template: str, defaults: dict[str, str] | None = None) -> Column:
+    """A template with ``{column}`` places filled in; a null is its default, or ''."""
+    parts = re.split(r"\{(\w+)\}", template)
+    fill = [F.lit(p) if i % 2 == 0 else F.coalesce(F.col(p).cast("string"), F.lit((defaults or {}).get(p, ""))) for i, p in enumerate(parts)]
+    return F.concat(*fill)
