@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import clock
 
@@ -64,7 +65,7 @@ def _partial_ratio(a: str, b: str) -> float:
     return 100.0 * best / n
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The likeness of two texts; equal pairs of a batch are computed once."""
     pairs = pd.Series(list(zip(a.fillna(""), b.fillna(""), strict=True)))

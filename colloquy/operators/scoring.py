@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: A spreadsheet cell: kind is number, time, datetime, string or empty.
 CELL = "kind string, num double, str string, ts timestamp"
@@ -51,7 +52,7 @@ def cells_of(df: DataFrame, column: str = "range", max_row=None, max_column=None
     return rows.withColumn("cell", F.concat(column_letters(F.col("__c")), F.col("__r").cast("string"))).drop("__c", "__r")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def round_half_even(x: pd.Series) -> pd.Series:
     """To two decimals, exactly as the binary double is nearer (half to even)."""
     return x.map(lambda v: v if v is None or not math.isfinite(v) else round(float(v), 2))
@@ -70,7 +71,8 @@ def normal_cell(kind: Column, num: Column, text: Column, ts: Column, rounded=rou
 
 def same_cell(a: Column, b: Column) -> Column:
     """Equality of two ``normal_cell`` structs; not-a-number equals nothing."""
-    return (a["kind"] == b["kind"]) & F.when(a["kind"] == "number", ~F.isnan(a["num"]) & ~F.isnan(b["num"]) & (a["num"] == b["num"])).when(a["kind"] == "empty", True).otherwise(a["str"] == b["str"])
+    equal = F.when(a["kind"] == "number", ~F.isnan(a["num"]) & (a["num"] == b["num"])).when(a["kind"] == "empty", True).otherwise(a["str"] == b["str"])
+    return F.coalesce((a["kind"] == b["kind"]) & equal, F.lit(False))
 
 
 def compare_cells(wanted: DataFrame, truth: DataFrame, output: DataFrame) -> DataFrame:

@@ -1 +1 @@
-
+"""Ordered micro-batches with state."""
