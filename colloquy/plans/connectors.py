@@ -50,6 +50,12 @@ def s3(spark, d):
     return R.load_dataset(spark, "orders", d).groupBy("data_split").agg(F.count("*").alias("n"))
 
 
+@query("x2_custom_loader", "", "SELECT p_brand AS data_split, count(*) AS n FROM part WHERE p_brand = 'Brand#11' GROUP BY 1")
+def x2(spark, d):
+    R.register_loader("parts", lambda s, path, split: fx(s, path, "part").withColumnRenamed("p_brand", "data_split").where(F.col("data_split") == split))
+    return R.load_dataset(spark, "parts", d, "Brand#11").groupBy("data_split").agg(F.count("*").alias("n"))
+
+
 @query("s4_read_predictions", "slots", "SELECT CAST(dialogue_id AS STRING) AS dialogue_id, count(pred_value) AS n_values, count(*) FILTER (pred_requested) AS n_requested FROM slots GROUP BY dialogue_id")
 def s4(spark, d):
     p = f"{_place(spark)}/x.jsonl"
