@@ -142,7 +142,7 @@ def report(docs: DataFrame, seed: int = 0) -> DataFrame:
     first, last = F.floor(F.col("__start") / BLOCK), F.floor((F.col("__start") + F.col("__size") - 1) / BLOCK)
     parts = at.where("__size > 0").select("doc_id", "__key", "__size", "__start", F.explode(F.sequence(first, last)).alias("block"))
     piece = F.least((F.col("block") + 1) * BLOCK, F.col("__start") + F.col("__size")) - F.greatest(F.col("block") * BLOCK, "__start")
-    took = parts.join(uses, ["__key", "block"], "left").groupBy("doc_id", "__key", "__size", "__start").agg(F.sum(piece * F.coalesce("uses", F.lit(0))).cast("long").alias("taken"))
+    took = parts.join(uses.hint("merge"), ["__key", "block"], "left").groupBy("doc_id", "__key", "__size", "__start").agg(F.sum(piece * F.coalesce("uses", F.lit(0))).cast("long").alias("taken"))
     none = at.where("__size = 0").select("doc_id", "__key", "__size", F.lit(0).cast("long").alias("taken"))
     out = took.drop("__start").unionByName(none)
     return out.join(if_small(by.select("__key", "source_size", "target")), "__key").select("doc_id", F.col("__size").alias("size"), "source_size", "target", "taken")
@@ -164,5 +164,5 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     blocks = parts.groupBy("__key", F.col("p.block").alias("block")).agg(F.array_sort(F.collect_list(F.struct("__start", "doc_id", F.col("p.text").alias("text")))).alias("x"))
     blocks = blocks.select("__key", "block", F.col("x.doc_id").alias("doc_ids"), F.array_join("x.text", " ").alias("text"))
     source = F.when(F.col("__key") == "n", None).otherwise(F.expr("substring(__key, 2)"))
-    out = slots(by, seed).join(blocks, ["__key", "block"])
+    out = slots(by, seed).hint("merge").join(blocks, ["__key", "block"])
     return out.select("shard", "slot", source.alias("source"), "block", "doc_ids", F.regexp_count("text", F.lit(WORD)).alias("n_words"), "text")
