@@ -16,12 +16,30 @@ def shuffled(seed: int, *columns: str) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
 
+#: Rows of a group up to which one task numbers it.
+GROUP = 1_000_000
+
+
 def _numbered(df: DataFrame, key, *by: str) -> DataFrame:
-    """df with ``__i``, the place from 0 in its group by key, and ``__n``, the group's size."""
+    """df with ``__i``, the place from 0 in its group by key, and ``__n``, the group's size.
+
+    Groups are numbered by a window each, unless one has more than ``GROUP`` rows: then all rows are
+    numbered by group and key in one range sort, and each group's first number is taken off."""
     if not by:
         return numbered(df, key)
-    w = Window.partitionBy(*by)
-    return df.withColumns({"__i": F.row_number().over(w.orderBy(key)) - 1, "__n": F.count("*").over(w)})
+    sizes = df.groupBy(*by).agg(F.count("*").alias("__n"))
+    if (sizes.agg(F.max("__n")).first()[0] or 0) <= GROUP:
+        w = Window.partitionBy(*by)
+        return df.withColumns({"__i": F.row_number().over(w.orderBy(key)) - 1, "__n": F.count("*").over(w)})
+    group = F.struct(*by)
+    rows = numbered(df.withColumn("__g", group), F.struct("__g", key if not isinstance(key, str) else F.col(key))).drop("__n")
+    first = rows.groupBy("__g").agg(F.min("__i").alias("__first"), F.count("*").alias("__n"))
+    return rows.join(first, rows["__g"].eqNullSafe(first["__g"])).withColumn("__i", F.col("__i") - F.col("__first")).drop("__g", "__first")
+
+
+def numbers_in(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """df with ``name``, the running number from 0 inside its group."""
+    return _numbered(df, order, group).withColumn(name, F.col("__i").cast("int")).drop("__i", "__n")
 
 
 def in_slice(df: DataFrame, order, start: int, end: int | None = None) -> DataFrame:

@@ -72,6 +72,15 @@ def test_balanced_batches(spark, n, want):
     assert [r["count"] for r in got] == want
 
 
+def test_large_groups(spark, monkeypatch):
+    df = spark.range(0, 500, 1, 5).withColumn("g", F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 2))
+    key = F.expr("(id * 7919) % 1009")
+    small = splits.hold_out(df, 0.2, key, "g").orderBy("id").collect()
+    monkeypatch.setattr(splits, "GROUP", 10)
+    assert splits.hold_out(df, 0.2, key, "g").orderBy("id").collect() == small
+    assert splits.hold_out(df, 0.2, F.desc("id")).where("part = 'validation'").agg(F.min("id")).first()[0] == 400
+
+
 def test_samples(spark):
     parts = splits.hold_out(spark.range(4), 0.2, "id").groupBy("part").count().collect()
     assert {r.part: r["count"] for r in parts} == {"validation": 1, "train": 3}
