@@ -14,6 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+# Workers outlive a stage: what a batch took goes back to the system, not to Arrow's own cache.
+pa.set_memory_pool(pa.system_memory_pool())
+
 _u64 = np.uint64
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _u64(2) + _u64(1)
@@ -24,7 +27,7 @@ _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[65:91] = _WORD[128:] = True
 
 #: Bytes of text that are worked on at once.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
