@@ -160,9 +160,21 @@ def _pass(block: Block):
     return run
 
 
-def hit_words(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+def _one_after_the_other(steps: list):
+    """The steps as one, each working on the batches of the one before it: one Python worker a task."""
+
+    def run(batches):
+        for step in steps:
+            batches = step(batches)
+        return batches
+
+    return run
+
+
+def hit_words(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, last=None, schema=None) -> DataFrame:
     """The documents with ``__n_words`` long, ``__hit`` (bits of the words that are hit,
-    null if none is) and ``__items`` (sorted ids of items with occurring windows).
+    null if none is) and ``__items`` (sorted ids of items with occurring windows); with
+    ``last`` what that function makes of these batches, of the given schema.
 
     Nulls: a null text has no words; items without words or without an id never
     match.  Repeated rows are each marked; columns of the documents pass through."""
@@ -170,18 +182,18 @@ def hit_words(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> Data
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     n = max(1, -(-total[0] // block), -(-total[1] // 500_000))
     out = docs.withColumns({"__n_words": F.lit(0).cast("long"), "__hit": F.lit(None).cast("binary"), "__items": F.array().cast("array<string>")})
+    steps = []
     for i in range(n):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i).orderBy("id").collect()
-        out = out.mapInArrow(_pass(Block([r.id for r in rows], [r.text for r in rows])), out.schema)
-        if i % CHAIN == CHAIN - 1:
-            out = cut(out)
-    return out
+        steps.append(_pass(Block([r.id for r in rows], [r.text for r in rows])))
+        if len(steps) == CHAIN and i < n - 1:
+            out, steps = cut(out.mapInArrow(_one_after_the_other(steps), out.schema)), []
+    return out.mapInArrow(_one_after_the_other([*steps, *([last] if last else [])]), schema or out.schema)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    marked = hit_words(docs.select("doc_id", "text"), benchmark, block)
-    return marked.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return hit_words(docs.select("doc_id", "text"), benchmark, block, _digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def _digest(batches):
@@ -197,7 +209,7 @@ def _digest(batches):
 def clean(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5, block: int = BLOCK) -> DataFrame:
     """The documents with hit words cut out of their text; a document of which
     ``least_share`` or more of the words is hit goes.  Others stay as they are."""
-    return hit_words(docs, benchmark, block).mapInArrow(_cut_out(least_share), docs.schema)
+    return hit_words(docs, benchmark, block, _cut_out(least_share), docs.schema)
 
 
 def _cut_out(least_share: float):
