@@ -11,21 +11,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.llm import decontaminate, jaccard_join, language, mixing, passages
-from colloquy.llm.session import cut, table
+from colloquy.llm.session import cut, small_batches, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or like no learned language, go."""
+    small_batches(spark)
     return language.keep_known(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates the document of the least id stays."""
+    small_batches(spark)
     return jaccard_join.keep_one(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occurred before are cut out of the texts."""
+    small_batches(spark)
     return passages.remove_repeats(docs)
 
 
@@ -36,6 +39,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training blocks: (shard, slot, source, block, doc_ids, n_words, text)."""
+    small_batches(spark)
     return mixing.mix(docs)
 
 
