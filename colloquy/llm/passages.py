@@ -6,7 +6,7 @@ run of shingles inside [l, r] that contains c has its minimum, its min-hash, at
 The compact windows of ``SPAN`` shingles or more (about 2 n / SPAN a text and
 function) stand for all passages of that length.
 
-1. Windows of all texts are grouped by (function, min-hash).  The first document of
+1. Windows of all texts are grouped by (function, min-hash).  The first window of
    a group leads it; every other window is paired with the leader's, so a group of
    any size gives as many pairs as it has windows.
 2. The pairs of two documents are joined as intervals, in the order of the text: windows
@@ -22,6 +22,13 @@ function) stand for all passages of that length.
    are parted at the widest gap and tried again.  (Here a shingle counts by 32
    bits of its hash; a passage has some dozens of them.)
 
+4. The leader may hold the min-hash in an unrelated place (a frequent line).  So the
+   windows whose min-hash lies in no verified passage are grouped again, without the leaders, by the
+   min-hash and one more shingle near it (``finer``: a shared passage has one besides the line).  The first
+   ``GROWTH`` windows of each group lead it, then the first ``GROWTH ** 2`` of those left, and
+   so on, until no group has two windows left: each window is in a verified passage or was compared
+   with every earlier window of its groups that is in none.
+
 Exact copies of a text are one passage; they are found by hash beforehand and only
 their first document goes through these steps.
 
@@ -50,6 +57,8 @@ CHUNK = 64
 WIDER = 24
 #: Shingles without a counterpart that a passage may have in a row (two changed words).
 GAP = 2 * SHINGLE
+#: Leaders of a group in a round of comparisons, over those in the round before.
+GROWTH = 4
 _LEVELS = 12
 
 
@@ -139,13 +148,34 @@ def windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_windows(span), "key long, doc_id long, at long")
 
 
-def segments(docs: DataFrame, span: int = SPAN, matches: int = MATCHES) -> DataFrame:
-    """(doc_id, lead, a, b, la, lb): shingles [a, b] of a document that may repeat [la, lb] of lead."""
+def shared_windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """(key, doc_id, at, lead, n): the windows of groups of two or more, with their group's least document and size."""
     w = windows(docs, span)
-    groups = w.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
-    shared = cut(w.join(groups, "key"))
-    first = shared.where("doc_id = lead").groupBy("key").agg(F.min("at").alias("f"))
-    pairs = shared.join(first, "key").where("doc_id <> lead or at <> f")
+    groups = w.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    return w.join(groups, "key")
+
+
+def _rest(left: DataFrame, last: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, doc_id, at) of the windows after the last leader of their group whose min-hash no verified passage
+    holds, in groups of two or more."""
+    left = left.join(last, "key").where("doc_id > lead or (doc_id = lead and at > f)").select("key", "doc_id", "at")
+    by = cut(spans(found).select("doc_id", "spans"))
+    c = F.shiftright("at", 32)
+    held = F.exists("spans", lambda s: (s["low"] <= c) & (c <= s["high"] - SHINGLE))
+    return _grouped(left.join(if_small(by, 300_000), "doc_id", "left").where(~F.coalesce(held, F.lit(False))).select("key", "doc_id", "at"))
+
+
+def _grouped(left: DataFrame) -> DataFrame:
+    """The windows in groups of two or more."""
+    left = cut(left)
+    groups = left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return cut(left.join(groups, "key"))
+
+
+def segments(pairs: DataFrame, span: int = SPAN, matches: int = MATCHES) -> DataFrame:
+    """(doc_id, lead, a, b, la, lb): shingles [a, b] of a document that may repeat [la, lb] of lead.
+
+    pairs are (key, doc_id, at, lead, f): windows of a group and places ``f`` of the leaders they are compared with."""
     c, f = F.shiftright("at", 32), F.shiftright("f", 32)
     near = lambda bits: F.least(*[F.shiftright(x, bits).bitwiseAND(F.lit(0xFFFF)) for x in ("at", "f")])
     bit = F.expr("shiftleft(1, cast(key & 7 as int))").alias("bit")
@@ -185,6 +215,42 @@ def _chunks(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(k, pa.int32()), pa.array(x, pa.binary())], names=["lead", "chunk", "x"])
 
 
+def _contexts(span: int, threshold: float):
+    def run(batches):
+        for batch in batches:
+            for rows, data, offsets in T.pieces(batch):
+                for i, left, mine in zip(rows.column("doc_id").to_pylist(), rows.column("left").to_pylist(), _own(rows, data, offsets), strict=True):
+                    out = []
+                    for w in left:
+                        c, reach = w["at"] >> 32, min(2 * span, 0xFFFF)
+                        low = max(c - min((w["at"] >> 16 & 0xFFFF) + WIDER, reach), 0)
+                        x = mine[low : c + min((w["at"] & 0xFFFF) + WIDER, reach) + 1]
+                        kinds = np.unique(x)
+                        least = max(span - len(x) + len(kinds), 1)
+                        out.append((w["key"], i, w["at"], int(np.ceil(threshold * least - 1e-9)) - 1, kinds.view(np.int32)))
+                    key, doc, at, drop, kinds = zip(*out, strict=True)
+                    n = [len(k) for k in kinds]
+                    columns = [pa.array(np.repeat(np.array(v, t), n)) for v, t in ((key, np.int64), (doc, np.int64), (at, np.int64), (drop, np.int32))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(kinds))], names=["key", "doc_id", "at", "often", "sh"])
+
+    return run
+
+
+def finer(left: DataFrame, docs: DataFrame, span: int, threshold: float) -> DataFrame:
+    """(key, doc_id, at) of the windows of ``left`` in finer groups: those that hold one more shingle in common.
+
+    Two windows that share a passage have threshold * span shingles in common (fewer if a text repeats
+    itself: the shingles that occur again are taken off first), so if each leaves out one less of its
+    shingles, those of most windows of the group first, one in common stays."""
+    by = cut(left.groupBy("doc_id").agg(F.collect_set(F.struct("key", "at")).alias("left")))
+    rows = cut(docs.join(if_small(by, 300_000), "doc_id").mapInArrow(_contexts(span, threshold), "key long, doc_id long, at long, often int, sh int"))
+    common = cut(rows.groupBy("key", "sh").agg(F.count("*").alias("n")).where("n > 1"))
+    order = F.row_number().over(Window.partitionBy("key", "doc_id", "at").orderBy(F.desc("n"), "sh"))
+    kept = rows.join(if_small(common), ["key", "sh"]).withColumn("k", order).where("k > often")
+    key = F.xxhash64("key", "sh").bitwiseAND(F.lit(-8)).bitwiseOR(F.col("key").bitwiseAND(F.lit(7)))
+    return kept.select(key.alias("key"), "doc_id", "at")
+
+
 def joined_runs(hit: np.ndarray) -> list[tuple[int, int]]:
     """Runs [a, b] of hits, taken together over gaps of up to ``GAP``."""
     edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
@@ -253,6 +319,19 @@ def _whole(least: int):
     return run
 
 
+def _verified(base: DataFrame, seg: DataFrame, words: int, threshold: float) -> DataFrame:
+    """(doc_id, lead, low, high) of the passages of segments that are repeats."""
+    seg = cut(seg.withColumn("seg", F.monotonically_increasing_id()))
+    chunk = F.explode(F.sequence(F.floor(F.col("la") / CHUNK).cast("int"), F.floor(F.col("lb") / CHUNK).cast("int"))).alias("chunk")
+    other = seg.where("doc_id <> lead").select("*", chunk)
+    wanted = cut(other.select("lead", "chunk").distinct().groupBy("lead").agg(F.collect_list("chunk").alias("chunks")).withColumnRenamed("lead", "doc_id"))
+    content = base.join(if_small(wanted, 300_000), "doc_id").mapInArrow(_chunks, "lead long, chunk int, x binary").groupBy("lead", "chunk").agg(F.max("x").alias("x"))
+    given = other.join(content.hint("merge"), ["lead", "chunk"]).unionByName(seg.where("doc_id = lead").withColumns({"chunk": F.lit(0), "x": F.lit(None).cast("binary")}))
+    parts = given.groupBy("doc_id").agg(F.collect_list(F.struct("seg", "lead", "a", "b", "la", "lb", "chunk", "x")).alias("parts"))
+    mine = base.join(if_small(cut(seg.select("doc_id").distinct())), "doc_id", "left_semi")
+    return mine.join(parts.hint("merge"), "doc_id").mapInArrow(_passages(words, threshold), "doc_id long, lead long, low long, high long").distinct()
+
+
 def repeats(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, lead, low, high): words [low, high) of doc_id repeat a passage of lead.
 
@@ -263,15 +342,20 @@ def repeats(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -
     equal = hashes.groupBy("h", "g").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = cut(hashes.join(equal, ["h", "g"]).where("doc_id <> lead").select("doc_id", "lead").distinct())
     base = texts.join(if_small(copies.select("doc_id")), "doc_id", "left_anti")
-    seg = cut(segments(base, words - SHINGLE + 1).withColumn("seg", F.monotonically_increasing_id()))
-    chunk = F.explode(F.sequence(F.floor(F.col("la") / CHUNK).cast("int"), F.floor(F.col("lb") / CHUNK).cast("int"))).alias("chunk")
-    other = seg.where("doc_id <> lead").select("*", chunk)
-    wanted = cut(other.select("lead", "chunk").distinct().groupBy("lead").agg(F.collect_list("chunk").alias("chunks")).withColumnRenamed("lead", "doc_id"))
-    content = base.join(if_small(wanted, 300_000), "doc_id").mapInArrow(_chunks, "lead long, chunk int, x binary").groupBy("lead", "chunk").agg(F.max("x").alias("x"))
-    given = other.join(content.hint("merge"), ["lead", "chunk"]).unionByName(seg.where("doc_id = lead").withColumns({"chunk": F.lit(0), "x": F.lit(None).cast("binary")}))
-    parts = given.groupBy("doc_id").agg(F.collect_list(F.struct("seg", "lead", "a", "b", "la", "lb", "chunk", "x")).alias("parts"))
-    mine = base.join(if_small(cut(seg.select("doc_id").distinct())), "doc_id", "left_semi")
-    found = mine.join(parts.hint("merge"), "doc_id").mapInArrow(_passages(words, threshold), "doc_id long, lead long, low long, high long").distinct()
+    span = words - SHINGLE + 1
+    shared = cut(shared_windows(base, span))
+    first = cut(shared.where("doc_id = lead").groupBy("key").agg(F.min("lead").alias("lead"), F.min("at").alias("f")))
+    pairs = shared.drop("lead", "n").join(first, "key").where("doc_id <> lead or at <> f")
+    found = cut(_verified(base, segments(pairs, span), words, threshold))
+    left, leaders = _rest(shared.where("n > 2").drop("lead", "n"), first, found), GROWTH
+    left = _grouped(finer(left, base, span, threshold))
+    while not left.isEmpty():
+        order = F.row_number().over(Window.partitionBy("key").orderBy("doc_id", "at"))
+        first = cut(left.withColumn("k", order).where(F.col("k") <= leaders).select("key", F.col("doc_id").alias("lead"), F.col("at").alias("f")))
+        pairs = left.join(first, "key").where("doc_id > lead or (doc_id = lead and at > f)").select(F.col("key").bitwiseAND(F.lit(7)).alias("key"), "doc_id", "at", "lead", "f").distinct()
+        found = cut(found.unionByName(_verified(base, segments(pairs, span), words, threshold)))
+        last = first.groupBy("key").agg(F.max(F.struct("lead", "f")).alias("x")).select("key", "x.lead", "x.f")
+        left, leaders = _rest(left, last, found), leaders * GROWTH
     same = texts.join(if_small(copies), "doc_id").mapInArrow(_whole(words), "doc_id long, lead long, low long, high long").distinct()
     return found.unionByName(same)
 

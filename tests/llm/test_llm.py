@@ -245,6 +245,21 @@ def test_passages(spark):
     assert words(clean[2]) == words(docs[2])[:90] and clean[1] == docs[1] and clean[7] == "" and clean[4] == docs[4]
 
 
+def test_passages_of_frequent_lines(spark):
+    """The leader of a group holds the line in an unrelated place, and there are several passages in a group."""
+    rng = random.Random(13)
+    fresh = lambda n: prose(rng, n, 10**6)
+    lines = [prose(rng, 30, 5000) for _ in range(12)]
+    docs = {i: f"{fresh(40)} {line} {fresh(40)}" for i, line in enumerate(lines)}
+    docs |= {20 + i: f"{fresh(40)} {line} {fresh(40)} {line} {fresh(9)}" for i, line in enumerate(lines)}
+    pairs = [(a, b) for a in range(12) for b in range(a)][:60]  # both orders of two lines would be near copies
+    for k, (a, b) in enumerate(pairs):
+        docs[100 + k] = f"{fresh(30)} {lines[a]} {lines[b]} {fresh(30)}"
+        docs[200 + k] = f"{fresh(50)} {lines[a]} {lines[b]} {fresh(30)}"
+    got = {r.doc_id: r.spans for r in passages.report(table(spark, [(i, t, "en", "a", 1) for i, t in docs.items()])).collect()}
+    assert {i: s for i, s in got.items() if s} == {200 + k: "50-110" for k in range(60)}
+
+
 def test_passages_odd(spark):
     assert passages.report(odd(spark)).count() == len(ODD)
     out = passages.remove_repeats(odd(spark))
