@@ -282,6 +282,17 @@ def test_licences(spark):
     assert licences.report(table(spark, [])).count() == 0
 
 
+def test_licence_lines_of_the_documents(spark, data_dir):
+    d = spark.read.parquet(f"{data_dir}/documents.parquet").select(F.explode(F.split("text", "\n")).alias("text")).distinct()
+    lines = d.where(r"lower(text) rlike 'licen[cs]ed under|released under|rights reserved|spdx'").select(F.xxhash64("text").alias("doc_id"), "text")
+    found = licences.report(lines)
+    assert found.count() >= 4 and found.where("n_matches = 0").count() == 0
+    short = ["Licensed under CC BY-NC 4.0.", "Released under CC BY-SA 4.0", "SPDX-License-Identifier: MPL-2.0", "SPDX-License-Identifier: GPL-3.0-or-later"]
+    got = {r.doc_id: r for r in licences.report(table(spark, list(enumerate(short)), "doc_id long, text string")).collect()}
+    assert [got[i].best_dice for i in range(4)] == [1.0] * 4
+    assert [i in got[k].licences.split(",") for k, i in enumerate(("CC-BY-NC-4.0", "CC-BY-SA-4.0", "MPL-2.0", "GPL-3.0"))] == [True] * 4
+
+
 def test_token_tree():
     by = token_counts.counter(token_counts.VOCABULARY)
     rng = random.Random(1)
