@@ -79,7 +79,11 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     at = np.searchsorted(letters, start)
     size = np.diff(np.append(at, len(letters)))
     rel = np.arange(len(letters)) - np.repeat(at, size)
-    h = np.add.reduceat(_BYTE[_LOWER[data[letters]]] * _POW[rel & 0xFFFF], at)
+    terms = _BYTE[_LOWER[data[letters]]] * _POW[rel & 0xFFFF]
+    if size.max() > 1 << 16:  # every further 65,536 bytes of a word have a factor of their own
+        far = rel >= 1 << 16
+        terms[far] *= mix((rel[far] >> 16).astype(np.uint64)) | _u64(1)
+    h = np.add.reduceat(terms, at)
     return Words(data, mix(h + size.astype(np.uint64)), start, start + size, np.searchsorted(start, offsets))
 
 
