@@ -157,9 +157,10 @@ def shared_windows(docs: DataFrame, span: int = SPAN) -> Stored:
     return out
 
 
-def first_of(rows: DataFrame, key: str) -> DataFrame:
-    """(key, lead, fc, fl, fr): the first window of each group."""
-    return rows.groupBy(key).agg(F.min(F.struct("doc_id", "c", "l", "r")).alias("x")).select(key, F.col("x.doc_id").alias("lead"), F.col("x.c").alias("fc"), F.col("x.l").alias("fl"), F.col("x.r").alias("fr"))
+def first_of(rows: DataFrame) -> DataFrame:
+    """(key, lead, fc, fl, fr): the first window of each group of two or more."""
+    by = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "c", "l", "r")).alias("x"))
+    return by.where("n > 1").select("key", F.col("x.doc_id").alias("lead"), F.col("x.c").alias("fc"), F.col("x.l").alias("fl"), F.col("x.r").alias("fr"))
 
 
 def _follows():
@@ -248,9 +249,11 @@ def finer(shared: DataFrame, first: DataFrame, found: DataFrame, docs: DataFrame
     rows = shared.where("n > 2").join(if_small(by), "doc_id", "left").withColumn("open", ~F.coalesce(held, F.lit(False))).drop("spans", "n")
     rows = Stored(rows)
     keys = cut(rows.df.where("open").join(first, "key").where(_follows()).select("key").distinct())
-    left = rows.df.join(if_small(keys), "key", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("key", "c", "l", "r", "open")).alias("left"))
-    out = Stored(docs.join(left.hint("merge"), "doc_id").mapInArrow(_contexts, f"{_WINDOW}, open boolean"))
+    left = Stored(rows.df.join(if_small(keys), "key", "left_semi"))
     rows.drop()
+    by = left.df.groupBy("doc_id").agg(F.collect_list(F.struct("key", "c", "l", "r", "open")).alias("left"))
+    out = Stored(_of(docs, left.df).join(by.hint("merge"), "doc_id").mapInArrow(_contexts, f"{_WINDOW}, open boolean"))
+    left.drop()
     return out
 
 
@@ -280,10 +283,30 @@ def _edge(x: np.ndarray, y: np.ndarray) -> int:
     return k + 1 if k else 0
 
 
+def _diagonal(x: np.ndarray, y: np.ndarray, shift: int, words: int) -> tuple[int, int] | None:
+    """The plain case: one run of equal words at the expected place, long enough, and nothing around it that could be a passage."""
+    low, high = max(shift, 0), min(len(x), len(y) + shift)
+    if high - low < words:
+        return None
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], x[low:high] == y[low - shift : high - shift], [False])).astype(np.int8)))
+    size = edges[1::2] - edges[::2]
+    k = size >= SHINGLE
+    if k.sum() != 1:
+        return None
+    a, b = int(edges[::2][k][0]) + low, int(edges[1::2][k][0]) + low
+    if b - a < words or max(a, len(x) - b) >= words - SHINGLE:
+        return None
+    return a - _edge(x[:a][::-1], y[: a - shift][::-1]), b + _edge(x[b:], y[b - shift :])
+
+
 def verified(x: np.ndarray, y: np.ndarray, shift: int, earlier: int | None, words: int = WORDS, threshold: float = THRESHOLD):
     """Runs [low, high) of the words x that repeat a passage of the words y, which is expected ``shift`` places before.
 
     ``earlier`` is given in one document: x starts so many words after y, and only earlier places count."""
+    whole = _diagonal(x, y, shift, words)
+    if whole:
+        yield whole
+        return
     least = words - SHINGLE + 1
     sx, sy = _shingled(x), _shingled(y)
     if not len(sx) or not len(sy):
@@ -366,6 +389,11 @@ def _whole(least: int):
     return run
 
 
+def _of(base: DataFrame, rows: DataFrame) -> DataFrame:
+    """The texts that rows ask for, so that no others are shuffled."""
+    return base.join(if_small(cut(rows.select("doc_id").distinct())), "doc_id", "left_semi")
+
+
 def _verified(base: DataFrame, seg: DataFrame, words: int, threshold: float) -> DataFrame:
     """(doc_id, lead, low, high) of the passages of segments that are repeats.
 
@@ -377,7 +405,7 @@ def _verified(base: DataFrame, seg: DataFrame, words: int, threshold: float) ->
     content = cut(base.join(if_small(wanted), "doc_id").mapInArrow(_chunks, "lead long, chunk int, x binary").groupBy("lead", "chunk").agg(F.max("x").alias("x")))
     given = other.join(content.hint("merge"), ["lead", "chunk"]).unionByName(seg.where("doc_id = lead").withColumns({"chunk": F.lit(0), "x": F.lit(None).cast("binary")}))
     parts = given.groupBy("doc_id", F.floor(F.col("a") / PART).alias("part")).agg(F.collect_list(F.struct("seg", "lead", "a", "b", "la", "lb", "shift", "chunk", "x")).alias("parts"))
-    return base.join(parts.drop("part").hint("merge"), "doc_id").mapInArrow(_passages(words, threshold), "doc_id long, lead long, low long, high long").distinct()
+    return _of(base, seg).join(parts.drop("part").hint("merge"), "doc_id").mapInArrow(_passages(words, threshold), "doc_id long, lead long, low long, high long").distinct()
 
 
 def repeats(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -393,12 +421,11 @@ def repeats(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -
     base = texts.join(if_small(copies.select("doc_id")), "doc_id", "left_anti")
     span = words - SHINGLE + 1
     shared = shared_windows(base, span)
-    first = cut(first_of(shared.df, "key"))
+    first = cut(first_of(shared.df))
     found = cut(_verified(base, segments(shared.df.join(first, "key").where(_follows()), span), words, threshold))
     fine = finer(shared.df, first, found, base)
     shared.drop()
-    lead = first_of(fine.df.withColumn("n", F.lit(1)), "key")
-    lead = cut(fine.df.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key").join(lead, "key"))
+    lead = cut(first_of(fine.df))
     pairs = fine.df.where("open").join(lead, "key").where(_follows())
     pairs = pairs.withColumn("key", F.col("key").bitwiseAND(F.lit(7))).drop("open").distinct()
     more = cut(_verified(base, segments(pairs, span, 1), words, threshold))
