@@ -11,10 +11,12 @@
    threshold t is P(Binomial(n + 1, t) <= m); a pair goes once that is below
    ``TOLERANCE``.  The rest are verified on the sets themselves.  A pair that
    shares several buckets counts in its first band only.
-4. A bucket of more than ``BUCKET`` members is dealt into parts by hash, and each
+4. A bucket of more than ``BUCKET`` members, or ``BYTES`` of their sets, is dealt into parts by hash, and each
    pair of parts is a group of its own: no group grows with the data, and no
    link is lost.  Pairs never become rows; a group returns, for each member,
-   its number of links and the least member that it is connected with.
+   its number of links and the least member that it is connected with.  As links are
+   counted exactly, the comparisons of a bucket of m different sets grow with its square, and a set of it is given to
+   m / ``BUCKET`` groups.
 """
 
 from __future__ import annotations
@@ -26,16 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import numbered
 from . import tokens as T
 from .components import components
-from .session import cut, if_small
+from .session import cut, if_small, positional
 
 THRESHOLD, SHINGLE = 0.8, 5
 HASHES, BAND = 128, 4
 STEP = 32
 TOLERANCE = 1e-9
-#: Members that are compared in one group.
-BUCKET = 1024
+#: Members that are compared in one group, and bytes of their signatures and sets.
+BUCKET, BYTES = 1024, 16 << 20
 
 
 def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
@@ -90,8 +93,8 @@ def _sets(batches):
             )
 
 
-def _linked(table: pa.Table, threshold: float, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one group: pairs i < j of rows that reach the threshold, and whether the pair counts here."""
+def _linked(table: pa.Table, threshold: float, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of one group: pairs i < j of rows that reach the threshold and share no earlier band."""
     n = table.num_rows
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(n, HASHES)
     part, band = table.column("part").to_numpy(), table.column("band")[0].as_py()
@@ -111,20 +114,16 @@ def _linked(table: pa.Table, threshold: float, least: dict[int, int]) -> tuple[n
             j, m = j[stay], m[stay]
             if not len(j):
                 break
+        if len(j):  # a pair that met in an earlier band is verified there
+            met = (sig[j] == sig[i]).reshape(len(j), HASHES // BAND, BAND).all(2)
+            j = j[met.argmax(1) == band]
         found.append(np.stack([np.full(len(j), i), j]))
     a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
     if not len(a):
-        return a, b, np.zeros(0, bool)
+        return a, b
     shared = _shared(table.column("shingles").to_pylist(), a, b)
     ok = shared >= threshold * (size[a] + size[b] - shared)
-    a, b = a[ok], b[ok]
-    counts = np.ones(len(a), bool)
-    for low in range(0, len(a), 1 << 16):
-        s = slice(low, low + (1 << 16))
-        same = sig[a[s]] == sig[b[s]]
-        hit = same.reshape(len(same), HASHES // BAND, BAND).all(2)
-        counts[s] = hit.argmax(1) == band
-    return a, b, counts
+    return a[ok], b[ok]
 
 
 def _shared(sets: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,9 +152,9 @@ def _shared(sets: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _group(threshold: float, least: dict[int, int]):
     def run(table: pa.Table) -> pa.Table:
-        a, b, counts = _linked(table, threshold, least)
+        a, b = _linked(table, threshold, least)
         ids = table.column("k1").to_numpy()
-        links = np.bincount(np.concatenate((a[counts], b[counts])), minlength=len(ids))
+        links = np.bincount(np.concatenate((a, b)), minlength=len(ids))
         least_of = ids.copy()
         while len(a):
             new = least_of.copy()
@@ -184,11 +183,12 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     seen = cut(texts.mapInArrow(_features, "doc_id long, k1 long, k2 long, n int, sig binary, bands array<long>"))
     reps = cut(seen.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")))
 
-    in_band = reps.select("k1", F.posexplode("bands").alias("band", "key"))
-    sizes = in_band.groupBy("band", "key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("k1").cast("decimal(20,0)")).alias("members"), F.min("k1").alias("low")).where("m > 1")
+    in_band = reps.select("k1", "n", F.posexplode("bands").alias("band", "key"))
+    bytes_of = F.sum(F.col("n").cast("long") * 8 + 4 * HASHES).alias("bytes")
+    sizes = in_band.groupBy("band", "key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("k1").cast("decimal(20,0)")).alias("members"), F.min("k1").alias("low"), bytes_of).where("m > 1")
     first = Window.partitionBy("m", "members", "low").orderBy("band", "key")
-    sizes = cut(sizes.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("band", "key", F.ceil(F.col("m") / bucket).cast("int").alias("parts")))
-    members = cut(in_band.join(if_small(sizes), ["band", "key"]))
+    sizes = cut(sizes.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("band", "key", F.least("m", F.greatest(F.ceil(F.col("m") / bucket), F.ceil(F.col("bytes") / BYTES))).cast("int").alias("parts")))
+    members = cut(in_band.drop("n").join(if_small(sizes), ["band", "key"]))
     near = cut(members.select("k1").distinct().join(reps.select("rep", "k1", "n", "sig"), "k1"))
     wanted = near.select(F.col("rep").alias("doc_id"), "k1")
     sets = texts.join(if_small(wanted.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, k1 long, shingles binary")
@@ -217,13 +217,20 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents of which ``class_id`` is their own id, repeated rows once;
-    columns as given."""
-    classes = near_classes(docs, threshold)
-    drop = cut(classes.where("doc_id <> class_id").select("doc_id").distinct())
-    kept = docs.join(if_small(drop), "doc_id", "left_anti").select(*docs.columns)
-    again = cut(classes.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if again.isEmpty():
-        return kept
-    once = kept.join(if_small(again), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(if_small(again), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    """The documents of which ``class_id`` is their own id; columns as given.
+
+    Of rows with the same id and text one stays, whichever; rows with the same id and other texts are
+    documents of their own, the one of the lesser text hash first.  Rows without an id stay, and so do texts
+    without words.  Columns may have any names; an empty table stays empty."""
+    rows, new, names = positional(docs, "doc_id", "text")
+    rows = rows.withColumnsRenamed({new["doc_id"]: "doc_id", new["text"]: "text"})
+    if rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        drop = cut(near_classes(rows, threshold).where("doc_id <> class_id").select("doc_id"))
+        return rows.join(if_small(drop), "doc_id", "left_anti").select(*rows.columns).toDF(*names)
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    single = hashed.where("doc_id is not null").select("doc_id", "text", "h").dropDuplicates(["doc_id", "h"])
+    ids = cut(numbered(single.select("doc_id", "h"), F.struct("doc_id", "h")).select("doc_id", "h", F.col("__i").alias("i")))
+    classes = near_classes(single.join(ids, ["doc_id", "h"]).select(F.col("i").alias("doc_id"), "text"), threshold)
+    stay = cut(classes.where("doc_id = class_id").select(F.col("doc_id").alias("i")).join(ids, "i").drop("i"))
+    out = hashed.join(if_small(stay), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]).select(*rows.columns)
+    return out.unionByName(rows.where("doc_id is null")).toDF(*names)
