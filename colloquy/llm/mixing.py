@@ -7,13 +7,11 @@
 2. Targets: sources, by code point with null last, weigh 5, 2, 1, 5, 2, 1, ... and
    share 150 % of all words; a target stops at twice its source's words and what
    is over is shared out again by weight.  A source's target is a number of slots.
-3. All slots are dealt to output shards of ``SHARD`` slots by one pseudorandom
-   permutation of slot numbers.  The source counts of the shards are then
-   multinomial draws conditioned on every source's total (a multivariate
-   hypergeometric draw): unconditioned draws could take a document three times
-   and miss the targets of small sources.
-4. Slot j of a source is its pass j div n and block p(j mod n) for n blocks, with
-   p a pseudorandom permutation of the source and pass.  Slots and blocks are
+3. Shards have ``SHARD`` slots.  Each slot of a shard draws its source by the sources' shares of all slots:
+   multinomial counts.  A source stops when it has all its slots, and slots drawn for it in vain (some
+   square root of all, in the last shards) go to the sources that lack some, so that every target is met.
+4. The counts, added up over the shards, number each source's slots.  Slot j of a source is its pass j div n and
+   block p(j mod n) for n blocks, with p a pseudorandom permutation of the source and pass.  Slots and blocks are
    joined by (source, block).
 
 The permutations are four-round Feistel networks with cycle walking, so neither
@@ -28,16 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import numbered
 from . import tokens as T
-from .session import cut, if_small
+from .session import cut, if_small, positional
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 BLOCK, SHARD = 128, 1024
-#: Documents of a source in one bucket of the packing order.
+#: Documents of a source in one bucket of the packing order; numbers in one run of a sum.
 BUCKET = 4096
-#: Slots that one row of the slot generator stands for.
-RUN = 1 << 15
+#: Ranges that drawn numbers are looked up in.
+BUCKETS = 1 << 12
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -57,6 +56,12 @@ def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """doc_id, source and text, whatever other columns there are."""
+    rows, new, _ = positional(docs, "doc_id", "source", "text")
+    return rows.select(*[F.col(v).alias(k) for k, v in new.items()])
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """docs with ``__key`` (its source as a non-null string), ``__size`` in words and ``__mix`` (place in the packing order)."""
     return docs.withColumns(
@@ -68,28 +73,40 @@ def sizes(docs: DataFrame) -> DataFrame:
     )
 
 
+def _running(df: DataFrame, value: str, name: str, order: str, *by: str) -> DataFrame:
+    """df with ``name``, the sum of ``value`` over the rows before in the order of a number, in each group.
+
+    Sums run inside runs of ``BUCKET`` numbers and over the runs' totals, so that one group takes many tasks."""
+    rows = df.withColumn("__run", F.floor(F.col(order) / BUCKET))
+    totals = rows.groupBy(*by, "__run").agg(F.sum(value).alias("__s"))
+    before = lambda x, w: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(*by, "__run", before("__s", Window.partitionBy(*by).orderBy("__run")).alias("__b"))
+    inside = before(value, Window.partitionBy(*by, "__run").orderBy(order))
+    return rows.withColumn(name, inside).join(totals, [*by, "__run"]).withColumn(name, F.col(name) + F.col("__b")).drop("__run", "__b")
+
+
 def targets(sized: DataFrame) -> DataFrame:
-    """(__key, source_size, n_docs, target, n_blocks, passes, extra): a row for each source.
+    """(__key, i, source_size, n_docs, target, n_blocks, slots): a row for each source, i its place.
 
-    ``passes`` whole passes over all blocks and ``extra`` more blocks come as near to
-    the target as whole blocks do.  The windows here run over one row for each source."""
+    ``slots`` come as near to the target as whole blocks do.  Targets are found as they are defined: share out by
+    weight, stop those above, share again; each round is one sum over the sources."""
     by = sized.groupBy("__key").agg(F.sum("__size").alias("source_size"), F.count("*").alias("n_docs"))
-    order = Window.orderBy(F.col("__key") == "n", "__key")
-    place = F.row_number().over(order) - 1
-    weight = F.when(place % 3 == 0, float(WEIGHTS[0])).when(place % 3 == 1, float(WEIGHTS[1])).otherwise(float(WEIGHTS[2]))
-    by = by.withColumn("w", weight).withColumn("most", F.lit(MOST) * F.col("source_size"))
-    everything = Window.partitionBy()
-    by = by.withColumn("all", F.sum("source_size").over(everything) * F.lit(SHARE)).withColumn("fill", F.col("most") / F.col("w"))
-    upto = Window.orderBy("fill", "__key").rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.col("all") - F.coalesce(F.sum("most").over(upto), F.lit(0.0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(upto), F.lit(0.0)))
-    by = by.withColumn("level", level)
-    by = by.withColumn("level", F.min_by("level", F.when(F.col("level") <= F.col("fill"), F.struct("fill", "__key"))).over(everything))
-    by = by.withColumn("target", F.when(F.col("level").isNull() | (F.col("fill") <= F.col("level")), F.col("most")).otherwise(F.col("w") * F.col("level")))
-    n = F.ceil(F.col("source_size") / BLOCK)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    by = by.withColumn("n_blocks", n.cast("long")).withColumn("passes", F.least(whole, F.lit(2)).cast("long"))
-    more = F.when(F.col("source_size") > 0, F.round((F.col("target") - F.col("passes") * F.col("source_size")) * F.col("n_blocks") / F.col("source_size"))).otherwise(0)
-    return by.withColumn("extra", F.when(F.col("passes") >= 2, 0).otherwise(more).cast("long")).select("__key", "source_size", "n_docs", "target", "n_blocks", "passes", "extra")
+    by = numbered(cut(by), F.struct(F.col("__key") == "n", "__key")).drop("__n").withColumnRenamed("__i", "i")
+    weight = F.when(F.col("i") % 3 == 0, WEIGHTS[0]).when(F.col("i") % 3 == 1, WEIGHTS[1]).otherwise(WEIGHTS[2]).cast("long")
+    by = cut(by.withColumn("w", weight).withColumn("most", F.col("source_size") * int(MOST)))
+    total = by.agg(F.sum("source_size")).first()[0] or 0
+    level, stopped = None, -1
+    while True:
+        over = F.lit(False) if level is None else F.col("most") <= F.col("w") * F.lit(level)
+        x = by.agg(F.count_if(over).alias("n"), F.coalesce(F.sum(F.when(over, F.col("most"))), F.lit(0)).alias("most"), F.coalesce(F.sum(F.when(~over, F.col("w"))), F.lit(0)).alias("w")).first()
+        if x.n == stopped or not x.w:
+            break
+        stopped, level = x.n, (SHARE * total - x.most) / x.w
+    level = F.lit(0.0 if level is None else level)
+    by = by.withColumn("target", F.least(F.col("most").cast("double"), F.col("w") * level) if x.w else F.col("most").cast("double"))
+    n = F.ceil(F.col("source_size") / BLOCK).cast("long")
+    slots = F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") * n / F.col("source_size")), n * int(MOST))).otherwise(0)
+    return by.select("__key", "i", "source_size", "n_docs", "target", n.alias("n_blocks"), slots.cast("long").alias("slots"))
 
 
 def packed(sized: DataFrame, by_source: DataFrame) -> DataFrame:
@@ -103,39 +120,76 @@ def packed(sized: DataFrame, by_source: DataFrame) -> DataFrame:
     return rows.join(before, ["__key", "__bucket"]).withColumn("__start", F.col("__before") + F.col("__in")).drop("__bucket", "__before", "__in")
 
 
+def draws(by_source: DataFrame, seed: int = 0) -> DataFrame:
+    """(__key, shard, n): how many slots of each shard go to each source.
+
+    Every slot draws a source with the probability of its share of all slots, so a shard's counts are a multinomial draw.
+    A source that has all its slots gets no more; what later shards drew for it in vain goes to the sources
+    that lack slots at the end, in a pseudorandom order."""
+    rows = cut(_running(by_source.where("slots > 0"), "slots", "base", "i"))
+    total = rows.agg(F.sum("slots")).first()[0] or 0
+    spark = by_source.sparkSession
+    width = max(1, total // BUCKETS)
+    reach = lambda low, n: F.explode(F.sequence(F.floor(low / width), F.floor((low + n - 1) / width)))
+    ranges = rows.select("__key", "i", "slots", "base", reach(F.col("base"), F.col("slots")).alias("b"))
+    slot = spark.range(-(-total // SHARD)).select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0), F.least(F.lit(SHARD), F.lit(total) - F.col("id") * SHARD).cast("int") - 1)).alias("k"))
+    drawn = slot.withColumn("u", F.pmod(F.xxhash64("shard", "k", F.lit(seed)), F.lit(max(total, 1)))).withColumn("b", F.floor(F.col("u") / width))
+    inside = (F.col("u") >= F.col("base")) & (F.col("u") < F.col("base") + F.col("slots"))
+    counts = drawn.join(if_small(cut(ranges)), "b").where(inside).groupBy("__key", "shard", "slots").agg(F.count("*").alias("c"))
+    counts = _running(cut(counts), "c", "before", "shard", "__key")
+    counts = cut(counts.withColumn("n", F.least("c", F.greatest(F.col("slots") - F.col("before"), F.lit(0)))))
+    vain = _running(counts.groupBy("shard").agg(F.sum(F.col("c") - F.col("n")).alias("v")).where("v > 0"), "v", "first", "shard")
+    vain = cut(vain.select("shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("v") - 1)).alias("x")))
+    lack = rows.join(counts.groupBy("__key").agg(F.sum("n").alias("had")), "__key", "left").select("__key", "i", (F.col("slots") - F.coalesce("had", F.lit(0))).alias("lack")).where("lack > 0")
+    lack = cut(_running(lack, "lack", "low", "i"))
+    n = vain.count()
+    step = max(1, n // BUCKETS)
+    wanted = lack.select("__key", "low", "lack", F.explode(F.sequence(F.floor(F.col("low") / step), F.floor((F.col("low") + F.col("lack") - 1) / step))).alias("b"))
+
+    def shuffled(batches):
+        for b in batches:
+            x = permute(b.column("x").to_numpy(), n, seed ^ 0x5EED)
+            yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array(x), pa.array(x // step)], names=["shard", "x", "b"])
+
+    filled = vain.mapInArrow(shuffled, "shard long, x long, b long").join(if_small(cut(wanted)), "b").where("x >= low and x < low + lack").select("__key", "shard", F.lit(1).cast("long").alias("n"))
+    return counts.select("__key", "shard", "n").unionByName(filled).groupBy("__key", "shard").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def _deal(seed: int):
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                j = np.arange(r["low"], r["high"])
+                j = np.arange(r["first"], r["first"] + r["n"])
                 n, p = r["n_blocks"], j // max(r["n_blocks"], 1)
                 block = np.empty(len(j), np.int64)
                 for one in np.unique(p):
                     at = p == one
                     block[at] = permute(j[at] % n, n, r["hash"] + 31 * int(one) + seed)
-                place = permute(j + r["base"], r["slots"], seed ^ 0x5EED)
-                yield pa.RecordBatch.from_arrays([pa.array([r["__key"]] * len(j), pa.string()), pa.array(place // SHARD), pa.array(place % SHARD), pa.array(block)], names=["__key", "shard", "slot", "block"])
+                place = permute(np.arange(r["low"], r["low"] + r["n"]), r["size"], r["shard"] ^ seed)
+                yield pa.RecordBatch.from_arrays([pa.array([r["__key"]] * len(j), pa.string()), pa.array(np.full(len(j), r["shard"])), pa.array(place), pa.array(block)], names=["__key", "shard", "slot", "block"])
 
     return run
 
 
 def slots(by_source: DataFrame, seed: int = 0) -> DataFrame:
-    """(__key, shard, slot, block): which block every slot of the mix takes."""
-    n = F.col("n_blocks") * F.col("passes") + F.col("extra")
-    order = Window.orderBy("__key")
-    rows = by_source.where("n_blocks > 0").withColumn("n", n)
-    rows = rows.withColumn("base", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).withColumn("slots", F.sum("n").over(Window.partitionBy()))
-    runs = rows.where("n > 0").select("__key", "n_blocks", "n", "base", "slots", F.xxhash64("__key").alias("hash"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))).alias("run"))
-    runs = runs.select("__key", "n_blocks", "base", "slots", "hash", (F.col("run") * RUN).alias("low"), F.least((F.col("run") + 1) * RUN, "n").alias("high")).repartition("__key", "low")
-    return runs.mapInArrow(_deal(seed), "__key string, shard long, slot long, block long")
+    """(__key, shard, slot, block): which block every slot of the mix takes.
+
+    The drawn counts of a source, added up over the shards, number its slots; numbers go through its permutations."""
+    drawn = cut(draws(by_source, seed))
+    first = _running(drawn, "n", "first", "shard", "__key")
+    order = Window.partitionBy("shard").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
+    rows = first.withColumns({"low": F.coalesce(F.sum("n").over(order), F.lit(0)), "size": F.sum("n").over(Window.partitionBy("shard"))})
+    rows = rows.join(if_small(by_source.select("__key", "n_blocks")), "__key").withColumn("hash", F.xxhash64("__key"))
+    return rows.select("__key", "shard", "n", "first", "low", "size", "n_blocks", "hash").mapInArrow(_deal(seed), "__key string, shard long, slot long, block long")
 
 
 def report(docs: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target and taken, a row for each row of docs.
 
-    A null text has no words and is never taken; a null source is a source.  Equal rows are
-    packed one after the other.  Nothing is taken from an empty table."""
-    sized = cut(sizes(docs.select("doc_id", "source", "text").withColumn("__tie", F.lit(0))).select("doc_id", "__key", "__size", "__mix", "__tie"))
+    A null text has no words and is never taken; a null source is a source, a null id an id.  Equal rows are
+    packed one after the other, each a row of its own.  An empty table gives no rows; other columns are ignored."""
+    docs = _plain(docs)
+    sized = cut(sizes(docs.withColumn("__tie", F.lit(0))).select("doc_id", "__key", "__size", "__mix", "__tie"))
     by = cut(targets(sized))
     at = packed(sized, by)
     uses = slots(by, seed).groupBy("__key", "block").agg(F.count("*").alias("uses"))
@@ -151,8 +205,9 @@ def report(docs: DataFrame, seed: int = 0) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mix itself: (shard, slot, source, block, doc_ids, n_words, text), a row for each slot.
 
-    ``text`` is the block's words joined by blanks, ``doc_ids`` the documents that they come from, in order."""
-    full = sizes(docs.select("doc_id", "source", "text").withColumn("__tie", F.xxhash64("text")))
+    ``text`` is the block's words joined by blanks, ``doc_ids`` the documents that they come from, in order.
+    Nulls, repeated rows and other columns are as in ``report``; a very long text spans many blocks."""
+    full = sizes(_plain(docs).withColumn("__tie", F.xxhash64("text")))
     sized = cut(full.select("doc_id", "__key", "__size", "__mix", "__tie"))
     by = cut(targets(sized))
     at = packed(full, by).where("__size > 0")
