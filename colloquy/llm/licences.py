@@ -1,7 +1,7 @@
 """Licence scans: normalised text against licence templates, in DataFrame functions only.
 
-Every line, every paragraph of several lines (between blank lines) and every whole
-text of several lines is a unit.  Units and templates are normalised (lower
+A text is parted into paragraphs (between blank lines), lines and sentences.  Sentences, lines,
+paragraphs and runs of consecutive paragraphs are *units*.  Units and templates are normalised (lower
 case, runs of other characters than letters and digits to one blank) and become sets of
 word bigrams; a unit matches a template if their Dice coefficient
 
@@ -9,18 +9,30 @@ word bigrams; a unit matches a template if their Dice coefficient
 
 reaches the threshold t.  That needs t / (2 - t) <= |A| / |B| <= (2 - t) / t, so a
 template is a candidate only for units of the sizes it admits: templates are
-spread over their sizes and joined to units by size, after units too short for any
-template, or without a word that every match has, are gone.  The templates are
-a fixed list, so their side has a proven bound.
+spread over their sizes and joined to units by size.  No unit has more words than the largest template admits
+bigrams, which bounds the runs.  A match also shares t / (2 - t) of the template's bigrams, so texts (and units)
+that hold none of its ``anchors``, a few long words that so many of the bigrams contain, go first.
+Templates are a fixed list, so their side has a proven bound.
+
+Which licence it is: a unit keeps the template of the highest Dice, and all of them on a tie (flagged).
+Where names and numbers tell a template from one of another licence (``lesser``, ``3``), the unit must have them.  Units
+overlap; a match counts only if it is the best on every sentence it covers, by the bigrams it shares less those it
+does not, first among matches of the same licence, then among all that are left.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from math import ceil, floor
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+#: Templates of other licences are so alike that the names and numbers in which they differ decide.
+ALIKE = 0.6
+
+# Words that licences are named by.
+NAMES = {"affero", "apache", "bsd", "by", "gpl", "isc", "lesser", "lgpl", "agpl", "mit", "mozilla", "mpl", "nc", "nd", "noderivatives", "noncommercial", "sa", "sharealike"}
 
 # Public licence texts and the usual short notices.
 TEMPLATES = (
@@ -30,8 +42,11 @@ TEMPLATES = (
     ("MIT", "This project is licensed under the MIT License - see the LICENSE file for details."),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -95,9 +110,19 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("Proprietary", "All rights reserved."),
     ("Proprietary", "All rights reserved. No part of this publication may be reproduced without permission."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "2. Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
 )
 
 _NOT_WORD = r"[^\p{L}\p{N}]+"
+PARAGRAPH, SENTENCE = r"\n\s*\n", r"[.!?;]+\s+"
 
 
 def normalised(text):
@@ -107,68 +132,136 @@ def normalised(text):
 
 def bigrams(words):
     """The set of word bigrams of an array of words; empty for fewer than two words."""
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(pairs)
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b)))
+
+
+def _words(text: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+
+
+def _pairs(text: str) -> set[tuple[str, str]]:
+    w = _words(text)
+    return set(zip(w, w[1:], strict=False))
+
+
+def anchors(templates, threshold: float = THRESHOLD) -> list[str]:
+    """Words of which every unit that matches has one: of each template the longest words, until so few of its
+    bigrams are without them that no match can do with those alone."""
+    out = set()
+    for _, text in templates:
+        bare, mine = _pairs(text), set()
+        need = ceil(threshold / (2 - threshold) * len(bare) - 1e-9)
+        for w in sorted(set(_words(text)), key=lambda w: (-len(w), w)):
+            if len(bare) < need:
+                break
+            mine.add(w)
+            bare = {p for p in bare if w not in p}
+        out |= mine
+    return sorted(out)
+
+
+def telling(templates) -> list[list[str]]:
+    """For each template the names and numbers that tell it from templates of other licences that are ALIKE."""
+    pairs, out = [_pairs(t) for _, t in templates], []
+    for i, (licence, text) in enumerate(templates):
+        mine = set()
+        for k, (other, rival) in enumerate(templates):
+            if other != licence and 2 * len(pairs[i] & pairs[k]) >= ALIKE * (len(pairs[i]) + len(pairs[k])):
+                mine |= {w for w in set(_words(text)) - set(_words(rival)) if w in NAMES or w.isdigit() and len(w) == 1}
+        out.append(sorted(mine))
+    return out
+
+
+def most_words(templates, threshold: float = THRESHOLD) -> int:
+    """Words of the longest unit that can match."""
+    return floor(max(len(_pairs(t)) for _, t in templates) * (2 - threshold) / threshold + 1e-9) + 1
 
 
 def template_sizes(spark: SparkSession, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
-    """(size, template, licence, grams): each template once for every size of a set that can reach the threshold."""
-    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, licence string, text string")
-    rows = rows.select("template", "licence", bigrams(F.split(normalised("text"), " ")).alias("grams")).where(F.size("grams") > 0)
+    """(size, licence, grams, telling): each template once for every size of a set that can reach the threshold."""
+    rows = spark.createDataFrame([(*t, words) for t, words in zip(templates, telling(templates), strict=True)], "licence string, text string, telling array<string>")
+    rows = rows.select("licence", "telling", bigrams(F.split(normalised("text"), " ")).alias("grams")).where(F.size("grams") > 0)
     n = F.size("grams")
     low, high = F.ceil(n * threshold / (2 - threshold) - 1e-9), F.floor(n * (2 - threshold) / threshold + 1e-9)
-    return rows.select(F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("size"), "template", "licence", "grams")
-
-
-def hint_words(templates, threshold: float = THRESHOLD, letters: int = 6) -> list[str]:
-    """Words of which every matching unit has one.
-
-    A match shares at least t / (2 - t) of a template's bigrams.  If fewer than that are without
-    any long word of the templates, a match has such a word; for a template of which that is
-    not so, all its words count."""
-    words = [[w for w in "".join(c if c.isalnum() else " " for c in text.lower()).split()] for _, text in templates]
-    out = {w for ws in words for w in ws if len(w) >= letters}
-    for ws in words:
-        pairs = set(zip(ws, ws[1:], strict=False))
-        bare = [p for p in pairs if not out & set(p)]
-        if len(bare) >= threshold / (2 - threshold) * len(pairs) - 1e-9:
-            out |= set(ws)
-    return sorted(out)
+    return rows.select(F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("size"), "licence", "grams", "telling")
+
+
+_DOC = ["doc_id", "h"]
+
+
+def sentences(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, h, at, p, l, w): the sentences with words of texts that have an anchor; h is the text's hash, p and l are
+    paragraph and line, at runs through the text."""
+    hints = F.array(*map(F.lit, anchors(templates, threshold)))
+    likely = docs.select("doc_id", "text").where(F.arrays_overlap(F.split(normalised("text"), " "), hints))
+    part = lambda p, l: lambda s: F.struct(p.alias("p"), l.alias("l"), F.split(normalised(s), " ").alias("w"))  # noqa: E731, E741
+    line = lambda p: lambda x, l: F.transform(F.split(x, SENTENCE), part(p, l))  # noqa: E731, E741
+    paragraph = lambda x, p: F.flatten(F.transform(F.split(x, "\n"), line(p)))
+    every = F.filter(F.flatten(F.transform(F.split("text", PARAGRAPH), paragraph)), lambda s: s["w"][0] != "")
+    rows = likely.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(every).alias("at", "s"))
+    return rows.select("doc_id", "h", "at", "s.p", "s.l", "s.w").dropDuplicates(["doc_id", "h", "at"])
+
+
+def units(parts: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, h, lo, hi, w): sentences, lines of several sentences, paragraphs of several lines and runs of paragraphs, with the
+    sentences that they cover; of up to ``most_words``.
 
+    A run starts and ends with a paragraph that has a bigram of a template: without such an end it is nearer to any template."""
+    most = most_words(templates, threshold)
+    parts = parts.where(F.size("w") <= most)
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "w"))), lambda x: x["w"]))
+    whole = lambda *by: parts.groupBy(*_DOC, *by).agg(F.min("at").alias("lo"), F.max("at").alias("hi"), joined.alias("w"), F.count_distinct("l").alias("lines"))
+    lines = whole("p", "l").where("hi > lo")
+    paragraphs = whole("p").where(F.size("w") <= most)
+    known = F.array(*map(F.lit, sorted({" ".join(p) for _, t in templates for p in _pairs(t)})))
+    edge = paragraphs.where(F.arrays_overlap(bigrams("w"), known))
+    upto = F.sum(F.size("w")).over(Window.partitionBy(*_DOC).orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = paragraphs.join(edge.select(*_DOC, "p", F.lit(True).alias("edge")), [*_DOC, "p"], "left").withColumn("upto", upto)
+    near = F.collect_list(F.struct("p", "hi", "upto", "w", "edge")).over(Window.partitionBy(*_DOC).orderBy("upto").rangeBetween(Window.currentRow, most))
+    runs = placed.withColumn("near", near).where("edge and size(near) > 1")
+    end = F.filter(F.sequence(F.lit(2), F.size("near")), lambda k: F.coalesce(F.col("near")[k - 1]["edge"], F.lit(False)) & (F.col("near")[k - 1]["p"] - F.col("p") == k - 1))
+    runs = runs.select(*_DOC, "p", "lo", "upto", F.size("w").alias("n"), "near", F.explode(end).alias("k"))
+    runs = runs.where(F.col("near")[F.col("k") - 1]["upto"] - F.col("upto") + F.col("n") <= most)
+    runs = runs.select(*_DOC, "lo", F.col("near")[F.col("k") - 1]["hi"].alias("hi"), F.flatten(F.transform(F.slice("near", 1, F.col("k")), lambda x: x["w"])).alias("w"))
+    one = parts.select(*_DOC, F.col("at").alias("lo"), F.col("at").alias("hi"), "w")
+    return one.unionByName(lines.select(*_DOC, "lo", "hi", "w")).unionByName(paragraphs.where("lines > 1").select(*_DOC, "lo", "hi", "w")).unionByName(runs)
 
-def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, words): the normalised words of lines, paragraphs of several lines and whole texts of several paragraphs.
 
-    The words are made inside the generator, so that they are made once."""
-    text = F.col("text")
-    paragraphs = F.filter(F.split(text, r"\n\s*\n"), lambda p: p.contains("\n"))
-    many = text.rlike(r"\n\s*\n")
-    none = F.array().cast("array<string>")
-    whole = F.when(many, F.concat(paragraphs, F.array(text))).when(text.contains("\n"), F.array(text)).otherwise(none)
-    return docs.select("doc_id", F.explode(F.transform(F.concat(F.split(text, "\n"), whole), lambda u: F.split(normalised(u), " "))).alias("words"))
+def _best(found: DataFrame, *by: str) -> DataFrame:
+    """The matches that are the best on every sentence that they cover (among those of the same ``by``)."""
+    mine = F.struct("score", "dice", (-F.col("lo")).alias("a"), "hi")
+    each = found.withColumn("at", F.explode(F.sequence("lo", "hi"))).withColumn("top", F.max(mine).over(Window.partitionBy(*_DOC, "at", *by)))
+    lost = each.where(F.col("top") != mine).select(*_DOC, "lo", "hi").distinct()
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*_DOC, "lo", "hi")]
+    return found.alias("a").join(lost.alias("b"), same, "left_anti")
 
 
 def matches(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
-    """(doc_id, template, licence, dice) of every unit and template that reach the threshold."""
+    """(doc_id, h, lo, hi, licences, dice, score): the units that match, with the licences (more than one on a tie)."""
     sizes = template_sizes(docs.sparkSession, threshold, templates)
-    fit = sizes.agg(F.coalesce(F.min("size"), F.lit(1)).alias("low")).first()
-    hints = F.array(*[F.lit(w) for w in hint_words(templates, threshold)])
-    found = units(docs).where((F.size("words") > fit.low) & F.arrays_overlap("words", hints)).select("doc_id", bigrams("words").alias("have"))
-    pairs = found.withColumn("size", F.size("have")).join(F.broadcast(sizes), "size")
-    dice = 2.0 * F.size(F.array_intersect("have", "grams")) / (F.size("have") + F.size("grams"))
-    return pairs.select("doc_id", "template", "licence", dice.alias("dice")).where(F.col("dice") >= threshold)
+    hints = F.array(*map(F.lit, anchors(templates, threshold)))
+    found = units(sentences(docs, templates, threshold), templates, threshold).where(F.arrays_overlap("w", hints))
+    pairs = found.select(*_DOC, "lo", "hi", "w", bigrams("w").alias("have")).withColumn("size", F.size("have")).join(F.broadcast(sizes), "size")
+    both, total = F.size(F.array_intersect("have", "grams")), F.size("have") + F.size("grams")
+    pairs = pairs.where(F.size(F.array_except("telling", "w")) == 0).select(*_DOC, "lo", "hi", "licence", (2.0 * both / total).alias("dice"), (3 * both - total).alias("score"))
+    most = pairs.where(F.col("dice") >= threshold).groupBy(*_DOC, "lo", "hi").agg(F.max("dice").alias("dice"), F.collect_list(F.struct("dice", "licence", "score")).alias("x"))
+    top = F.filter("x", lambda x: x["dice"] == F.col("dice"))
+    names = F.array_sort(F.array_distinct(F.transform(top, lambda x: x["licence"])))
+    found = most.select(*_DOC, "lo", "hi", F.array_join(names, ",").alias("licences"), "dice", F.array_max(F.transform(top, lambda x: x["score"])).alias("score"))
+    return _best(_best(found, "licences"))
 
 
 def report(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
-    """doc_id, n_matches, n_licences, licences and best_dice, a row for each doc_id.
+    """doc_id, n_matches, n_tied, n_licences, licences and best_dice, a row for each doc_id.
 
     ``licences`` are the ids found, sorted, comma-joined ('' for none); ``n_matches`` counts
-    units that match, once for each template.  Null and empty texts match nothing; equal rows
-    of an id count together."""
-    texts = docs.select(F.col("doc_id"), "text")
-    found = matches(texts.where("text is not null"), threshold, templates)
-    by = found.groupBy("doc_id").agg(F.count("*").alias("n_matches"), F.array_sort(F.collect_set("licence")).alias("l"), F.max("dice").alias("best_dice"))
-    ids = texts.select("doc_id").distinct()
-    by = by.select(F.col("doc_id").alias("d"), "n_matches", F.size("l").cast("long").alias("n_licences"), F.array_join("l", ",").alias("licences"), "best_dice")
-    out = ids.join(by, F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    return out.select("doc_id", F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), F.coalesce("n_licences", F.lit(0)).cast("long").alias("n_licences"), F.coalesce("licences", F.lit("")).alias("licences"), F.coalesce("best_dice", F.lit(0.0)).alias("best_dice"))
+    the units that match, ``n_tied`` those on which licences tie.  Null and empty texts match nothing; equal rows
+    of an id count once, different texts of it together; other columns are ignored; a null id is an id."""
+    found = matches(docs.where("text is not null"), threshold, templates)
+    each = found.select("doc_id", "dice", F.col("licences").contains(",").cast("long").alias("tied"), F.split("licences", ",").alias("l"))
+    by = each.groupBy("doc_id").agg(F.count("*").alias("n_matches"), F.sum("tied").alias("n_tied"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("l")))).alias("l"), F.max("dice").alias("best_dice"))
+    by = by.select(F.col("doc_id").alias("d"), "n_matches", "n_tied", F.size("l").cast("long").alias("n_licences"), F.array_join("l", ",").alias("licences"), "best_dice")
+    out = docs.select("doc_id").distinct().join(by, F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    zero = F.lit(0).cast("long")
+    return out.select("doc_id", *[F.coalesce(c, zero).alias(c) for c in ("n_matches", "n_tied", "n_licences")], F.coalesce("licences", F.lit("")).alias("licences"), F.coalesce("best_dice", F.lit(0.0)).alias("best_dice"))

@@ -1,9 +1,10 @@
 """Media columns: bytes stored as ISO base media files, and what their boxes say.
 
 ``wrap`` stores a payload of whole 192-byte frames as an uncompressed 8-bit grey
-video (16 x 12 samples, one byte each: lossless).  ``probe`` walks the nested boxes of
-any such file, decodes its sample tables (stts, stsc, stsz, stco/co64, stss) and
-returns codec, duration and the byte range of every keyframe; it reads no payload.
+video (16 x 12 samples, one byte each: lossless).  ``tracks`` walks the nested boxes of
+any such file, decodes the sample tables of its tracks (stts, stsc, stsz/stz2, stco/co64, stss), its
+fragments (trex, tfhd, trun) and edit lists, and returns codec, duration and the byte range of every
+keyframe; it reads no payload.  Counts are believed only as far as their box and the file can hold them.
 ``payload`` follows the same tables to read the stored samples back.
 
 A file is a row of its own; rows never meet, so the plan is one narrow pass.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from contextlib import suppress
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +28,8 @@ FRAME = 192
 WIDTH, HEIGHT, RATE = 16, 12, 25
 #: Frames in a chunk of the file, and from one keyframe to the next.
 CHUNK, KEY = 64, 8
+#: Boxes that a path names at most; deeper ones are walked under its last.
+DEPTH = 64
 _CONTAINERS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"moof", b"traf", b"mvex")
 
 
@@ -73,78 +77,210 @@ def wrap(payload: bytes) -> bytes:
     return b"".join((head, data, payload, movie))
 
 
-def boxes(data: bytes, low: int = 0, high: int | None = None, path: tuple = ()):
-    """(path of kinds, start of body, end) of every box, outer before inner.  A box
-    that claims more bytes than there are ends the walk of its level."""
-    high = len(data) if high is None else high
-    while low + 8 <= high:
-        size, kind = struct.unpack_from(">I4s", data, low)
-        body = low + 8
-        if size == 1 and low + 16 <= high:
-            size, body = struct.unpack_from(">Q", data, low + 8)[0], low + 16
-        end = high if size == 0 else low + size
-        if end > high or end < body:
-            return
-        yield (*path, kind), body, end
+def boxes(data: bytes, low: int = 0, high: int | None = None):
+    """(kinds of the box and the boxes around it, their starts, start of body, end) of every box, outer before inner.
+    A box that claims more bytes than there are ends the walk of its level; boxes may be nested in any depth."""
+    levels = [((), (), low, len(data) if high is None else high)]
+    while levels:
+        path, starts, at, end_of = levels.pop()
+        if at + 8 > end_of:
+            continue
+        size, kind = struct.unpack_from(">I4s", data, at)
+        body = at + 8
+        if size == 1 and at + 16 <= end_of:
+            size, body = struct.unpack_from(">Q", data, at + 8)[0], at + 16
+        end = end_of if size == 0 else at + size
+        if end > end_of or end < body:
+            continue
+        levels.append((path, starts, end, end_of))
+        inner = ((*path, kind), (*starts, at)) if len(path) < DEPTH else (path, starts)
+        yield (*path, kind), (*starts, at), body, end
         if kind in _CONTAINERS:
-            yield from boxes(data, body, end, (*path, kind))
-        low = end
+            levels.append((*inner, body, end))
 
 
 @dataclass
 class Track:
     codec: str
+    kind: str
     timescale: int
     duration: int
     offset: np.ndarray
     size: np.ndarray
     key: np.ndarray
+    shown: float | None = None
 
     @property
     def seconds(self) -> float:
         return self.duration / self.timescale if self.timescale else 0.0
 
 
-def _numbers(data: bytes, at: int, n: int, kind: str = ">u4") -> np.ndarray:
-    return np.frombuffer(data, kind, n, at).astype(np.int64)
+class _Box:
+    """The body of a full box; reading beyond its end is a ValueError."""
+
+    def __init__(self, data: bytes, body: int, end: int):
+        self.data, self.at, self.end = data, body, end
+        (self.version, self.flags) = divmod(self.number(4), 1 << 24)
+
+    def number(self, width: int) -> int:
+        if self.at + width > self.end:
+            raise ValueError("a box is too short")
+        self.at += width
+        return int.from_bytes(self.data[self.at - width : self.at], "big")
+
+    def table(self, n: int, columns: int = 1, kind: str = ">u4") -> np.ndarray:
+        """n rows of numbers; there are at most as many as the box has bytes for."""
+        width = np.dtype(kind).itemsize * columns
+        if n > (self.end - self.at) // width:
+            raise ValueError("a table is longer than its box")
+        out = np.frombuffer(self.data, kind, n * columns, self.at).astype(np.int64)
+        self.at += n * width
+        return out.reshape(n, columns) if columns > 1 else out
+
+
+def _sizes(box: dict, most: int) -> np.ndarray:
+    """The size of every sample; a size for all is believed only as far as the file (``most`` bytes) can hold them."""
+    if b"stsz" in box:
+        b = box[b"stsz"]
+        same, n = b.number(4), b.number(4)
+        if not same:
+            return b.table(n)
+        if n * same > most:
+            raise ValueError("more samples than bytes")
+        return np.full(n, same, np.int64)
+    b = box[b"stz2"]
+    bits, n = b.number(4) & 255, b.number(4)
+    if bits == 4:
+        pairs = b.table((n + 1) // 2, kind=">u1")
+        return np.stack([pairs >> 4, pairs & 15], 1).ravel()[:n]
+    return b.table(n, kind={8: ">u1", 16: ">u2"}[bits])
+
+
+def _listed(box: dict, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Offsets, sizes, keyframes and duration by the sample tables of a track."""
+    size = _sizes(box, most)
+    wide = b"co64" in box
+    b = box[b"co64" if wide else b"stco"]
+    chunks = b.table(b.number(4), kind=">u8" if wide else ">u4")
+    b = box[b"stsc"]
+    runs = b.table(b.number(4), 3)
+    n = len(size)
+    if n and (not len(runs) or runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any()):
+        raise ValueError("chunks without samples")
+    per = runs[np.searchsorted(runs[:, 0], np.arange(1, len(chunks) + 1), "right") - 1, 1] if n else np.zeros(0, np.int64)
+    upto = np.minimum(np.cumsum(np.minimum(per, n)), n)
+    if n and (not len(upto) or upto[-1] < n):
+        raise ValueError("samples without a chunk")
+    chunk = np.searchsorted(upto, np.arange(n), "right")
+    before = np.concatenate(([0], np.cumsum(size)))
+    offset = chunks[chunk] + before[:n] - before[np.concatenate(([0], upto))[chunk]] if n else size
+    b = box[b"stts"]
+    times = b.table(b.number(4), 2)
+    key = np.arange(n)
+    if b"stss" in box:
+        b = box[b"stss"]
+        key = b.table(b.number(4)) - 1
+        if ((key < 0) | (key >= n)).any():
+            raise ValueError("a keyframe that is no sample")
+    return offset, size, key, int(sum(a * d for a, d in times.tolist()))
+
+
+def _fragment(head: _Box, runs: list[_Box], moof: int, preset: tuple[int, int, int], most: int):
+    """(offset, size, is keyframe, duration) of the samples that a fragment's runs list."""
+    f = head.flags
+    base = head.number(8) if f & 1 else moof
+    if f & 2:
+        head.number(4)
+    duration, size, flags = (head.number(4) if f & bit else old for bit, old in zip((8, 16, 32), preset, strict=True))
+    at = base
+    for b in runs:
+        n = b.number(4)
+        if b.flags & 1:
+            at = base + (b.number(4) ^ 1 << 31) - (1 << 31)
+        first = b.number(4) if b.flags & 4 else None
+        given = [k for k in range(4) if b.flags & 256 << k]
+        if not given and n * size > most or n > most:
+            raise ValueError("more samples than bytes")
+        rows = b.table(n, len(given)).reshape(n, len(given)) if given else np.zeros((n, 0), np.int64)
+        column = lambda k, same: rows[:, given.index(k)] if k in given else np.full(n, same, np.int64)  # noqa: B023, E731
+        sizes, marks = column(1, size), column(2, flags).copy()
+        if first is not None and n:
+            marks[0] = first
+        before = np.concatenate(([0], np.cumsum(sizes)))
+        yield at + before[:-1], sizes, marks >> 16 & 1 == 0, int(column(0, duration).sum())
+        at += int(before[-1])
+
+
+def _track(data: bytes, box: dict[bytes, tuple[int, int]], scale: int, presets: dict, fragments: dict) -> Track:
+    full = {k: _Box(data, *box[k]) for k in (b"mdhd", b"hdlr", b"stsd", b"stts", b"stsc", b"stsz", b"stz2", b"stco", b"co64", b"stss", b"tkhd", b"elst") if k in box}
+    b = full[b"mdhd"]
+    w = 8 if b.version == 1 else 4
+    b.at += 2 * w
+    timescale, duration = b.number(4), b.number(w)
+    b = full[b"hdlr"]
+    b.at += 4
+    kind = b.number(4).to_bytes(4, "big").decode("latin-1")
+    b = full[b"stsd"]
+    b.at += 8
+    codec = b.number(4).to_bytes(4, "big").decode("latin-1")
+    offset, size, key, listed = _listed(full, len(data))
+    b = full[b"tkhd"]
+    b.at += 16 if b.version == 1 else 8
+    number = b.number(4)
+    parts = [x for moof, head, runs in fragments.get(number, ()) for x in _fragment(_Box(data, *head), [_Box(data, *r) for r in runs], moof, presets.get(number, (0, 0, 0)), len(data))]
+    if parts:
+        n = len(offset)
+        more = np.concatenate([p[2] for p in parts])
+        offset, size = (np.concatenate([x, *[p[i] for p in parts]]) for i, x in enumerate((offset, size)))
+        key = np.concatenate([key, np.flatnonzero(more) + n])
+        listed += sum(p[3] for p in parts)
+    if len(offset) and (offset.min() < 0 or (offset + size).max() > len(data)):
+        raise ValueError("samples outside of the file")
+    shown = None
+    if b"elst" in full and scale:
+        b = full[b"elst"]
+        w = 8 if b.version == 1 else 4
+        edits = b.table(b.number(4), 2 * w + 4, ">u1").reshape(-1, 2 * w + 4)
+        shown = sum(int.from_bytes(bytes(e[:w].astype(np.uint8)), "big") for e in edits) / scale
+    return Track(codec, kind, timescale, listed or duration, offset, size, key, shown)
+
+
+def tracks(data: bytes) -> list[Track]:
+    """The tracks of a file, in its order, with the samples of its sample tables and of its fragments; a track whose
+    tables are not whole, or say more than the file holds, is left out.  Payloads are not read."""
+    found: dict[int, dict[bytes, tuple[int, int]]] = {}
+    scale, presets, moofs = 0, {}, {}
+    for path, starts, body, end in boxes(data):
+        try:
+            if b"trak" in path[:-1]:
+                found.setdefault(starts[path.index(b"trak")], {}).setdefault(path[-1], (body, end))
+            elif path[-1] == b"mvhd":
+                b = _Box(data, body, end)
+                b.at += 16 if b.version == 1 else 8
+                scale = b.number(4)
+            elif path[-1] == b"trex":
+                b = _Box(data, body, end)
+                number, _, *preset = (b.number(4) for _ in range(5))
+                presets[number] = tuple(preset)
+            elif path[-1] in (b"tfhd", b"trun") and b"traf" in path:
+                moofs.setdefault((starts[0], starts[path.index(b"traf")]), {}).setdefault(path[-1], []).append((body, end))
+        except ValueError:
+            continue
+    fragments: dict[int, list] = {}
+    for (moof, _), part in moofs.items():
+        for head in part.get(b"tfhd", ())[:1]:
+            with suppress(ValueError):
+                fragments.setdefault(_Box(data, *head).number(4), []).append((moof, (head[0], head[1]), part.get(b"trun", [])))
+    out = []
+    for box in found.values():
+        with suppress(ValueError, KeyError, OverflowError):
+            out.append(_track(data, box, scale, presets, fragments))
+    return out
 
 
 def probe(data: bytes) -> Track | None:
-    """The first track of a file whose sample tables are whole; None where there is none.  Payloads are not read."""
-    trak: dict[bytes, tuple[int, int]] = {}
-    for path, body, end in boxes(data):
-        if path[-1] == b"trak":
-            if b"stsz" in trak:
-                break
-            trak = {}
-        elif b"trak" in path:
-            trak.setdefault(path[-1], (body, end))
-    try:
-        at = trak[b"mdhd"][0]
-        timescale, duration = struct.unpack_from(">II", data, at + 12) if data[at] == 0 else struct.unpack_from(">IQ", data, at + 20)
-        codec = data[trak[b"stsd"][0] + 12 : trak[b"stsd"][0] + 16].decode("latin-1")
-        same, n = struct.unpack_from(">II", data, trak[b"stsz"][0] + 4)
-        size = np.full(n, same, np.int64) if same else _numbers(data, trak[b"stsz"][0] + 12, n)
-        wide = b"co64" in trak
-        at = trak[b"co64" if wide else b"stco"][0]
-        chunks = _numbers(data, at + 8, struct.unpack_from(">I", data, at + 4)[0], ">u8" if wide else ">u4")
-        at = trak[b"stsc"][0]
-        runs = _numbers(data, at + 8, 3 * struct.unpack_from(">I", data, at + 4)[0]).reshape(-1, 3)
-        per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0] - 1, len(chunks))))
-        first = np.cumsum(per) - per
-        before = np.concatenate(([0], np.cumsum(size)))
-        chunk = np.repeat(np.arange(len(per)), per)[:n]
-        offset = chunks[chunk] + before[:n] - before[first[chunk]]
-        at = trak[b"stts"][0]
-        times = _numbers(data, at + 8, 2 * struct.unpack_from(">I", data, at + 4)[0]).reshape(-1, 2)
-        if b"stss" in trak:
-            at = trak[b"stss"][0]
-            key = _numbers(data, at + 8, struct.unpack_from(">I", data, at + 4)[0]) - 1
-        else:
-            key = np.arange(n)
-        return Track(codec, timescale, int((times[:, 0] * times[:, 1]).sum()) or duration, offset, size, key)
-    except (KeyError, struct.error, ValueError, IndexError):
-        return None
+    """The first whole track of a file; None where there is none."""
+    return next(iter(tracks(data)), None)
 
 
 def payload(data: bytes, track: Track) -> bytes:
@@ -171,27 +307,40 @@ def _wrapped(batches):
 
 def with_media(docs: DataFrame) -> DataFrame:
     """docs with ``n_bytes`` of each text and ``media``, the padded text as a file.  A null text counts as empty."""
-    names = [c for c in docs.columns if c not in ("n_bytes", "media")]
+    names = [c for c in docs.columns if c.lower() not in ("n_bytes", "media")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
     return docs.select(*names).mapInArrow(_wrapped, f"{fields}, n_bytes long, media binary")
 
 
+_RANGES = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
+_TRACK = pa.struct([("codec", pa.string()), ("kind", pa.string()), ("duration", pa.float64()), ("shown", pa.float64()), ("samples", pa.int64()), ("keyframes", _RANGES)])
+_TRACK_SQL = "struct<codec: string, kind: string, duration: double, shown: double, samples: long, keyframes: array<struct<offset: long, length: long>>>"
+
+
+def _said(t: Track) -> dict:
+    ranges = [{"offset": o, "length": n} for o, n in zip(t.offset[t.key].tolist(), t.size[t.key].tolist(), strict=True)]
+    return {"codec": t.codec, "kind": t.kind, "duration": t.seconds, "shown": t.shown, "samples": len(t.size), "keyframes": ranges}
+
+
 def describe(media: DataFrame, column: str = "media") -> DataFrame:
-    """media with ``codec``, ``duration`` in seconds and ``keyframes`` (offset, length); all null for bytes that are no such file."""
-    names = [c for c in media.columns if c not in ("codec", "duration", "keyframes")]
+    """media with ``tracks`` (codec, kind, duration in seconds, seconds shown by the edit list, samples and keyframes as
+    offset and length) and ``codec``, ``duration`` and ``keyframes`` of the first one; all null for null and for bytes that are no such file.
+
+    Columns of these names are replaced, repeated rows each described."""
+    new = ("tracks", "codec", "duration", "keyframes")
+    names = [c for c in media.columns if c.lower() not in new]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.select(*names).schema)
-    kind = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
 
     def run(batches):
         for b in batches:
-            found = [probe(x) if x is not None else None for x in b.column(column).to_pylist()]
-            ranges = [None if t is None else [{"offset": int(o), "length": int(n)} for o, n in zip(t.offset[t.key], t.size[t.key], strict=True)] for t in found]
+            found = [[_said(t) for t in tracks(x)] if x is not None else [] for x in b.column(column).to_pylist()]
+            first = [f[0] if f else {} for f in found]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([t and t.codec for t in found], pa.string()), pa.array([t and t.seconds for t in found], pa.float64()), pa.array(ranges, kind)],
-                names=[*b.schema.names, "codec", "duration", "keyframes"],
+                [*b.columns, pa.array([f or None for f in found], pa.list_(_TRACK)), *[pa.array([f.get(k) for f in first], t) for k, t in (("codec", pa.string()), ("duration", pa.float64()), ("keyframes", _RANGES))]],
+                names=[*b.schema.names, *new],
             )
 
-    return media.select(*names).mapInArrow(run, f"{fields}, codec string, duration double, keyframes array<struct<offset: long, length: long>>")
+    return media.select(*names).mapInArrow(run, f"{fields}, tracks array<{_TRACK_SQL}>, codec string, duration double, keyframes array<struct<offset: long, length: long>>")
 
 
 def _digests(batches):

@@ -37,10 +37,14 @@ def op7_media(spark, d):
 
 
 def op8_warc(spark, d):
-    """Audits a replica of all pages that has one character overwritten in some of them."""
+    """Audits a replica of all pages that has one character overwritten in some of them, has lost others, and holds some once more under another url."""
     pages = table(spark, d, "pages")
-    worn = F.when((F.col("page_id") * 7919 % 101 == 3) & (F.length("html") > 1), F.concat(F.expr("substring(html, 1, cast(floor(length(html) / 2) as int))"), F.lit("\u007f"), F.expr("substring(html, cast(floor(length(html) / 2) as int) + 2)"))).otherwise(F.col("html"))
-    return warc.audit(warc.records(pages), warc.records(pages.withColumn("worn", worn), "worn"))[0]
+    every = lambda a, m, r: F.coalesce(F.col("page_id") * a % m == r, F.lit(False))
+    half = "cast(floor(length(html) / 2) as int)"
+    worn = F.when(every(7919, 101, 3) & (F.length("html") > 1), F.concat(F.expr(f"substring(html, 1, {half})"), F.lit("\u007f"), F.expr(f"substring(html, {half} + 2)"))).otherwise(F.col("html"))
+    again = pages.where(every(1, 89, 7)).withColumn("url", F.concat(F.coalesce("url", F.lit("")), F.lit("#again")))
+    replica = pages.where(~every(31, 97, 5)).unionByName(again).withColumn("worn", worn)
+    return warc.audit(warc.records(pages), warc.records(replica, "worn"))[0]
 
 
 def op9_toxicity(spark, d):
@@ -75,27 +79,59 @@ def _sql(text: str) -> str:
 
 _NORM = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 _GRAMS = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
-OP3_SQL = f"""
-WITH t AS (SELECT template, licence, {_GRAMS.format("w")} AS grams FROM (SELECT template, licence, string_split({_NORM.format("text")}, ' ') AS w
-  FROM (VALUES {", ".join(f"({i}, {_sql(a)}, {_sql(b)})" for i, (a, b) in enumerate(licences.TEMPLATES))}) v(template, licence, text))),
-u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents WHERE text IS NOT NULL
-  UNION ALL SELECT doc_id, unit FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n\\s*\\n')) AS unit FROM documents WHERE regexp_matches(text, '\\n\\s*\\n')) WHERE contains(unit, chr(10))
-  UNION ALL SELECT doc_id, text FROM documents WHERE contains(text, chr(10))),
-g AS (SELECT doc_id, {_GRAMS.format("w")} AS have FROM (SELECT doc_id, string_split({_NORM.format("unit")}, ' ') AS w FROM u)),
-p AS (SELECT doc_id, licence, 2.0::DOUBLE * len(list_intersect(have, grams)) / (len(have) + len(grams)) AS dice FROM g, t
-  WHERE len(have) > 0 AND len(have) <= 1.5 * len(grams) + 1 AND len(grams) <= 1.5 * len(have) + 1),
-m AS (SELECT doc_id, count(*) AS n_matches, count(DISTINCT licence) AS n_licences, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, max(dice) AS best_dice FROM p WHERE dice >= {licences.THRESHOLD} GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(n_licences, 0) AS n_licences, coalesce(licences, '') AS licences, coalesce(best_dice, 0.0::DOUBLE) AS best_dice
-FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN m ON d.doc_id = m.doc_id
+_MOST = licences.most_words(licences.TEMPLATES)
+
+
+def _best_sql(name: str, of: str, by: str) -> str:
+    mine = "(score, dice, -lo, hi)"
+    return f"""{name} AS (SELECT * FROM {of} a WHERE NOT EXISTS (SELECT 1 FROM
+  (SELECT DISTINCT doc_id, lo, hi FROM (SELECT *, {mine} < max({mine}) OVER (PARTITION BY doc_id, pos{by}) AS lost FROM (SELECT *, unnest(range(lo, hi + 1)) AS pos FROM {of}) x) y WHERE lost) b
+  WHERE a.doc_id = b.doc_id AND a.lo = b.lo AND a.hi = b.hi))"""
+
+
+OP3_SQL = rf"""
+WITH t AS (SELECT licence, telling, {_GRAMS.format("w")} AS grams FROM (SELECT licence, telling, string_split({_NORM.format("text")}, ' ') AS w
+  FROM (VALUES {", ".join(f"({_sql(a)}, {_sql(b)}, {x or 'CAST([] AS VARCHAR[])'})" for (a, b), x in zip(licences.TEMPLATES, licences.telling(licences.TEMPLATES), strict=True))}) v(licence, text, telling))),
+k AS (SELECT list(DISTINCT g) AS known FROM (SELECT unnest(grams) AS g FROM t)),
+pp AS (SELECT doc_id, unnest(x) AS x, generate_subscripts(x, 1) AS p FROM (SELECT doc_id, regexp_split_to_array(text, '\n\s*\n') AS x FROM documents WHERE text IS NOT NULL)),
+ll AS (SELECT doc_id, p, unnest(x) AS x, generate_subscripts(x, 1) AS l FROM (SELECT doc_id, p, string_split(x, chr(10)) AS x FROM pp)),
+ss AS (SELECT doc_id, p, l, unnest(x) AS x, generate_subscripts(x, 1) AS s FROM (SELECT doc_id, p, l, regexp_split_to_array(x, '[.!?;]+\s+') AS x FROM ll)),
+a0 AS (SELECT doc_id, p, l, s, string_split({_NORM.format("x")}, ' ') AS w FROM ss),
+a1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p, l, s) - 1 AS pos FROM a0 WHERE w[1] <> ''),
+a AS (SELECT * FROM a1 WHERE len(w) <= {_MOST}),
+ln AS (SELECT doc_id, min(pos) AS lo, max(pos) AS hi, flatten(list(w ORDER BY pos)) AS w FROM a GROUP BY doc_id, p, l HAVING max(pos) > min(pos)),
+pg AS (SELECT * FROM (SELECT doc_id, p, min(pos) AS lo, max(pos) AS hi, flatten(list(w ORDER BY pos)) AS w, count(DISTINCT l) AS lines FROM a GROUP BY doc_id, p) WHERE len(w) <= {_MOST}),
+pe AS (SELECT *, list_has_any({_GRAMS.format("w")}, known) AS edge, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY p) AS upto FROM pg, k),
+rr AS (SELECT x.doc_id, x.p, x.lo, y.p AS q, y.hi, x.upto - len(x.w) AS n0, y.upto FROM pe x JOIN pe y ON x.doc_id = y.doc_id AND y.p > x.p AND y.upto - x.upto + len(x.w) <= {_MOST} WHERE x.edge AND y.edge),
+ru AS (SELECT r.doc_id, r.lo, r.hi, flatten(list(z.w ORDER BY z.p)) AS w FROM rr r JOIN pe z ON z.doc_id = r.doc_id AND z.p BETWEEN r.p AND r.q GROUP BY r.doc_id, r.p, r.q, r.lo, r.hi HAVING count(*) = r.q - r.p + 1),
+u AS (SELECT doc_id, pos AS lo, pos AS hi, w FROM a UNION ALL SELECT * FROM ln UNION ALL SELECT doc_id, lo, hi, w FROM pg WHERE lines > 1 UNION ALL SELECT * FROM ru),
+g AS (SELECT doc_id, lo, hi, w, {_GRAMS.format("w")} AS have FROM u WHERE len(w) > 1),
+c AS (SELECT doc_id, lo, hi, licence, len(list_intersect(have, grams)) AS b, len(have) + len(grams) AS n FROM g, t
+  WHERE len(have) <= 1.5 * len(grams) + 1 AND len(grams) <= 1.5 * len(have) + 1 AND list_has_all(w, telling)),
+d AS (SELECT doc_id, lo, hi, licence, 2.0::DOUBLE * b / n AS dice, CAST(3 * b AS BIGINT) - CAST(n AS BIGINT) AS score FROM c WHERE 2.0::DOUBLE * b / n >= {licences.THRESHOLD}),
+m AS (SELECT doc_id, lo, hi, dice, max(score) AS score, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences FROM (SELECT *, max(dice) OVER (PARTITION BY doc_id, lo, hi) AS top FROM d) WHERE dice = top GROUP BY doc_id, lo, hi, dice),
+{_best_sql("m1", "m", ", licences")},
+{_best_sql("m2", "m1", "")},
+e AS (SELECT doc_id, unnest(string_split(licences, ',')) AS licence FROM m2),
+r AS (SELECT m2.doc_id, count(*) AS n_matches, count(*) FILTER (contains(licences, ',')) AS n_tied, max(dice) AS best_dice FROM m2 GROUP BY doc_id),
+f AS (SELECT doc_id, count(DISTINCT licence) AS n_licences, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences FROM e GROUP BY doc_id)
+SELECT o.doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(n_tied, 0) AS n_tied, coalesce(n_licences, 0) AS n_licences, coalesce(licences, '') AS licences, coalesce(best_dice, 0.0::DOUBLE) AS best_dice
+FROM (SELECT DISTINCT doc_id FROM documents) o LEFT JOIN r ON o.doc_id = r.doc_id LEFT JOIN f ON o.doc_id = f.doc_id
 """
 
-_HEAD = "'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'WARC-Payload-Digest: sha256:' || d || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || bytes || chr(13) || chr(10) || chr(13) || chr(10)"
+_END = "chr(13) || chr(10)"
+_HEAD = f"""'WARC/1.1' || {_END} || 'WARC-Type: resource' || {_END} || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || ':' || left(d, 32) || '>' || {_END}
+  || 'WARC-Date: {warc.DATE}' || {_END} || 'WARC-Target-URI: ' || coalesce(url, '') || {_END} || 'WARC-Payload-Digest: sha256:' || d || {_END} || 'Content-Type: text/html' || {_END} || 'Content-Length: ' || bytes || {_END} || {_END}"""
 OP8_SQL = f"""
-WITH p AS (SELECT page_id, url, strlen(coalesce(html, '')) AS bytes, sha256(coalesce(html, '')) AS d,
-  sha256(coalesce(CASE WHEN page_id * 7919 % 101 = 3 AND length(html) > 1 THEN substr(html, 1, length(html) // 2) || chr(127) || substr(html, length(html) // 2 + 2) ELSE html END, '')) AS s FROM pages),
-r AS (SELECT page_id, strlen({_HEAD}) + bytes + 4 AS length, sha256({_HEAD} || d) AS a, sha256({_HEAD} || s) AS b FROM p),
-o AS (SELECT *, page_id // {warc.FILE} AS file, row_number() OVER w - 1 AS n, sum(length) OVER w - length AS "offset" FROM r WINDOW w AS (PARTITION BY page_id // {warc.FILE} ORDER BY page_id, a, b ROWS UNBOUNDED PRECEDING))
-SELECT file, CAST(0 AS INTEGER) AS part, n, page_id, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, a AS left_sha256, b AS right_sha256 FROM o WHERE a <> b
+WITH q AS (SELECT page_id, url, html, true AS mine, coalesce(page_id * 31 % 97 <> 5, true) AS other FROM pages
+  UNION ALL SELECT page_id, coalesce(url, '') || '#again', html, false, true FROM pages WHERE page_id % 89 = 7),
+p AS (SELECT page_id, url, mine, other, strlen(coalesce(html, '')) AS bytes, sha256(coalesce(html, '')) AS d,
+  sha256(coalesce(CASE WHEN page_id * 7919 % 101 = 3 AND length(html) > 1 THEN substr(html, 1, length(html) // 2) || chr(127) || substr(html, length(html) // 2 + 2) ELSE html END, '')) AS s FROM q),
+r AS (SELECT page_id, coalesce(page_id // {warc.FILE}, -1) AS file, coalesce(page_id % {warc.FILE}, 0) AS slot, mine, other, strlen({_HEAD}) + bytes + 4 AS length, sha256({_HEAD}) AS rid, sha256({_HEAD} || d) AS a, sha256({_HEAD} || s) AS b FROM p),
+l AS (SELECT *, sum(length) OVER w - length AS "offset" FROM (SELECT DISTINCT page_id, file, slot, length, rid, a FROM r WHERE mine) WINDOW w AS (PARTITION BY file ORDER BY slot, rid ROWS UNBOUNDED PRECEDING)),
+o AS (SELECT DISTINCT page_id, file, slot, rid, b FROM r WHERE other)
+SELECT file, CAST(slot AS INTEGER) AS slot, coalesce(l.page_id, o.page_id) AS page_id, CASE WHEN a IS NOT NULL THEN CAST(0 AS INTEGER) END AS part, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, a AS left_sha256, b AS right_sha256
+FROM l FULL JOIN o USING (file, slot, rid) WHERE a IS DISTINCT FROM b
 """
 
 QUERIES = {

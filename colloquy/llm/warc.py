@@ -1,78 +1,137 @@
 """WARC files and Merkle fixity audits.
 
-``records`` turns pages into WARC response records (header and payload), ordered and
-placed in files of bounded length with their byte offsets.  ``tree`` hashes records and
-then ordered ranges of ``FAN`` neighbours, level by level, up to one root a file.
-``audit`` compares the roots of two replicas and descends only below nodes that
-differ, to name the records at fault.
-
-Everything is SHA-2 and grouping in the engine: a group has at most ``FAN`` children, a
-file at most about ``FILE`` records, and only hashes move, never payloads.
+``records`` turns pages into WARC records (header and payload), placed in files of
+bounded length with their byte offsets; ``write_files`` and ``read_files`` are the files themselves.
+``tree`` hashes records, the slots of page ids, and then ordered ranges of ``FAN`` neighbours, level by level,
+up to one root a file.  ``audit`` compares the roots of two replicas and descends only below
+nodes that differ, to name the records at fault.
+
+A record's place in the tree comes from its id alone: file ``page_id div FILE``, slot ``page_id mod FILE``.  So a
+record that a replica has lost leaves a hole, one that it has besides fills its own slot, and no other
+record moves.  Each node names the range of bytes that its records have in the files of the first replica.
+
+Everything is SHA-2 and grouping in the engine.  A slot may hold any number of records (one id for a third of
+all rows): its hash is the hash of their number and of the sums of four parts of their hashes, which
+combine before the shuffle.  Above it a group has at most ``FAN`` children.  Only hashes move, never payloads.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .session import cut
+from .session import Stored, cut
 
 FILE, FAN = 4096, 16
+DATE = "2024-01-01T00:00:00Z"
+END = "\r\n\r\n"
 
 
-def header(url, length, digest):
+def header(page_id, url, length, digest):
     """The WARC header of a record, with its closing empty line."""
-    return F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "),
+    lines = [
+        F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"),
+        F.coalesce(page_id.cast("string"), F.lit("")),
+        F.lit(":"),
+        F.left(digest, F.lit(32)),
+        F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "),
         F.coalesce(url, F.lit("")),
         F.lit("\r\nWARC-Payload-Digest: sha256:"),
         digest,
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "),
         length.cast("string"),
-        F.lit("\r\n\r\n"),
-    )
+        F.lit(END),
+    ]
+    return F.concat(*lines)
+
+
+def _sha(c):
+    return F.sha2(F.coalesce(c, F.lit("")).cast("binary"), 256)
+
+
+def place(page_id):
+    """(file, slot) of an id; a null one has file -1."""
+    return F.coalesce(F.floor(page_id / FILE), F.lit(-1)).cast("long"), F.coalesce(F.pmod(page_id, F.lit(FILE)), F.lit(0)).cast("int")
 
 
 def records(pages: DataFrame, stored: str = "html") -> DataFrame:
-    """(file, part, n, page_id, url, copies, offset, length, sha256): a row for each different record.
-
-    Files hold page_id ranges; a range of more than ``FILE`` rows has several parts, dealt by page hash.
-    Inside a part records are in the order of (page_id, page hash), numbered n from 0, one after the
-    other; ``length`` counts header, payload and the closing two line ends.  ``stored`` names the column
-    with the payload as this replica holds it: place and offset come from the page, the hash from what
-    is stored.  Equal records are stored once, ``copies`` says how many there were.  Null urls and payloads
-    count as empty, a null page_id goes to file -1."""
-    sha = lambda c: F.sha2(F.coalesce(F.col(c), F.lit("")).cast("binary"), 256)
-    rows = pages.select("page_id", "url", F.coalesce(F.octet_length("html"), F.lit(0)).alias("bytes"), sha("html").alias("d"), sha(stored).alias("s"))
-    h = header(F.col("url"), F.col("bytes"), F.col("d"))
-    rows = rows.select("page_id", "url", (F.octet_length(h) + F.col("bytes") + 4).cast("long").alias("length"), F.sha2(F.concat(h, "d").cast("binary"), 256).alias("of"), F.sha2(F.concat(h, "s").cast("binary"), 256).alias("sha256"))
-    rows = rows.groupBy("page_id", "url", "length", "of", "sha256").agg(F.count("*").alias("copies"))
-    rows = rows.withColumn("file", F.coalesce(F.floor(F.col("page_id") / FILE), F.lit(-1)).cast("long"))
+    """(file, slot, rid, part, page_id, url, copies, offset, length, sha256): a row for each different record.
+
+    Inside a file records stand in the order of (slot, rid), one after the other; a file of more than
+    ``FILE`` records has several parts, dealt by record.  ``length`` counts header, payload and the closing two line ends.
+    ``rid`` is the hash of the header (which holds the digest of the payload as it was archived), ``sha256`` that of the header
+    and of what the column ``stored`` holds now.  Equal records are stored once, ``copies`` says how many there
+    were.  Null urls and payloads count as empty, null ids go to file -1; other columns are ignored; an empty table has no records."""
+    kept = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.octet_length("html"), F.lit(0)).alias("bytes"), _sha(F.col("html")).alias("d"), _sha(F.col(stored)).alias("s"))
+    h = header(F.col("page_id"), F.col("url"), F.col("bytes"), F.col("d"))
+    file, slot = place(F.col("page_id"))
+    rows = kept.select("page_id", "url", (F.octet_length(h) + F.col("bytes") + 4).cast("long").alias("length"), _sha(h).alias("rid"), _sha(F.concat(h, "s")).alias("sha256"), file.alias("file"), slot.alias("slot"))
+    rows = rows.groupBy("file", "slot", "page_id", "url", "length", "rid", "sha256").agg(F.count("*").alias("copies"))
     per = rows.groupBy("file").agg(F.ceil(F.count("*") / FILE).cast("int").alias("parts"))
-    rows = rows.join(per, "file").withColumn("part", F.pmod(F.xxhash64("of"), F.col("parts")).cast("int"))
-    order = Window.partitionBy("file", "part").orderBy("page_id", "of", "sha256")
+    rows = rows.join(per, "file").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
+    order = Window.partitionBy("file", "part").orderBy("slot", "rid", "sha256")
     offset = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length")
-    return rows.select("file", "part", (F.row_number().over(order) - 1).cast("long").alias("n"), "page_id", "url", "copies", offset.alias("offset"), "length", "sha256")
+    return rows.select("file", "slot", "rid", "part", "page_id", "url", "copies", offset.alias("offset"), "length", "sha256")
+
 
+def write_files(pages: DataFrame, path: str, most: int = FILE) -> None:
+    """Writes the pages as WARC files of up to ``most`` records, in the order of their ids.
 
-def warc_bytes(pages: DataFrame) -> DataFrame:
-    """pages with ``warc``, each page's record as bytes, ready to be written."""
+    A record ends with two line ends, which are the rows' separator here."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    h = header(F.col("url"), F.octet_length(payload), F.sha2(payload.cast("binary"), 256))
-    return pages.withColumn("warc", F.concat(h, payload, F.lit("\r\n\r\n")).cast("binary"))
+    file, slot = place(F.col("page_id"))
+    h = header(F.col("page_id"), F.col("url"), F.octet_length(payload), _sha(payload))
+    rows = pages.select(file.alias("file"), slot.alias("slot"), F.concat(h, payload).alias("value"))
+    rows.repartitionByRange("file", "slot", "value").sortWithinPartitions("file", "slot", "value").select("value").write.option("lineSep", END).option("maxRecordsPerFile", most).text(path)
+
+
+def _parsed(content: bytes):
+    """(page_id, url, html, digest, offset, length) of each whole record; a record that is cut short, or bytes that
+    are none, end the file."""
+    at, end = 0, END.encode()
+    while at < len(content):
+        body = content.find(end, at)
+        lines = content[at:body].decode("utf-8", "replace").split("\r\n") if body >= 0 else []
+        field = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
+        size = field.get("Content-Length", "")
+        if not lines or not lines[0].startswith("WARC/") or not size.isdigit() or body + len(end) + int(size) > len(content):
+            return
+        low = body + len(end)
+        page = field.get("WARC-Record-ID", "").removeprefix("<urn:page:").split(":")[0]
+        html = content[low : low + int(size)].decode("utf-8", "replace")
+        after = low + int(size) + len(end)
+        yield int(page) if page.removeprefix("-").isdigit() else None, field.get("WARC-Target-URI"), html, field.get("WARC-Payload-Digest", "").removeprefix("sha256:"), at, after - at
+        at = after
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, url, html, digest, name, offset, length) of the records of WARC files; a file is read by one task."""
+    fields = "page_id long, url string, html string, digest string, offset long, length long, name string"
+
+    def run(batches):
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+        for b in batches:
+            for name, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                rows = list(_parsed(content))
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], pa.array([name] * len(rows), pa.string())], names=[f.split()[0] for f in fields.split(", ")])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, fields)
 
 
 def tree(rows: DataFrame) -> DataFrame:
-    """(file, part, level, i, low, high, hash): level 0 are records with their byte range [low, high);
-    node i of level k + 1 is the ordered range of nodes FAN i to FAN i + FAN - 1 of level k."""
-    level = rows.select("file", "part", F.lit(0).alias("level"), F.col("n").alias("i"), F.col("offset").alias("low"), (F.col("offset") + F.col("length")).alias("high"), F.sha2(F.concat_ws(" ", "offset", "length", "sha256").cast("binary"), 256).alias("hash"))
-    level = cut(level)
-    out, k = level, 0
-    while k == 0 or level.where("i > 0").limit(1).count():
-        k += 1
+    """(file, level, i, low, high, hash): level 0 are the slots of ids, with the byte range [low, high) of their records;
+    node i of level k + 1 is the ordered range of nodes FAN i to FAN i + FAN - 1 of level k; the last level is the root."""
+    parts = [F.sum(F.conv(F.substring("sha256", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(4)]
+    level = rows.groupBy("file", F.col("slot").cast("long").alias("i")).agg(F.min("offset").alias("low"), F.max(F.col("offset") + F.col("length")).alias("high"), F.sha2(F.concat_ws(" ", F.count("*").cast("string"), *parts).cast("binary"), 256).alias("hash"))
+    level = cut(level.select("file", F.lit(0).alias("level"), "i", "low", "high", "hash"))
+    out, width, k = level, FILE, 0
+    while width > 1:
+        width, k = -(-width // FAN), k + 1
         kids = F.array_sort(F.collect_list(F.struct("i", "hash")))
-        level = level.groupBy("file", "part", F.floor(F.col("i") / FAN).alias("up")).agg(F.min("low").alias("low"), F.max("high").alias("high"), kids.alias("k"))
-        level = cut(level.select("file", "part", F.lit(k).alias("level"), F.col("up").alias("i"), "low", "high", F.sha2(F.array_join("k.hash", "").cast("binary"), 256).alias("hash")))
+        level = level.groupBy("file", F.floor(F.col("i") / FAN).alias("up")).agg(F.min("low").alias("low"), F.max("high").alias("high"), kids.alias("k"))
+        level = cut(level.select("file", F.lit(k).alias("level"), F.col("up").alias("i"), "low", "high", F.sha2(F.array_join(F.transform("k", lambda x: F.concat_ws(" ", x["i"].cast("string"), x["hash"])), "\n").cast("binary"), 256).alias("hash")))
         out = out.unionByName(level)
     return out
 
@@ -80,26 +139,29 @@ def tree(rows: DataFrame) -> DataFrame:
 def audit(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(differing records, visited nodes) of two replicas, as given by ``records``.
 
-    Records: file, part, n, page_id, offset, length and the hash of either side (null where it has none).
-    Visited: level and how many nodes were compared and differed there."""
+    Records: file, slot, page_id, part, offset and length (of the first replica; null where it has not got the
+    record), and the hash of either side (null where it has none): a record that is lost, or there only
+    in the second, is one row, and so is one of other content.
+    Visited: level and how many nodes were compared and differed there.  Equal replicas, empty ones too, give no rows."""
+    left, right = Stored(left).df, Stored(right).df
     a, b = tree(left), tree(right)
-    top = max((x.agg(F.max("level")).first()[0] or 0) for x in (a, b))
-    keys = ["file", "part", "level", "i"]
+    top = 0
+    while FAN**top < FILE:
+        top += 1
     below, visited = None, None
     for k in range(top, -1, -1):
-        x = a.where(F.col("level") == k).select(*keys, F.col("hash").alias("ha"))
-        y = b.where(F.col("level") == k).select(*keys, F.col("hash").alias("hb"))
+        x = a.where(F.col("level") == k).select("file", "i", F.col("hash").alias("ha"))
+        y = b.where(F.col("level") == k).select("file", "i", F.col("hash").alias("hb"))
         if below is not None:
-            parent = [F.col("file"), F.col("part"), F.floor(F.col("i") / FAN).alias("up")]
-            x = x.select("*", parent[2]).join(below, ["file", "part", "up"], "left_semi").drop("up")
-            y = y.select("*", parent[2]).join(below, ["file", "part", "up"], "left_semi").drop("up")
-        both = x.join(y, keys, "full").withColumn("bad", ~F.col("ha").eqNullSafe(F.col("hb")))
-        both = cut(both)
-        seen = both.groupBy("level").agg(F.count("*").alias("compared"), F.sum(F.col("bad").cast("long")).alias("differ"))
+            up = F.floor(F.col("i") / FAN).alias("up")
+            x, y = (z.select("*", up).join(below, ["file", "up"], "left_semi").drop("up") for z in (x, y))
+        both = cut(x.join(y, ["file", "i"], "full").withColumn("bad", ~F.col("ha").eqNullSafe(F.col("hb"))))
+        seen = both.agg(F.count("*").alias("compared"), F.sum(F.col("bad").cast("long")).alias("differ")).select(F.lit(k).alias("level"), "compared", "differ")
         visited = seen if visited is None else visited.unionByName(seen)
-        below = both.where("bad").select("file", "part", F.col("i").alias("up")).distinct()
-    bad = below.withColumnRenamed("up", "n")
-    mine = left.join(bad, ["file", "part", "n"], "left_semi").select("file", "part", "n", "page_id", "offset", "length", F.col("sha256").alias("left_sha256"))
-    other = right.join(bad, ["file", "part", "n"], "left_semi").select("file", "part", "n", F.col("page_id").alias("p2"), F.col("offset").alias("o2"), F.col("length").alias("l2"), F.col("sha256").alias("right_sha256"))
-    out = mine.join(other, ["file", "part", "n"], "full")
-    return out.select("file", "part", "n", F.coalesce("page_id", "p2").alias("page_id"), F.coalesce("offset", "o2").alias("offset"), F.coalesce("length", "l2").alias("length"), "left_sha256", "right_sha256"), visited
+        below = both.where("bad").select("file", F.col("i").alias("up"))
+    bad = below.select("file", F.col("up").cast("int").alias("slot"))
+    keys = ["file", "slot", "rid"]
+    mine = left.join(bad, ["file", "slot"], "left_semi").groupBy(*keys, "page_id", "part", "length").agg(F.min("offset").alias("offset"), F.array_join(F.array_sort(F.collect_set("sha256")), ",").alias("left_sha256"))
+    other = right.join(bad, ["file", "slot"], "left_semi").groupBy(*keys, F.col("page_id").alias("p2")).agg(F.array_join(F.array_sort(F.collect_set("sha256")), ",").alias("right_sha256"))
+    out = mine.join(other, keys, "full").where(~F.col("left_sha256").eqNullSafe(F.col("right_sha256")))
+    return out.select("file", "slot", F.coalesce("page_id", "p2").alias("page_id"), "part", "offset", "length", "left_sha256", "right_sha256"), visited

@@ -359,10 +359,8 @@ def test_warc(spark):
     levels = {r.level: (r.compared, r.differ) for r in seen.collect()}
     assert levels[0][0] <= 32 and levels[0][1] == 2 and sum(c for c, _ in levels.values()) < 100
     assert warc.audit(a, a)[0].count() == 0
-    file = {r.n: r for r in a.where("file = 0").collect()}
-    blobs = {(r.page_id, r.url, r.html): bytes(r.warc) for r in warc.warc_bytes(pages).collect()}
-    assert all(file[n].offset == sum(file[k].length for k in range(n)) for n in range(20))
-    assert len(blobs[(7, "http://h/7", "")]) == next(r.length for r in file.values() if r.page_id == 7)
+    file = sorted(a.where("file = 0").collect(), key=lambda r: r.offset)
+    assert [r.offset for r in file] == [sum(x.length for x in file[:k]) for k in range(len(file))] and [r.slot for r in file] == sorted(r.slot for r in file)
     none = warc.records(table(spark, [], "page_id long, url string, html string"))
     assert warc.audit(none, none)[0].count() == 0
 
@@ -452,3 +450,242 @@ def test_pipeline(spark, data_dir):
     assert {i for r in out.select("doc_ids").collect() for i in r.doc_ids} <= set(after) and out.count() > 0
     for _, stage in c.STAGES:
         stage(spark, docs.limit(0), data_dir).count()
+
+
+def test_long_words(spark):
+    """What a word says beyond 65,536 bytes counts."""
+    import pyarrow as pa
+
+    a, b = "a" * 65536 + "b" * 65536, "b" * 65536 + "a" * 65536
+    h = tokens.words_of(*tokens.text_bytes(pa.array([a, b, a]))).hashes
+    assert h[0] == h[2] and h[0] != h[1]
+    docs = table(spark, [(1, a), (2, b), (3, a)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in jaccard_join.keep_one(docs).collect()) == [1, 2]
+
+
+def test_components_of_a_chain(spark):
+    links = table(spark, [(i, i + 1) for i in range(3000)], "a long, b long")
+    got = components.components(links).collect()
+    assert len(got) == 3001 and {r.root for r in got} == {0}
+
+
+def test_repeated_ids(spark):
+    one, two = prose(random.Random(1), 40), prose(random.Random(2), 40)
+    docs = table(spark, [(1, one), (1, two), (1, two), (2, two), (None, one)], "doc_id long, text string")
+    assert sorted(r.text for r in jaccard_join.keep_one(docs).where("doc_id is not null").collect()) == sorted((one, two))
+    assert jaccard_join.keep_one(docs).where("doc_id is null").count() == 1
+
+
+def test_passage_recall(spark):
+    """Exact passages and those of changed words, some with frequent lines in them, against brute force."""
+    rng = random.Random(5)
+    lines = [" ".join(f"l{k}x{i}" for i in range(rng.randrange(8, 36))) for k in range(6)]
+    fresh = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    docs, exact, near = {}, set(), set()
+    for k in range(300):
+        n = rng.choice([50, 52, 60, 75, 100])
+        p = fresh(n)
+        if rng.random() < 0.7:
+            at = rng.randrange(n)
+            p = (p[:at] + rng.choice(lines).split() + p[at:])[:n]
+        q = list(p)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            q[rng.choice([rng.randrange(n), rng.randrange(4), n - 1 - rng.randrange(4)])] = "changed"
+        x, y = ({tuple(z[i : i + 5]) for i in range(n - 4)} for z in (p, q))
+        docs[k], docs[1000 + k] = (" ".join(fresh(rng.randrange(20, 60)) + z + fresh(30)) for z in (p, q))
+        if len(x & y) >= 0.8 * len(x | y):
+            (exact if p == q else near).add(1000 + k)
+    docs |= {2000 + k: " ".join(fresh(60) + lines[k % 6].split() + fresh(60)) for k in range(200)}
+    got = {r.doc_id: r.n_spans for r in passages.report(table(spark, [(i, t, "en", "a", 1) for i, t in docs.items()])).collect()}
+    assert all(got[i] for i in exact) and sum(got[i] > 0 for i in near) >= 0.97 * len(near) and len(near) > 100
+    assert not any(got[i] for i in docs if i >= 2000 or i < 1000)
+
+
+def test_long_passage(spark):
+    """A passage of more than 65,536 shingles is one."""
+    words_ = [f"w{i * 7919 % 100003}" for i in range(70000)]
+    rows = [(1, " ".join(words_)), (2, "x y z " + " ".join(words_) + " end")]
+    got = {r.doc_id: r for r in passages.report(table(spark, rows, "doc_id long, text string")).collect()}
+    assert got[2].spans == "3-70003" and got[1].n_spans == 0
+
+
+BSD = "\n\n".join(["BSD 2-Clause License", "Copyright (c) 2020, A. Author. All rights reserved.", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution."])
+
+
+def test_licence_files(spark):
+    by = {}
+    for licence, text in licences.TEMPLATES:
+        by.setdefault(licence, []).append(text)
+    disclaimer = by["BSD-2-Clause"][1][by["BSD-2-Clause"][1].index("THIS SOFTWARE") :]
+    mit = by["MIT"][0]
+    at = [0, mit.index("The above copyright"), mit.index("THE SOFTWARE IS PROVIDED"), len(mit)]
+    parts = [mit[a:b].strip() for a, b in zip(at, at[1:])]
+    before, after = "An ordinary paragraph about software and its users.", "What follows has nothing to do with it."
+    texts = {
+        1: (f"{BSD}\n\n{disclaimer}", "BSD-2-Clause"),
+        2: ("\n\n".join([before, "Copyright (c) 2020 A. Author", *parts, after]), "MIT"),
+        3: (f"A long line that tells a story. Released under the MIT License. {before}", "MIT"),
+        4: (f"ISC License\n\nCopyright (c) 2020, A. Author\n\n{by['ISC'][0]}\n\n{by['ISC'][1][len(by['ISC'][0]) :]}", "ISC"),
+        5: (f"Copyright 2020 A. Author\n\n{by['Apache-2.0'][0]}".replace(" You may", "\n\nYou may").replace(" Unless", "\n\nUnless"), "Apache-2.0"),
+        6: (f"                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS\n\n   {by['Apache-2.0'][-1]}", "Apache-2.0"),
+        7: (by["GPL-2.0"][0], "GPL-2.0"),
+        8: (by["GPL-3.0"][0], "GPL-3.0"),
+        9: (by["LGPL-3.0"][0], "LGPL-3.0"),
+        10: (by["AGPL-3.0"][0], "AGPL-3.0"),
+        11: (by["CC-BY-4.0"][0], "CC-BY-4.0"),
+        12: (by["CC-BY-SA-4.0"][0], "CC-BY-SA-4.0"),
+        13: (by["CC-BY-NC-4.0"][0], "CC-BY-NC-4.0"),
+        14: (by["CC-BY-NC-SA-4.0"][0], "CC-BY-NC-SA-4.0"),
+        15: (by["BSD-3-Clause"][1], "BSD-3-Clause"),
+        16: (by["GPL-3.0"][0].replace("version 3", "version 4"), ""),
+        17: ("\n".join(["Released under the MIT License.", "something else", "Licensed under CC BY-SA 4.0."]), "CC-BY-SA-4.0,MIT"),
+    }
+    got = {r.doc_id: r for r in licences.report(table(spark, [(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")).collect()}
+    found = {i: ",".join(x for x in got[i].licences.split(",") if x != "Proprietary") for i in texts}
+    assert found == {i: x for i, (_, x) in texts.items()}
+    assert all(r.n_tied == 0 for r in got.values()) and got[2].n_matches == 1 and got[17].n_matches == 2
+
+
+def test_licence_anchors():
+    """No text that reaches the threshold is without an anchor."""
+    anchors = set(licences.anchors(licences.TEMPLATES))
+    for _, text in licences.TEMPLATES:
+        pairs = licences._pairs(text)
+        bare = [p for p in pairs if not anchors & set(p)]
+        assert 2 * len(bare) < 0.8 * (len(bare) + len(pairs))
+
+
+def test_token_runs(spark):
+    """Very long runs of blanks, letters and punctuation, and counts after edits."""
+    by = token_counts.counter(token_counts.VOCABULARY)
+    runs = [" " * 1_000_000, "a" * 300_000, "!?" * 200_000, "x" + " " * 70_000 + "y", "\n" * 50_000]
+    rows = [(i, t) for i, t in enumerate(runs)] + [(100 + i, t) for i, t, *_ in ODD]
+    for r in token_counts.report(table(spark, rows, "doc_id long, text string")).collect():
+        t = dict(rows)[r.doc_id] or ""
+        n = len(t)
+        for start, length, new in ((n // 3, 5, ""), (n // 2, 0, t[:20]), (n * 2 // 3, 10, "(edited)")):
+            t = t[:start] + new + t[start + length :]
+        pieces = by.pattern.findall(t)
+        assert (r.n_chars_after, r.n_pretokens_after, r.n_tokens_after) == (len(t), len(pieces), sum(map(by.count, pieces)))
+        assert r.n_encoded <= len(pieces) + 20
+    small = " ".join(runs[0][:40]) + "aaaa" * 20
+    assert sum(map(by.count, by.pattern.findall(small))) == len(by.encoding.encode_ordinary(small))
+
+
+def box(kind, *parts):
+    body = b"".join(parts)
+    return (8 + len(body)).to_bytes(4, "big") + kind + body
+
+
+def test_media_damaged():
+    """Damaged files give null or other tracks, whatever their counts and nesting say."""
+    file = bytearray(media.wrap(bytes(range(192)) * 40))
+    at = {k: file.index(k) + 4 for k in (b"stss", b"stsz", b"stsc", b"stco", b"stts")}
+    for kind, offset, value in ((b"stss", 8, 5000), (b"stsz", 8, 2**32 - 1), (b"stsz", 4, 2**31), (b"stsc", 4, 2**32 - 1), (b"stsc", 12, 2**32 - 1), (b"stco", 4, 2**32 - 1), (b"stco", 8, 2**31), (b"stts", 4, 2**32 - 1)):
+        bad = bytearray(file)
+        bad[at[kind] + offset : at[kind] + offset + 4] = value.to_bytes(4, "big")
+        found = media.tracks(bytes(bad))
+        assert found == [] or (kind, offset) == (b"stsc", 12)
+    deep = b""
+    for _ in range(3000):
+        deep = box(b"moov", deep)
+    assert media.tracks(deep) == []
+    rng = random.Random(0)
+    for _ in range(300):
+        bad = bytearray(file)
+        for _ in range(rng.randrange(1, 20)):
+            bad[rng.randrange(len(bad) - 700, len(bad))] = rng.randrange(256)
+        for t in media.tracks(bytes(bad)):
+            assert (t.offset + t.size <= len(bad)).all()
+
+
+def test_media_tracks(spark):
+    """Two tracks, sizes of four bits, an edit list and fragments."""
+    n4, n2 = (lambda x: x.to_bytes(4, "big")), (lambda x: x.to_bytes(2, "big"))
+    full = lambda kind, *parts, flags=0: box(kind, n4(flags), *parts)
+
+    def trak(number, handler, codec, sizes, offset, edit=b""):
+        table_ = [full(b"stsd", n4(1), box(codec, bytes(8))), full(b"stts", n4(1), n4(len(sizes)), n4(10)), full(b"stsc", n4(1), n4(1), n4(max(len(sizes), 1)), n4(1)) if sizes else full(b"stsc", n4(0)), full(b"stz2", n4(4), n4(len(sizes)), bytes(a << 4 | b for a, b in zip([*sizes, 0][::2], [*sizes, 0][1::2]))), full(b"stco", n4(1), n4(offset)) if sizes else full(b"stco", n4(0))]
+        return box(b"trak", full(b"tkhd", n4(0), n4(0), n4(number)), edit, box(b"mdia", full(b"mdhd", n4(0), n4(0), n4(100), n4(0), n2(0), n2(0)), full(b"hdlr", n4(0), handler), box(b"minf", box(b"stbl", *table_))))
+
+    head = box(b"ftyp", b"isom")
+    data = box(b"mdat", bytes(range(30)))
+    edit = box(b"edts", full(b"elst", n4(1), n4(500), n4(0), n4(1 << 16)))
+    movie = box(b"moov", full(b"mvhd", n4(0), n4(0), n4(1000)), trak(1, b"vide", b"avc1", [3, 4, 5], len(head) + 8, edit), trak(2, b"soun", b"mp4a", [], 0), box(b"mvex", full(b"trex", n4(2), n4(1), n4(7), n4(2), n4(0))))
+    base = len(head) + len(data) + len(movie)
+    fragment = lambda offset: box(b"moof", box(b"traf", full(b"tfhd", n4(2)), full(b"trun", n4(4), n4(offset), flags=1)))
+    moof = fragment(len(fragment(0)) + 8)
+    file = head + data + movie + moof + box(b"mdat", b"abcdefgh")
+    got = media.tracks(file)
+    assert [(t.codec, t.kind, t.size.tolist(), t.seconds, t.shown) for t in got] == [("avc1", "vide", [3, 4, 5], 0.3, 0.5), ("mp4a", "soun", [2, 2, 2, 2], 0.28, None)]
+    assert media.payload(file, got[0]) == bytes(range(12)) and media.payload(file, got[1]) == b"abcdefgh" and got[1].offset[0] == base + len(moof) + 8
+    row = media.describe(table(spark, [(1, file), (2, None), (3, file[:50])], "doc_id long, media binary")).orderBy("doc_id").collect()
+    assert [t.codec for t in row[0].tracks] == ["avc1", "mp4a"] and row[0].codec == "avc1" and row[1].tracks is None and row[2].tracks is None
+
+
+def test_warc_lost_added_swapped(spark, tmp_path):
+    html = lambda i: f"<p>{i}</p>\r\n\r\nWARC/1.1 é " * (i % 7)
+    pages = table(spark, [(i, f"http://h/{i}", html(i)) for i in range(5000)] + [(7, "http://h/again", None), (None, None, None)] + [(9, f"u{i}", "x" * 50000 if i == 0 else "") for i in range(40)], "page_id long, url string, html string").withColumns({"rid": F.lit(1), "hash": F.lit("h")})
+    a = warc.records(pages)
+    lost = pages.where("page_id is null or page_id <> 4000").where("url is null or url <> 'u3'")
+    changed = lost.withColumn("w", F.when(F.col("page_id") == 12, F.lit(html(13))).when(F.col("page_id") == 13, F.lit(html(12))).otherwise(F.col("html"))).unionByName(table(spark, [(4096, "new", "z", "z")], "page_id long, url string, html string, w string"), allowMissingColumns=True)
+    bad, seen = warc.audit(a, warc.records(changed, "w"))
+    rows = sorted((r.page_id, r.left_sha256 is None, r.right_sha256 is None, r.offset is None) for r in bad.collect())
+    assert rows == [(9, False, True, False), (12, False, False, False), (13, False, False, False), (4000, False, True, False), (4096, True, False, True)]
+    assert all(r.differ <= 5 for r in seen.collect()) and sum(r.compared for r in seen.collect()) < 200
+    path = str(tmp_path / "warc")
+    warc.write_files(pages, path, 1000)
+    back = warc.read_files(spark, path)
+    same = ["page_id", "url", "html"]
+    assert sorted(map(repr, back.select(*same).collect())) == sorted(map(repr, pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).collect()))
+    one = back.where("page_id = 123").first()
+    import glob
+
+    content = next(open(f, "rb").read() for f in glob.glob(f"{path}/*.txt") if f.endswith(one.name.rsplit("/", 1)[1]))
+    assert content[one.offset : one.offset + one.length].startswith(b"WARC/1.1") and one.length == a.where("page_id = 123").first().length
+    assert list(warc._parsed(content[: one.offset + one.length - 9]))[-1][4] < one.offset
+
+
+def test_mixing_draws(spark):
+    """Shards' counts are drawn: they vary as multinomial ones do, and add up to the targets."""
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 400), "en", "abcdefgh"[min(i % 16, 7)], 1) for i in range(4000)]
+    by = mixing.targets(mixing.sizes(table(spark, rows).withColumn("__tie", F.lit(0)))).cache()
+    drawn = mixing.draws(by).toPandas()
+    want = {r["__key"]: r.slots for r in by.collect()}
+    assert drawn.groupby("__key").n.sum().to_dict() == want
+    total, shards = sum(want.values()), drawn.shard.nunique()
+    per = drawn.groupby("shard").n.sum()
+    assert shards == -(-total // mixing.SHARD) and set(per[:-1]) == {mixing.SHARD} and per.sum() == total
+    wide = drawn.pivot_table(index="shard", columns="__key", values="n", fill_value=0).iloc[:-3]
+    p = np.array([want[k] / total for k in wide.columns])
+    chi = ((wide - mixing.SHARD * p) ** 2 / (mixing.SHARD * p)).sum(axis=1)
+    assert 0.5 * (len(p) - 1) < chi.mean() < 1.6 * (len(p) - 1)
+    taken = mixing.slots(by).groupBy("__key").agg(F.count("*").alias("n")).toPandas().set_index("__key").n.to_dict()
+    assert taken == want and mixing.draws(by, 1).toPandas().sort_values(["shard", "__key"]).n.tolist() != drawn.sort_values(["shard", "__key"]).n.tolist()
+
+
+CLASHES = ("Score", "score", "lang_pred", "__hit", "__items", "__n_words", "__spans", "spans", "__sum", "__n", "__key", "__size", "h", "at", "p", "l", "w", "lo", "hi", "key", "c", "r", "Media")
+
+
+def clashing(spark):
+    return odd(spark).drop(*[c for c in odd(spark).columns if c.lower() in {x.lower() for x in CLASHES}]).select("*", *[F.lit("x").alias(c) for c in CLASHES if c != "Score"], F.lit("y").alias("Shingles"))
+
+
+@pytest.mark.parametrize("name", ["language", "near_duplicates", "passages", "decontamination", "mixing"])
+def test_stage_on_clashing_columns(name, spark, data_dir):
+    import corpus_pipeline as c
+
+    docs = clashing(spark)
+    out = dict(c.STAGES)[name](spark, docs, data_dir)
+    assert out.count() > 0
+    if name != "mixing":
+        assert out.columns == docs.columns and out.schema == docs.schema
+
+
+def test_operators_on_clashing_columns(spark):
+    docs = clashing(spark)
+    labels = table(spark, [(4, 1, 1), (5, 1, 0), (6, 0, 1)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("x"))
+    for report in (language.report, licences.report, token_counts.report, jaccard_join.near_classes, passages.report, media.report, mixing.report, lambda d: toxicity.report(d, labels), lambda d: decontaminate.report(d, table(spark, [(1, "long long")], "item_id long, text string"))):
+        assert report(docs).count() >= len({i for i, *_ in ODD})
+    assert language.report(table(spark, [(None, "text", "en", "a", 1)])).first().held_out is False
