@@ -305,7 +305,9 @@ def test_token_tree():
             a = min(e.start, len(tree.text))
             want = tree.text[:a] + e.text + tree.text[a + e.length :]
             tree.apply(e)
-            assert tree.text == want and tree.state()[0] == [len(p) for p in by.pattern.findall(want)]
+            assert tree.text == want and tree.state()["leaf_chars"].tolist() == [len(p) for p in by.pattern.findall(want)]
+            fresh = token_counts.TokenTree(want, tree.state()["leaf_chars"], tree.state()["leaf_tokens"], by, tree.state()["leaf_held"])
+            assert (fresh.chars == tree.chars).all() and (fresh.sums == tree.sums).all()
             assert tree.n_tokens == len(by.encoding.encode_ordinary(want))
     big = token_counts.TokenTree.of("word and more " * 5000, by)
     big.apply(token_counts.Edit(30000, 3, "xyz"))
