@@ -12,10 +12,11 @@ directions and counts only if the run reaches the window's length.
 Items shorter than a window get k = their length and w = 1 (each k-gram is
 kept), once per such length.
 
-Plan: the benchmark is cut into blocks of bounded size; each block is sent to
+Plan: the benchmark is cut into blocks of bounded size; the blocks are sent to
 the tasks and joined there with the fingerprints of whole documents, which never
-move: one narrow pass, no shuffle, whatever the number of blocks.  The passes
-carry a bitmap of hit words and the list of items from block to block.
+move and are made once: one narrow pass.  A benchmark of more than ``CHAIN`` blocks first meets the documents'
+fingerprints in a shuffled join, which leaves only the items that share one; a pass takes ``CHAIN`` blocks of them, and
+a bitmap of hit words and the list of items go from pass to pass.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .session import cut
+from .session import cut, positional
 
 WINDOW, GRAM = 10, 5
 #: Bytes of benchmark text in one block that is sent to the tasks.
 BLOCK = 8 << 20
-#: Blocks that are chained before lineage is cut.
+#: Blocks that one pass over the documents takes.
 CHAIN = 6
 
 
@@ -89,11 +90,15 @@ class Block:
             order = np.argsort(fp, kind="stable")
             self.by_length.append((length, k, win, fp[order], at[order]))
 
-    def hits(self, w: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of document words [low, high) inside a window's occurrence, and each run's item."""
+    def hits(self, w: T.Words, known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of document words [low, high) inside a window's occurrence, and each run's item.
+
+        ``known`` keeps the documents' fingerprints from block to block."""
         out = [(np.zeros(0, np.int64),) * 3]
         for length, k, win, fp, at in self.by_length:
-            have, word = fingerprints(w, k, win)
+            if (k, win) not in known:
+                known[k, win] = fingerprints(w, k, win)
+            have, word = known[k, win]
             low, high = np.searchsorted(fp, have, "left"), np.searchsorted(fp, have, "right")
             for some in _portions(np.flatnonzero(high > low), (high - low)):
                 n = (high - low)[some]
@@ -130,36 +135,72 @@ def _portions(rows: np.ndarray, n: np.ndarray, limit: int = 1 << 18):
         low = high
 
 
-def _pass(block: Block):
+def _pass(blocks: list[Block]):
+    """Marks the words of each batch that some block hits; documents are parted into words and fingerprinted once."""
+
     def run(batches):
         for batch in batches:
             for rows, data, offsets in T.pieces(batch):
                 w = T.words_of(data, offsets)
-                low, high, item = block.hits(w)
                 edge = np.zeros(len(w.hashes) + 1, np.int32)
-                np.add.at(edge, low, 1)
-                np.add.at(edge, high, -1)
-                hit = np.cumsum(edge)[:-1] > 0
-                doc = np.searchsorted(w.first, low, "right") - 1
                 found: dict[int, set] = {}
-                for d, i in set(zip(doc.tolist(), item.tolist(), strict=True)):
-                    found.setdefault(d, set()).add(block.ids[i])
+                known: dict = {}
+                for block in blocks:
+                    low, high, item = block.hits(w, known)
+                    np.add.at(edge, low, 1)
+                    np.add.at(edge, high, -1)
+                    doc = np.searchsorted(w.first, low, "right") - 1
+                    for d, i in set(zip(doc.tolist(), item.tolist(), strict=True)):
+                        found.setdefault(d, set()).add(block.ids[i])
+                hit = np.cumsum(edge)[:-1] > 0
                 bits, items = [], []
-                old = (rows.column("__hit").to_pylist(), rows.column("__items").to_pylist())
+                columns = dict(zip(rows.schema.names, rows.columns, strict=True))
+                old = (columns["__hit"].to_pylist(), columns["__items"].to_pylist())
                 for d in range(rows.num_rows):
                     mine = hit[w.first[d] : w.first[d + 1]]
                     if old[0][d]:
                         mine = mine | np.unpackbits(np.frombuffer(old[0][d], np.uint8), count=len(mine)).astype(bool)
                     bits.append(np.packbits(mine).tobytes() if mine.any() else None)
                     items.append(sorted(found.get(d, set()) | set(old[1][d] or ())))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(i) for i in range(rows.num_columns - 3)] + [pa.array(w.counts, pa.int64()), pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string()))],
-                    names=rows.schema.names,
-                )
+                columns |= {"__n_words": pa.array(w.counts, pa.int64()), "__hit": pa.array(bits, pa.binary()), "__items": pa.array(items, pa.list_(pa.string()))}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
+def _kinds(lengths: list[int]) -> list[tuple[int, int]]:
+    """(k, w) of the fingerprints that items of these lengths (WINDOW at most) need."""
+    return [(GRAM, WINDOW - GRAM + 1) if n == WINDOW else (n, 1) for n in lengths]
+
+
+def _prints(kinds: list[tuple[int, int]], column: str):
+    def run(batches):
+        for batch in batches:
+            for rows, data, offsets in T.pieces(batch):
+                w = T.words_of(data, offsets)
+                for k, win in kinds:
+                    fp, at = fingerprints(w, k, win)
+                    doc = np.searchsorted(w.first, at, "right") - 1
+                    fp = T.mix(fp + np.uint64(k))
+                    if column:
+                        yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), rows.column(column).take(pa.array(doc))], names=["fp", column])
+                    else:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.unique(fp).view(np.int64))], names=["fp"])
+
+    return run
+
+
+def met(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """The items(id, text) that have a fingerprint in common with some document: both sides' fingerprints are made once
+    and meet in a shuffled join, so that of a benchmark of any size only these go to the tasks."""
+    words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    lengths = [r[0] for r in items.select(F.least(words, F.lit(WINDOW)).alias("n")).where("n > 0").distinct().collect()]
+    kinds = _kinds(sorted(lengths))
+    have = docs.select("text").mapInArrow(_prints(kinds, ""), "fp long").distinct()
+    of = items.mapInArrow(_prints(kinds, "id"), "fp long, id string").distinct()
+    return items.join(of.join(have, "fp", "left_semi").select("id").distinct(), "id", "left_semi")
+
+
 def _one_after_the_other(steps: list):
     """The steps as one, each working on the batches of the one before it: one Python worker a task."""
 
@@ -177,22 +218,31 @@ def hit_words(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, last=No
     ``last`` what that function makes of these batches, of the given schema.
 
     Nulls: a null text has no words; items without words or without an id never
-    match.  Repeated rows are each marked; columns of the documents pass through."""
+    match.  Repeated rows are each marked; columns of the documents pass through (none may have these three names)."""
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("id"), "text")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    n = max(1, -(-total[0] // block), -(-total[1] // 500_000))
+
+    def blocks_of(rows: DataFrame) -> int:
+        total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+        return max(1, -(-total[0] // block), -(-total[1] // 500_000))
+
+    n = blocks_of(items)
+    if n > CHAIN:
+        items = cut(met(items, docs))
+        n = blocks_of(items)
     out = docs.withColumns({"__n_words": F.lit(0).cast("long"), "__hit": F.lit(None).cast("binary"), "__items": F.array().cast("array<string>")})
-    steps = []
+    chain = []
     for i in range(n):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i).orderBy("id").collect()
-        steps.append(_pass(Block([r.id for r in rows], [r.text for r in rows])))
-        if len(steps) == CHAIN and i < n - 1:
-            out, steps = cut(out.mapInArrow(_one_after_the_other(steps), out.schema)), []
-    return out.mapInArrow(_one_after_the_other([*steps, *([last] if last else [])]), schema or out.schema)
+        chain.append(Block([r.id for r in rows], [r.text for r in rows]))
+        if len(chain) == CHAIN and i < n - 1:
+            out, chain = cut(out.mapInArrow(_pass(chain), out.schema)), []
+    return out.mapInArrow(_one_after_the_other([_pass(chain), *([last] if last else [])]), schema or out.schema)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Nulls and repeated rows as in ``hit_words``; a null id keeps its row; an empty table gives none, and no benchmark no hits."""
     return hit_words(docs.select("doc_id", "text"), benchmark, block, _digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
@@ -208,8 +258,11 @@ def _digest(batches):
 
 def clean(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.5, block: int = BLOCK) -> DataFrame:
     """The documents with hit words cut out of their text; a document of which
-    ``least_share`` or more of the words is hit goes.  Others stay as they are."""
-    return hit_words(docs, benchmark, block, _cut_out(least_share), docs.schema)
+    ``least_share`` or more of the words is hit goes.  Others stay as they are, null, empty and repeated rows too; columns may
+    have any names, and an empty table stays empty."""
+    rows, new, names = positional(docs, "text")
+    rows = rows.withColumnsRenamed({new["text"]: "text"})
+    return hit_words(rows, benchmark, block, _cut_out(least_share), rows.schema).toDF(*names)
 
 
 def _cut_out(least_share: float):

@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .session import held_slice
+from .session import cut, held_slice, positional
 
 PROFILE = 300
-#: Languages that can be told apart at once; with PROFILE it bounds what is sent to the tasks.
-MOST_LANGUAGES = 2000
+#: Languages whose profiles are sent to the tasks at once.
+LANGUAGES = 256
 _BITS, _ROWS = 18, 1000
 _BREAK = 1
 
@@ -99,12 +99,13 @@ class Ranker:
         for lang, gram, rank in rows:
             self.rank[np.searchsorted(self.known, np.uint64(gram)), self.langs.index(lang)] = rank
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def least(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text its different n-grams that count, the least distance to a language, and that language (-1 without letters)."""
         n = len(texts)
-        score, best = np.zeros(n), np.full(n, -1)
+        used, distance, best = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1)
         keys, count = _counted(grams(texts, np.arange(n)))
         if not len(keys) or not self.langs:
-            return ["und"] * n, score
+            return used, distance, best
         doc = (keys >> np.uint64(3 * _BITS)).astype(np.int64)
         order = np.lexsort((-count, doc)) if count.max() >= 1 << 24 else np.argsort((doc << 24) - count, kind="stable")
         first = np.searchsorted(doc, np.arange(n + 1))
@@ -113,45 +114,58 @@ class Ranker:
         gram, doc, place = (keys & _GRAM)[order][top], doc[top], place[top]
         at = np.minimum(np.searchsorted(self.known, gram), max(len(self.known) - 1, 0))
         at = np.where(self.known[at] == gram, at, len(self.known))
-        rank = self.rank[at]
-        apart = np.where(rank < 0, self.size, np.abs(rank - place[:, None]))
         has, starts = np.unique(doc, return_index=True)
-        total = np.add.reduceat(apart, starts)
-        used = np.diff(np.append(starts, len(doc)))
-        best[has] = total.argmin(1)
-        score[has] = 1 - total.min(1) / (used * self.size)
-        return [self.langs[i] if i >= 0 else "und" for i in best], np.clip(score, 0, 1)
-
-
-def fit(docs: DataFrame, size: int = PROFILE) -> Ranker:
-    """Profiles of the labelled rows of docs(text, lang), ready to be sent to tasks."""
-    top = profiles(docs, size)
-    rows = top.limit(size * MOST_LANGUAGES + 1).collect()
-    if len(rows) > size * MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages; split them over several models")
-    return Ranker([(r.lang, r.gram, r.rank) for r in rows], size)
-
-
-def identify(docs: DataFrame, model: Ranker) -> DataFrame:
+        used[has] = np.diff(np.append(starts, len(doc)))
+        for low in range(0, len(self.langs), 16):  # some languages at a time
+            rank = self.rank[at, low : low + 16]
+            total = np.add.reduceat(np.where(rank < 0, self.size, np.abs(rank - place[:, None])), starts)
+            k = total.argmin(1)
+            mine = total[np.arange(len(k)), k]
+            nearer = (best[has] < 0) | (mine < distance[has])
+            best[has[nearer]], distance[has[nearer]] = k[nearer] + low, mine[nearer]
+        return used, distance, best
+
+
+def fit(docs: DataFrame, size: int = PROFILE, most: int = LANGUAGES) -> list[Ranker]:
+    """Profiles of the labelled rows of docs(text, lang), ready to be sent to tasks, ``most`` languages at a time."""
+    top = cut(profiles(docs, size))
+    langs = [r.lang for r in top.select("lang").distinct().orderBy("lang").collect()]
+    blocks = [langs[i : i + most] for i in range(0, len(langs), most)]
+    rows = [top.where((F.col("lang") >= b[0]) & (F.col("lang") <= b[-1])).collect() for b in blocks]
+    return [Ranker([(r.lang, r.gram, r.rank) for r in x], size) for x in rows] or [Ranker([], size)]
+
+
+def identify(docs: DataFrame, models: list[Ranker]) -> DataFrame:
     """docs with ``lang_pred`` and ``score``: 1 - distance / greatest possible distance, 0 to 1.
 
     ``und`` with score 0 where the text is null or has no letters (or nothing was
     learned).  Ties go to the first language by name.  Whole texts are used; repeated rows
-    are treated alike; other columns pass through."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    are treated alike; other columns pass through, those named ``lang_pred`` or ``score`` are replaced."""
+    names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     out = docs.select(*names)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema) + ", lang_pred string, score double"
 
     def run(batches):
         for rows in _small(batches):
-            lang, score = model.predict(rows.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*rows.schema.names, "lang_pred", "score"])
+            texts = rows.column("text").to_pylist()
+            lang, near = np.full(len(texts), "und", object), np.full(len(texts), np.iinfo(np.int64).max)
+            for m in models:
+                used, distance, best = m.least(texts)
+                nearer = np.flatnonzero((best >= 0) & (distance < near))
+                near[nearer] = distance[nearer]
+                lang[nearer] = np.array(m.langs, object)[best[nearer]] if len(nearer) else ()
+            most = np.maximum(used * models[0].size, 1)
+            score = np.where(lang == "und", 0.0, np.clip(1 - np.minimum(near, most) / most, 0, 1))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lang.tolist(), pa.string()), pa.array(score)], names=[*rows.schema.names, "lang_pred", "score"])
 
     return out.mapInArrow(run, fields)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score; learned from the other two thirds."""
+    """One row per document: doc_id, held_out, lang_pred, score; learned from the other two thirds.
+
+    A null id is neither held out nor learned from; null texts are ``und``; repeated rows each get a row; an
+    empty table gives none; other columns are ignored."""
     held = (held_slice("doc_id", 3) == 1).alias("held_out")
     model = fit(docs.where(held_slice("doc_id", 3).isin(0, 2)))
     return identify(docs.select("doc_id", held, "text"), model).select("doc_id", "held_out", "lang_pred", "score")
@@ -162,8 +176,12 @@ LEAST = 0.05
 
 
 def keep_known(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The documents with letters whose similarity to some language is ``least`` or more; columns as given."""
-    model = fit(docs.where(held_slice("doc_id", 3).isin(0, 2)))
-    found = identify(docs.select(*[F.col(c).alias(f"__{i}") if c in ("lang_pred", "score") else c for i, c in enumerate(docs.columns)]), model)
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).drop("lang_pred", "score")
-    return kept.toDF(*docs.columns)
+    """The documents with letters whose similarity to some language is ``least`` or more; columns as given, whatever their names.
+
+    Null and empty texts, and those without letters, go; repeated rows are judged alike.  Profiles are learned from the rows
+    with a lang (not null) and an id outside the held-out third; where there are none, nothing is known and nothing stays."""
+    rows, new, names = positional(docs, "doc_id", "text", "lang")
+    rows = rows.withColumnsRenamed({v: k for k, v in new.items()})
+    model = fit(rows.where(held_slice("doc_id", 3).isin(0, 2)))
+    found = identify(rows, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return found.drop("lang_pred", "score").toDF(*names)

@@ -112,7 +112,7 @@ def hit_brute(text, items):
     return len(w), len(hit), found
 
 
-@pytest.mark.parametrize("block", [8 << 20, 60])
+@pytest.mark.parametrize("block", [8 << 20, 60, 9])
 def test_decontaminate(spark, block):
     rng = random.Random(5)
     items = [(i, prose(rng, n, 6)) for i, n in enumerate((30, 12, 10, 9, 3, 1, 0, 25))] + [(8, None), (9, "w1 w2"), (10, "w1 w2")]
@@ -671,7 +671,7 @@ CLASHES = ("Score", "score", "lang_pred", "__hit", "__items", "__n_words", "__sp
 
 
 def clashing(spark):
-    return odd(spark).drop(*[c for c in odd(spark).columns if c.lower() in {x.lower() for x in CLASHES}]).select("*", *[F.lit("x").alias(c) for c in CLASHES if c != "Score"], F.lit("y").alias("Shingles"))
+    return odd(spark).drop(*[c for c in odd(spark).columns if c.lower() in {x.lower() for x in CLASHES}]).select("*", *[F.lit("x").alias(c) for c in CLASHES if c != "score"], F.lit("y").alias("Shingles"))
 
 
 @pytest.mark.parametrize("name", ["language", "near_duplicates", "passages", "decontamination", "mixing"])
@@ -682,7 +682,7 @@ def test_stage_on_clashing_columns(name, spark, data_dir):
     out = dict(c.STAGES)[name](spark, docs, data_dir)
     assert out.count() > 0
     if name != "mixing":
-        assert out.columns == docs.columns and out.schema == docs.schema
+        assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema]
 
 
 def test_operators_on_clashing_columns(spark):
@@ -691,3 +691,93 @@ def test_operators_on_clashing_columns(spark):
     for report in (language.report, licences.report, token_counts.report, jaccard_join.near_classes, passages.report, media.report, mixing.report, lambda d: toxicity.report(d, labels), lambda d: decontaminate.report(d, table(spark, [(1, "long long")], "item_id long, text string"))):
         assert report(docs).count() >= len({i for i, *_ in ODD})
     assert language.report(table(spark, [(None, "text", "en", "a", 1)])).first().held_out is False
+
+
+def kneser_ney_brute(texts):
+    """{(class, letters): probability of the last letter after those before it} by the recursion itself, for groups of LOW letters and more."""
+    high, low, d = toxicity.HIGH, toxicity.LOW, toxicity.DISCOUNT
+    full = Counter()
+    for t, c in texts:
+        for w in words(t):
+            for i in range(len(w)):
+                full[c, ("^" * high + w[: i + 1])[-high:]] += 1
+    number = {high: full}
+    for m in range(high - 1, low - 2, -1):
+        number[m] = Counter((c, g[1:]) for (c, g) in number[m + 1])
+
+    def p(c, g):
+        m = len(g)
+        if m == low - 1:
+            every = Counter()
+            for (_, k), n in number[m].items():
+                every[k] += n
+            mine = {k: n for k, n in every.items() if k[:-1] == g[:-1]}
+            total = sum(mine.values())
+            return (max(every[g] - d, 0) + d * len(mine) / toxicity.CODES) / total
+        mine = {k: n for (x, k), n in number[m].items() if x == c and k[:-1] == g[:-1]}
+        total = sum(mine.values())
+        if not total:
+            return p(c, g[1:])
+        freed = sum(min(n, d) for n in mine.values()) / total
+        return max(mine.get(g, 0) - d, 0) / total + freed * p(c, g[1:])
+
+    return {(c, k): p(c, k) for m in range(low, high + 1) for _, k in number[m] for c in (0, 1)}
+
+
+def test_kneser_ney_against_brute_force(spark):
+    rng = random.Random(9)
+    texts = [("".join(rng.choice("abcé  ") for _ in range(40)), i % 3 == 0) for i in range(30)]
+    rows = table(spark, [(i, t, int(c)) for i, (t, c) in enumerate(texts)], "doc_id long, text string, toxic int")
+    got = toxicity.model_table(toxicity.counts(rows)).where("own").toPandas()
+    want = kneser_ney_brute([(t, int(c)) for t, c in texts])
+
+    def key(g):
+        out = 0
+        for ch in g:
+            out = out << toxicity.BITS | (0 if ch == "^" else ord(ch) % toxicity.CODES + 1)
+        return out
+
+    have = {(r.m, r.k): r.v for r in got.itertuples()}
+    groups = {k for _, k in want}
+    assert len(have) == len({(len(g), key(g)) for g in groups})
+    for g in groups:
+        assert have[len(g), key(g)] == pytest.approx(np.log(want[1, g] / want[0, g])), g
+    # a text's evidence is the sum over its letters, of whichever order has seen them
+    one = texts[3][0]
+    model = toxicity.evidence(table(spark, [(1, one), (2, None)], "doc_id long, text string"), toxicity.model_table(toxicity.counts(rows))).toPandas().set_index("doc_id")
+    total = sum(np.log(want[1, g] / want[0, g]) for w in words(one) for i in range(len(w)) for g in [("^" * toxicity.HIGH + w[: i + 1])[-toxicity.HIGH :]])
+    assert model["__sum"][1] == pytest.approx(total) and model["__n"][1] == sum(map(len, words(one))) and model["__n"][2] == 0
+
+
+def test_language_predictions_against_brute_force(spark):
+    rng = random.Random(8)
+    alphabets = {"aa": "abcd ", "bb": "bcde ", "cc": "xyzé "}
+    text = lambda a: "".join(rng.choice(a) for _ in range(rng.randrange(5, 200)))
+    train = [(lang, text(a)) for lang, a in alphabets.items() for _ in range(8)]
+    docs = [text(rng.choice([*alphabets.values(), "abxyé ", ".,! "])) for _ in range(60)]
+
+    def ranked(texts):
+        c = Counter()
+        for t in texts:
+            for w in re.findall(r"[^\W\d_]+", t.lower()):
+                q = f" {w} "
+                c.update(w)
+                c.update(q[i : i + 2] for i in range(len(q) - 1))
+                c.update(q[i : i + 3] for i in range(len(q) - 2))
+        # ties are by the keys of the n-grams: letters in the order of code points, blanks before them, shorter ones filled with nothing
+        fill = lambda g: [(-1 if ch == " " else ord(ch)) for ch in g] + [-2] * (3 - len(g))
+        return [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], fill(x[0])))][: language.PROFILE]
+
+    profiles = {lang: {g: i for i, g in enumerate(ranked([t for x, t in train if x == lang]))} for lang in alphabets}
+    model = language.fit(table(spark, [(i, t, lang, "s", 1) for i, (lang, t) in enumerate(train)]))
+    got = language.identify(table(spark, [(i, t) for i, t in enumerate(docs)], "doc_id long, text string"), model).collect()
+    some = language.fit(table(spark, [(i, t, lang, "s", 1) for i, (lang, t) in enumerate(train)]), most=2)
+    assert len(some) == 2 and sorted(map(tuple, language.identify(table(spark, [(i, t) for i, t in enumerate(docs)], "doc_id long, text string"), some).collect())) == sorted(map(tuple, got))
+    for r in got:
+        mine = ranked([docs[r.doc_id]])
+        if not mine:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        apart = {lang: sum(abs(p[g] - i) if g in p else language.PROFILE for i, g in enumerate(mine)) for lang, p in profiles.items()}
+        best = min(sorted(apart), key=apart.get)
+        assert r.lang_pred == best and r.score == pytest.approx(1 - apart[best] / (len(mine) * language.PROFILE))
