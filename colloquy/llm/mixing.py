@@ -35,6 +35,8 @@ SHARE, MOST = 1.5, 2.0
 BLOCK, SHARD = 128, 1024
 #: Documents of a source in one bucket of the packing order; numbers in one run of a sum.
 BUCKET = 4096
+#: Slots that a task numbers.
+PER_TASK = 1 << 16
 #: Ranges that drawn numbers are looked up in.
 BUCKETS = 1 << 12
 WORD = r"[^\x20\x09-\x0D]+"
@@ -180,7 +182,9 @@ def slots(by_source: DataFrame, seed: int = 0) -> DataFrame:
     order = Window.partitionBy("shard").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
     rows = first.withColumns({"low": F.coalesce(F.sum("n").over(order), F.lit(0)), "size": F.sum("n").over(Window.partitionBy("shard"))})
     rows = rows.join(if_small(by_source.select("__key", "n_blocks")), "__key").withColumn("hash", F.xxhash64("__key"))
-    return rows.select("__key", "shard", "n", "first", "low", "size", "n_blocks", "hash").mapInArrow(_deal(seed), "__key string, shard long, slot long, block long")
+    some = drawn.agg(F.sum("n")).first()[0] or 0
+    rows = rows.select("__key", "shard", "n", "first", "low", "size", "n_blocks", "hash").repartition(min(max(some // PER_TASK, 1), 1 << 16), "shard")
+    return rows.mapInArrow(_deal(seed), "__key string, shard long, slot long, block long")
 
 
 def report(docs: DataFrame, seed: int = 0) -> DataFrame:
