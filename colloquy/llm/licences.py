@@ -11,7 +11,7 @@ reaches the threshold t.  That needs t / (2 - t) <= |A| / |B| <= (2 - t) / t, so
 template is a candidate only for units of the sizes it admits: templates are
 spread over their sizes and joined to units by size.  No unit has more words than the largest template admits
 bigrams, which bounds the runs.  A match also shares t / (2 - t) of the template's bigrams, so texts (and units)
-that hold none of its ``anchors``, a few long words that so many of the bigrams contain, go first.
+go first that hold none of the ``anchors`` of a short template and too few of the ``long_words`` of the long ones.
 Templates are a fixed list, so their side has a proven bound.
 
 Which licence it is: a unit keeps the template of the highest Dice, and all of them on a tie (flagged).
@@ -22,17 +22,24 @@ does not, first among matches of the same licence, then among all that are left.
 
 from __future__ import annotations
 
+from collections import Counter
 from math import ceil, floor
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .session import Stored, cut
+
 THRESHOLD = 0.8
 #: Templates of other licences are so alike that the names and numbers in which they differ decide.
 ALIKE = 0.6
 
-# Words that licences are named by.
-NAMES = {"affero", "apache", "bsd", "by", "gpl", "isc", "lesser", "lgpl", "agpl", "mit", "mozilla", "mpl", "nc", "nd", "noderivatives", "noncommercial", "sa", "sharealike"}
+#: Templates of so many bigrams are long.
+LONG = 25
+
+# Words that licences are named by, and words that are in most texts.
+NAMES = {"affero", "apache", "bsd", "by", "cc", "cc0", "gnu", "gpl", "spdx", "isc", "lesser", "lgpl", "agpl", "mit", "mozilla", "mpl", "nc", "nd", "noderivatives", "noncommercial", "sa", "sharealike"}
+COMMON = set("a all an and any are as at be but by can either following for from has have if in is it may must no not of on or other part provided see shall than that the their this to under use used which with without work you your".split())
 
 # Public licence texts and the usual short notices.
 TEMPLATES = (
@@ -145,22 +152,50 @@ def _pairs(text: str) -> set[tuple[str, str]]:
     return set(zip(w, w[1:], strict=False))
 
 
+def _need(pairs: set, threshold: float) -> int:
+    """How many of a template's bigrams every match has at least."""
+    return ceil(threshold / (2 - threshold) * len(pairs) - 1e-9)
+
+
 def anchors(templates, threshold: float = THRESHOLD) -> list[str]:
-    """Words of which every unit that matches has one: of each template the longest words, until so few of its
-    bigrams are without them that no match can do with those alone."""
+    """Words of which every unit that matches a template of fewer than LONG bigrams has one: of each the words that licences are
+    named by, then the longest, until so few of its bigrams are without them that no match can do with those alone."""
     out = set()
     for _, text in templates:
-        bare, mine = _pairs(text), set()
-        need = ceil(threshold / (2 - threshold) * len(bare) - 1e-9)
-        for w in sorted(set(_words(text)), key=lambda w: (-len(w), w)):
+        bare = _pairs(text)
+        if len(bare) >= LONG:
+            continue
+        need = _need(bare, threshold)
+        for w in sorted(set(_words(text)), key=lambda w: (w in COMMON, w not in NAMES, -len(w), w)):
             if len(bare) < need:
                 break
-            mine.add(w)
+            out.add(w)
             bare = {p for p in bare if w not in p}
-        out |= mine
     return sorted(out)
 
 
+def long_words(templates, threshold: float = THRESHOLD) -> tuple[list[str], int]:
+    """Words that are not COMMON of the templates of LONG bigrams or more, and how many different ones every match has.
+
+    A match has need bigrams, with 2 need places for words.  What places of the template common words do not fill, others
+    must, and each fills at most those that it has in the template."""
+    vocabulary, least = set(), None
+    for _, text in templates:
+        pairs = _pairs(text)
+        if len(pairs) < LONG:
+            continue
+        places = Counter(w for p in pairs for w in p)
+        missing = 2 * _need(pairs, threshold) - sum(n for w, n in places.items() if w in COMMON)
+        many = sorted((n for w, n in places.items() if w not in COMMON), reverse=True)
+        n = 0
+        while missing > 0:
+            missing -= many[n]
+            n += 1
+        vocabulary |= places.keys() - COMMON
+        least = n if least is None else min(least, n)
+    return sorted(vocabulary), least or 0
+
+
 def telling(templates) -> list[list[str]]:
     """For each template the names and numbers that tell it from templates of other licences that are ALIKE."""
     pairs, out = [_pairs(t) for _, t in templates], []
@@ -190,11 +225,17 @@ def template_sizes(spark: SparkSession, threshold: float = THRESHOLD, templates=
 _DOC = ["doc_id", "h"]
 
 
+def _may_match(words, templates, threshold: float):
+    """Whether a text or unit of these words can hold a match."""
+    many, least = long_words(templates, threshold)
+    few = F.arrays_overlap(words, F.array(*map(F.lit, anchors(templates, threshold))).cast("array<string>"))
+    return few | (F.size(F.array_intersect(words, F.array(*map(F.lit, many)).cast("array<string>"))) >= max(least, 1)) if many else few
+
+
 def sentences(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, h, at, p, l, w): the sentences with words of texts that have an anchor; h is the text's hash, p and l are
+    """(doc_id, h, at, p, l, w): the sentences with words of texts that may match; h is the text's hash, p and l are
     paragraph and line, at runs through the text."""
-    hints = F.array(*map(F.lit, anchors(templates, threshold)))
-    likely = docs.select("doc_id", "text").where(F.arrays_overlap(F.split(normalised("text"), " "), hints))
+    likely = docs.select("doc_id", "text").where(_may_match(F.split(normalised("text"), " "), templates, threshold))
     part = lambda p, l: lambda s: F.struct(p.alias("p"), l.alias("l"), F.split(normalised(s), " ").alias("w"))  # noqa: E731, E741
     line = lambda p: lambda x, l: F.transform(F.split(x, SENTENCE), part(p, l))  # noqa: E731, E741
     paragraph = lambda x, p: F.flatten(F.transform(F.split(x, "\n"), line(p)))
@@ -240,15 +281,16 @@ def _best(found: DataFrame, *by: str) -> DataFrame:
 def matches(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
     """(doc_id, h, lo, hi, licences, dice, score): the units that match, with the licences (more than one on a tie)."""
     sizes = template_sizes(docs.sparkSession, threshold, templates)
-    hints = F.array(*map(F.lit, anchors(templates, threshold)))
-    found = units(sentences(docs, templates, threshold), templates, threshold).where(F.arrays_overlap("w", hints))
+    parts = Stored(sentences(docs, templates, threshold))
+    found = units(parts.df, templates, threshold).where(_may_match(F.col("w"), templates, threshold))
     pairs = found.select(*_DOC, "lo", "hi", "w", bigrams("w").alias("have")).withColumn("size", F.size("have")).join(F.broadcast(sizes), "size")
     both, total = F.size(F.array_intersect("have", "grams")), F.size("have") + F.size("grams")
     pairs = pairs.where(F.size(F.array_except("telling", "w")) == 0).select(*_DOC, "lo", "hi", "licence", (2.0 * both / total).alias("dice"), (3 * both - total).alias("score"))
     most = pairs.where(F.col("dice") >= threshold).groupBy(*_DOC, "lo", "hi").agg(F.max("dice").alias("dice"), F.collect_list(F.struct("dice", "licence", "score")).alias("x"))
     top = F.filter("x", lambda x: x["dice"] == F.col("dice"))
     names = F.array_sort(F.array_distinct(F.transform(top, lambda x: x["licence"])))
-    found = most.select(*_DOC, "lo", "hi", F.array_join(names, ",").alias("licences"), "dice", F.array_max(F.transform(top, lambda x: x["score"])).alias("score"))
+    found = cut(most.select(*_DOC, "lo", "hi", F.array_join(names, ",").alias("licences"), "dice", F.array_max(F.transform(top, lambda x: x["score"])).alias("score")))
+    parts.drop()
     return _best(_best(found, "licences"))
 
 
