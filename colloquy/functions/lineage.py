@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only in a local session that sets none."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -22,12 +25,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def numbered(df: DataFrame, order) -> DataFrame:
+def numbered(df: DataFrame, *order) -> DataFrame:
     """df with ``__i``, the place of a row from 0 in the given order, and ``__n``, the number of rows.
 
     A range sort, written once; then each partition's number of rows before it (a row a partition) is added to
     the places inside it.  No task sees all rows."""
-    rows = cut(df.orderBy(order).withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()}))
+    rows = cut(df.orderBy(*order).withColumns({"__p": F.spark_partition_id(), "__m": F.monotonically_increasing_id()}))
     before = F.sum("c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
     per = rows.groupBy("__p").agg(F.count("*").alias("c"), F.min("__m").alias("__low"))
     per = per.select("__p", "__low", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("c").over(Window.partitionBy()).alias("__n"))

@@ -71,14 +71,19 @@ def strip_fences(c) -> Column:
 
 def strip_log(c) -> Column:
     """A log without its header and its result section."""
+    # The header and the result mark of the log format.
     c = F.col(c) if isinstance(c, str) else c
     body = F.regexp_replace(c, r"\A# Chat History[^\n]*\n\n\*\*Timestamp\*\*:[^\n]*\n\n---\n\n", "")
     return strip(F.regexp_replace(body, r"(?s)\n---\n\n## RESULT\n.*\z", ""))
 
 
 def before_result(c) -> Column:
-    """The text up to the first ``## RESULT``."""
-    return F.substring_index(c, "## RESULT", 1)
+    """A log without blanks and header at its start, from the first ``## RESULT`` on, and rules at its end."""
+    c = F.col(c) if isinstance(c, str) else c
+    # The header and the result mark of the log format.
+    body = F.regexp_replace(F.regexp_replace(c, r"(?U)\A\s+", ""), r"\A# Chat History[^\n]*\n\n\*\*Timestamp\*\*:[^\n]*\n\n---\n\n", "")
+    end = r"(?U)\s+\z"
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.substring_index(body, "## RESULT", 1), end, ""), r"\n---\z", ""), end, "")
 
 
 def keyword_domains(c) -> Column:
@@ -92,11 +97,18 @@ def safe_tag(c, most: int = 80) -> Column:
     return F.left(F.regexp_replace(c, r"[^\p{L}\p{N}_.\-]", "_"), F.lit(most))
 
 
-def elide_middle(c, limit: int = 6000, side: int = 3000) -> Column:
-    """Texts over the limit as their two ends around a note of what is left out."""
+def elide_middle(c, limit: int = 6000, side: int = 3000, action=None, whole: tuple[str, ...] = ()) -> Column:
+    """Texts over the limit as their two ends around a note of what is left out.
+
+    Whole stays what an ``action`` (a column) gave that names one of the patterns of ``whole``."""
     c = F.col(c) if isinstance(c, str) else c
+    # Fixed value: the note, which later steps look for.
     note = F.concat(F.lit(f"\n\n[WARNING: Output truncated. Showing first {side} and last {side} characters. "), (F.length(c) - 2 * side).cast("string"), F.lit(" characters elided.]\n\n"))
-    return F.when(F.length(c) > limit, F.concat(F.left(c, F.lit(side)), note, F.right(c, F.lit(side)))).otherwise(c)
+    long = F.length(c) > limit
+    if action is not None and whole:
+        action = F.coalesce(F.col(action) if isinstance(action, str) else action, F.lit(""))
+        long = long & ~reduce(lambda a, b: a | b, [action.contains(x) for x in whole])
+    return F.when(long, F.concat(F.left(c, F.lit(side)), note, F.right(c, F.lit(side)))).otherwise(c)
 
 
 def first_fence(c) -> Column:
@@ -137,6 +149,7 @@ def response_parts(c) -> Column:
     args = F.regexp_extract(c, r"(?s)ARGUMENTS:\s*(\{.*\})", 1)
     reply = strip(F.regexp_extract(c, r"(?s)RESPONSE:\s*(.+?)(?=\nARGUMENTS:|\n\z)", 1))
     named = action != ""
+    # (Fixed values above: the marks of the response format.)
     return F.struct(
         F.when(named, action).alias("action"),
         F.when(named, F.coalesce(F.from_json(args, "map<string,string>"), F.create_map().cast("map<string,string>"))).alias("arguments"),
@@ -153,9 +166,14 @@ def issues(*checks: tuple[Column, str]) -> Column:
 TRANSIENT = (r"\b429\b", "mpe-429", "resource exhausted", "resource_exhausted", "rate limit", "too many requests", "请求服务异常", "模型提供方限流")
 
 
+def canonical_json(c: Column) -> Column:
+    """A value as JSON with the keys of every object in order, whatever the order of its fields."""
+    return F.to_json(F.parse_json(F.to_json(c)))
+
+
 def cache_key(model, messages) -> Column:
     """Key of a model call: model and the messages as canonical JSON."""
-    return F.sha2(F.concat_ws("\n", model, F.to_json(messages)).cast("binary"), 256)
+    return F.sha2(F.concat_ws("\n", model, canonical_json(F.col(messages) if isinstance(messages, str) else messages)).cast("binary"), 256)
 
 
 def is_transient(c) -> Column:

@@ -1,17 +1,20 @@
 """Constraint queries against entity tables.
 
-Both kinds are joins on the domain first, so that a query meets only the entities of
-its domain, with the constraints as further conditions of the join.  The best n
+Queries that want the same are answered once.  What they want meets the entities by equality joins on
+(domain, attribute, value), of the rarest constraint; the others are checked on what is found.  The best n
 in source order are kept by a window, which prunes before the shuffle.
 """
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions.lineage import cut
 from ..functions.text import clock
 
 # Attributes that results leave out, other names of attributes, and the
@@ -37,40 +40,67 @@ def first_in_order(found: DataFrame, most: int, *by: str) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("ord"))).where(F.col("rank") <= most)
 
 
-def containing(entities: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
-    """entities(domain, ord, attrs) of which every constraint of queries(query_id, domain, constraints) is
-    part, without regard to case; a constraint on an attribute that is not there fails.  The first ``most``."""
-    low = F.transform_values("constraints", lambda k, v: F.lower(v))
-    ok = F.forall(F.map_entries(F.col("want")), lambda c: F.coalesce(F.contains(F.lower(F.try_element_at(F.col("attrs"), c["key"])), c["value"]), F.lit(False)))
-    found = queries.withColumn("want", low).join(entities, "domain").where(ok)
-    return first_in_order(found.select("query_id", "domain", "ord", "attrs"), most, "query_id")
+def _distinct(queries: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """(queries(query_id, s), sets(s, columns)): queries that want the same are answered once; s numbers what they want."""
+    plain = [F.to_json(F.struct(F.col("domain"), *[F.array_sort(F.map_entries(c)).alias(c) for c in columns]))]
+    keyed = queries.select("query_id", F.sha2(F.concat(*plain).cast("binary"), 256).alias("s"), "domain", *columns)
+    return keyed.select("query_id", "s"), cut(keyed.drop("query_id").dropDuplicates(["s"]))
+
 
+def _grams(value: Column) -> Column:
+    """The parts of three letters of a text (all of it, if it is shorter), '' besides."""
+    n = F.length(value)
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(value, i, 3))
+    short = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(value, i, 2))
+    single = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(value, i, 1))
+    return F.array_distinct(F.concat(parts, short, single, F.array(F.lit(""))))
 
-def _partial_ratio(a: str, b: str) -> float:
-    """100 times the best agreement of the shorter text with a part of the longer one of the same length
-    (2 x longest common subsequence over both lengths)."""
+
+def containing(entities: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
+    """entities(domain, ord, attrs) of which every constraint of queries(query_id, domain, constraints) is
+    part, without regard to case; a constraint on an attribute that is not there fails.  The first ``most``.
+
+    Wanted values and the different values of the entities meet by their parts of three letters; a set of constraints
+    then takes the entities of its rarest one, by an equality join on (domain, attribute, value), and is checked on them.
+    Without constraints the first entities of the domain are the answer."""
+    ids, sets = _distinct(queries.withColumn("constraints", F.coalesce("constraints", F.create_map().cast("map<string,string>"))), "constraints")
+    each = entities.select("domain", "ord", "attrs", F.explode("attrs").alias("k", "v")).withColumn("v", F.lower("v"))
+    values = cut(each.where("v is not null").groupBy("domain", "k", "v").agg(F.count("*").alias("n")))
+    wants = cut(sets.select("s", "domain", F.explode("constraints").alias("k", "want")).withColumn("want", F.lower("want")))
+    gram = F.left("want", F.lit(3))  # values have all their parts of one to three letters, so any part of the wanted text finds them
+    pairs = wants.select("domain", "k", "want").distinct().withColumn("g", gram).join(values.withColumn("g", F.explode(_grams(F.col("v")))), ["domain", "k", "g"]).where(F.contains("v", "want")).select("domain", "k", "want", "v", "n")
+    pairs = cut(pairs)
+    size = pairs.groupBy("domain", "k", "want").agg(F.sum("n").alias("size"))
+    rarest = wants.join(size, ["domain", "k", "want"]).groupBy("s").agg(F.min_by(F.struct("domain", "k", "want"), "size").alias("x"), F.count("*").alias("found"))
+    rarest = sets.select("s", "constraints").join(rarest, "s").where("found = size(constraints)").select("s", "constraints", "x.*")
+    ok = F.forall(F.map_entries(F.col("constraints")), lambda c: F.coalesce(F.contains(F.lower(F.try_element_at(F.col("attrs"), c["key"])), F.lower(c["value"])), F.lit(False)))
+    hits = rarest.join(pairs.drop("n"), ["domain", "k", "want"]).join(each, ["domain", "k", "v"]).where(ok)
+    found = first_in_order(hits.select("s", "domain", "ord", "attrs"), most, "s")
+    heads = first_in_order(entities.select("domain", "ord", "attrs"), most, "domain")
+    found = found.unionByName(sets.where("size(constraints) = 0").select("s", "domain").join(heads, "domain"))
+    return ids.join(found, "s").select("query_id", "domain", "ord", "attrs", "rank")
+
+
+def likeness(a: str, b: str) -> float:
+    """How far the shorter text is like a part of the longer one, 0 to 100 in whole numbers.
+
+    The parts that count have its length (or end with the longer text) and start where some block that both
+    have in common would be in line; likeness is twice the matching letters over those of both.  Equal texts have 100, an empty one
+    and another 0."""
+    if a == b or not a or not b:
+        return 100.0 if a == b else 0.0
     short, long = (a, b) if len(a) <= len(b) else (b, a)
-    if not short:
-        return 0.0 if long else 100.0
-    n, best = len(short), 0
-    for i in range(max(1, len(long) - n + 1)):
-        row = [0] * (n + 1)
-        for c in long[i : i + n]:
-            last = 0
-            for j, x in enumerate(short):
-                last, row[j + 1] = row[j + 1], last + 1 if x == c else max(row[j + 1], row[j])
-        best = max(best, row[n])
-        if best == n:
-            break
-    return 100.0 * best / n
+    if short in long:
+        return 100.0
+    starts = {max(block.b - block.a, 0) for block in SequenceMatcher(None, short, long).get_matching_blocks()}
+    best = max(SequenceMatcher(None, short, long[i : i + len(short)]).ratio() for i in starts)
+    return 100.0 if best > 0.995 else float(round(100 * best))
 
 
 @F.pandas_udf(DoubleType())
 def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The likeness of two texts; equal pairs of a batch are computed once."""
-    pairs = pd.Series(list(zip(a.fillna(""), b.fillna(""), strict=True)))
-    known = {p: _partial_ratio(*p) for p in set(pairs)}
-    return pairs.map(known)
+    """The likeness of two texts."""
+    return pd.Series([likeness(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def satisfying(entities: DataFrame, queries: DataFrame, most: int = 10, ignore_open: bool = False, ratio: float = 60) -> DataFrame:
@@ -78,37 +108,80 @@ def satisfying(entities: DataFrame, queries: DataFrame, most: int = 10, ignore_o
 
     Values that mean "any" and attributes an entity has not got or has as ``?`` do not count.  ``leaveAt``
     wants that time or later, ``arriveBy`` that or earlier; other hard constraints want equal values,
-    without regard to case, soft ones values that are ``ratio`` alike.  With ``ref``, the position as eight digits."""
+    without regard to case, soft ones values that are ``ratio`` alike.  With ``ref``, the position as eight digits.
+
+    A set of constraints takes the entities that have its rarest wanted value or none at all there, by an equality join on
+    (domain, attribute, value), or those of the hours that its time admits.  Soft
+    values are compared once for each different pair of texts."""
     names = F.create_map(*[F.lit(x) for kv in QUERY_NAMES.items() for x in kv])
     key = lambda k: F.coalesce(F.try_element_at(names, k), k)
-    fix = lambda e: F.when((e["key"] == "area") & (e["value"] == "center"), F.struct(F.lit("area").alias("key"), F.lit("centre").alias("value"))).otherwise(F.struct(key(e["key"]).alias("key"), e["value"].alias("value")))
-    q = queries.select("query_id", "domain", F.transform(F.map_entries("hard"), fix).alias("hard"), F.map_entries("soft").alias("soft"))
-    want = lambda e: F.lower(F.trim(e["value"]))
-
-    def skipped(e) -> Column:
-        have = F.try_element_at(F.col("attrs"), e["key"])
-        none = e["value"].isNull() | e["value"].isin(*ANY) | have.isNull()
+    fix = lambda k, v: F.when((k == "area") & (v == "center"), F.lit("centre")).otherwise(v)
+    empty = F.create_map().cast("map<string,string>")
+    clean = queries.select("query_id", "domain", F.transform_keys(F.transform_values(F.coalesce("hard", empty), fix), lambda k, v: key(k)).alias("hard"), F.coalesce("soft", empty).alias("soft"))
+    ids, sets = _distinct(clean, "hard", "soft")
+    plain = lambda c: F.lower(F.trim(c))
+    times = ("leaveAt", "arriveBy")
+
+    def skipped(k: Column, v: Column) -> Column:
+        have = F.try_element_at(F.col("attrs"), k)
+        none = v.isNull() | v.isin(*ANY) | have.isNull()
         if ignore_open:
-            none = none | e["key"].isin("destination", "departure")
-        return none | (F.trim(have) == "?") & ~e["key"].isin("leaveAt", "arriveBy")
+            none = none | k.isin("destination", "departure")
+        return none | (F.trim(have) == "?") & ~k.isin(*times)
 
-    def hard(e) -> Column:
+    def meets(e: Column) -> Column:
         have = F.try_element_at(F.col("attrs"), e["key"])
-        times = F.when(e["key"] == "leaveAt", clock(have) >= clock(e["value"])).when(e["key"] == "arriveBy", clock(have) <= clock(e["value"]))
-        return skipped(e) | F.when(e["key"].isin("leaveAt", "arriveBy"), F.coalesce(times, F.lit(True))).otherwise(F.lower(F.trim(have)) == want(e))
-
-    found = q.join(entities, "domain").where(F.forall("hard", hard))
-    soft = found.where(F.size("soft") > 0).withColumn("e", F.explode("soft"))
-    soft = soft.withColumn("like", F.when(skipped(F.col("e")), 100.0).otherwise(partial_ratio(want(F.col("e")), F.lower(F.trim(F.try_element_at(F.col("attrs"), F.col("e.key")))))))
-    good = soft.groupBy("query_id", "domain", "ord").agg(F.min("like").alias("least")).where(F.col("least") >= ratio).select("query_id", "domain", "ord")
-    rows = found.where(F.size("soft") == 0).select("query_id", "domain", "ord", "attrs").unionByName(found.where(F.size("soft") > 0).join(good, ["query_id", "domain", "ord"], "left_semi").select("query_id", "domain", "ord", "attrs"))
-    return first_in_order(rows, most, "query_id").withColumn("ref", F.lpad(F.col("ord").cast("string"), 8, "0"))
-
-
-def within_times(entities: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, ord) of entities(domain, ord, leave_at) that leave at want_leave_at or later."""
-    q = queries.select("query_id", "domain", clock("want_leave_at").alias("want"))
-    return q.join(entities.select("domain", "ord", clock("leave_at").alias("have")), "domain").where("have >= want").select("query_id", "ord")
+        by_time = F.when(e["key"] == "leaveAt", clock(have) >= clock(e["value"])).when(e["key"] == "arriveBy", clock(have) <= clock(e["value"]))
+        return skipped(e["key"], e["value"]) | F.when(e["key"].isin(*times), F.coalesce(by_time, F.lit(True))).otherwise(plain(have) == plain(e["value"]))
+
+    open_keys = ("destination", "departure") if ignore_open else ()
+    each = sets.select("s", "domain", F.explode("hard").alias("k", "v")).where(F.col("v").isNotNull() & ~F.col("v").isin(*ANY) & ~F.col("k").isin(*times, *open_keys))
+    wants = cut(each.select("s", "domain", "k", plain("v").alias("v")))
+    # an entity stands under its value of every attribute that is asked for, or under null where that does not count
+    asked = wants.select("domain", "k").distinct().groupBy("domain").agg(F.collect_set("k").alias("keys"))
+    have = F.try_element_at(F.col("attrs"), F.col("k"))
+    placed = entities.select("domain", "ord", "attrs").join(F.broadcast(asked), "domain").select("domain", "ord", "attrs", F.explode("keys").alias("k")).withColumn("v", F.when(F.trim(have) != "?", plain(have)))
+    size = placed.groupBy("domain", "k", "v").agg(F.count("*").alias("n"))
+    rarest = wants.join(size, ["domain", "k", "v"], "left").groupBy("s").agg(F.min_by(F.struct("domain", "k", "v"), F.coalesce("n", F.lit(0))).alias("x"))
+    chosen = sets.drop("domain").join(rarest, "s").select("s", "hard", "soft", "x.domain", "x.k", F.explode(F.array(F.col("x.v"), F.lit(None))).alias("v"))
+    mark = lambda df: df.withColumn("v", F.coalesce(F.concat(F.lit("="), "v"), F.lit("")))
+    by_value = mark(chosen).join(mark(placed), ["domain", "k", "v"])
+    # without such a constraint: by the hour of departure, if one is wanted, else all of the domain
+    rest = sets.join(wants.select("s").distinct(), "s", "left_anti")
+    hour = lambda c: F.when(clock(c).isNotNull(), F.least(F.floor(clock(c) / 100), F.lit(24))).cast("int")
+    wanted = hour(F.try_element_at("hard", F.lit("leaveAt")))
+    rest = rest.withColumn("hour", F.explode(F.concat(F.array(F.lit(-1)), F.sequence(F.coalesce(wanted, F.lit(0)), F.lit(24)))))
+    by_hour = rest.join(entities.select("domain", "ord", "attrs", F.coalesce(hour(F.try_element_at("attrs", F.lit("leaveAt"))), F.lit(-1)).alias("hour")), ["domain", "hour"])
+    columns = ["s", "domain", "hard", "soft", "ord", "attrs"]
+    found = by_value.select(*columns).unionByName(by_hour.select(*columns)).where(F.forall(F.map_entries("hard"), meets))
+    plainly = first_in_order(found.where(F.size("soft") == 0).select("s", "domain", "ord", "attrs"), most, "s")
+    if sets.where(F.size("soft") > 0).isEmpty():
+        rows = plainly
+    else:
+        soft = cut(found.where(F.size("soft") > 0).select("s", "domain", "ord", "attrs", F.explode("soft").alias("k", "v")))
+        soft = soft.withColumns({"skip": skipped(F.col("k"), F.col("v")), "a": plain("v"), "b": plain(have)})
+        like = soft.where("not skip").select("a", "b").distinct().repartition("a", "b").withColumn("like", partial_ratio("a", "b"))
+        soft = soft.join(like, ["a", "b"], "left").withColumn("ok", F.col("skip") | (F.col("like") >= ratio))
+        good = soft.groupBy("s", "domain", "ord").agg(F.bool_and("ok").alias("ok"), F.first("attrs").alias("attrs")).where("ok").drop("ok")
+        rows = plainly.unionByName(first_in_order(good, most, "s"))
+    return ids.join(rows, "s").select("query_id", "domain", "ord", "attrs", "rank", F.lpad(F.col("ord").cast("string"), 8, "0").alias("ref"))
+
+
+def within_times(entities: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
+    """(query_id, n, ords): how many of entities(domain, ord, leave_at) leave at want_leave_at or later, and the first ``most``.
+
+    Entities are counted by their time, and times and wanted times are added up from the last on: a row for each
+    different time of a domain, whatever the number of entities and queries."""
+    have = entities.select("domain", "ord", clock("leave_at").alias("at")).where("at is not null")
+    have = have.withColumn("r", F.row_number().over(Window.partitionBy("domain", "at").orderBy("ord")))
+    first = F.array_sort(F.collect_list(F.when(F.col("r") <= most, F.col("ord"))))
+    counted = have.groupBy("domain", "at").agg(F.count("*").alias("n"), first.alias("ords")).withColumn("want", F.lit(False))
+    q = queries.select("query_id", "domain", clock("want_leave_at").alias("at"))
+    asked = q.where("at is not null").select("domain", "at").distinct().select("domain", "at", F.lit(0).cast("long").alias("n"), F.array().cast(counted.schema["ords"].dataType).alias("ords"), F.lit(True).alias("want"))
+    later = Window.partitionBy("domain").orderBy(F.desc("at"), "want").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    up = counted.unionByName(asked).withColumns({"n": F.sum("n").over(later), "all": F.collect_list("ords").over(later)})
+    up = up.where("want").select("domain", "at", "n", F.slice(F.array_sort(F.flatten("all")), 1, most).alias("ords"))
+    return q.join(up, ["domain", "at"]).where("n > 0").select("query_id", "n", "ords")
 
 
 def as_text(found: DataFrame, queries: DataFrame, most: int = 5) -> DataFrame:

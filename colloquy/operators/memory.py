@@ -8,34 +8,36 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.text import cache_key
+from .entities import first_in_order
 
 
 def retrieve(queries: DataFrame, exemplars: DataFrame, k: int) -> DataFrame:
     """(query_id, ord, overlap, rank): the k exemplars(ord, domains) that share most domains with each query(query_id,
     domains), of equal ones the earlier; a query that shares none with any gets the first k of all.
 
-    Domains meet by an equality join of exploded rows; nothing is compared pair by pair.  With ``batch_no`` on both
-    sides only exemplars of earlier batches count."""
+    Exemplars of the same set of domains count by their first k only, and queries of the same set are answered
+    once: what is compared is sets.  With ``batch_no`` on both sides only exemplars of earlier batches count; then
+    sets are kept apart by batch."""
     batched = "batch_no" in queries.columns and "batch_no" in exemplars.columns
-    q = queries.select("query_id", *(["batch_no"] if batched else []), F.explode("domains").alias("domain"))
-    e = exemplars.select("ord", *([F.col("batch_no").alias("made")] if batched else []), F.explode("domains").alias("domain"))
-    hits = q.join(e, "domain")
-    if batched:
-        hits = hits.where("made < batch_no")
-    w = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "ord")
-    best = hits.groupBy("query_id", "ord").agg(F.count("*").alias("overlap")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    none = queries.join(best.select("query_id").distinct(), "query_id", "left_anti")
-    zero = F.lit(0).cast("long").alias("overlap")
-    if not batched:
-        first = exemplars.orderBy("ord").limit(k).select("ord", F.row_number().over(Window.orderBy("ord")).alias("rank"))
-        fallback = none.select("query_id").join(F.broadcast(first)).select("query_id", "ord", zero, "rank")
-    else:
-        # the first k of all earlier batches: k of each batch are enough
-        head = exemplars.withColumn("r", F.row_number().over(Window.partitionBy("batch_no").orderBy("ord"))).where(F.col("r") <= k)
-        pairs = none.select("query_id", "batch_no").join(head.select("ord", F.col("batch_no").alias("made")), F.col("made") < F.col("batch_no"))
-        fallback = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("ord"))).where(F.col("rank") <= k).select("query_id", "ord", zero, "rank")
-    return best.unionByName(fallback)
+    as_set = F.array_sort(F.array_distinct("domains"))
+    at = F.col("batch_no") if batched else F.lit(0)
+    q = queries.select("query_id", as_set.alias("wants"), at.alias("at"))
+    asked = cut(q.select("wants", "at").distinct())
+    heads = exemplars.select("ord", as_set.alias("has"), (at if batched else F.lit(-1)).alias("made"))
+    heads = cut(first_in_order(heads, k, "has", "made").drop("rank"))
+    one = lambda df, c: df.select(c).distinct().select(c, F.explode(c).alias("domain"))
+    shared = one(asked, "wants").join(one(heads, "has"), "domain").groupBy("wants", "has").agg(F.count("*").alias("overlap"))
+    best = Window.partitionBy("wants", "at").orderBy(F.desc("overlap"), "ord")
+    found = asked.join(shared, "wants").join(heads, "has").where("made < at")
+    found = cut(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("wants", "at", "ord", "overlap", "rank"))
+    none = asked.join(found.select("wants", "at").distinct(), ["wants", "at"], "left_anti")
+    firsts = cut(first_in_order(heads, k, "made").drop("rank"))
+    before = none.select("at").distinct().join(firsts, F.col("made") < F.col("at"))
+    before = first_in_order(before, k, "at").select("at", "ord", F.lit(0).cast("long").alias("overlap"), "rank")
+    found = found.unionByName(none.join(before, "at"))
+    return q.join(found, ["wants", "at"]).select("query_id", "ord", "overlap", "rank")
 
 
 def exemplar_text(found: DataFrame, exemplars: DataFrame) -> DataFrame:

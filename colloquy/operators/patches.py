@@ -29,9 +29,16 @@ def payload_issues(payload) -> Column:
     whole = F.from_json(p, "map<string,string>")
     has = lambda k: F.coalesce(F.map_contains_key(whole, k), F.lit(False))
     is_list = lambda k: F.coalesce(F.try_element_at(whole, F.lit(k)).startswith("["), F.lit(False))
-    edits = F.from_json(F.try_element_at(whole, F.lit("edits")), "array<map<string,string>>")
-    blank = lambda e, k: F.coalesce(F.try_element_at(e, F.lit(k)), F.lit("")) == ""
-    lacks = lambda k: F.transform(F.coalesce(edits, F.array().cast("array<map<string,string>>")), lambda e, i: F.when(blank(e, k), F.concat(F.lit("Edit #"), (i + 1).cast("string"), F.lit(f" is missing required field: {k}"))))
+    edits = F.coalesce(F.from_json(F.try_element_at(whole, F.lit("edits")), "array<string>"), F.array().cast("array<string>"))
+    # The messages, here and below.
+    said = lambda i, text: F.concat(F.lit("Edit #"), (i + 1).cast("string"), F.lit(text))
+
+    def each_issue(text: Column, i: Column) -> Column:
+        edit = F.from_json(F.when(text.startswith("{"), text), "map<string,string>")
+        blank = lambda k: F.coalesce(F.try_element_at(edit, F.lit(k)), F.lit("")) == ""
+        lacks = F.array(*[F.when(blank(k), said(i, f" is missing required field: {k}")) for k in ("file", "op")])
+        return F.when(edit.isNull(), F.array(said(i, " must be an object"))).otherwise(lacks)
+
     top = issues(
         (whole.isNull(), "Top-level JSON must be an object."),
         (whole.isNotNull() & ~has("reasoning"), "Missing top-level field: reasoning"),
@@ -40,7 +47,7 @@ def payload_issues(payload) -> Column:
         (whole.isNotNull() & ~has("changelog_entries"), "Missing top-level field: changelog_entries"),
         (has("changelog_entries") & ~is_list("changelog_entries"), "Top-level field 'changelog_entries' must be a list"),
     )
-    each = F.filter(F.flatten(F.transform(F.arrays_zip(lacks("file").alias("f"), lacks("op").alias("o")), lambda z: F.array(z["f"], z["o"]))), lambda x: x.isNotNull())
+    each = F.filter(F.flatten(F.transform(edits, each_issue)), lambda x: x.isNotNull())
     return F.concat(top, each)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from ..functions.lineage import numbered
 
@@ -20,19 +21,25 @@ def shuffled(seed: int, *columns: str) -> Column:
 GROUP = 1_000_000
 
 
+def _total(df: DataFrame, key) -> list:
+    """The key, and what else a row holds where keys are equal, so that every way of numbering gives one order."""
+    rest = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    return [F.col(key) if isinstance(key, str) else key, F.xxhash64(*rest)]
+
+
 def _numbered(df: DataFrame, key, *by: str) -> DataFrame:
     """df with ``__i``, the place from 0 in its group by key, and ``__n``, the group's size.
 
     Groups are numbered by a window each, unless one has more than ``GROUP`` rows: then all rows are
-    numbered by group and key in one range sort, and each group's first number is taken off."""
+    numbered by group and key in one range sort, and each group's first number is taken off; the numbers are the same."""
+    order = _total(df, key)
     if not by:
-        return numbered(df, key)
+        return numbered(df, *order)
     sizes = df.groupBy(*by).agg(F.count("*").alias("__n"))
     if (sizes.agg(F.max("__n")).first()[0] or 0) <= GROUP:
         w = Window.partitionBy(*by)
-        return df.withColumns({"__i": F.row_number().over(w.orderBy(key)) - 1, "__n": F.count("*").over(w)})
-    group = F.struct(*by)
-    rows = numbered(df.withColumn("__g", group), F.struct("__g", key if not isinstance(key, str) else F.col(key))).drop("__n")
+        return df.withColumns({"__i": F.row_number().over(w.orderBy(*order)) - 1, "__n": F.count("*").over(w)})
+    rows = numbered(df.withColumn("__g", F.struct(*by)), "__g", *order).drop("__n")
     first = rows.groupBy("__g").agg(F.min("__i").alias("__first"), F.count("*").alias("__n"))
     return rows.join(first, rows["__g"].eqNullSafe(first["__g"])).withColumn("__i", F.col("__i") - F.col("__first")).drop("__g", "__first")
 
@@ -46,7 +53,7 @@ def in_slice(df: DataFrame, order, start: int, end: int | None = None) -> DataFr
     """Rows [start, end) in the given order.
 
     No task sees all rows."""
-    rows = numbered(df, order)
+    rows = numbered(df, *_total(df, order))
     return rows.where((F.col("__i") >= start) & (F.lit(True) if end is None else F.col("__i") < end)).select(*df.columns)
 
 
@@ -113,8 +120,8 @@ def balanced_batches(df: DataFrame, size: int, order, *by: str) -> DataFrame:
 
 
 def take_shuffled(df: DataFrame, n: int, key) -> DataFrame:
-    """n rows by the order of key: top n of each partition, then of those."""
-    return df.orderBy(key).limit(n)
+    """n rows by the order of key, whatever n: rows are numbered by a range sort, and no task sees all of them."""
+    return in_slice(df, key, 0, n)
 
 
 def cluster_sample(records: DataFrame, n: int, key, cluster: str = "task_id") -> DataFrame:

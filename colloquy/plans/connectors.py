@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import checkpoint_dir, cut
 from ..operators import corpus as C
+from ..operators import slots
 from ..sources import readers as R
 from ..sources import writers as W
 from ..streaming import batches as S
-from .evaluation import SCORED
+from .evaluation import SCORED, SUMMARY, _metrics
 from .fixtures import dialogues
 from .fixtures import fixture as fx
 from .registry import query
@@ -31,8 +32,8 @@ def _raw(spark, d):
 @query("s1_read_dialogues", "", "SELECT CAST(o_orderkey AS STRING) AS dialogue_id FROM (SELECT DISTINCT o_orderkey FROM orders) WHERE o_orderkey % 10 = 1")
 def s1(spark, d):
     p = _place(spark)
-    W.write_json(_raw(spark, d), p)
-    return R.typed_dialogues(spark.read.schema(R.DIALOGUE).json(p)).where("data_split = 'validation'").select("dialogue_id")
+    W.write_json(_raw(spark, d), f"{p}/dialogues.jsonl")
+    return R.read_dialogues(spark, p, "validation").select("dialogue_id")
 
 
 @query("s2_typed_dialogues", "slots", "SELECT CAST(dialogue_id AS STRING) AS dialogue_id, CAST(count(*) FILTER (kind <> 'request') AS BIGINT) AS n_inform, '' AS description, '' AS dataset FROM slots GROUP BY dialogue_id")
@@ -99,13 +100,15 @@ def s11(spark, d):
     return fx(spark, d, "reports").select(F.col("instance_id").alias("doc")).withColumn("path", path).select("doc", *R.report_id("path"))
 
 
-@query("s12_evaluation_sink", "slots", "SELECT dialogue_id, info_rate, success FROM met", SCORED)
+@query("s12_evaluation_sink", "slots", f"SELECT 'per_dialogue' AS part, CAST(dialogue_id AS STRING) AS key, info_rate AS rate, CAST(1 AS BIGINT) AS n FROM met UNION ALL SELECT 'overall', '', micro_rate, n_dialogues FROM (SELECT {SUMMARY} FROM met) UNION ALL SELECT 'per_domain', domain, sum(CAST(correct AS INT)) FILTER (kind <> 'booking')::DOUBLE / count(*) FILTER (kind <> 'booking'), count(DISTINCT dialogue_id) FROM scored GROUP BY domain", SCORED)
 def s12(spark, d):
-    from .evaluation import _metrics
-
-    p = _place(spark)
-    W.write_json(_metrics(spark, d), p)
-    return spark.read.schema("dialogue_id long, info_rate double, success boolean").json(p)
+    """All three tables of an evaluation, written and read back."""
+    p, x = _place(spark), dialogues(spark, d)
+    metrics, scored = _metrics(spark, d), slots.scored(x)
+    W.write_evaluation(metrics, slots.corpus(metrics), slots.per_domain(x, scored), p)
+    part = lambda name, key, rate, n: spark.read.schema(f"dialogue_id string, domain string, {rate} double, n_dialogues long").json(f"{p}/{name}").select(F.lit(name).alias("part"), key.alias("key"), F.col(rate).alias("rate"), n.alias("n"))
+    n = F.col("n_dialogues")
+    return part("per_dialogue", F.col("dialogue_id"), "info_rate", F.lit(1).cast("long")).unionByName(part("overall", F.lit(""), "micro_rate", n)).unionByName(part("per_domain", F.col("domain"), "micro_rate", n))
 
 
 def _parts(spark, d):
@@ -175,8 +178,11 @@ def t1(spark, d):
 def t3(spark, d):
     p = _place(spark)
     schema = "dialogue_id long, utt_idx long, act_domain string, booked boolean"
-    fx(spark, d, "turns").select("dialogue_id", "utt_idx", "act_domain", "booked").repartition(4, "dialogue_id").write.parquet(f"{p}/in")
-    out = S.running_state(spark.readStream.schema(schema).parquet(f"{p}/in"))
+    turns = fx(spark, d, "turns").select("dialogue_id", "utt_idx", "act_domain", "booked").repartition(4, "dialogue_id").sortWithinPartitions(F.desc("utt_idx"))
+    for part in ("utt_idx < 3", "utt_idx >= 3"):  # most dialogues come in two batches, and backwards in each
+        turns.where(part).write.mode("append").parquet(f"{p}/in")
+    n = spark.read.schema(schema).parquet(f"{p}/in").where("utt_idx < 3").select(F.input_file_name()).distinct().count()
+    out = S.running_state(spark.readStream.schema(schema).option("maxFilesPerTrigger", n).parquet(f"{p}/in"))
     out.writeStream.format("parquet").option("path", f"{p}/out").option("checkpointLocation", f"{p}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("dialogue_id long, utt_idx long, current_domain string, booked_domain string").parquet(f"{p}/out")
 

@@ -39,9 +39,19 @@ def _booked(spark, d):
     return _turns(spark, d).where("booked and act_domain is not null").select("dialogue_id", "utt_idx", F.col("act_domain").alias("domain"), F.lit(0).alias("key_ord"), "speaker")
 
 
-@query("w4_newly_booked", "turns", "SELECT dialogue_id, min(utt_idx) AS utt_idx, act_domain AS booked_domain FROM turns WHERE booked AND act_domain IS NOT NULL GROUP BY dialogue_id, act_domain")
+_SECOND = "CASE {} WHEN 'hotel' THEN 'train' WHEN 'restaurant' THEN 'hotel' ELSE 'restaurant' END"
+
+
+@query(
+    "w4_newly_booked",
+    "turns",
+    "SELECT dialogue_id, m // 2 AS utt_idx, arg_max(domain, m % 2) AS booked_domain FROM (SELECT dialogue_id, domain, min(utt_idx * 2 + key_ord) AS m FROM b GROUP BY dialogue_id, domain) GROUP BY dialogue_id, m // 2",
+    f"b AS (SELECT dialogue_id, utt_idx, act_domain AS domain, 0 AS key_ord FROM turns WHERE booked AND act_domain IS NOT NULL UNION ALL SELECT dialogue_id, utt_idx, {_SECOND.format('act_domain')}, 1 FROM turns WHERE booked AND act_domain IS NOT NULL AND dialogue_id % 2 = 0)",
+)
 def w4(spark, d):
-    return C.newly_booked(_booked(spark, d))
+    one = _booked(spark, d)
+    two = one.where("dialogue_id % 2 = 0").withColumns({"domain": F.expr(_SECOND.format("domain")), "key_ord": F.lit(1)})
+    return C.newly_booked(one.unionByName(two))
 
 
 @query("w5_blank_first", "turns", "SELECT dialogue_id, utt_idx, act_domain AS domain, CASE WHEN utt_idx = min(utt_idx) OVER (PARTITION BY dialogue_id, act_domain) THEN '' ELSE speaker END AS payload FROM turns WHERE booked AND act_domain IS NOT NULL")
@@ -61,13 +71,18 @@ def w7(spark, d):
 
 @query(
     "a17_corpus_statistics",
-    "turns",
-    """SELECT coalesce(data_split, 'all') AS data_split, count(*) AS n_dialogues, CAST(sum(n) AS BIGINT) AS n_utterances, avg(n) AS avg_turns, sum(words)::DOUBLE / sum(n) AS avg_words, avg(domains) AS avg_domains
-FROM (SELECT data_split, dialogue_id, count(*) AS n, sum(len(regexp_extract_all(utterance, '\\S+'))) AS words, count(DISTINCT act_domain) AS domains FROM t GROUP BY ALL) GROUP BY ROLLUP (data_split)""",
-    f"t AS (SELECT {_SPLIT} AS data_split, * FROM turns)",
+    "turns slots",
+    """SELECT b.*, categorical_match, span_coverage FROM (SELECT coalesce(data_split, 'all') AS data_split, count(*) AS n_dialogues, CAST(sum(n) AS BIGINT) AS n_utterances, avg(n) AS avg_turns, sum(words)::DOUBLE / sum(n) AS avg_words, avg(domains) AS avg_domains
+FROM (SELECT data_split, dialogue_id, count(*) AS n, sum(len(regexp_extract_all(utterance, '\\S+'))) AS words, count(DISTINCT act_domain) AS domains FROM t GROUP BY ALL) GROUP BY ROLLUP (data_split)) b
+LEFT JOIN (SELECT coalesce(data_split, 'all') AS data_split, 100 * avg(CASE WHEN domain = 'hotel' THEN CAST(gt_value LIKE '%|alt 3' OR gt_value LIKE '%|alt 4' AS INT)::DOUBLE END) AS categorical_match, 100 * avg(CASE WHEN domain <> 'hotel' THEN CAST(pred_value IS NOT NULL AS INT)::DOUBLE END) AS span_coverage FROM v GROUP BY ROLLUP (data_split)) s ON b.data_split = s.data_split""",
+    f"t AS (SELECT {_SPLIT} AS data_split, * FROM turns), v AS (SELECT {_SPLIT} AS data_split, * FROM slots WHERE kind = 'inform')",
 )
 def a17(spark, d):
-    return C.corpus_statistics(_turns(spark, d).withColumn("data_split", F.expr(_SPLIT)))
+    s = fx(spark, d, "slots").where("kind = 'inform'")
+    acts = s.select(F.expr(_SPLIT).alias("data_split"), F.when(F.col("domain") == "hotel", "categorical").otherwise("non-categorical").alias("act_type"), "domain", "slot", F.col("gt_value").alias("value"), F.when(F.col("pred_value").isNotNull(), F.lit(0)).alias("start"))
+    known = [f"Value {a}|alt {b}" for a in range(10) for b in (3, 4)]
+    ontology = spark.createDataFrame([("hotel", "slot 3", known)], "domain string, slot string, possible_values array<string>")
+    return C.corpus_statistics(_turns(spark, d).withColumn("data_split", F.expr(_SPLIT)), acts, ontology)
 
 
 @query("a18_act_inventory", "slots", "SELECT kind AS act_type, kind AS intent, domain, slot, bool_or(dialogue_id % 2 = 0) AS by_user, bool_or(dialogue_id % 2 = 1) AS by_system FROM slots GROUP BY ALL")
@@ -130,9 +145,22 @@ def m25(spark, d):
     return rows.select("dialogue_id", "utt_idx", s.alias("s")).select("dialogue_id", "utt_idx", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), "s.category")
 
 
-@query("m25_align_spans")
+#: Value, first and last word, place and category, for texts that start with the words below: each rule once.
+_ALIGNED = [("AT", 0, 0, 0, 2, "exact"), ("2", 2, 2, 8, 11, "number word"), ("email", 3, 4, 12, 18, "blanks"), ("mai", 4, 4, 14, 17, "inside"), ("05:30", 1, 1, 3, 7, "leading zero"), ("two", 1, 1, 8, 11, "window 1"), ("two", 0, 0, 8, 11, "window 2"), ("no such text", 1, 2, -1, -1, "none"), ("at", 2, 1, -1, -1, "none")]
+_CASES = " ".join(f"WHEN {i} THEN {{{i}}}" for i in range(len(_ALIGNED)))
+
+
+def _case(k: int) -> str:
+    return "CASE (dialogue_id + utt_idx) % 10 " + _CASES.format(*[f"'{a[k]}'" if isinstance(a[k], str) else a[k] for a in _ALIGNED])
+
+
+_HEAD = "'at 5:30 two e mail '"
+
+
+@query("m25_align_spans", "turns", f"SELECT dialogue_id, utt_idx, CAST({_case(3)} ELSE length(u) - 3 END AS INTEGER) AS start, CAST({_case(4)} ELSE length(u) END AS INTEGER) AS \"end\", {_case(5)} ELSE 'exact' END AS category FROM (SELECT *, {_HEAD} || utterance || ' end' AS u FROM turns)")
 def m25b(spark, d):
-    rows = _turns(spark, d).select("dialogue_id", "utt_idx", "utterance", F.split_part("utterance", F.lit(" "), F.lit(3)).alias("value"), F.lit(3).alias("start_word"), F.lit(3).alias("end_word"))
+    """The tenth case asks for words beyond the text, which are moved back to its last word."""
+    rows = _turns(spark, d).selectExpr("dialogue_id", "utt_idx", f"{_HEAD} || utterance || ' end' AS utterance", f"{_case(0)} ELSE 'END' END AS value", f"{_case(1)} ELSE 100000 END AS start_word", f"{_case(2)} ELSE 100000 END AS end_word")
     return C.align_spans(rows).select("dialogue_id", "utt_idx", "start", "end", "category")
 
 

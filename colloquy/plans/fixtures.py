@@ -87,25 +87,23 @@ def with_fixtures(names: str, body: str, ctes: str = "") -> str:
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
-def nested(rows: DataFrame, outer: str, inner: str, value: str, *keys: str) -> DataFrame:
-    """(keys, m): rows folded into map<outer, map<inner, value>>."""
-    by = rows.groupBy(*keys, outer).agg(F.map_from_entries(F.collect_list(F.struct(inner, value))).alias("x"))
-    return by.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(outer, "x"))).alias("m"))
-
-
 def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(dialogue_id, goal, prediction) in the nested form of the sources, a row for each order."""
-    s = fixture(spark, sf_dir, "slots")
+    """(dialogue_id, goal, prediction) in the nested form of the sources, a row for each order.
+
+    All maps come from the same two groupings of the slots, which one shuffle by dialogue serves."""
+    s = fixture(spark, sf_dir, "slots").repartition("dialogue_id")
     ids = fixture(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("dialogue_id")).distinct()
-    part = lambda rows, value, name: nested(rows.withColumn("v", value), "domain", "slot", "v", "dialogue_id").withColumnRenamed("m", name)
-    inform = part(s.where("kind <> 'request'"), F.coalesce("gt_value", F.lit("2")), "gi")
-    request = part(s.where("kind = 'request'"), F.lit(""), "gr")
-    pred = part(s.where("pred_value is not null"), F.col("pred_value"), "pi")
-    asked = s.where("pred_requested").groupBy("dialogue_id", "domain").agg(F.collect_list("slot").alias("l")).groupBy("dialogue_id").agg(F.map_from_entries(F.collect_list(F.struct("domain", "l"))).alias("pr"))
-    book = nested(s.where("kind = 'booking'").withColumn("k", F.lit("reference")), "domain", "k", "booking_ref", "dialogue_id").withColumnRenamed("m", "pb")
-    out = ids
-    for x in (inform, request, pred, asked, book):
-        out = out.join(x, "dialogue_id", "left")
+    pair = lambda ok, value, key="slot": F.collect_list(F.when(F.expr(ok), F.struct(F.expr(key).alias("k"), value.alias("v"))))
+    by = s.groupBy("dialogue_id", "domain").agg(
+        pair("kind <> 'request'", F.coalesce("gt_value", F.lit("2"))).alias("gi"),
+        pair("kind = 'request'", F.lit("")).alias("gr"),
+        pair("pred_value is not null", F.col("pred_value")).alias("pi"),
+        pair("kind = 'booking'", F.col("booking_ref"), "'reference'").alias("pb"),
+        F.collect_list(F.when(F.col("pred_requested"), F.col("slot"))).alias("pr"),
+    )
+    fold = lambda c, inner: F.map_from_entries(F.collect_list(F.when(F.size(c) > 0, F.struct(F.col("domain"), inner(F.col(c)).alias("x"))))).alias(c)
+    maps = by.groupBy("dialogue_id").agg(*[fold(c, F.map_from_entries) for c in ("gi", "gr", "pi", "pb")], fold("pr", lambda c: c))
+    out = ids.join(maps, "dialogue_id", "left")
     mm = "map<string,map<string,string>>"
     none = lambda c, t=mm: F.coalesce(c, F.create_map().cast(t)).alias(c)
     out = out.select("dialogue_id", none("gi"), none("gr"), none("pi"), none("pr", "map<string,array<string>>"), none("pb"))

@@ -55,9 +55,9 @@ def j6s(spark, d):
     return E.satisfying(_entities(spark, d), q).select("query_id", "ord", "ref")
 
 
-@query("j7_time_range", "entities entity_queries", "SELECT query_id, count(*) AS n, min(ord) AS first FROM entity_queries q JOIN entities e ON q.domain = e.domain AND CAST(replace(e.leave_at, ':', '') AS INT) >= CAST(replace(want_leave_at, ':', '') AS INT) GROUP BY query_id")
+@query("j7_time_range", "entities entity_queries", "SELECT query_id, count(*) AS n, array_to_string(list(ord ORDER BY ord)[1:10], ',') AS ords FROM entity_queries q JOIN entities e ON q.domain = e.domain AND CAST(replace(e.leave_at, ':', '') AS INT) >= CAST(replace(want_leave_at, ':', '') AS INT) GROUP BY query_id")
 def j7(spark, d):
-    return E.within_times(fx(spark, d, "entities"), fx(spark, d, "entity_queries")).groupBy("query_id").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    return E.within_times(fx(spark, d, "entities"), fx(spark, d, "entity_queries")).select("query_id", "n", F.array_join("ords", ",").alias("ords"))
 
 
 @query(

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.lineage import checkpoint_dir
 from ..operators import memory as M
 from ..operators import patches as P
 from ..operators import traces as R
+from ..sources.writers import write_triage
 from .fixtures import fixture as fx
 from .registry import query
 
@@ -62,10 +66,23 @@ def p7(spark, d):
     return R.pass_gate(_reports(spark, d))[0].select("instance_id")
 
 
-@query("j8_match_logs", "logs", "SELECT r.instance_id, log_file FROM (SELECT CAST(o_custkey AS STRING) || '-' || CAST(o_orderkey % 9 AS STRING) AS instance_id FROM orders) r LEFT JOIN (SELECT instance_id, min(file_name) AS log_file FROM l GROUP BY instance_id) x ON r.instance_id = x.instance_id", _L)
+_LOG_ID = "CAST(o_custkey AS STRING) || '-' || CAST(o_orderkey % 9 AS STRING)"
+_ASKED = f"CASE o_orderkey % 5 WHEN 0 THEN {_LOG_ID} WHEN 1 THEN {_LOG_ID} || '_FAILED' WHEN 2 THEN 'agent_' || {_LOG_ID} || '_SUCCEED' WHEN 3 THEN 'FAILED' ELSE 'log.' || {_LOG_ID} END"
+
+
+@query(
+    "j8_match_logs",
+    "logs",
+    f"SELECT r.id AS instance_id, log_file FROM (SELECT {_ASKED} AS id FROM orders) r LEFT JOIN (SELECT id, min(name) AS log_file FROM c GROUP BY id) x ON r.id = x.id",
+    f"""{_L}, n AS (SELECT instance_id AS i, outcome AS o, file_name AS name FROM l UNION ALL SELECT instance_id, outcome, 'run_log.' || instance_id || '.md' FROM l WHERE row_id % 3 = 0),
+c AS (SELECT i AS id, name FROM n WHERE name LIKE 'cli%' UNION ALL SELECT i || '_' || o, name FROM n WHERE name LIKE 'cli%' UNION ALL SELECT o, name FROM n WHERE name LIKE 'cli%' UNION ALL SELECT 'agent_' || i || '_' || o, name FROM n WHERE name LIKE 'cli%' UNION ALL SELECT 'log.' || i, name FROM n WHERE name LIKE 'run%')""",
+)
 def j8(spark, d):
-    results = fx(spark, d, "orders").select(F.concat(F.col("o_custkey").cast("string"), F.lit("-"), (F.col("o_orderkey") % 9).cast("string")).alias("instance_id"))
-    return R.match_logs(results, fx(spark, d, "logs")).select("instance_id", "log_file")
+    """Ids with and without ``_`` and ``.``; some logs have no ``_agent_`` in their names."""
+    results = fx(spark, d, "orders").selectExpr(f"{_ASKED} AS instance_id")
+    logs = _logs(spark, d).select("row_id", "file_name", "instance_id")
+    more = logs.where("row_id % 3 = 0").select("row_id", F.concat(F.lit("run_log."), "instance_id", F.lit(".md")).alias("file_name"), "instance_id")
+    return R.match_logs(results, logs.unionByName(more).select("file_name")).select("instance_id", "log_file")
 
 
 @query("j9_unfinished", "", "SELECT c_custkey AS instance_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0) OR c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 1)")
@@ -125,10 +142,11 @@ def m12(spark, d):
     return R.success_items(fx(spark, d, "documents").select(F.col("doc_id").alias("instance_id"), text.alias("report")))
 
 
-@query("m13_strip_log", "turns", "SELECT dialogue_id, utt_idx, trim(utterance, ' ' || chr(10) || chr(9) || chr(13)) AS body FROM turns")
+@query("m13_strip_log", "turns", "SELECT dialogue_id, utt_idx, trim(utterance, ' ' || chr(10) || chr(9) || chr(13)) || CASE WHEN utt_idx % 2 = 0 THEN '' ELSE chr(10) || '## RESULT of' END AS body, trim(utterance, ' ' || chr(10) || chr(9) || chr(13)) AS before_result FROM turns")
 def m13(spark, d):
-    log = F.concat(F.lit("# Chat History x\n\n**Timestamp**: now\n\n---\n\n"), "utterance", F.lit("\n---\n\n## RESULT\nfine\nall"))
-    return fx(spark, d, "turns").select("dialogue_id", "utt_idx", T.strip_log(log).alias("body"))
+    """Of logs that mention a result before their result section, one variant keeps what is between."""
+    log = F.concat(F.lit("# Chat History x\n\n**Timestamp**: now\n\n---\n\n"), F.trim("utterance"), F.when(F.col("utt_idx") % 2 == 0, "").otherwise("\n## RESULT of"), F.lit("\n---\n\n## RESULT\nfine\nall"))
+    return fx(spark, d, "turns").select("dialogue_id", "utt_idx", T.strip_log(log).alias("body"), T.before_result(F.concat(F.lit("\n "), log)).alias("before_result"))
 
 
 @query("m14_trajectory_steps", "turns", "SELECT dialogue_id AS instance_id, count(*) AS n_steps, count(thought) AS n_thoughts FROM (SELECT dialogue_id, utt_idx, CASE WHEN speaker = 'user' THEN 'x' END AS thought FROM turns) GROUP BY dialogue_id")
@@ -160,7 +178,7 @@ def m17(spark, d):
 
 
 def _payloads(spark, d):
-    good = F.concat(F.lit('{"reasoning": "r", "edits": [{"file": "f", "op": "create"}, {"file": "'), F.when(F.col("doc_id") % 2 == 0, "g").otherwise(""), F.lit('"}]'), F.when(F.col("doc_id") % 3 == 0, ', "changelog_entries": ["```c```"]').otherwise(""), F.lit("}"))
+    good = F.concat(F.lit('{"reasoning": "r", "edits": [{"file": "f", "op": "create"}, "text", {"file": "'), F.when(F.col("doc_id") % 2 == 0, "g").otherwise(""), F.lit('"}]'), F.when(F.col("doc_id") % 7 == 0, ', "changelog_entries": "none"').when(F.col("doc_id") % 3 == 0, ', "changelog_entries": ["```c```"]').otherwise(""), F.lit("}"))
     body = F.when(F.col("doc_id") % 5 == 0, "no json").otherwise(F.concat(F.lit("text ```json\n"), good, F.lit("\n``` more")))
     return fx(spark, d, "documents").select("doc_id", T.patch_payload(body).alias("payload"))
 
@@ -170,7 +188,7 @@ def m18(spark, d):
     return _payloads(spark, d).select("doc_id", F.col("payload").isNotNull().alias("has_payload"), F.get_json_object("payload", "$.reasoning").alias("reasoning"))
 
 
-@query("p13_payload_issues", "", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'Missing top-level field: changelog_entries; ' END || CASE WHEN doc_id % 2 = 1 THEN 'Edit #2 is missing required field: file; ' ELSE '' END || 'Edit #2 is missing required field: op' AS issues FROM documents WHERE doc_id % 5 <> 0")
+@query("p13_payload_issues", "", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Top-level field ''changelog_entries'' must be a list; ' WHEN doc_id % 3 = 0 THEN '' ELSE 'Missing top-level field: changelog_entries; ' END || 'Edit #2 must be an object; ' || CASE WHEN doc_id % 2 = 1 THEN 'Edit #3 is missing required field: file; ' ELSE '' END || 'Edit #3 is missing required field: op' AS issues FROM documents WHERE doc_id % 5 <> 0")
 def p13(spark, d):
     return _payloads(spark, d).where("payload is not null").select("doc_id", F.array_join(P.payload_issues("payload"), "; ").alias("issues"))
 
@@ -200,9 +218,11 @@ def m22(spark, d):
     return fx(spark, d, "edits").select("ord", F.array_join(T.references(F.concat("content", F.lit(" "), "content")), ",").alias("refs"))
 
 
-@query("m23_elide_middle", "", "SELECT doc_id, CASE WHEN length(text) > 1000 THEN length(text[1:300]) + 300 + length('\n\n[WARNING: Output truncated. Showing first 300 and last 300 characters. ' || CAST(length(text) - 600 AS STRING) || ' characters elided.]\n\n') ELSE length(text) END AS n, left(text, 300) AS head FROM documents".replace("\\n", "_"))
+@query("m23_elide_middle", "", "SELECT doc_id, CASE WHEN length(text) > 1000 AND doc_id % 3 <> 0 THEN length(text[1:300]) + 300 + length('\n\n[WARNING: Output truncated. Showing first 300 and last 300 characters. ' || CAST(length(text) - 600 AS STRING) || ' characters elided.]\n\n') ELSE length(text) END AS n, left(text, 300) AS head FROM documents".replace("\n", "_"))
 def m23(spark, d):
-    e = T.elide_middle("text", 1000, 300)
+    """Every third action reads a file that is never shortened."""
+    action = F.when(F.col("doc_id") % 3 == 0, "cat /skills/a.md").when(F.col("doc_id") % 3 == 1, "ls")
+    e = T.elide_middle("text", 1000, 300, action, ("/skills/", "SKILL.md"))
     return fx(spark, d, "documents").select("doc_id", F.length(e).cast("long").alias("n"), F.left(e, F.lit(300)).alias("head"))
 
 
@@ -211,7 +231,7 @@ def m32(spark, d):
     return fx(spark, d, "documents").select("doc_id", T.safe_tag(F.concat(F.lit("a/b "), "source", F.lit("?"))).alias("tag"))
 
 
-@query("m33_cache_key", "turns", "SELECT dialogue_id, utt_idx, sha256('m' || chr(10) || '[{\"role\":\"' || speaker || '\",\"content\":\"' || CAST(utt_idx AS STRING) || '\"}]') AS key, utt_idx % 3 = 0 AS transient FROM turns")
+@query("m33_cache_key", "turns", "SELECT dialogue_id, utt_idx, sha256('m' || chr(10) || '[{\"content\":\"' || CAST(utt_idx AS STRING) || '\",\"role\":\"' || speaker || '\"}]') AS key, utt_idx % 3 = 0 AS transient FROM turns")
 def m33(spark, d):
     msg = F.array(F.struct(F.col("speaker").alias("role"), F.col("utt_idx").cast("string").alias("content")))
     reply = F.when(F.col("utt_idx") % 3 == 0, "Error 429: slow down").otherwise("1429 rows")
@@ -241,11 +261,11 @@ def p14(spark, d):
     return P.canonical_ops(_edits(spark, d)).select("batch_index", "ord", "op")
 
 
-_HAVE = "e2 AS (SELECT * FROM e WHERE batch_index % 5 <> 0 OR (ord // 4) % 3 = 0), ex AS (SELECT 'references/r' || CAST(i AS STRING) || '.md' AS file FROM (VALUES (3), (5)) v(i))"
+_HAVE = "e2 AS (SELECT * FROM e), ex AS (SELECT 'references/r' || CAST(i AS STRING) || '.md' AS file FROM (VALUES (3), (5)) v(i))"
 
 
 def _some(spark, d):
-    edits = P.canonical_ops(_edits(spark, d)).where("batch_index % 5 <> 0 or floor(ord / 4) % 3 = 0")
+    edits = P.canonical_ops(_edits(spark, d))
     existing = spark.createDataFrame([("references/r3.md",), ("references/r5.md",)], "file string")
     return edits, existing
 
@@ -293,12 +313,18 @@ def a21(spark, d):
     return P.coalesced(_patches(spark, d), "batch_index").select("batch_index", "reasoning", F.array_join("edits", ",").alias("files"), F.array_join("changelog", ",").alias("ops"))
 
 
-@query("k13_merged", "edits", "SELECT string_agg(CASE WHEN b % 3 <> 0 THEN CAST(b AS STRING) END, chr(10) || chr(10) ORDER BY b) AS reasoning, count(*) AS n_edits, 3 AS levels FROM (SELECT DISTINCT batch_index AS b FROM edits)")
+@query(
+    "k13_merged",
+    "edits",
+    """SELECT (SELECT string_agg(CASE WHEN ord % 3 <> 0 THEN CAST(ord AS STRING) END, chr(10) || chr(10) ORDER BY k, ord) FROM e) AS reasoning, (SELECT count(*) FROM e) AS n_edits, (SELECT string_agg(file, ',' ORDER BY k, ord) FROM e) AS files, CAST(max(level) AS INTEGER) AS levels FROM s""",
+    """e AS (SELECT edits.*, o_custkey AS k FROM edits JOIN orders ON ord = o_orderkey),
+s AS (WITH RECURSIVE s(n, level) AS (SELECT count(DISTINCT k), 0 FROM e UNION ALL SELECT CASE WHEN n <= 5 THEN 1 WHEN n % 5 BETWEEN 1 AND 2 THEN n // 5 ELSE n // 5 + CAST(n % 5 > 0 AS BIGINT) END, level + 1 FROM s WHERE n > 1) SELECT * FROM s)""",
+)
 def k13(spark, d):
-    """Merges the batches; 50 of them in groups of five take three levels, and the order is kept."""
-    rows = _edits(spark, d).select(F.col("batch_index").alias("ord")).distinct()
-    rows = rows.select("ord", F.when(F.col("ord") % 3 == 0, "").otherwise(F.col("ord").cast("string")).alias("reasoning"), F.array(F.lit("e")).alias("edits"), F.array(F.lit("c")).alias("changelog"))
-    return P.merged(rows, 5).select("reasoning", F.size("edits").cast("long").alias("n_edits"), "levels")
+    """The edits of every customer are a patch; all patches are merged in groups of five, level by level, and the order is kept."""
+    key = fx(spark, d, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("k"))
+    patches = P.coalesced(_patches(spark, d).join(key, "ord"), "k").drop("ord").withColumnRenamed("k", "ord")
+    return P.merged(patches, 5).select("reasoning", F.size("edits").cast("long").alias("n_edits"), F.array_join("edits", ",").alias("files"), "levels")
 
 
 @query("u1_tagged_union", "logs", "SELECT row_id, CASE outcome WHEN 'FAILED' THEN 'error' ELSE 'success' END AS source, CASE outcome WHEN 'FAILED' THEN 0 ELSE 1 END AS source_order FROM l", _L)
@@ -326,10 +352,15 @@ def u5(spark, d):
     return R.of_seeds({s: rows.where(F.col("seed") == s).drop("seed") for s in ("seed_0", "seed_1", "seed_2")}).select("row_id", "seed")
 
 
-@query("s14_triage", "logs", "SELECT instance_id, outcome = 'SUCCEED' AS passed, 0.5::DOUBLE AS soft_score, 1 AS hard_score, '' AS error, CASE WHEN row_id % 7 = 0 THEN '' ELSE file_name END AS log_file, left(file_name, 100) AS instruction FROM l", _L)
+@query("s14_triage", "logs", "SELECT instance_id, outcome = 'SUCCEED' AS passed, 0.5::DOUBLE AS soft_score, 1 AS hard_score, CASE WHEN row_id % 5 = 0 THEN 'a, \"quoted\"' ELSE '' END AS error, CASE WHEN row_id % 7 = 0 THEN '' ELSE file_name END AS log_file, left(file_name || file_name || file_name, 100) AS instruction FROM l", _L)
 def s14(spark, d):
-    rows = _logs(spark, d).select("instance_id", (F.col("outcome") == "SUCCEED").alias("passed"), F.lit(0.5).alias("soft_score"), F.lit(1).alias("hard_score"), F.lit(None).cast("string").alias("error"), F.when(F.col("row_id") % 7 != 0, F.col("file_name")).alias("log_file"), F.col("file_name").alias("instruction"))
-    return R.triage(rows)
+    """The triage table, written as CSV and read back."""
+    p = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    error = F.when(F.col("row_id") % 5 == 0, 'a, "quoted"')
+    rows = _logs(spark, d).select("instance_id", (F.col("outcome") == "SUCCEED").alias("passed"), F.lit(0.5).alias("soft_score"), F.lit(1).alias("hard_score"), error.alias("error"), F.when(F.col("row_id") % 7 != 0, F.col("file_name")).alias("log_file"), F.repeat("file_name", F.lit(3)).alias("instruction"))
+    write_triage(R.triage(rows), p)
+    back = spark.read.option("header", True).option("escape", '"').schema("instance_id string, passed boolean, soft_score double, hard_score int, error string, log_file string, instruction string").csv(p)
+    return back.withColumns({c: F.coalesce(c, F.lit("")) for c in ("error", "log_file")})
 
 
 def _exemplars(spark, d):

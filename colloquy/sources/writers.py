@@ -35,7 +35,7 @@ def write_splits(rows: DataFrame, path: str) -> DataFrame:
 
 
 def write_triage(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def append_calls(df: DataFrame, path: str) -> None:

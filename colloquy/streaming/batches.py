@@ -23,20 +23,26 @@ def score_batches(stream: DataFrame, score: Callable[[DataFrame], DataFrame], pa
 
 
 def _carry(key, frames, state):
-    domain, booked = state.get if state.exists else ("", "")
-    for frame in frames:
-        rows = []
-        for r in frame.sort_values("utt_idx").itertuples():
-            domain = r.act_domain if isinstance(r.act_domain, str) and r.act_domain else domain
-            new = r.booked and isinstance(r.act_domain, str) and r.act_domain not in booked.split(",")
-            if new:
-                booked = ",".join(filter(None, (booked, r.act_domain)))
-            rows.append((key[0], r.utt_idx, domain or None, r.act_domain if new else None))
-        yield pd.DataFrame(rows, columns=["dialogue_id", "utt_idx", "current_domain", "booked_domain"])
-    state.update((domain, booked))
+    domain, booked, seen = state.get if state.exists else (None, [], None)
+    booked = list(booked)
+    rows, out = pd.concat(list(frames)).sort_values("utt_idx"), []
+    for r in rows.itertuples():
+        named = r.act_domain if isinstance(r.act_domain, str) and r.act_domain else None
+        late = seen is not None and r.utt_idx <= seen
+        new = bool(r.booked) and named is not None and named not in booked
+        if not late:
+            domain, seen = named or domain, int(r.utt_idx)
+            booked += [named] if new else []
+        out.append((key[0], r.utt_idx, named or domain, named if new and not late else None))
+    state.update((domain, booked, seen))
+    yield pd.DataFrame(out, columns=["dialogue_id", "utt_idx", "current_domain", "booked_domain"])
 
 
 def running_state(turns: DataFrame) -> DataFrame:
     """(dialogue_id, utt_idx, current_domain, booked_domain): the last act domain so far and a domain booked for the first
-    time, of a stream of turns that come in order within their dialogue."""
-    return turns.groupBy("dialogue_id").applyInPandasWithState(_carry, "dialogue_id long, utt_idx long, current_domain string, booked_domain string", "domain string, booked string", "append", GroupStateTimeout.NoTimeout)
+    time, of a stream of turns.
+
+    The turns of a dialogue in one batch are taken in their order, however they come.  Between batches the state is
+    the domain, the array of booked domains and the last turn.  A turn that comes after a later one of its dialogue (in an earlier batch) is late:
+    it is answered by its own domain or the current one, books nothing and changes nothing."""
+    return turns.groupBy("dialogue_id").applyInPandasWithState(_carry, "dialogue_id long, utt_idx long, current_domain string, booked_domain string", "domain string, booked array<string>, seen long", "append", GroupStateTimeout.NoTimeout)
