@@ -180,3 +180,101 @@ def test_files(spark, tmp_path):
     bad = tmp_path / "e.json"
     bad.write_text("{not json")
     assert readers.read_entities(spark, {"x": str(bad), "y": p + "/none"}).count() == 0
+
+
+def test_ids_of_logs(spark):
+    names = ["cli_agent_a_1.md", "run_13-1.md", "x_agent_7_FAILED.tar.log", "p_agent_q_agent_9.log", "plain", ".md"]
+    rows = spark.createDataFrame([(n,) for n in names], "file_name string").select("file_name", traces.ids_of_log(F.col("file_name")).alias("ids")).collect()
+    got = {r.file_name: set(r.ids) for r in rows}
+
+    def belongs(name, i):  # the three ways in which an id may be in a name
+        stem = name.rsplit(".", 1)[0] if "." in name.lstrip(".") else name
+        return f"_agent_{i}." in name or f"_agent_{i}_" in name or stem.endswith(f"_{i}")
+
+    asked = {x for ids in got.values() for x in ids} | {"a", "1", "a_1", "13-1", "7", "7_FAILED", "FAILED.tar", "9", "q_agent_9", "agent_9", "run", ""}
+    for n in names:
+        assert got[n] == {i for i in asked if belongs(n, i)}, n
+    results = spark.createDataFrame([("a_1",), ("13-1",), ("none",)], "instance_id string")
+    found = traces.match_logs(results, spark.createDataFrame([(n,) for n in names], "file_name string")).collect()
+    assert {r.instance_id: r.log_file for r in found} == {"a_1": "cli_agent_a_1.md", "13-1": "run_13-1.md", "none": None}
+
+
+def test_likeness():
+    assert entities.likeness("", "") == 100 and entities.likeness("", "a") == 0 and entities.likeness("a", "a") == 100
+    assert entities.likeness("yankees", "new york yankees") == 100 and entities.likeness("abcd", "XXbcdeEEE") == 75
+
+
+def test_tool_call_text(spark):
+    texts = ["Action: {\"name\": \"a\", \"arguments\": {\"b\": 1, \"a\": \"é{\"}} {x}", "Action: } {\"name\": 1}", "Action: {'name': 'q'}", "Action: {} {\"name\": 2}", "Action: {\"name\": \"a\"", "plain", None, "Action: [1] TASK_COMPLETE"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, response string")
+    got = {r.i: (r.kind, r.tool, r.arguments) for r in traces.tool_calls(rows).collect()}
+    assert got[1] == got[3] == got[4] == ("format_error", None, None) and got[5] == got[6] == got[7] == ("task_complete", None, None)
+    assert got[2] == ("action", "q", "{}") and got[0][0] == "format_error"  # the brace inside the text counts, too
+
+
+def test_same_numbers_either_way(spark, monkeypatch):
+    rows = spark.range(400).selectExpr("id", "id % 3 AS g", "id % 5 AS k")
+    one = splits.hold_out(rows, 0.2, "k", "g").collect()
+    monkeypatch.setattr(splits, "GROUP", 10)
+    assert sorted(map(tuple, splits.hold_out(rows, 0.2, "k", "g").collect())) == sorted(map(tuple, one))
+
+
+def test_state_over_batches(spark, tmp_path):
+    from colloquy.streaming import batches
+
+    schema = "dialogue_id long, utt_idx long, act_domain string, booked boolean"
+    parts = [[(1, 1, "train", True), (1, 0, "hotel", True), (2, 0, None, False)], [(1, 3, None, True), (1, 2, "hotel", True), (2, 1, "taxi", True)], [(1, 1, "police", True), (1, 4, None, False), (2, 2, "taxi", True)]]
+    out = []
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = batches.running_state(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        q.writeStream.format("parquet").option("path", str(tmp_path / f"out{i}")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination() if i == 0 else q.writeStream.foreachBatch(lambda b, _: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    first = spark.read.schema("dialogue_id long, utt_idx long, current_domain string, booked_domain string").parquet(str(tmp_path / "out0")).collect()
+    got = sorted(tuple(r) for r in [*first, *out] if r.dialogue_id == 1)
+    late = (1, 1, "police", None)
+    assert late in got
+    got.remove(late)
+    assert got == [(1, 0, "hotel", "hotel"), (1, 1, "train", "train"), (1, 2, "hotel", None), (1, 3, "hotel", None), (1, 4, "hotel", None)]
+    assert sorted((r.utt_idx, r.booked_domain) for r in [*first, *out] if r.dialogue_id == 2) == [(0, None), (1, "taxi"), (2, None)]
+
+
+def test_key_is_canonical(spark):
+    row = spark.range(1).select(F.struct(F.lit("x").alias("role"), F.lit("y").alias("content")).alias("a"), F.struct(F.lit("y").alias("content"), F.lit("x").alias("role")).alias("b"))
+    r = row.select(T.cache_key(F.lit("m"), F.array("a")).alias("a"), T.cache_key(F.lit("m"), F.array("b")).alias("b")).first()
+    assert r.a == r.b
+
+
+def test_lookups_against_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    value = lambda: rng.choice(["", "?", "North", "north end", "12:30", "09:15", "cheap", "Cheap eats", None])
+    ents = [(rng.choice("ab"), i, {k: v for k, v in (("area", value()), ("price", value()), ("leaveAt", rng.choice(["08:00", "12:30", "x"]))) if v is not None}) for i in range(120)]
+    asks = [(q, rng.choice("abc"), {k: rng.choice(["north", "NORTH", "cheap", "e", "", "dontcare"]) for k in rng.sample(["area", "price", "other"], rng.randrange(3))}) for q in range(60)]
+    e = spark.createDataFrame(ents, "domain string, ord long, attrs map<string,string>")
+    q = spark.createDataFrame(asks, "query_id int, domain string, constraints map<string,string>")
+    got = {}
+    for r in entities.containing(e, q, 4).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.ord)
+    for i, d, c in asks:
+        want = [o for x, o, a in ents if x == d and all(k in a and v.lower() in a[k].lower() for k, v in c.items())][:4]
+        assert got.get(i, []) == want, (i, d, c)
+    hard = q.select("query_id", "domain", F.map_concat(F.map_filter("constraints", lambda k, v: k != "price"), F.when(F.col("query_id") % 3 == 0, F.create_map(F.lit("leave at"), F.lit("09:00"))).otherwise(F.create_map().cast("map<string,string>"))).alias("hard"), F.map_filter("constraints", lambda k, v: k == "price").alias("soft"))
+    got = {}
+    for r in entities.satisfying(e, hard, 4).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.ord)
+
+    def ok(a, i, c):
+        def skip(k, v):
+            return v in entities.ANY or k not in a or (a[k].strip() == "?")
+
+        for k, v in c.items():
+            if skip(k, v):
+                continue
+            have, want = a[k].strip().lower(), v.strip().lower()
+            if k == "price" and entities.likeness(want, have) < 60 or k != "price" and have != want:
+                return False
+        return i % 3 != 0 or a["leaveAt"] == "x" or a["leaveAt"] >= "09:00"
+
+    for i, d, c in asks:
+        assert got.get(i, []) == [o for x, o, a in ents if x == d and ok(a, i, c)][:4], (i, d, c)
