@@ -48,8 +48,14 @@ def j6(spark, d):
     return E.satisfying(_entities(spark, d), q).select("query_id", "ord", "ref")
 
 
-@query("j6_soft_match")
+@query(
+    "j6_soft_match",
+    "entities entity_queries",
+    """SELECT query_id, ord, lpad(CAST(ord AS STRING), 8, '0') AS ref FROM (SELECT query_id, e.ord, row_number() OVER (PARTITION BY query_id ORDER BY e.ord) AS rank FROM entity_queries q JOIN entities e ON q.domain = e.domain AND want_type IS NOT NULL
+ AND (want_type = 'dontcare' OR e.type IS NULL OR e.type = '?' OR contains(lower(e.type), lower(want_type)))) WHERE rank <= 10""",
+)
 def j6s(spark, d):
+    """Of the types in the tables only those that hold the wanted one are alike by 60 or more."""
     q = fx(spark, d, "entity_queries").where("want_type is not null")
     q = q.select("query_id", "domain", F.create_map().cast("map<string,string>").alias("hard"), F.create_map(F.lit("type"), F.col("want_type")).alias("soft"))
     return E.satisfying(_entities(spark, d), q).select("query_id", "ord", "ref")
