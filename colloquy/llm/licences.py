@@ -158,15 +158,15 @@ def _need(pairs: set, threshold: float) -> int:
 
 
 def anchors(templates, threshold: float = THRESHOLD) -> list[str]:
-    """Words of which every unit that matches a template of fewer than LONG bigrams has one: of each the words that licences are
-    named by, then the longest, until so few of its bigrams are without them that no match can do with those alone."""
+    """Words of which every unit that matches a template of fewer than LONG bigrams has one: of each the words of four letters or more that licences
+    are named by, then the longest, until so few of its bigrams are without them that no match can do with those alone."""
     out = set()
     for _, text in templates:
         bare = _pairs(text)
         if len(bare) >= LONG:
             continue
         need = _need(bare, threshold)
-        for w in sorted(set(_words(text)), key=lambda w: (w in COMMON, w not in NAMES, -len(w), w)):
+        for w in sorted(set(_words(text)), key=lambda w: (w in COMMON, len(w) <= 3, w not in NAMES, -len(w), w)):
             if len(bare) < need:
                 break
             out.add(w)
@@ -225,71 +225,83 @@ def template_sizes(spark: SparkSession, threshold: float = THRESHOLD, templates=
 _DOC = ["doc_id", "h"]
 
 
-def _may_match(words, templates, threshold: float):
-    """Whether a text or unit of these words can hold a match."""
+def _hints(words, templates, threshold: float):
+    """Whether a text or unit of these words has an anchor, and whether it has words enough for a long template."""
     many, least = long_words(templates, threshold)
-    few = F.arrays_overlap(words, F.array(*map(F.lit, anchors(templates, threshold))).cast("array<string>"))
-    return few | (F.size(F.array_intersect(words, F.array(*map(F.lit, many)).cast("array<string>"))) >= max(least, 1)) if many else few
+    of = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+    return F.arrays_overlap(words, of(anchors(templates, threshold))), (F.size(F.array_intersect(words, of(many))) >= max(least, 1)) & F.lit(bool(many))
+
+
+def _may_match(words, templates, threshold: float):
+    few, many = _hints(words, templates, threshold)
+    return few | many
+
+
+def paragraphs(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, h, p, lines, many): the paragraphs of texts that may match.  ``lines`` are arrays of sentences with words,
+    struct(id, w), of ids in the order of the text; h is the text's hash, and ``many`` says that the text has words enough for a long template."""
+    most = most_words(templates, threshold)
+    words = F.split(normalised("text"), " ")
+    few, many = _hints(words, templates, threshold)
+    likely = docs.select("doc_id", "text", F.explode(F.array(F.struct(few.alias("few"), many.alias("many")))).alias("m")).where("m.few or m.many")
+    each = likely.select("doc_id", F.xxhash64("text").alias("h"), "m.many", F.posexplode(F.split("text", PARAGRAPH)).alias("p", "x"))
+    number = lambda l, i: F.col("p").cast("long") * (1 << 42) + l.cast("long") * (1 << 21) + i.cast("long")  # noqa: E731, E741
+    kept = lambda parts: F.filter(parts, lambda s: (s["w"][0] != "") & (F.size(s["w"]) <= most))
+    line = lambda x, l: kept(F.transform(F.split(x, SENTENCE), lambda s, i: F.struct(number(l, i).alias("id"), F.split(normalised(s), " ").alias("w"))))  # noqa: E731, E741
+    lines = F.filter(F.transform(F.split("x", "\n"), line), lambda x: F.size(x) > 0)
+    return each.select("doc_id", "h", "p", "many", F.explode(F.array(lines)).alias("lines")).where(F.size("lines") > 0)
 
 
-def sentences(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, h, at, p, l, w): the sentences with words of texts that may match; h is the text's hash, p and l are
-    paragraph and line, at runs through the text."""
-    likely = docs.select("doc_id", "text").where(_may_match(F.split(normalised("text"), " "), templates, threshold))
-    part = lambda p, l: lambda s: F.struct(p.alias("p"), l.alias("l"), F.split(normalised(s), " ").alias("w"))  # noqa: E731, E741
-    line = lambda p: lambda x, l: F.transform(F.split(x, SENTENCE), part(p, l))  # noqa: E731, E741
-    paragraph = lambda x, p: F.flatten(F.transform(F.split(x, "\n"), line(p)))
-    every = F.filter(F.flatten(F.transform(F.split("text", PARAGRAPH), paragraph)), lambda s: s["w"][0] != "")
-    rows = likely.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(every).alias("at", "s"))
-    return rows.select("doc_id", "h", "at", "s.p", "s.l", "s.w").dropDuplicates(["doc_id", "h", "at"])
+def _joined(parts):
+    """Sentences as one unit."""
+    return F.struct(F.transform(parts, lambda s: s["id"]).alias("ids"), F.flatten(F.transform(parts, lambda s: s["w"])).alias("w"))
 
 
-def units(parts: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, h, lo, hi, w): sentences, lines of several sentences, paragraphs of several lines and runs of paragraphs, with the
-    sentences that they cover; of up to ``most_words``.
+def units(rows: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, h, ids, w): sentences, lines of several sentences, paragraphs of several lines and runs of paragraphs that may match,
+    with the sentences that they cover; of up to ``most_words``.
 
-    A run starts and ends with a paragraph that has a bigram of a template: without such an end it is nearer to any template."""
+    A run starts and ends with a paragraph that has a bigram of a template: without such an end it is nearer to any template.
+    Only texts that may hold a long template have runs; nothing else is shuffled here."""
     most = most_words(templates, threshold)
-    parts = parts.where(F.size("w") <= most)
-    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "w"))), lambda x: x["w"]))
-    whole = lambda *by: parts.groupBy(*_DOC, *by).agg(F.min("at").alias("lo"), F.max("at").alias("hi"), joined.alias("w"), F.count_distinct("l").alias("lines"))
-    lines = whole("p", "l").where("hi > lo")
-    paragraphs = whole("p").where(F.size("w") <= most)
+    may = lambda u: F.filter(u, lambda x: (F.size(x["w"]) <= most) & _may_match(x["w"], templates, threshold))
+    single = F.transform(F.flatten("lines"), lambda s: F.struct(F.array(s["id"]).alias("ids"), s["w"].alias("w")))
+    line = F.transform(F.filter("lines", lambda x: F.size(x) > 1), _joined)
+    whole = F.when(F.size("lines") > 1, F.array(_joined(F.flatten("lines")))).otherwise(F.array().cast("array<struct<ids:array<bigint>,w:array<string>>>"))
+    within = rows.select(*_DOC, F.explode(may(F.concat(single, line, whole))).alias("u")).select(*_DOC, "u.ids", "u.w")
     known = F.array(*map(F.lit, sorted({" ".join(p) for _, t in templates for p in _pairs(t)})))
-    edge = paragraphs.where(F.arrays_overlap(bigrams("w"), known))
-    upto = F.sum(F.size("w")).over(Window.partitionBy(*_DOC).orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = paragraphs.join(edge.select(*_DOC, "p", F.lit(True).alias("edge")), [*_DOC, "p"], "left").withColumn("upto", upto)
-    near = F.collect_list(F.struct("p", "hi", "upto", "w", "edge")).over(Window.partitionBy(*_DOC).orderBy("upto").rangeBetween(Window.currentRow, most))
+    paragraph = rows.where("many").select(*_DOC, "p", _joined(F.flatten("lines")).alias("u")).select(*_DOC, "p", "u.ids", "u.w").where(F.size("w") <= most)
+    placed = paragraph.dropDuplicates([*_DOC, "p"]).withColumn("edge", F.arrays_overlap(bigrams("w"), known))
+    placed = placed.withColumn("upto", F.sum(F.size("w")).over(Window.partitionBy(*_DOC).orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    near = F.collect_list(F.struct("p", "upto", "ids", "w", "edge")).over(Window.partitionBy(*_DOC).orderBy("upto").rangeBetween(Window.currentRow, most))
     runs = placed.withColumn("near", near).where("edge and size(near) > 1")
-    end = F.filter(F.sequence(F.lit(2), F.size("near")), lambda k: F.coalesce(F.col("near")[k - 1]["edge"], F.lit(False)) & (F.col("near")[k - 1]["p"] - F.col("p") == k - 1))
-    runs = runs.select(*_DOC, "p", "lo", "upto", F.size("w").alias("n"), "near", F.explode(end).alias("k"))
-    runs = runs.where(F.col("near")[F.col("k") - 1]["upto"] - F.col("upto") + F.col("n") <= most)
-    runs = runs.select(*_DOC, "lo", F.col("near")[F.col("k") - 1]["hi"].alias("hi"), F.flatten(F.transform(F.slice("near", 1, F.col("k")), lambda x: x["w"])).alias("w"))
-    one = parts.select(*_DOC, F.col("at").alias("lo"), F.col("at").alias("hi"), "w")
-    return one.unionByName(lines.select(*_DOC, "lo", "hi", "w")).unionByName(paragraphs.where("lines > 1").select(*_DOC, "lo", "hi", "w")).unionByName(runs)
+    nth = lambda k: F.col("near")[k - 1]
+    end = F.filter(F.sequence(F.lit(2), F.size("near")), lambda k: nth(k)["edge"] & (nth(k)["p"] - F.col("p") == k - 1) & (nth(k)["upto"] - F.col("upto") + F.size("w") <= most))
+    runs = runs.select(*_DOC, "near", F.explode(end).alias("k")).withColumn("part", F.slice("near", 1, F.col("k")))
+    runs = runs.select(*_DOC, F.flatten(F.transform("part", lambda x: x["ids"])).alias("ids"), F.flatten(F.transform("part", lambda x: x["w"])).alias("w"))
+    return within.unionByName(runs.where(_may_match(F.col("w"), templates, threshold)))
 
 
 def _best(found: DataFrame, *by: str) -> DataFrame:
     """The matches that are the best on every sentence that they cover (among those of the same ``by``)."""
     mine = F.struct("score", "dice", (-F.col("lo")).alias("a"), "hi")
-    each = found.withColumn("at", F.explode(F.sequence("lo", "hi"))).withColumn("top", F.max(mine).over(Window.partitionBy(*_DOC, "at", *by)))
+    each = found.withColumn("at", F.explode("ids")).withColumn("top", F.max(mine).over(Window.partitionBy(*_DOC, "at", *by)))
     lost = each.where(F.col("top") != mine).select(*_DOC, "lo", "hi").distinct()
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*_DOC, "lo", "hi")]
     return found.alias("a").join(lost.alias("b"), same, "left_anti")
 
 
 def matches(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
-    """(doc_id, h, lo, hi, licences, dice, score): the units that match, with the licences (more than one on a tie)."""
+    """(doc_id, h, lo, hi, ids, licences, dice, score): the units that match, with the licences (more than one on a tie)."""
     sizes = template_sizes(docs.sparkSession, threshold, templates)
-    parts = Stored(sentences(docs, templates, threshold))
-    found = units(parts.df, templates, threshold).where(_may_match(F.col("w"), templates, threshold))
-    pairs = found.select(*_DOC, "lo", "hi", "w", bigrams("w").alias("have")).withColumn("size", F.size("have")).join(F.broadcast(sizes), "size")
+    parts = Stored(paragraphs(docs, templates, threshold))
+    pairs = units(parts.df, templates, threshold).select(*_DOC, "ids", "w", bigrams("w").alias("have")).withColumn("size", F.size("have")).join(F.broadcast(sizes), "size")
     both, total = F.size(F.array_intersect("have", "grams")), F.size("have") + F.size("grams")
-    pairs = pairs.where(F.size(F.array_except("telling", "w")) == 0).select(*_DOC, "lo", "hi", "licence", (2.0 * both / total).alias("dice"), (3 * both - total).alias("score"))
-    most = pairs.where(F.col("dice") >= threshold).groupBy(*_DOC, "lo", "hi").agg(F.max("dice").alias("dice"), F.collect_list(F.struct("dice", "licence", "score")).alias("x"))
+    pairs = pairs.where(F.size(F.array_except("telling", "w")) == 0).select(*_DOC, "ids", "licence", (2.0 * both / total).alias("dice"), (3 * both - total).alias("score"))
+    most = pairs.where(F.col("dice") >= threshold).groupBy(*_DOC, F.get("ids", F.lit(0)).alias("lo"), F.element_at("ids", -1).alias("hi"), "ids").agg(F.max("dice").alias("dice"), F.collect_list(F.struct("dice", "licence", "score")).alias("x"))
     top = F.filter("x", lambda x: x["dice"] == F.col("dice"))
     names = F.array_sort(F.array_distinct(F.transform(top, lambda x: x["licence"])))
-    found = cut(most.select(*_DOC, "lo", "hi", F.array_join(names, ",").alias("licences"), "dice", F.array_max(F.transform(top, lambda x: x["score"])).alias("score")))
+    found = cut(most.select(*_DOC, "lo", "hi", "ids", F.array_join(names, ",").alias("licences"), "dice", F.array_max(F.transform(top, lambda x: x["score"])).alias("score")))
     parts.drop()
     return _best(_best(found, "licences"))
 
