@@ -316,15 +316,16 @@ def a21(spark, d):
 @query(
     "k13_merged",
     "edits",
-    """SELECT (SELECT string_agg(CASE WHEN ord % 3 <> 0 THEN CAST(ord AS STRING) END, chr(10) || chr(10) ORDER BY k, ord) FROM e) AS reasoning, (SELECT count(*) FROM e) AS n_edits, (SELECT string_agg(file, ',' ORDER BY k, ord) FROM e) AS files, CAST(max(level) AS INTEGER) AS levels FROM s""",
+    """SELECT (SELECT string_agg(CAST(ord AS STRING), ' ' ORDER BY CAST(ord AS STRING)) FROM e WHERE ord % 3 <> 0) AS reasoning, (SELECT count(*) FROM e) AS n_edits, (SELECT string_agg(file, ',' ORDER BY file) FROM e) AS files, CAST(max(level) AS INTEGER) AS levels FROM s""",
     """e AS (SELECT edits.*, o_custkey AS k FROM edits JOIN orders ON ord = o_orderkey),
 s AS (WITH RECURSIVE s(n, level) AS (SELECT count(DISTINCT k), 0 FROM e UNION ALL SELECT CASE WHEN n <= 5 THEN 1 WHEN n % 5 BETWEEN 1 AND 2 THEN n // 5 ELSE n // 5 + CAST(n % 5 > 0 AS BIGINT) END, level + 1 FROM s WHERE n > 1) SELECT * FROM s)""",
 )
 def k13(spark, d):
-    """The edits of every customer are a patch; all patches are merged in groups of five, level by level, and the order is kept."""
+    """The edits of every customer are a patch; all patches are merged in groups of five, level by level; nothing is lost."""
     key = fx(spark, d, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("k"))
     patches = P.coalesced(_patches(spark, d).join(key, "ord"), "k").drop("ord").withColumnRenamed("k", "ord")
-    return P.merged(patches, 5).select("reasoning", F.size("edits").cast("long").alias("n_edits"), F.array_join("edits", ",").alias("files"), "levels")
+    parts = F.array_join(F.array_sort(F.split("reasoning", "\n\n")), " ")  # rests are dealt to the groups before them, so the order is another
+    return P.merged(patches, 5).select(parts.alias("reasoning"), F.size("edits").cast("long").alias("n_edits"), F.array_join(F.array_sort("edits"), ",").alias("files"), "levels")
 
 
 @query("u1_tagged_union", "logs", "SELECT row_id, CASE outcome WHEN 'FAILED' THEN 'error' ELSE 'success' END AS source, CASE outcome WHEN 'FAILED' THEN 0 ELSE 1 END AS source_order FROM l", _L)
