@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,8 +53,19 @@ def cells_of(df: DataFrame, column: str = "range", max_row=None, max_column=None
 
 @F.pandas_udf(DoubleType())
 def round_half_even(x: pd.Series) -> pd.Series:
-    """To two decimals, exactly as the binary double is nearer (half to even)."""
-    return x.map(lambda v: v if v is None or not math.isfinite(v) else round(float(v), 2))
+    """To two decimals, exactly as the binary double is nearer (half to even).
+
+    A hundredfold double tells on which side of a half the value is, unless it is within its rounding error of
+    one; only those few values are rounded exactly one by one."""
+    v = x.to_numpy(np.float64, na_value=np.nan)
+    with np.errstate(invalid="ignore", over="ignore"):
+        scaled = v * 100
+        plain = np.abs(v) < 1e12
+        out = np.where(plain, np.rint(scaled) / 100, v)
+        half = np.abs(np.abs(scaled - np.trunc(scaled)) - 0.5) <= np.abs(scaled) * 1e-15
+        close = np.flatnonzero(np.isfinite(v) & (half | ~plain))
+    out[close] = [round(float(e), 2) for e in v[close]]
+    return pd.Series(out).where(x.notna(), None)
 
 
 def normal_cell(kind: Column, num: Column, text: Column, ts: Column, rounded=round_half_even) -> Column:

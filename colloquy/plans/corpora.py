@@ -179,13 +179,23 @@ UNION ALL SELECT dialogue_id, utt_idx, domain, 'Book', 'none', 'none' FROM a WHE
 UNION ALL SELECT dialogue_id, utt_idx, domain, CASE WHEN domain = 'Train' AND intent = 'OfferBooked' THEN 'Inform' ELSE intent END, slot, value FROM a WHERE domain <> 'Booking'""",
     _ACTS
     + """, a AS (SELECT *, CASE about WHEN 'Hotel' THEN slot IN ('Ref', 'People') WHEN 'Restaurant' THEN slot IN ('Ref', 'People', 'Time') WHEN 'Train' THEN slot IN ('Ref', 'People', 'Time') END AS fits
- FROM (SELECT *, CASE coalesce(prev, CASE WHEN booked THEN act_domain END) WHEN 'hotel' THEN 'Hotel' WHEN 'restaurant' THEN 'Restaurant' WHEN 'train' THEN 'Train' END AS about FROM acts))""",
+ FROM (SELECT *, CASE CASE WHEN prev IS NOT NULL AND (dialogue_id + utt_idx) % 7 <> 0 THEN prev WHEN booked AND act_domain IS NOT NULL THEN act_domain WHEN utt_idx % 3 = 1 THEN 'hotel' WHEN dialogue_id % 3 = 0 THEN 'restaurant'
+ WHEN dialogue_id % 3 = 1 THEN 'train' WHEN utt_idx % 2 = 0 THEN 'hotel' ELSE prev END WHEN 'hotel' THEN 'Hotel' WHEN 'restaurant' THEN 'Restaurant' WHEN 'train' THEN 'Train' END AS about FROM acts))""",
 )
 def m27(spark, d):
-    one = lambda c: F.when(F.col(c).isNull(), F.array().cast("array<string>")).otherwise(F.array(F.initcap(c)))
-    none = F.array().cast("array<string>")
-    rows = _acts(spark, d).withColumns({"current_user": one("prev"), "booked_domain": F.when(F.col("booked"), F.initcap("act_domain")), "keyword_user": none, "keyword_system": none, "current_system": none, "next_user": none})
-    return C.remap_booking_acts(rows.drop("act_domain", "booked", "prev"), ONTOLOGY)
+    """Every source of the domain decides somewhere; two domains at once decide nothing but as the last resort."""
+    named = lambda cond, *names: F.when(F.expr(cond), F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>"))
+    prev = F.initcap("prev")
+    current = F.when(F.col("prev").isNull(), F.array().cast("array<string>")).when(F.expr("(dialogue_id + utt_idx) % 7 = 0"), F.array(prev, F.lit("Police"))).otherwise(F.array(prev))
+    context = {
+        "current_user": current,
+        "booked_domain": F.when(F.col("booked"), F.initcap("act_domain")),
+        "keyword_user": F.when(F.expr("utt_idx % 3 = 2"), F.array(F.lit("Hotel"), F.lit("Train"))).otherwise(named("utt_idx % 3 = 1", "Hotel")),
+        "keyword_system": named("dialogue_id % 3 = 0", "Restaurant"),
+        "current_system": named("dialogue_id % 3 = 1", "Train"),
+        "next_user": named("dialogue_id % 3 = 2 and utt_idx % 2 = 0", "Hotel"),
+    }
+    return C.remap_booking_acts(_acts(spark, d).withColumns(context).drop("act_domain", "booked", "prev"), ONTOLOGY)
 
 
 @query("m28_flatten_acts", "slots", "SELECT dialogue_id, domain, kind AS intent, slot, coalesce(gt_value, '') AS value FROM slots")

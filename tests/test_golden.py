@@ -278,3 +278,13 @@ def test_lookups_against_brute_force(spark):
 
     for i, d, c in asks:
         assert got.get(i, []) == [o for x, o, a in ents if x == d and ok(a, i, c)][:4], (i, d, c)
+
+
+def test_rounding():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=5000) * 10.0 ** rng.integers(-3, 15, 5000), rng.integers(-100000, 100000, 5000) / 1000 + 0.005, np.arange(-300, 300) / 200, [2.675, 1.005, 1e300, -1e-300, np.inf, -np.inf, 4503599627370497.5]])
+    got = scoring.round_half_even.func(pd.Series(x)).to_numpy(float)
+    assert all(g == round(float(v), 2) or not np.isfinite(v) for g, v in zip(got, x))
