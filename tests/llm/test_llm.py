@@ -795,3 +795,19 @@ def test_language_predictions_against_brute_force(spark):
         apart = {lang: sum(abs(p[g] - i) if g in p else language.PROFILE for i, g in enumerate(mine)) for lang, p in profiles.items()}
         best = min(sorted(apart), key=apart.get)
         assert r.lang_pred == best and r.score == pytest.approx(1 - apart[best] / (len(mine) * language.PROFILE))
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """All stages together on nulls, empty and repeated texts, clashing names and very long texts."""
+    import corpus_pipeline as c
+
+    rng = random.Random(3)
+    long = prose(rng, 40000, 10**6)
+    rows = [*ODD, (20, prose(rng, 300, 10**6), "en", "a", 1), (21, long, "en", "b", 1), (22, long + " tail", "en", "b", 1), (None, "some words here", "en", None, None)]
+    docs = table(spark, rows).withColumns({x: F.lit("x") for x in CLASHES if x != "Score"})
+    folder = str(tmp_path)
+    docs.coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    table(spark, [(1, "nothing that is in them at all but these very many words of its own")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    out = c.run(spark, folder).collect()
+    ids = {i for r in out for i in r.doc_ids}
+    assert {4, 6, 20, 21} <= ids <= {4, 6, 7, 20, 21, None} and all(r.n_words <= mixing.BLOCK for r in out)
