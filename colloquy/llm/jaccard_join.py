@@ -11,7 +11,8 @@
    threshold t is P(Binomial(n + 1, t) <= m); a pair goes once that is below
    ``TOLERANCE``.  The rest are verified on the sets themselves.  A pair that
    shares several buckets counts in its first band only.
-4. A bucket of more than ``BUCKET`` members, or ``BYTES`` of their sets, is dealt into parts by hash, and each
+4. Large buckets that share members are put together where that is less work, so that near copies of one text,
+   which meet in many bands, are compared once.  A bucket of more than ``BUCKET`` members, or ``BYTES`` of their sets, is dealt into parts by hash, and each
    pair of parts is a group of its own: no group grows with the data, and no
    link is lost.  Pairs never become rows; a group returns, for each member,
    its number of links and the least member that it is connected with.  As links are
@@ -38,7 +39,7 @@ HASHES, BAND = 128, 4
 STEP = 32
 TOLERANCE = 1e-9
 #: Members that are compared in one group, and bytes of their signatures and sets.
-BUCKET, BYTES = 1024, 16 << 20
+BUCKET, BYTES = 512, 16 << 20
 
 
 def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
@@ -93,12 +94,21 @@ def _sets(batches):
             )
 
 
+_NONE = -(1 << 63)
+
+
+def _met(sig: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """For each row of sig and band whether all values of the band equal other's."""
+    return (sig == other).reshape(len(sig), HASHES // BAND, BAND).all(2)
+
+
 def _linked(table: pa.Table, threshold: float, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Of one group: pairs i < j of rows that reach the threshold and share no earlier band."""
     n = table.num_rows
     sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(n, HASHES)
     part, band = table.column("part").to_numpy(), table.column("band")[0].as_py()
     size = table.column("n").to_numpy().astype(np.int64)
+    grp = table.column("grp").fill_null(_NONE).to_numpy()
     cross = table.column("p")[0].as_py() != table.column("q")[0].as_py()
     found = []
     for i in range(n - 1):
@@ -114,8 +124,9 @@ def _linked(table: pa.Table, threshold: float, least: dict[int, int]) -> tuple[n
             j, m = j[stay], m[stay]
             if not len(j):
                 break
-        if len(j):  # a pair that met in an earlier band is verified there
-            met = (sig[j] == sig[i]).reshape(len(j), HASHES // BAND, BAND).all(2)
+        if band >= 0:  # a pair of one merged bucket, or that met in an earlier band, is verified there
+            j = j[(grp[j] != grp[i]) | (grp[i] == _NONE)]
+            met = _met(sig[j], sig[i])
             j = j[met.argmax(1) == band]
         found.append(np.stack([np.full(len(j), i), j]))
     a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
@@ -169,6 +180,30 @@ def _group(threshold: float, least: dict[int, int]):
     return run
 
 
+def _merged(members: DataFrame, sizes: DataFrame, bucket: int) -> DataFrame:
+    """members(k1, band, key, parts) with large buckets that share members put together where that is less work, and ``grp``.
+
+    Near copies of one text meet in many bands, in a large bucket each.  All large buckets that hang together become
+    one (of band -1), if comparing all its members once takes no more rows than the buckets take one by one.  Members
+    carry the number of such a bucket as ``grp`` (null for none), so that other buckets leave their pairs out."""
+    none = F.lit(None).cast("long").alias("grp")
+    hot = cut(members.where("parts > 1"))
+    if hot.isEmpty():
+        return members.select("*", none)
+    each = cut(hot.groupBy("band", "key").agg(F.min("k1").alias("low"), (F.count("*") * F.max("parts")).alias("rows")))
+    links = hot.join(if_small(each.select("band", "key", "low")), ["band", "key"]).select(F.col("k1").alias("a"), F.col("low").alias("b"))
+    group = cut(components(links).withColumnRenamed("node", "k1"))
+    apart = each.join(group.withColumnRenamed("k1", "low"), "low").groupBy("root").agg(F.sum("rows").alias("rows"))
+    together = group.join(sizes, "k1").groupBy("root").agg(F.count("*").alias("m"), F.sum(F.col("n").cast("long") * 8 + 4 * HASHES).alias("bytes"))
+    together = together.withColumn("parts", F.least("m", F.greatest(F.ceil(F.col("m") / bucket), F.ceil(F.col("bytes") / BYTES))).cast("int"))
+    together = cut(together.join(apart, "root").where(F.col("m") * F.col("parts") <= F.col("rows")).select("root", "parts"))
+    chosen = cut(group.join(if_small(together), "root").select("k1", F.col("root").alias("grp"), F.col("parts").alias("all_parts")))
+    gone = cut(each.join(chosen.select(F.col("k1").alias("low")), "low", "left_semi").select("band", "key"))
+    rest = members.join(if_small(gone), ["band", "key"], "left_anti").join(if_small(chosen.select("k1", "grp")), "k1", "left")
+    new = chosen.select("k1", F.lit(-1).cast(members.schema["band"].dataType).alias("band"), F.col("grp").alias("key"), F.col("all_parts").alias("parts"), none)
+    return rest.select("k1", "band", "key", "parts", "grp").unionByName(new)
+
+
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, set_id, class_id, n_copies, n_links), a row for each row of docs.
 
@@ -196,8 +231,9 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     full = near.join(sets, "k1").select("k1", "n", "sig", "shingles")
 
     part = F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int")
+    members = _merged(members, near.select("k1", "n"), bucket)
     dealt = members.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("k1", "band", "key", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    dealt = dealt.select("k1", "band", "key", "grp", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
     found = cut(dealt.join(full, "k1").groupBy("band", "key", "p", "q").applyInArrow(_group(threshold, least_matches(threshold, tolerance)), "k1 long, least long, links long"))
     root = components(found.select(F.col("k1").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "k1")
     links = found.groupBy("k1").agg(F.sum("links").alias("n_links"))

@@ -166,17 +166,17 @@ def jaccard_brute(texts, threshold=0.8):
     return {i: (i, 0) if not s else (find(rep[s]), links[rep[s]]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("bucket", [1024, 4])
+@pytest.mark.parametrize("bucket", [1024, 20, 4])
 def test_jaccard_join(spark, bucket):
     rng = random.Random(7)
     base = [prose(rng, 120) for _ in range(12)]
     texts = {}
-    for i in range(70):
+    for i in range(130):
         w = base[i % 12 if i < 40 else 0].split()
-        for _ in range(rng.randrange(4)):
+        for _ in range(rng.randrange(4 if i < 70 else 2)):
             w[rng.randrange(len(w))] = f"n{i}"
         texts[i] = " ".join(w)
-    texts |= {100: "a b", 101: "A, b!", 102: "a c", 103: "", 104: "?!", 105: texts[3].upper()}
+    texts |= {200: "a b", 201: "A, b!", 202: "a c", 203: "", 204: "?!", 205: texts[3].upper()}
     docs = table(spark, [(i, t) for i, t in texts.items()], "doc_id long, text string")
     got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.near_classes(docs, bucket=bucket).collect()}
     assert got == jaccard_brute(texts)
