@@ -2,6 +2,10 @@
 
 ``run`` hands each stage's rows to the next; a driver may also call the stages one by
 one and write what each returns in between.
+
+Every stage takes documents as the one before left them, with any further columns of any names, and all but the last
+return the columns they were given.  Null and empty texts, and those without words, go in the first stage; what is
+said of nulls, repeated rows, ties and very long texts stands at each operator.  An empty table passes through.
 """
 
 from __future__ import annotations
