@@ -36,3 +36,9 @@ def numbered(df: DataFrame, *order) -> DataFrame:
     per = per.select("__p", "__low", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("c").over(Window.partitionBy()).alias("__n"))
     out = rows.join(F.broadcast(per), "__p")
     return out.withColumn("__i", F.col("__before") + F.col("__m") - F.col("__low")).drop("__p", "__m", "__low", "__before")
+
+
+def if_few(df: DataFrame, rows: int = 100_000, items=None) -> DataFrame:
+    """Hints a broadcast of a materialised side only if its rows, or the items in them (a column), are few."""
+    n = df.agg(F.coalesce(F.sum(items if items is not None else F.lit(1)), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= rows else df

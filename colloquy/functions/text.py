@@ -145,11 +145,11 @@ def response_parts(c) -> Column:
     The action is query_db or final; arguments are the JSON object up to the last brace, null if it is
     none; all are null or empty where no action is named."""
     c = F.col(c) if isinstance(c, str) else c
+    # The marks of the response format.
     action = F.lower(F.regexp_extract(c, r"(?i)ACTION:\s*(query_db|FINAL)", 1))
     args = F.regexp_extract(c, r"(?s)ARGUMENTS:\s*(\{.*\})", 1)
     reply = strip(F.regexp_extract(c, r"(?s)RESPONSE:\s*(.+?)(?=\nARGUMENTS:|\n\z)", 1))
     named = action != ""
-    # (Fixed values above: the marks of the response format.)
     return F.struct(
         F.when(named, action).alias("action"),
         F.when(named, F.coalesce(F.from_json(args, "map<string,string>"), F.create_map().cast("map<string,string>"))).alias("arguments"),

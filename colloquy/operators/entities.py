@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, if_few
 from ..functions.text import clock
 
 # Attributes that results leave out, other names of attributes, and the
@@ -56,6 +56,12 @@ def _grams(value: Column) -> Column:
     return F.array_distinct(F.concat(parts, short, single, F.array(F.lit(""))))
 
 
+def _checked(rows: DataFrame, ok: Column) -> DataFrame:
+    """Rows for which ok holds, tested on the joined rows: as a condition of the join itself the engine may lose columns that
+    only a lambda in it reads."""
+    return rows.select("*", F.explode(F.array(ok)).alias("__ok")).where("__ok").drop("__ok")
+
+
 def containing(entities: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
     """entities(domain, ord, attrs) of which every constraint of queries(query_id, domain, constraints) is
     part, without regard to case; a constraint on an attribute that is not there fails.  The first ``most``.
@@ -74,7 +80,7 @@ def containing(entities: DataFrame, queries: DataFrame, most: int = 10) -> DataF
     rarest = wants.join(size, ["domain", "k", "want"]).groupBy("s").agg(F.min_by(F.struct("domain", "k", "want"), "size").alias("x"), F.count("*").alias("found"))
     rarest = sets.select("s", "constraints").join(rarest, "s").where("found = size(constraints)").select("s", "constraints", "x.*")
     ok = F.forall(F.map_entries(F.col("constraints")), lambda c: F.coalesce(F.contains(F.lower(F.try_element_at(F.col("attrs"), c["key"])), F.lower(c["value"])), F.lit(False)))
-    hits = rarest.join(pairs.drop("n"), ["domain", "k", "want"]).join(each, ["domain", "k", "v"]).where(ok)
+    hits = _checked(rarest.join(pairs.drop("n"), ["domain", "k", "want"]).join(each, ["domain", "k", "v"]), ok)
     found = first_in_order(hits.select("s", "domain", "ord", "attrs"), most, "s")
     heads = first_in_order(entities.select("domain", "ord", "attrs"), most, "domain")
     found = found.unionByName(sets.where("size(constraints) = 0").select("s", "domain").join(heads, "domain"))
@@ -138,9 +144,9 @@ def satisfying(entities: DataFrame, queries: DataFrame, most: int = 10, ignore_o
     each = sets.select("s", "domain", F.explode("hard").alias("k", "v")).where(F.col("v").isNotNull() & ~F.col("v").isin(*ANY) & ~F.col("k").isin(*times, *open_keys))
     wants = cut(each.select("s", "domain", "k", plain("v").alias("v")))
     # an entity stands under its value of every attribute that is asked for, or under null where that does not count
-    asked = wants.select("domain", "k").distinct().groupBy("domain").agg(F.collect_set("k").alias("keys"))
+    asked = cut(wants.select("domain", "k").distinct().groupBy("domain").agg(F.collect_set("k").alias("keys")))
     have = F.try_element_at(F.col("attrs"), F.col("k"))
-    placed = entities.select("domain", "ord", "attrs").join(F.broadcast(asked), "domain").select("domain", "ord", "attrs", F.explode("keys").alias("k")).withColumn("v", F.when(F.trim(have) != "?", plain(have)))
+    placed = entities.select("domain", "ord", "attrs").join(if_few(asked, items=F.size("keys")), "domain").select("domain", "ord", "attrs", F.explode("keys").alias("k")).withColumn("v", F.when(F.trim(have) != "?", plain(have)))
     size = placed.groupBy("domain", "k", "v").agg(F.count("*").alias("n"))
     rarest = wants.join(size, ["domain", "k", "v"], "left").groupBy("s").agg(F.min_by(F.struct("domain", "k", "v"), F.coalesce("n", F.lit(0))).alias("x"))
     chosen = sets.drop("domain").join(rarest, "s").select("s", "hard", "soft", "x.domain", "x.k", F.explode(F.array(F.col("x.v"), F.lit(None))).alias("v"))
@@ -153,7 +159,7 @@ def satisfying(entities: DataFrame, queries: DataFrame, most: int = 10, ignore_o
     rest = rest.withColumn("hour", F.explode(F.concat(F.array(F.lit(-1)), F.sequence(F.coalesce(wanted, F.lit(0)), F.lit(24)))))
     by_hour = rest.join(entities.select("domain", "ord", "attrs", F.coalesce(hour(F.try_element_at("attrs", F.lit("leaveAt"))), F.lit(-1)).alias("hour")), ["domain", "hour"])
     columns = ["s", "domain", "hard", "soft", "ord", "attrs"]
-    found = by_value.select(*columns).unionByName(by_hour.select(*columns)).where(F.forall(F.map_entries("hard"), meets))
+    found = _checked(by_value.select(*columns).unionByName(by_hour.select(*columns)), F.forall(F.map_entries("hard"), meets))
     plainly = first_in_order(found.where(F.size("soft") == 0).select("s", "domain", "ord", "attrs"), most, "s")
     if sets.where(F.size("soft") > 0).isEmpty():
         rows = plainly
