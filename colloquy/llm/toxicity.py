@@ -74,46 +74,60 @@ def _count(batches):
         for rows, data, offsets in T.pieces(batch):
             w = T.words_of(data, offsets)
             code, grams, word = _word_grams(w)
-            toxic = np.repeat(rows.column("toxic").to_numpy(zero_copy_only=False) == 1, w.counts)
+            toxic, apart = (np.repeat(rows.column(c).to_numpy(zero_copy_only=False) == 1, w.counts) for c in ("toxic", "apart"))
             n = int(code.max()) + 1 if len(code) else 0
-            t, o = np.bincount(code[toxic], minlength=n), np.bincount(code[~toxic], minlength=n)
             known, which = np.unique(grams, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), *[pa.array(np.bincount(which, x[word], len(known)).astype(np.int64)) for x in (t, o)]], names=["k", "t", "o"])
+            per = [np.bincount(code[some], minlength=n) for some in (toxic, ~toxic, toxic & ~apart, ~toxic & ~apart)]
+            yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), *[pa.array(np.bincount(which, x[word], len(known)).astype(np.int64)) for x in per]], names=["k", *_COUNTS])
+
+
+_COUNTS = ("t0", "o0", "t1", "o1")
 
 
 def counts(labelled: DataFrame) -> DataFrame:
-    """(k, t, o): letter group of the highest order, its count in toxic and in ordinary texts of labelled(text, toxic)."""
-    return labelled.select("text", "toxic").mapInArrow(_count, "k long, t long, o long").groupBy("k").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    """(k, t0, o0, t1, o1): letter group of the highest order, its count in toxic and in ordinary texts of labelled(text, toxic, apart), of
+    all of them and of those that are not ``apart`` (1)."""
+    rows = labelled if "apart" in labelled.columns else labelled.withColumn("apart", F.lit(0))
+    return rows.select("text", "toxic", "apart").mapInArrow(_count, "k long, t0 long, o0 long, t1 long, o1 long").groupBy("k").agg(*[F.sum(c).alias(c) for c in _COUNTS])
 
 
 def model_table(highest: DataFrame) -> DataFrame:
-    """(m, k, v, own) from counts: v is log P_toxic / P_ordinary of a seen group of m
-    letters (own) or, for a seen context (not own), the log ratio of the freed masses."""
+    """(m, k, v0, v1, own) from counts: v is log P_toxic / P_ordinary of a seen group of m
+    letters (own) or, for a seen context (not own), the log ratio of the freed masses; v0 by the counts of all
+    texts, v1 by those of the texts that are not apart (null for what those have not got).  Both come from the same joins."""
+    both = (0, 1)
     levels = {HIGH: highest}
     for m in range(HIGH - 1, LOW - 2, -1):
-        seen = lambda c: F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).alias(c)
-        levels[m] = levels[m + 1].groupBy(F.col("k").bitwiseAND(F.lit(_mask(m))).alias("k")).agg(seen("t"), seen("o"))
+        seen = [F.count_if(F.col(c) > 0).alias(c) for c in _COUNTS]
+        levels[m] = levels[m + 1].groupBy(F.col("k").bitwiseAND(F.lit(_mask(m))).alias("k")).agg(*seen)
     ctx = F.shiftrightunsigned("k", BITS).alias("h")
-    base = levels[LOW - 1].select("k", ctx, (F.col("t") + F.col("o")).alias("s"))
-    total = base.groupBy("h").agg(F.sum("s").alias("n"), F.count("*").alias("kinds"))
-    p = (F.greatest(F.col("s") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") / CODES) / F.col("n")
-    lower = base.join(total, "h").select("k", p.alias("pt"), p.alias("po"))
+    base = levels[LOW - 1].select("k", ctx, *[(F.col(f"t{i}") + F.col(f"o{i}")).alias(f"s{i}") for i in both])
+    total = base.groupBy("h").agg(*[x for i in both for x in (F.sum(f"s{i}").alias(f"n{i}"), F.count_if(F.col(f"s{i}") > 0).alias(f"kinds{i}"))])
+    p = lambda i: F.when(F.col(f"n{i}") > 0, (F.greatest(F.col(f"s{i}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"kinds{i}") / CODES) / F.col(f"n{i}"))
+    lower = base.join(total, "h").select("k", *[p(i).alias(f"p{c}{i}") for i in both for c in "to"])
     out = None
     for m in range(LOW, HIGH + 1):
-        now = levels[m].select("k", "t", "o", ctx, F.col("k").bitwiseAND(F.lit(_mask(m - 1))).alias("low"))
+        now = levels[m].select("k", *_COUNTS, ctx, F.col("k").bitwiseAND(F.lit(_mask(m - 1))).alias("low"))
         cut_off = lambda c: F.sum(F.least(F.col(c).cast("double"), F.lit(DISCOUNT)))
-        by = now.groupBy("h").agg(F.sum("t").alias("nt"), F.sum("o").alias("no"), cut_off("t").alias("dt"), cut_off("o").alias("do"))
-        freed = lambda d, n: F.when(F.col(n) > 0, F.col(d) / F.col(n)).otherwise(1.0)
-        by = by.select("h", "nt", "no", freed("dt", "nt").alias("lt"), freed("do", "no").alias("lo"))
-        part = lambda c, n: F.when(F.col(n) > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(n)).otherwise(0.0)
+        by = now.groupBy("h").agg(*[x for c in _COUNTS for x in (F.sum(c).alias(f"n{c}"), cut_off(c).alias(f"d{c}"))])
+        by = by.select("h", *[f"n{c}" for c in _COUNTS], *[F.when(F.col(f"n{c}") > 0, F.col(f"d{c}") / F.col(f"n{c}")).otherwise(1.0).alias(f"l{c}") for c in _COUNTS])
         full = now.join(by, "h").join(lower.withColumnRenamed("k", "low"), "low")
-        lower = cut(full.select("k", (part("t", "nt") + F.col("lt") * F.col("pt")).alias("pt"), (part("o", "no") + F.col("lo") * F.col("po")).alias("po")))
-        rows = lower.select(F.lit(m).alias("m"), "k", F.log(F.col("pt") / F.col("po")).alias("v"), F.lit(True).alias("own"))
-        rows = rows.unionByName(by.select(F.lit(m).alias("m"), F.col("h").alias("k"), F.log(F.col("lt") / F.col("lo")).alias("v"), F.lit(False).alias("own")))
+        part = lambda c: F.when(F.col(f"n{c}") > 0, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"n{c}")).otherwise(0.0)
+        any_ = lambda i, a, b: F.col(a) + F.col(b) > 0
+        lower = full.select("k", *[(F.when(any_(i, f"t{i}", f"o{i}"), part(f"{c}{i}") + F.col(f"l{c}{i}") * F.col(f"p{c}{i}"))).alias(f"p{c}{i}") for i in both for c in "to"])
+        lower = cut(lower)
+        rows = lower.select(F.lit(m).alias("m"), "k", *[F.log(F.col(f"pt{i}") / F.col(f"po{i}")).alias(f"v{i}") for i in both], F.lit(True).alias("own"))
+        freed = [F.when(any_(i, f"nt{i}", f"no{i}"), F.log(F.col(f"lt{i}") / F.col(f"lo{i}"))).alias(f"v{i}") for i in both]
+        rows = rows.unionByName(by.select(F.lit(m).alias("m"), F.col("h").alias("k"), *freed, F.lit(False).alias("own")))
         out = rows if out is None else out.unionByName(rows)
     return cut(out)
 
 
+def _of(table: DataFrame, i: int) -> DataFrame:
+    """(m, k, v, own) of one of the two models."""
+    return table.where(F.col(f"v{i}").isNotNull()).select("m", "k", F.col(f"v{i}").alias("v"), "own")
+
+
 class Lookup:
     """Values by key: sorted keys with an index over their upper bits."""
 
@@ -268,8 +282,9 @@ def report(docs: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     learn = cut(labels.where("toxic in (0, 1) and doc_id is not null").where(mine != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     rows = docs.where(mine != 0).join(if_small(learn), "doc_id")
-    beta = calibrate(cut(_scores(rows.where(mine == 1), model_table(cut(counts(rows.where(mine != 1)))), block)))
-    table = model_table(cut(counts(rows)))
+    both = model_table(cut(counts(rows.withColumn("apart", (mine == 1).cast("int")))))
+    beta = calibrate(cut(_scores(rows.where(mine == 1), _of(both, 1), block)))
+    table = _of(both, 0)
     share = learn.agg(F.avg("toxic")).first()[0]
     none = float(np.log((share + 1e-6) / (1 - share + 1e-6))) if share is not None else -30.0
     if not beta.any():

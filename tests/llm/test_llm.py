@@ -751,14 +751,19 @@ def test_kneser_ney_against_brute_force(spark):
             out = out << toxicity.BITS | (0 if ch == "^" else ord(ch) % toxicity.CODES + 1)
         return out
 
-    have = {(r.m, r.k): r.v for r in got.itertuples()}
+    assert (got.v0 == got.v1).all()
+    have = {(r.m, r.k): r.v0 for r in got.itertuples()}
     groups = {k for _, k in want}
     assert len(have) == len({(len(g), key(g)) for g in groups})
     for g in groups:
         assert have[len(g), key(g)] == pytest.approx(np.log(want[1, g] / want[0, g])), g
     # a text's evidence is the sum over its letters, of whichever order has seen them
     one = texts[3][0]
-    model = toxicity.evidence(table(spark, [(1, one), (2, None)], "doc_id long, text string"), toxicity.model_table(toxicity.counts(rows))).toPandas().set_index("doc_id")
+    model = toxicity.evidence(table(spark, [(1, one), (2, None)], "doc_id long, text string"), toxicity._of(toxicity.model_table(toxicity.counts(rows)), 0)).toPandas().set_index("doc_id")
+    half = toxicity.model_table(toxicity.counts(rows.withColumn("apart", F.expr("cast(doc_id % 2 = 1 as int)")))).orderBy("m", "k", "own")
+    alone = toxicity.model_table(toxicity.counts(rows.where("doc_id % 2 = 0"))).orderBy("m", "k", "own")
+    a, b = (toxicity._of(x, i).toPandas() for x, i in ((half, 1), (alone, 0)))
+    assert a[["m", "k", "own"]].equals(b[["m", "k", "own"]]) and np.allclose(a.v, b.v)
     total = sum(np.log(want[1, g] / want[0, g]) for w in words(one) for i in range(len(w)) for g in [("^" * toxicity.HIGH + w[: i + 1])[-toxicity.HIGH :]])
     assert model["__sum"][1] == pytest.approx(total) and model["__n"][1] == sum(map(len, words(one))) and model["__n"][2] == 0
 
