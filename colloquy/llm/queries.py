@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language, licences, media, mixing, passages, token_counts, toxicity, warc
+from . import decontaminate, jaccard_join, language, licences, media, mixing, passages, quality, token_counts, toxicity, warc
 from .session import table
 
 
@@ -55,6 +55,10 @@ def op10_mixing(spark, d):
     return mixing.report(table(spark, d, "documents"))
 
 
+def op13_quality(spark, d):
+    return quality.report(table(spark, d, "documents"))
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -134,6 +138,29 @@ SELECT file, CAST(slot AS INTEGER) AS slot, coalesce(l.page_id, o.page_id) AS pa
 FROM l FULL JOIN o USING (file, slot, rid) WHERE a IS DISTINCT FROM b
 """
 
+_SPLIT = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_CHARS = r"length(regexp_replace({}, '[\x20\x09-\x0D]+', '', 'g'))"
+_SYMBOLS = "len(regexp_extract_all({}, '[#*$%&|<>]'))"
+_LIKE = "len(list_filter(w, lambda x: regexp_matches(x, {})))"
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT k, {_SPLIT.format("t")} AS w FROM d),
+g AS (SELECT k, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+r AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(i, i + 3)) AS p FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM g) WHERE c > 1) GROUP BY k),
+l0 AS (SELECT k, unnest(x) AS l, generate_subscripts(x, 1) AS p FROM (SELECT k, string_split(t, chr(10)) AS x FROM d)),
+l1 AS (SELECT *, row_number() OVER (PARTITION BY k, l ORDER BY p) > 1 AS again, {_SPLIT.format("l")} AS w FROM l0),
+l2 AS (SELECT k, l, again, {_CHARS.format("l")} AS chars, len(w) AS n, {_SYMBOLS.format("l")} AS marks, {_LIKE.format(_sql(quality.ENDS))} AS stops, {_LIKE.format(_sql(quality.SEPARATOR))} AS parts,
+  {_LIKE.format(_sql(quality.PAGE))} AS pages, regexp_matches(l, {_sql(quality.PHRASE)}) AS phrase FROM l1 WHERE len(w) > 0),
+l3 AS (SELECT *, 10 * marks > n OR stops = 0 OR (n >= 3 AND 2 * stops > n) OR (parts >= 2 AND 5 * parts >= n) OR (n <= {quality.MENU} AND pages > 0 AND pages + parts = n)
+  OR again OR (n <= {quality.SHORT_LINE} AND phrase) AS gone FROM l2),
+s AS (SELECT k, count(*) AS n_lines, count(*) FILTER (gone) AS n_lines_removed, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(chars) FILTER (gone), 0) AS chars_removed FROM l3 GROUP BY k),
+a AS (SELECT k, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST({_CHARS.format("t")} AS BIGINT) AS word_chars, CAST({_SYMBOLS.format("t")} AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+  coalesce(r.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_lines_removed, 0) AS n_lines_removed, CAST(coalesce(chars_removed, 0) AS BIGINT) AS chars_removed
+  FROM d JOIN w USING (k) LEFT JOIN r USING (k) LEFT JOIN s USING (k)),
+b AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed FROM a)
+SELECT * EXCLUDE (k), NOT base_failed AND chars_removed <= {quality.LOSS}::DOUBLE * word_chars AS kept FROM b
+"""
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_decontaminate": op2_decontaminate,
@@ -145,5 +172,6 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op13_quality": op13_quality,
 }
-ORACLE = {"op2_decontaminate": OP2_SQL, "op3_licences": OP3_SQL, "op8_warc": OP8_SQL}
+ORACLE = {"op2_decontaminate": OP2_SQL, "op3_licences": OP3_SQL, "op8_warc": OP8_SQL, "op13_quality": OP13_SQL}
