@@ -71,7 +71,7 @@ def test_repeats_with_many_words(kinds):
 
 
 def test_clean(spark):
-    good = "\n".join(f"Line number {i} tells of {i * 7} things and of {i * 11} more." for i in range(12))
+    good = "\n".join(f"Line {i} tells some{i} people of {i * 7} things and {i * 11} more." for i in range(12))
     junk = "\n".join("Home | About | Contact" for _ in range(40))
     rows = [(1, f"{good}\nHome | About | Contact\nAll rights reserved.", "en", "a", 1), (2, f"{good}\n{junk}", "en", "a", 1), (3, good, None, None, None), (3, good, None, None, None)]
     docs = table(spark, rows).withColumns({"kept": F.lit("x"), "TEXT_": F.lit("y")})
