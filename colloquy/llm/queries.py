@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language, licences, media, mixing, passages, quality, token_counts, toxicity, warc
+from . import alignment, decontaminate, jaccard_join, language, licences, media, mixing, passages, quality, token_counts, toxicity, warc
 from .session import table
 
 
@@ -55,6 +55,10 @@ def op10_mixing(spark, d):
     return mixing.report(table(spark, d, "documents"))
 
 
+def op12_alignment(spark, d):
+    return alignment.report(table(spark, d, "documents"))
+
+
 def op13_quality(spark, d):
     return quality.report(table(spark, d, "documents"))
 
@@ -172,6 +176,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op12_alignment": op12_alignment,
     "op13_quality": op13_quality,
 }
 ORACLE = {"op2_decontaminate": OP2_SQL, "op3_licences": OP3_SQL, "op8_warc": OP8_SQL, "op13_quality": OP13_SQL}
