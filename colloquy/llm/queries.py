@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, jaccard_join, language, licences, media, mixing, passages, quality, token_counts, toxicity, warc
+from . import alignment, decontaminate, jaccard_join, language, licences, media, mixing, passages, quality, token_counts, toxicity, warc, whitening
 from .session import table
 
 
@@ -55,6 +55,10 @@ def op10_mixing(spark, d):
     return mixing.report(table(spark, d, "documents"))
 
 
+def op11_whitening(spark, d):
+    return whitening.report(table(spark, d, "embeddings"))
+
+
 def op12_alignment(spark, d):
     return alignment.report(table(spark, d, "documents"))
 
@@ -176,6 +180,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_whitening": op11_whitening,
     "op12_alignment": op12_alignment,
     "op13_quality": op13_quality,
 }
