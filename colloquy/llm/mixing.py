@@ -6,13 +6,13 @@
    bucket totals), so that a hot source is spread over its buckets.
 2. Targets: sources, by code point with null last, weigh 5, 2, 1, 5, 2, 1, ... and
    share 150 % of all words; a target stops at twice its source's words and what
-   is over is shared out again by weight.  A source's target is a number of slots.
+   is over is shared out again by weight.  A source's target, rounded to whole words, is a number of slots, the last of which may be cut short.
 3. Shards have ``SHARD`` slots.  Each slot of a shard draws its source by the sources' shares of all slots:
    multinomial counts.  A source stops when it has all its slots, and slots drawn for it in vain (some
    square root of all, in the last shards) go to the sources that lack some, so that every target is met.
 4. The counts, added up over the shards, number each source's slots.  Slot j of a source is its pass j div n and
-   block p(j mod n) for n blocks, with p a pseudorandom permutation of the source and pass.  Slots and blocks are
-   joined by (source, block).
+   block p(j mod n) for n blocks, with p a pseudorandom permutation of the source and pass over its full blocks; a shorter
+   block ends each pass, so that a pass that is not whole has full blocks alone.  Slots and blocks are joined by (source, block).
 
 The permutations are four-round Feistel networks with cycle walking, so neither
 an index list nor a sort is ever needed.  Nothing depends on partitioning: reruns
@@ -88,9 +88,10 @@ def _running(df: DataFrame, value: str, name: str, order: str, *by: str) -> Data
 
 
 def targets(sized: DataFrame) -> DataFrame:
-    """(__key, i, source_size, n_docs, target, n_blocks, slots): a row for each source, i its place.
+    """(__key, i, source_size, n_docs, target, n_blocks, slots, rest): a row for each source, i its place.
 
-    ``slots`` come as near to the target as whole blocks do.  Targets are found as they are defined: share out by
+    ``slots`` hold the target to the word: its whole passes, and blocks of another one, of which the last is cut to ``rest`` words
+    (null if it is whole).  Targets are found as they are defined: share out by
     weight, stop those above, share again; each round is one sum over the sources."""
     by = sized.groupBy("__key").agg(F.sum("__size").alias("source_size"), F.count("*").alias("n_docs"))
     by = numbered(cut(by), F.struct(F.col("__key") == "n", "__key")).drop("__n").withColumnRenamed("__i", "i")
@@ -107,8 +108,12 @@ def targets(sized: DataFrame) -> DataFrame:
     level = F.lit(0.0 if level is None else level)
     by = by.withColumn("target", F.least(F.col("most").cast("double"), F.col("w") * level) if x.w else F.col("most").cast("double"))
     n = F.ceil(F.col("source_size") / BLOCK).cast("long")
-    slots = F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") * n / F.col("source_size")), n * int(MOST))).otherwise(0)
-    return by.select("__key", "i", "source_size", "n_docs", "target", n.alias("n_blocks"), slots.cast("long").alias("slots"))
+    size = F.greatest("source_size", F.lit(1))
+    words = F.least(F.round("target").cast("long"), F.col("source_size") * int(MOST))
+    over = words % size
+    slots = F.floor(words / size) * n + F.ceil(over / BLOCK)
+    rest = F.when(over % BLOCK > 0, over % BLOCK)
+    return by.select("__key", "i", "source_size", "n_docs", "target", n.alias("n_blocks"), slots.cast("long").alias("slots"), rest.cast("int").alias("rest"))
 
 
 def packed(sized: DataFrame, by_source: DataFrame) -> DataFrame:
@@ -163,28 +168,29 @@ def _deal(seed: int):
             for r in b.to_pylist():
                 j = np.arange(r["first"], r["first"] + r["n"])
                 n, p = r["n_blocks"], j // max(r["n_blocks"], 1)
-                block = np.empty(len(j), np.int64)
+                full, block = r["source_size"] // BLOCK, j % n
                 for one in np.unique(p):
-                    at = p == one
-                    block[at] = permute(j[at] % n, n, r["hash"] + 31 * int(one) + seed)
+                    at = np.flatnonzero((p == one) & (block < full))
+                    block[at] = permute(block[at], full, r["hash"] + 31 * int(one) + seed)
+                rest = pa.array(np.full(len(j), r["rest"] or 0, np.int32), mask=(j != r["slots"] - 1) | (r["rest"] is None))
                 place = permute(np.arange(r["low"], r["low"] + r["n"]), r["size"], r["shard"] ^ seed)
-                yield pa.RecordBatch.from_arrays([pa.array([r["__key"]] * len(j), pa.string()), pa.array(np.full(len(j), r["shard"])), pa.array(place), pa.array(block)], names=["__key", "shard", "slot", "block"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["__key"]] * len(j), pa.string()), pa.array(np.full(len(j), r["shard"])), pa.array(place), pa.array(block), rest], names=["__key", "shard", "slot", "block", "rest"])
 
     return run
 
 
 def slots(by_source: DataFrame, seed: int = 0) -> DataFrame:
-    """(__key, shard, slot, block): which block every slot of the mix takes.
+    """(__key, shard, slot, block, rest): which block every slot of the mix takes, and its first ``rest`` words alone where that is not null.
 
     The drawn counts of a source, added up over the shards, number its slots; numbers go through its permutations."""
     drawn = cut(draws(by_source, seed))
     first = _running(drawn, "n", "first", "shard", "__key")
     order = Window.partitionBy("shard").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
     rows = first.withColumns({"low": F.coalesce(F.sum("n").over(order), F.lit(0)), "size": F.sum("n").over(Window.partitionBy("shard"))})
-    rows = rows.join(if_small(by_source.select("__key", "n_blocks")), "__key").withColumn("hash", F.xxhash64("__key"))
+    rows = rows.join(if_small(by_source.select("__key", "n_blocks", "source_size", "slots", "rest")), "__key").withColumn("hash", F.xxhash64("__key"))
     some = drawn.agg(F.sum("n")).first()[0] or 0
-    rows = rows.select("__key", "shard", "n", "first", "low", "size", "n_blocks", "hash").repartition(min(max(some // PER_TASK, 1), 1 << 16), "shard")
-    return rows.mapInArrow(_deal(seed), "__key string, shard long, slot long, block long")
+    rows = rows.select("__key", "shard", "n", "first", "low", "size", "n_blocks", "hash", "source_size", "slots", "rest").repartition(min(max(some // PER_TASK, 1), 1 << 16), "shard")
+    return rows.mapInArrow(_deal(seed), "__key string, shard long, slot long, block long, rest int")
 
 
 def report(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -196,11 +202,12 @@ def report(docs: DataFrame, seed: int = 0) -> DataFrame:
     sized = cut(sizes(docs.withColumn("__tie", F.lit(0))).select("doc_id", "__key", "__size", "__mix", "__tie"))
     by = cut(targets(sized))
     at = packed(sized, by)
-    uses = slots(by, seed).groupBy("__key", "block").agg(F.count("*").alias("uses"))
+    uses = slots(by, seed).groupBy("__key", "block").agg(F.count_if(F.col("rest").isNull()).alias("uses"), F.max("rest").alias("rest"))
     first, last = F.floor(F.col("__start") / BLOCK), F.floor((F.col("__start") + F.col("__size") - 1) / BLOCK)
     parts = at.where("__size > 0").select("doc_id", "__key", "__size", "__start", F.explode(F.sequence(first, last)).alias("block"))
-    piece = F.least((F.col("block") + 1) * BLOCK, F.col("__start") + F.col("__size")) - F.greatest(F.col("block") * BLOCK, "__start")
-    took = parts.join(uses.hint("merge"), ["__key", "block"], "left").groupBy("doc_id", "__key", "__size", "__start").agg(F.sum(piece * F.coalesce("uses", F.lit(0))).cast("long").alias("taken"))
+    upto = lambda words: F.greatest(F.least(F.col("block") * BLOCK + words, F.col("__start") + F.col("__size")) - F.greatest(F.col("block") * BLOCK, "__start"), F.lit(0))
+    words = upto(F.lit(BLOCK)) * F.coalesce("uses", F.lit(0)) + F.when(F.col("rest").isNull(), 0).otherwise(upto(F.col("rest")))
+    took = parts.join(uses.hint("merge"), ["__key", "block"], "left").groupBy("doc_id", "__key", "__size", "__start").agg(F.sum(words).cast("long").alias("taken"))
     none = at.where("__size = 0").select("doc_id", "__key", "__size", F.lit(0).cast("long").alias("taken"))
     out = took.drop("__start").unionByName(none)
     return out.join(if_small(by.select("__key", "source_size", "target")), "__key").select("doc_id", F.col("__size").alias("size"), "source_size", "target", "taken")
@@ -209,7 +216,8 @@ def report(docs: DataFrame, seed: int = 0) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mix itself: (shard, slot, source, block, doc_ids, n_words, text), a row for each slot.
 
-    ``text`` is the block's words joined by blanks, ``doc_ids`` the documents that they come from, in order.
+    ``text`` is the block's words joined by blanks, ``doc_ids`` the documents that they come from, in order; the last slot of a source may have
+    the first words of its block alone.
     Nulls, repeated rows and other columns are as in ``report``; a very long text spans many blocks."""
     full = sizes(_plain(docs).withColumn("__tie", F.xxhash64("text")))
     sized = cut(full.select("doc_id", "__key", "__size", "__mix", "__tie"))
@@ -221,7 +229,10 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     part = lambda b: F.struct(b.alias("block"), F.array_join(F.slice("w", (low(b) + 1).cast("int"), ((b + 1) * BLOCK - F.col("__start") - low(b)).cast("int")), " ").alias("text"))
     parts = words.select("doc_id", "__key", "__start", F.explode(F.transform(F.sequence("first", "last"), part)).alias("p"))
     blocks = parts.groupBy("__key", F.col("p.block").alias("block")).agg(F.array_sort(F.collect_list(F.struct("__start", "doc_id", F.col("p.text").alias("text")))).alias("x"))
-    blocks = blocks.select("__key", "block", F.col("x.doc_id").alias("doc_ids"), F.array_join("x.text", " ").alias("text"))
+    blocks = blocks.select("__key", "block", "x", F.array_join("x.text", " ").alias("text"))
     source = F.when(F.col("__key") == "n", None).otherwise(F.expr("substring(__key, 2)"))
     out = slots(by, seed).hint("merge").join(blocks, ["__key", "block"])
+    part = F.when(F.col("rest").isNull(), F.col("text")).otherwise(F.array_join(F.slice(F.split("text", " "), 1, F.coalesce("rest", F.lit(0))), " "))
+    inside = F.filter("x", lambda e: F.col("rest").isNull() | (e["__start"] < F.col("block") * BLOCK + F.col("rest")))
+    out = out.withColumn("doc_ids", F.transform(inside, lambda e: e["doc_id"])).withColumn("text", part)
     return out.select("shard", "slot", source.alias("source"), "block", "doc_ids", F.regexp_count("text", F.lit(WORD)).alias("n_words"), "text")

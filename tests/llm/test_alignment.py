@@ -99,7 +99,8 @@ def test_edges(spark):
     assert alignment.report(many).first().n_a == 2
 
 
-def test_memory_of_chunks():
+def test_texts_are_cut_into_chunks():
     by = alignment.aligner(alignment.BYTE_BPE, alignment.PIECE_BPE)
-    assert not by.whole
-    assert by.of([" the", " the", " x" * 50]) == by.of([" the", " the", " x" * 50]) and " the" in by.known and " x" * 50 not in by.known
+    raw = np.frombuffer(" one two  three\u3000 four \n five é six".encode(), np.uint8)
+    at = by.chunks(raw, np.array([0, len(raw)]))
+    assert not by.whole and [raw[a:b].tobytes().decode() for a, b in zip(at, [*at[1:], len(raw)])] == [" one", " two", "  three\u3000 four", " \n five", " é", " six"]
