@@ -37,13 +37,14 @@ def op7_media(spark, d):
 
 
 def op8_warc(spark, d):
-    """Audits a replica of all pages that has one character overwritten in some of them, has lost others, and holds some once more under another url."""
+    """Audits a replica of all pages that has one character overwritten in some of them, has lost others, and holds some once more, as they are or under another url."""
     pages = table(spark, d, "pages")
     every = lambda a, m, r: F.coalesce(F.col("page_id") * a % m == r, F.lit(False))
     half = "cast(floor(length(html) / 2) as int)"
     worn = F.when(every(7919, 101, 3) & (F.length("html") > 1), F.concat(F.expr(f"substring(html, 1, {half})"), F.lit("\u007f"), F.expr(f"substring(html, {half} + 2)"))).otherwise(F.col("html"))
     again = pages.where(every(1, 89, 7)).withColumn("url", F.concat(F.coalesce("url", F.lit("")), F.lit("#again")))
-    replica = pages.where(~every(31, 97, 5)).unionByName(again).withColumn("worn", worn)
+    twice = pages.where(every(1, 83, 11))
+    replica = pages.where(~every(31, 97, 5)).unionByName(again).unionByName(twice).withColumn("worn", worn)
     return warc.audit(warc.records(pages), warc.records(replica, "worn"))[0]
 
 
@@ -136,14 +137,16 @@ _HEAD = f"""'WARC/1.1' || {_END} || 'WARC-Type: resource' || {_END} || 'WARC-Rec
   || 'WARC-Date: {warc.DATE}' || {_END} || 'WARC-Target-URI: ' || coalesce(url, '') || {_END} || 'WARC-Payload-Digest: sha256:' || d || {_END} || 'Content-Type: text/html' || {_END} || 'Content-Length: ' || bytes || {_END} || {_END}"""
 OP8_SQL = f"""
 WITH q AS (SELECT page_id, url, html, true AS mine, coalesce(page_id * 31 % 97 <> 5, true) AS other FROM pages
-  UNION ALL SELECT page_id, coalesce(url, '') || '#again', html, false, true FROM pages WHERE page_id % 89 = 7),
+  UNION ALL SELECT page_id, coalesce(url, '') || '#again', html, false, true FROM pages WHERE page_id % 89 = 7
+  UNION ALL SELECT page_id, url, html, false, true FROM pages WHERE page_id % 83 = 11),
 p AS (SELECT page_id, url, mine, other, strlen(coalesce(html, '')) AS bytes, sha256(coalesce(html, '')) AS d,
   sha256(coalesce(CASE WHEN page_id * 7919 % 101 = 3 AND length(html) > 1 THEN substr(html, 1, length(html) // 2) || chr(127) || substr(html, length(html) // 2 + 2) ELSE html END, '')) AS s FROM q),
 r AS (SELECT page_id, coalesce(page_id // {warc.FILE}, -1) AS file, coalesce(page_id % {warc.FILE}, 0) AS slot, mine, other, strlen({_HEAD}) + bytes + 4 AS length, sha256({_HEAD}) AS rid, sha256({_HEAD} || d) AS a, sha256({_HEAD} || s) AS b FROM p),
-l AS (SELECT *, sum(length) OVER w - length AS "offset" FROM (SELECT DISTINCT page_id, file, slot, length, rid, a FROM r WHERE mine) WINDOW w AS (PARTITION BY file ORDER BY slot, rid ROWS UNBOUNDED PRECEDING)),
-o AS (SELECT DISTINCT page_id, file, slot, rid, b FROM r WHERE other)
-SELECT file, CAST(slot AS INTEGER) AS slot, coalesce(l.page_id, o.page_id) AS page_id, CASE WHEN a IS NOT NULL THEN CAST(0 AS INTEGER) END AS part, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, a AS left_sha256, b AS right_sha256
-FROM l FULL JOIN o USING (file, slot, rid) WHERE a IS DISTINCT FROM b
+l AS (SELECT *, sum(length * left_copies) OVER w - length * left_copies AS "offset" FROM (SELECT page_id, file, slot, length, rid, a, count(*) AS left_copies FROM r WHERE mine GROUP BY ALL) WINDOW w AS (PARTITION BY file ORDER BY slot, rid ROWS UNBOUNDED PRECEDING)),
+o AS (SELECT page_id, file, slot, rid, b, count(*) AS right_copies FROM r WHERE other GROUP BY ALL)
+SELECT file, CAST(slot AS INTEGER) AS slot, coalesce(l.page_id, o.page_id) AS page_id, CASE WHEN a IS NOT NULL THEN CAST(0 AS INTEGER) END AS part, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length,
+  left_copies, right_copies, a AS left_sha256, b AS right_sha256
+FROM l FULL JOIN o USING (file, slot, rid) WHERE a IS DISTINCT FROM b OR left_copies IS DISTINCT FROM right_copies
 """
 
 _SPLIT = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"

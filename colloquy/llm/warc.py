@@ -8,11 +8,13 @@ nodes that differ, to name the records at fault.
 
 A record's place in the tree comes from its id alone: file ``page_id div FILE``, slot ``page_id mod FILE``.  So a
 record that a replica has lost leaves a hole, one that it has besides fills its own slot, and no other
-record moves.  Each node names the range of bytes that its records have in the files of the first replica.
+record moves.  A node's hash holds the hashes and the ordered byte ranges of what is below it, as lengths, so that one lost record does
+not change every hash behind it; each node names the range of bytes that its records have in the files of the first replica.
+``write_files`` writes the very files that ``records`` describes: ``file=F/part=P``, with each record at its offset.
 
 Everything is SHA-2 and grouping in the engine.  A slot may hold any number of records (one id for a third of
-all rows): its hash is the hash of their number and of the sums of four parts of their hashes, which
-combine before the shuffle.  Above it a group has at most ``FAN`` children.  Only hashes move, never payloads.
+all rows): its hash is the hash of their number, bytes and of the sums of four parts of their hashes, which
+combine before the shuffle.  Copies of a record are counted before anything is shuffled and dealt over the parts of their file.  Above it a group has at most ``FAN`` children.  Only hashes move, never payloads.
 """
 
 from __future__ import annotations
@@ -55,35 +57,52 @@ def place(page_id):
     return F.coalesce(F.floor(page_id / FILE), F.lit(-1)).cast("long"), F.coalesce(F.pmod(page_id, F.lit(FILE)), F.lit(0)).cast("int")
 
 
-def records(pages: DataFrame, stored: str = "html") -> DataFrame:
-    """(file, slot, rid, part, page_id, url, copies, offset, length, sha256): a row for each different record.
-
-    Inside a file records stand in the order of (slot, rid), one after the other; a file of more than
-    ``FILE`` records has several parts, dealt by record.  ``length`` counts header, payload and the closing two line ends.
-    ``rid`` is the hash of the header (which holds the digest of the payload as it was archived), ``sha256`` that of the header
-    and of what the column ``stored`` holds now.  Equal records are stored once, ``copies`` says how many there
-    were.  Null urls and payloads count as empty, null ids go to file -1; other columns are ignored; an empty table has no records."""
-    kept = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.octet_length("html"), F.lit(0)).alias("bytes"), _sha(F.col("html")).alias("d"), _sha(F.col(stored)).alias("s"))
+def _archived(pages: DataFrame, stored: str = "html", *more) -> DataFrame:
+    """The different records of pages with their header ``h`` and how many there are of each (``copies``)."""
+    given = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.octet_length("html"), F.lit(0)).alias("bytes"), _sha(F.col("html")).alias("d"), _sha(F.col(stored)).alias("s"), *more)
     h = header(F.col("page_id"), F.col("url"), F.col("bytes"), F.col("d"))
     file, slot = place(F.col("page_id"))
-    rows = kept.select("page_id", "url", (F.octet_length(h) + F.col("bytes") + 4).cast("long").alias("length"), _sha(h).alias("rid"), _sha(F.concat(h, "s")).alias("sha256"), file.alias("file"), slot.alias("slot"))
-    rows = rows.groupBy("file", "slot", "page_id", "url", "length", "rid", "sha256").agg(F.count("*").alias("copies"))
-    per = rows.groupBy("file").agg(F.ceil(F.count("*") / FILE).cast("int").alias("parts"))
-    rows = rows.join(per, "file").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
-    order = Window.partitionBy("file", "part").orderBy("slot", "rid", "sha256")
-    offset = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length")
+    names = [c for c in given.columns if c not in ("bytes", "d", "s", "page_id", "url")]
+    rows = given.select("page_id", "url", (F.octet_length(h) + F.col("bytes") + 4).cast("long").alias("length"), _sha(h).alias("rid"), _sha(F.concat(h, "s")).alias("sha256"), file.alias("file"), slot.alias("slot"), *names)
+    return rows.groupBy("file", "slot", "page_id", "url", "length", "rid", "sha256").agg(F.count("*").alias("copies"), *[F.first(n).alias(n) for n in names])
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Records by part: a file of more than ``FILE`` records, copies counted, has several, and copies of one are dealt over them evenly."""
+    per = rows.groupBy("file").agg(F.ceil(F.sum("copies") / FILE).cast("long").alias("parts"))
+    rows = rows.join(per, "file").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.least("copies", "parts") - 1)))
+    share = F.floor(F.col("copies") / F.col("parts")) + F.when(F.col("k") < F.col("copies") % F.col("parts"), 1).otherwise(0)
+    return rows.withColumns({"part": F.pmod(F.xxhash64("rid") + F.col("k"), F.col("parts")).cast("int"), "copies": share}).drop("k", "parts")
+
+
+_ORDER = ("slot", "rid", "sha256")
+
+
+def records(pages: DataFrame, stored: str = "html") -> DataFrame:
+    """(file, slot, rid, part, page_id, url, copies, offset, length, sha256): a row for each different record in each part that holds it.
+
+    Inside a part records stand in the order of (slot, rid), one after the other, copies of one side by side.  ``length`` counts header, payload
+    and the closing two line ends of one copy.  ``rid`` is the hash of the header (which holds the digest of the payload as it was archived), ``sha256``
+    that of the header and of what the column ``stored`` holds now.  Null urls and payloads count as empty, null ids go to file -1; other columns are
+    ignored; an empty table has no records."""
+    rows = _dealt(_archived(pages, stored))
+    size = F.col("length") * F.col("copies")
+    order = Window.partitionBy("file", "part").orderBy(*_ORDER)
+    offset = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - size
     return rows.select("file", "slot", "rid", "part", "page_id", "url", "copies", offset.alias("offset"), "length", "sha256")
 
 
-def write_files(pages: DataFrame, path: str, most: int = FILE) -> None:
-    """Writes the pages as WARC files of up to ``most`` records, in the order of their ids.
+def write_files(pages: DataFrame, path: str) -> None:
+    """Writes the pages as the WARC files that ``records`` places them in, a file for each ``file=F/part=P``.
 
-    A record ends with two line ends, which are the rows' separator here."""
+    A record ends with two line ends, which are the rows' separator here.  Nulls and repeated rows are as in ``records``; a page of any length is
+    one row, and a task holds one of them at a time; an empty table writes no file."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    file, slot = place(F.col("page_id"))
-    h = header(F.col("page_id"), F.col("url"), F.octet_length(payload), _sha(payload))
-    rows = pages.select(file.alias("file"), slot.alias("slot"), F.concat(h, payload).alias("value"))
-    rows.repartitionByRange("file", "slot", "value").sortWithinPartitions("file", "slot", "value").select("value").write.option("lineSep", END).option("maxRecordsPerFile", most).text(path)
+    h = header(F.col("page_id").cast("long"), F.col("url"), F.octet_length(payload), _sha(payload))
+    rows = _dealt(_archived(pages, "html", F.concat(h, payload).alias("value")))
+    rows = rows.repartition("file", "part").sortWithinPartitions("file", "part", *_ORDER)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    rows.select("value", "file", "part").write.partitionBy("file", "part").option("lineSep", END).text(path)
 
 
 def _parsed(content: bytes):
@@ -106,7 +125,8 @@ def _parsed(content: bytes):
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, url, html, digest, name, offset, length) of the records of WARC files; a file is read by one task."""
+    """(page_id, url, html, digest, file, part, name, offset, length) of the records of WARC files; a file is read by one task, as one value
+    (of up to 2 GB).  What is cut short at the end of a file, and whatever follows bytes that are no record, is left out."""
     fields = "page_id long, url string, html string, digest string, offset long, length long, name string"
 
     def run(batches):
@@ -117,21 +137,27 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 6
                 yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], pa.array([name] * len(rows), pa.string())], names=[f.split()[0] for f in fields.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, fields)
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, fields)
+    number = lambda k, kind: F.nullif(F.regexp_extract("name", f"/{k}=(-?[0-9]+)/", 1), F.lit("")).cast(kind).alias(k)
+    return rows.select("page_id", "url", "html", "digest", number("file", "long"), number("part", "int"), "name", "offset", "length")
 
 
 def tree(rows: DataFrame) -> DataFrame:
-    """(file, level, i, low, high, hash): level 0 are the slots of ids, with the byte range [low, high) of their records;
-    node i of level k + 1 is the ordered range of nodes FAN i to FAN i + FAN - 1 of level k; the last level is the root."""
-    parts = [F.sum(F.conv(F.substring("sha256", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(4)]
-    level = rows.groupBy("file", F.col("slot").cast("long").alias("i")).agg(F.min("offset").alias("low"), F.max(F.col("offset") + F.col("length")).alias("high"), F.sha2(F.concat_ws(" ", F.count("*").cast("string"), *parts).cast("binary"), 256).alias("hash"))
-    level = cut(level.select("file", F.lit(0).alias("level"), "i", "low", "high", "hash"))
+    """(file, level, i, low, high, bytes, hash): level 0 are the slots of ids, with the byte range [low, high) of their records (in a file
+    of several parts, of their offsets in any) and how many bytes they are; node i of level k + 1 is the ordered range of nodes FAN i to
+    FAN i + FAN - 1 of level k; the last level is the root."""
+    size = F.col("length") * F.col("copies")
+    parts = [F.sum(F.conv(F.substring("sha256", 1 + 15 * k, 15), 16, 10).cast("decimal(19,0)") * F.col("copies").cast("decimal(12,0)")).cast("string") for k in range(4)]
+    text = F.concat_ws(" ", F.sum("copies").cast("string"), F.sum(size).cast("string"), *parts)
+    level = rows.groupBy("file", F.col("slot").cast("long").alias("i")).agg(F.min("offset").alias("low"), F.max(F.col("offset") + size).alias("high"), F.sum(size).alias("bytes"), F.sha2(text.cast("binary"), 256).alias("hash"))
+    level = cut(level.select("file", F.lit(0).alias("level"), "i", "low", "high", "bytes", "hash"))
     out, width, k = level, FILE, 0
     while width > 1:
         width, k = -(-width // FAN), k + 1
-        kids = F.array_sort(F.collect_list(F.struct("i", "hash")))
-        level = level.groupBy("file", F.floor(F.col("i") / FAN).alias("up")).agg(F.min("low").alias("low"), F.max("high").alias("high"), kids.alias("k"))
-        level = cut(level.select("file", F.lit(k).alias("level"), F.col("up").alias("i"), "low", "high", F.sha2(F.array_join(F.transform("k", lambda x: F.concat_ws(" ", x["i"].cast("string"), x["hash"])), "\n").cast("binary"), 256).alias("hash")))
+        kids = F.array_sort(F.collect_list(F.struct("i", "bytes", "hash")))
+        level = level.groupBy("file", F.floor(F.col("i") / FAN).alias("up")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("bytes").alias("bytes"), kids.alias("k"))
+        text = F.array_join(F.transform("k", lambda x: F.concat_ws(" ", x["i"].cast("string"), x["bytes"].cast("string"), x["hash"])), "\n")
+        level = cut(level.select("file", F.lit(k).alias("level"), F.col("up").alias("i"), "low", "high", "bytes", F.sha2(text.cast("binary"), 256).alias("hash")))
         out = out.unionByName(level)
     return out
 
@@ -139,11 +165,12 @@ def tree(rows: DataFrame) -> DataFrame:
 def audit(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(differing records, visited nodes) of two replicas, as given by ``records``.
 
-    Records: file, slot, page_id, part, offset and length (of the first replica; null where it has not got the
-    record), and the hash of either side (null where it has none): a record that is lost, or there only
-    in the second, is one row, and so is one of other content.
+    Records: file, slot, page_id, part, offset, length and copies of the first replica (null where it has not got the record; of copies in several
+    parts the first), the copies of the second, and the hash of either side (null where it has none): a record that is lost, or there only
+    in the second, is one row, and so is one of other content or one that either side has more often.
     Visited: level and how many nodes were compared and differed there.  Equal replicas, empty ones too, give no rows."""
-    left, right = Stored(left).df, Stored(right).df
+    one, two = Stored(left), Stored(right)
+    left, right = one.df, two.df
     a, b = tree(left), tree(right)
     top = 0
     while FAN**top < FILE:
@@ -161,7 +188,16 @@ def audit(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
         below = both.where("bad").select("file", F.col("i").alias("up"))
     bad = below.select("file", F.col("up").cast("int").alias("slot"))
     keys = ["file", "slot", "rid"]
-    mine = left.join(bad, ["file", "slot"], "left_semi").groupBy(*keys, "page_id", "part", "length").agg(F.min("offset").alias("offset"), F.array_join(F.array_sort(F.collect_set("sha256")), ",").alias("left_sha256"))
-    other = right.join(bad, ["file", "slot"], "left_semi").groupBy(*keys, F.col("page_id").alias("p2")).agg(F.array_join(F.array_sort(F.collect_set("sha256")), ",").alias("right_sha256"))
-    out = mine.join(other, keys, "full").where(~F.col("left_sha256").eqNullSafe(F.col("right_sha256")))
-    return out.select("file", "slot", F.coalesce("page_id", "p2").alias("page_id"), "part", "offset", "length", "left_sha256", "right_sha256"), visited
+
+    def side(rows: DataFrame, name: str, *more) -> DataFrame:
+        each = rows.join(bad, ["file", "slot"], "left_semi").groupBy(*keys, "page_id", "length", "sha256").agg(F.sum("copies").alias("copies"), F.min(F.struct("part", "offset")).alias("at"))
+        kinds = F.array_sort(F.collect_list(F.struct("sha256", "copies")))
+        each = each.groupBy(*keys, "page_id", "length").agg(F.min("at").alias("at"), F.sum("copies").alias(f"{name}_copies"), kinds.alias(name))
+        return each.withColumn(f"{name}_sha256", F.array_join(F.transform(name, lambda x: x["sha256"]), ","))
+
+    mine, other = side(left, "left"), side(right, "right").select(*keys, F.col("page_id").alias("p2"), "right", "right_copies", "right_sha256")
+    out = mine.join(other, keys, "full").where(~F.col("left").eqNullSafe(F.col("right")))
+    out = cut(out.select("file", "slot", F.coalesce("page_id", "p2").alias("page_id"), "at.part", "at.offset", "length", "left_copies", "right_copies", "left_sha256", "right_sha256"))
+    one.drop()
+    two.drop()
+    return out, visited
