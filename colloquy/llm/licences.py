@@ -239,15 +239,17 @@ def _may_match(words, templates, threshold: float):
 
 def paragraphs(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, h, p, lines, many): the paragraphs of texts that may match.  ``lines`` are arrays of sentences with words,
-    struct(id, w), of ids in the order of the text; h is the text's hash, and ``many`` says that the text has words enough for a long template."""
+    struct(id, w), of ids in the order of the text; h is the text's hash, and ``many`` says that the text has words enough for a long template.
+
+    A sentence longer than any template stays, as its first words: enough that no line, paragraph or run with it can match."""
     most = most_words(templates, threshold)
     words = F.split(normalised("text"), " ")
     few, many = _hints(words, templates, threshold)
     likely = docs.select("doc_id", "text", F.explode(F.array(F.struct(few.alias("few"), many.alias("many")))).alias("m")).where("m.few or m.many")
     each = likely.select("doc_id", F.xxhash64("text").alias("h"), "m.many", F.posexplode(F.split("text", PARAGRAPH)).alias("p", "x"))
     number = lambda l, i: F.col("p").cast("long") * (1 << 42) + l.cast("long") * (1 << 21) + i.cast("long")  # noqa: E731, E741
-    kept = lambda parts: F.filter(parts, lambda s: (s["w"][0] != "") & (F.size(s["w"]) <= most))
-    line = lambda x, l: kept(F.transform(F.split(x, SENTENCE), lambda s, i: F.struct(number(l, i).alias("id"), F.split(normalised(s), " ").alias("w"))))  # noqa: E731, E741
+    kept = lambda parts: F.filter(parts, lambda s: s["w"][0] != "")
+    line = lambda x, l: kept(F.transform(F.split(x, SENTENCE), lambda s, i: F.struct(number(l, i).alias("id"), F.slice(F.split(normalised(s), " "), 1, most + 1).alias("w"))))  # noqa: E731, E741
     lines = F.filter(F.transform(F.split("x", "\n"), line), lambda x: F.size(x) > 0)
     return each.select("doc_id", "h", "p", "many", F.explode(F.array(lines)).alias("lines")).where(F.size("lines") > 0)
 

@@ -110,15 +110,14 @@ pp AS (SELECT doc_id, unnest(x) AS x, generate_subscripts(x, 1) AS p FROM (SELEC
 ll AS (SELECT doc_id, p, unnest(x) AS x, generate_subscripts(x, 1) AS l FROM (SELECT doc_id, p, string_split(x, chr(10)) AS x FROM pp)),
 ss AS (SELECT doc_id, p, l, unnest(x) AS x, generate_subscripts(x, 1) AS s FROM (SELECT doc_id, p, l, regexp_split_to_array(x, '[.!?;]+\s+') AS x FROM ll)),
 a0 AS (SELECT doc_id, p, l, s, string_split({_NORM.format("x")}, ' ') AS w FROM ss),
-a1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p, l, s) - 1 AS pos FROM a0 WHERE w[1] <> ''),
-a AS (SELECT * FROM a1 WHERE len(w) <= {_MOST}),
+a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p, l, s) - 1 AS pos FROM a0 WHERE w[1] <> ''),
 ln AS (SELECT doc_id, min(pos) AS lo, max(pos) AS hi, flatten(list(w ORDER BY pos)) AS w FROM a GROUP BY doc_id, p, l HAVING max(pos) > min(pos)),
 pg AS (SELECT * FROM (SELECT doc_id, p, min(pos) AS lo, max(pos) AS hi, flatten(list(w ORDER BY pos)) AS w, count(DISTINCT l) AS lines FROM a GROUP BY doc_id, p) WHERE len(w) <= {_MOST}),
 pe AS (SELECT *, list_has_any({_GRAMS.format("w")}, known) AS edge, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY p) AS upto FROM pg, k),
 rr AS (SELECT x.doc_id, x.p, x.lo, y.p AS q, y.hi, x.upto - len(x.w) AS n0, y.upto FROM pe x JOIN pe y ON x.doc_id = y.doc_id AND y.p > x.p AND y.upto - x.upto + len(x.w) <= {_MOST} WHERE x.edge AND y.edge),
 ru AS (SELECT r.doc_id, r.lo, r.hi, flatten(list(z.w ORDER BY z.p)) AS w FROM rr r JOIN pe z ON z.doc_id = r.doc_id AND z.p BETWEEN r.p AND r.q GROUP BY r.doc_id, r.p, r.q, r.lo, r.hi HAVING count(*) = r.q - r.p + 1),
 u AS (SELECT doc_id, pos AS lo, pos AS hi, w FROM a UNION ALL SELECT * FROM ln UNION ALL SELECT doc_id, lo, hi, w FROM pg WHERE lines > 1 UNION ALL SELECT * FROM ru),
-g AS (SELECT doc_id, lo, hi, w, {_GRAMS.format("w")} AS have FROM u WHERE len(w) > 1),
+g AS (SELECT doc_id, lo, hi, w, {_GRAMS.format("w")} AS have FROM u WHERE len(w) > 1 AND len(w) <= {_MOST}),
 c AS (SELECT doc_id, lo, hi, licence, len(list_intersect(have, grams)) AS b, len(have) + len(grams) AS n FROM g, t
   WHERE len(have) <= 1.5 * len(grams) + 1 AND len(grams) <= 1.5 * len(have) + 1 AND list_has_all(w, telling)),
 d AS (SELECT doc_id, lo, hi, licence, 2.0::DOUBLE * b / n AS dice, CAST(3 * b AS BIGINT) - CAST(n AS BIGINT) AS score FROM c WHERE 2.0::DOUBLE * b / n >= {licences.THRESHOLD}),
