@@ -6,8 +6,8 @@ tokenizers end.  Doubling the pointers (``succ = succ[succ]``, over all tokens a
 token to the last one of its component, which labels its group: the smallest runs of bytes that both tokenizers end.
 
 Neither tokenizer has a token that goes on over a blank after other text (this is checked for B when its model is loaded; A's pattern
-says so), so a text may be cut before every such blank, and each different chunk is encoded and aligned once for all the places
-where it stands: a worker remembers ``MEMORY`` of them.  Where a model has such tokens, whole texts are the chunks.
+says so), so a text may be cut before every such blank, and the different chunks of a piece are encoded and aligned once for all the places
+where they stand.  Where a model has such tokens, whole texts are the chunks.
 
 ``align`` makes a row for each document, with its different linked pairs of ids and how often it links them; ``pair_counts`` counts for
 each pair the documents that hold it, corpus-wide; ``report`` puts both together.  Pairs are counted with map-side sums; the counts, whose
@@ -35,15 +35,22 @@ from .session import BROADCAST_ROWS, Stored, cut, if_small, positional
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
-#: Chunks that a worker remembers at once, and characters of the longest of them.
-MEMORY, REMEMBERED = 200_000, 64
 #: Bytes of text that are worked on at once.
-PIECE = 4 << 20
+PIECE = 2 << 20
 #: Links of a group above which its different ids are paired instead of its tokens.
 LARGE = 4096
 #: Pairs are one number: A's id times this, and B's id.
 PAIR = 1 << 20
+#: Bytes of plain chunks that B's tokenizer is given at once.
+RUN = 2048
 _BLANK = "▁"
+# Fixed value: the pattern of byte-level vocabularies of this kind.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Bytes of characters whose classes no two libraries see differently: ASCII but for rare controls, Latin and Greek letters and their second bytes.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(9, 14), *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xD0)]] = True
+_BLANKS = np.zeros(256, bool)
+_BLANKS[[*range(9, 14), 32]] = True
 
 
 def _byte_letters() -> dict[str, int]:
@@ -53,20 +60,36 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Chunk(NamedTuple):
-    """An aligned chunk.  ``text`` is its groups as written in the digest, ``pairs`` and ``times`` (int64) its links; ``good`` if both tokenizers keep its bytes."""
+class Table:
+    """Byte strings by number, end to end."""
 
-    good: bool
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    text: bytes
-    pairs: bytes
-    times: bytes
+    def __init__(self, strings: list[bytes]):
+        self.size = np.array([len(x) for x in strings], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(strings), np.uint8)
 
+    def joined(self, which: np.ndarray) -> np.ndarray:
+        return taken(self.bytes, self.first, self.size, which)
 
-_BAD = Chunk(False, 0, 0, 0, 0, b"", b"", b"")
+
+def taken(values: np.ndarray, first: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs number ``which`` of a table of runs, end to end."""
+    n = size[which]
+    end = np.cumsum(n)
+    return values[np.arange(end[-1] if len(end) else 0) + np.repeat(first[which] - (end - n), n)]
+
+
+class Chunks(NamedTuple):
+    """Aligned chunks, a place each: whether both tokenizers keep its bytes, tokens, groups, links; its groups as written in the
+    digest; its links ``pair[first : first + size]`` with their ``times``."""
+
+    good: np.ndarray
+    numbers: dict[str, np.ndarray]
+    written: pa.Array
+    first: np.ndarray
+    size: np.ndarray
+    pair: np.ndarray
+    times: np.ndarray
 
 
 def components(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +136,7 @@ def linked(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarra
 
 
 class Aligner:
-    """Both tokenizers, and the chunks that were aligned lately."""
+    """Both tokenizers, and the bytes of their tokens."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
@@ -125,15 +148,17 @@ class Aligner:
         self.a = Tokenizer.from_str(said)
         self.a.encode_special_tokens = True
         letters = _byte_letters()
-        self.bytes_a = {i: bytes(letters[c] for c in t) for t, i in json.loads(said)["model"]["vocab"].items() if all(c in letters for c in t)}
+        vocabulary = {i: t for t, i in json.loads(said)["model"]["vocab"].items()}
+        self.bytes_a = Table([bytes(letters.get(c, 0) for c in vocabulary.get(i, "")) for i in range(max(vocabulary) + 1)])
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b if os.path.exists(path_b) else SparkFiles.get(path_b))
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_b = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_BLANK, " ").encode() for i, p in enumerate(pieces)}
+        self.bytes_b = Table([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_BLANK, " ").encode() for i, p in enumerate(pieces)])
+        self.decimal = Table([b"%d," % i for i in range(max(len(vocabulary), len(pieces)))])
         self.blank = self.b.piece_to_id(_BLANK)
         probe = " x  y "
         inside = any(_BLANK in p.lstrip(_BLANK) for p in pieces)
-        self.whole = inside or b"".join(self.bytes_b[i] for i in self.b.encode(probe)) != f" {probe}".encode()
-        self.known: dict[str, Chunk] = {}
+        self.whole = inside or self.bytes_b.joined(np.array(self.b.encode(probe))).tobytes() != f" {probe}".encode()
+        self.ranked = self._ranked(json.loads(said)["model"], len(vocabulary))
 
     def chunks(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where chunks begin: at texts, and at blanks after a character that is surely no white space."""
@@ -150,51 +175,81 @@ class Aligner:
         begins[offsets[:-1]] = True
         return np.flatnonzero(begins)
 
-    def of(self, texts: list[str]) -> list[Chunk]:
-        """The aligned chunks of these texts, each of which begins with a blank."""
-        new = [t for t in texts if t not in self.known]
-        found = self._aligned(new) if new else {}
-        out = [self.known.get(t) or found[t] for t in texts]
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-        self.known.update((t, found[t]) for t in new if len(t) <= REMEMBERED)
-        return out
-
-    def _aligned(self, texts: list[str]) -> dict[str, Chunk]:
-        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        b = [x if len(t) > 1 or self.whole else [self.blank] for t, x in zip(texts, b, strict=True)]
-        join, of_a, of_b = b"".join, self.bytes_a, self.bytes_b
-        good = [join([of_a.get(i, b"") for i in x]) == t.encode() == join([of_b[i] for i in y]) for t, x, y in zip(texts, a, b, strict=True)]
-        out = {t: _BAD for t in texts}
-        texts, a, b = ([x for x, ok in zip(y, good, strict=True) if ok] for y in (texts, a, b))
-        if not texts:
-            return out
-        flat_a, flat_b = (np.array([i for x in y for i in x], np.int64) for y in (a, b))
-        end_a = np.cumsum([len(self.bytes_a[i]) for i in flat_a.tolist()])
-        end_b = np.cumsum([len(self.bytes_b[i]) for i in flat_b.tolist()])
-        group_a, group_b = components(end_a, end_b)
-        n_groups = int(group_a[-1]) + 1
-        groups, pairs, times = linked(flat_a, flat_b, group_a, group_b, n_groups)
-        upto_a, upto_b = np.cumsum([len(x) for x in a]), np.cumsum([len(x) for x in b])
-        last = np.append(0, group_a[upto_a - 1] + 1)  # the first group of each text
+    def _ranked(self, model: dict, n: int):
+        """A's encoder by ranks, a faster one, where the vocabulary numbers bytes and merges in their order; else None."""
+        import tiktoken
+
+        ids, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        if self.whole or any(ids.get(x + y) != 256 + i for i, (x, y) in enumerate(merges)) or n < 256 + len(merges):
+            return None
+        first, size, every = self.bytes_a.first.tolist(), self.bytes_a.size.tolist(), self.bytes_a.bytes.tobytes()
+        ranks = {every[first[i] : first[i] + size[i]]: i for i in range(256 + len(merges))}
+        return tiktoken.Encoding("of_file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _tokens(self, texts: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """For A and for B the tokens of the texts, end to end, and how many each has.
+
+        Texts of plain letters that end in one are encoded end to end, as they would be cut there again; the others one by one."""
+        raw, offsets = T.text_bytes(texts)
+        odd = np.append(0, np.cumsum(~_PLAIN[raw]))
+        plain = (odd[offsets[1:]] == odd[offsets[:-1]]) & ~_BLANKS[raw[offsets[1:] - 1]] & (self.ranked is not None)
+        size = np.diff(offsets)
+        run = taken(raw, offsets[:-1], size, np.flatnonzero(plain))
+        upto = np.append(0, np.cumsum(size[plain]))
+        cuts = np.append(upto[np.searchsorted(upto, np.arange(0, upto[-1], RUN))], upto[-1])
+        joined = [run[x:y].tobytes().decode() for x, y in zip(cuts[:-1], cuts[1:], strict=True) if y > x]
+        rest = texts.filter(pa.array(~plain)).to_pylist()
+        out = []
+        for table, fast, slow in (
+            (self.bytes_a, lambda: [self.ranked.encode_to_numpy("".join(joined), disallowed_special=())] if joined else [], lambda: [e.ids for e in self.a.encode_batch_fast(rest, add_special_tokens=False)]),
+            (self.bytes_b, lambda: self.b.encode([t[1:] for t in joined], num_threads=1), lambda: [x or ([] if self.whole else [self.blank]) for x in self.b.encode([t[1:] for t in rest], num_threads=1)]),
+        ):
+            ids = np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in fast()]])
+            at = np.searchsorted(np.append(0, np.cumsum(table.size[ids])), upto)
+            lists = slow()
+            n = np.empty(len(texts), np.int64)
+            n[plain], n[~plain] = np.diff(at), [len(x) for x in lists]
+            place = np.empty(len(texts), np.int64)
+            place[plain], place[~plain] = at[:-1], len(ids) + np.cumsum(n[~plain]) - n[~plain]
+            every = np.concatenate((ids, np.fromiter((i for x in lists for i in x), np.int64, int(n[~plain].sum()))))
+            out.append((taken(every, place, n, np.arange(len(texts))), n))
+        return tuple(out)
+
+    def aligned(self, texts: pa.Array) -> Chunks:
+        """Each of these texts begins with a blank."""
+        raw, offsets = T.text_bytes(texts)
+        (a, n_a), (b, n_b) = self._tokens(texts)
+        good = self._kept(self.bytes_a, a, n_a, raw, offsets) & self._kept(self.bytes_b, b, n_b, raw, offsets)
+        a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+        n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
+        group_a, group_b = components(np.cumsum(self.bytes_a.size[a]), np.cumsum(self.bytes_b.size[b]))
+        n_groups = int(group_a[-1]) + 1 if len(group_a) else 0
+        groups, pair, times = linked(a, b, group_a, group_b, n_groups)
+        upto_a, upto_b = np.append(0, np.cumsum(n_a)), np.append(0, np.cumsum(n_b))
+        last = np.append(0, group_a + 1)[upto_a]  # the number of groups up to each text
         link = np.searchsorted(groups, last)
-        # the written form: A's ids, then B's, group by group
         per_a, per_b = np.bincount(group_a, minlength=n_groups), np.bincount(group_b, minlength=n_groups)
-        place_a = np.arange(len(flat_a)) + (np.cumsum(per_b) - per_b)[group_a]
-        place_b = np.arange(len(flat_b)) + np.cumsum(per_a)[group_b]
-        ids = np.empty(len(flat_a) + len(flat_b), np.int64)
-        ids[place_a], ids[place_b] = flat_a, flat_b
+        # the written form: A's ids, then B's, group by group, each with what follows it
+        ids = np.empty(len(a) + len(b), np.int64)
+        ids[np.arange(len(a)) + (np.cumsum(per_b) - per_b)[group_a]] = a
+        ids[np.arange(len(b)) + np.cumsum(per_a)[group_b]] = b
+        body = self.decimal.joined(ids)
+        end = np.append(0, np.cumsum(self.decimal.size[ids]))
         ends = np.cumsum(per_a + per_b)
-        after = np.full(len(ids), ",")
-        after[ends - per_b - 1], after[ends - 1] = "|", ";"
-        written = [f"{i}{c}" for i, c in zip(ids.tolist(), after.tolist(), strict=True)]
-        cuts = np.append(0, upto_a + upto_b)
-        for k, t in enumerate(texts):
-            x, y = link[k], link[k + 1]
-            n = times[x:y]
-            out[t] = Chunk(True, len(a[k]), len(b[k]), int(last[k + 1] - last[k]), int(n.sum()), "".join(written[cuts[k] : cuts[k + 1]]).encode(), pairs[x:y].tobytes(), n.tobytes() if len(n) and n.max() > 1 else b"")
-        return out
+        body[end[ends - per_b] - 1], body[end[ends] - 1] = ord("|"), ord(";")
+        written = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(end[upto_a + upto_b]), pa.py_buffer(body)])
+        total = np.append(0, np.cumsum(times))[link]
+        numbers = {"n_a": n_a, "n_b": n_b, "n_groups": np.diff(last), "n_links": np.diff(total)}
+        return Chunks(good, numbers, written, link[:-1], np.diff(link), pair, times)
+
+    @staticmethod
+    def _kept(table: Table, ids: np.ndarray, n: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts (bytes between offsets) are the joined bytes of their n tokens."""
+        upto = np.append(0, np.cumsum(table.size[ids]))[np.append(0, np.cumsum(n))]
+        joined = table.joined(ids)
+        if np.array_equal(upto, offsets) and np.array_equal(joined, raw):
+            return np.ones(len(n), bool)
+        return np.array([np.array_equal(joined[a:b], raw[x:y]) for a, b, x, y in zip(upto[:-1], upto[1:], offsets[:-1], offsets[1:], strict=True)], bool)
 
 
 @lru_cache(2)
@@ -202,13 +257,6 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-def _taken(values: np.ndarray, first: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """The runs number ``which`` of a table of runs, end to end."""
-    n = size[which]
-    end = np.cumsum(n)
-    return values[np.arange(end[-1] if len(end) else 0) + np.repeat(first[which] - (end - n), n)]
-
-
 def _rows(data: np.ndarray, offsets: np.ndarray, by: Aligner) -> tuple[list[pa.Array], pa.Array, pa.Array]:
     """Numbers, digests, pairs and times of a run of texts."""
     n = len(offsets) - 1
@@ -219,37 +267,36 @@ def _rows(data: np.ndarray, offsets: np.ndarray, by: Aligner) -> tuple[list[pa.A
     every = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(np.append(start, len(spaced))), pa.py_buffer(np.ascontiguousarray(spaced))])
     coded = every.dictionary_encode()
     ids = coded.indices.to_numpy().astype(np.int64)
-    chunks = by.of(coded.dictionary.to_pylist())
+    chunks = by.aligned(coded.dictionary)
     text = full[np.searchsorted(bounds, start, "right") - 1]
     bad = np.zeros(n, bool)
-    bad[text[~np.array([c.good for c in chunks], bool)[ids]]] = True
+    bad[text[~chunks.good[ids]]] = True
+    first = np.searchsorted(text, np.arange(n + 1))
     sums = []
-    for name in ("n_a", "n_b", "n_groups", "n_links"):
-        total = np.zeros(n, np.int64)
-        np.add.at(total, text, np.array([getattr(c, name) for c in chunks], np.int64)[ids])
-        sums.append(pa.array(np.where(bad, 0, total)))
-    written = pa.array([c.text for c in chunks], pa.large_binary()).take(pa.array(ids))
-    body, at = written.buffers()[2], np.frombuffer(written.buffers()[1], np.int64)[: len(ids) + 1]
-    body, first = memoryview(body) if body is not None else b"", np.searchsorted(text, np.arange(n + 1))
-    digests = ["" if bad[i] or first[i] == first[i + 1] else hashlib.sha256(body[at[first[i]] : at[first[i + 1]] - 1]).hexdigest() for i in range(n)]
+    for each in chunks.numbers.values():
+        upto = np.append(0, np.cumsum(each[ids]))
+        sums.append(pa.array(np.where(bad, 0, upto[first[1:]] - upto[first[:-1]])))
+    written = chunks.written.take(pa.array(ids))
+    body, at = written.buffers()[2], np.frombuffer(written.buffers()[1], np.int64)[: len(ids) + 1][first].tolist()
+    body = memoryview(body) if body is not None else b""
+    digests = ["" if x or low == high else hashlib.sha256(body[low : high - 1]).hexdigest() for x, low, high in zip(bad.tolist(), at[:-1], at[1:], strict=True)]
     sums.append(pa.array(digests, pa.string()))
     # each text's different chunks, then their pairs
-    key, count = np.unique(text * max(len(chunks), 1) + ids, return_counts=True) if len(ids) else (ids, ids)
-    doc, which = np.divmod(key, max(len(chunks), 1))
+    kinds = max(len(chunks.good), 1)
+    key, count = np.unique(text * kinds + ids, return_counts=True)
+    doc, which = np.divmod(key, kinds)
     stays = ~bad[doc]
     doc, which, count = doc[stays], which[stays], count[stays]
-    size = np.array([len(c.pairs) // 8 for c in chunks], np.int64)
-    begin = np.cumsum(size) - size
-    pairs = np.frombuffer(b"".join([c.pairs for c in chunks]), np.int64)
-    times = np.frombuffer(b"".join([c.times or b"\1\0\0\0\0\0\0\0" * (len(c.pairs) // 8) for c in chunks]), np.int64)
-    pair, times = _taken(pairs, begin, size, which), _taken(times, begin, size, which) * np.repeat(count, size[which])
-    doc = np.repeat(doc, size[which])
-    order = np.lexsort((pair, doc))
-    doc, pair, times = doc[order], pair[order], times[order]
-    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])))) if len(doc) else doc
-    lists = np.searchsorted(doc[new], np.arange(n + 1)).astype(np.int32)
+    n_pairs = chunks.size[which]
+    times = taken(chunks.times, chunks.first, chunks.size, which) * np.repeat(count, n_pairs)
+    key = np.repeat(doc, n_pairs) << 42 | taken(chunks.pair, chunks.first, chunks.size, which)
+    order = np.argsort(key)
+    key, times = key[order], times[order]
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
     times = np.add.reduceat(times, new) if len(new) else times
-    return sums, *(pa.ListArray.from_arrays(pa.array(lists), pa.array(x)) for x in (pair[new], times))
+    doc, pair = key[new] >> 42, key[new] & ((1 << 42) - 1)
+    lists = np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)
+    return sums, *(pa.ListArray.from_arrays(pa.array(lists), pa.array(x)) for x in (pair, times))
 
 
 _ALIGNED = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
