@@ -13,30 +13,75 @@ from ..functions.text import cache_key
 from .entities import first_in_order
 
 
+#: Domains of a set up to which it is found by its parts; larger sets meet by single domains.
+PARTS = 8
+
+
+def _parts(domains: Column) -> Column:
+    """All parts of a sorted array of at most ``PARTS`` domains, the empty one too; of a larger one the empty one alone."""
+    power = lambda i: F.pow(F.lit(2.0), i).cast("int")
+    part = lambda m: F.filter(domains, lambda x, i: F.floor(m / power(i)) % 2 == 1)
+    none = F.array(F.array().cast("array<string>"))
+    return F.when(F.size(domains) > PARTS, none).otherwise(F.transform(F.sequence(F.lit(0), power(F.least(F.size(domains), F.lit(PARTS))) - 1), part))
+
+
+def nodes_above(number: Column, levels: int) -> Column:
+    """The nodes (level, node) of a binary tree over whole numbers from 0 that a number lies under."""
+    return F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda l: F.struct(l.alias("level"), F.floor(number / F.pow(F.lit(2.0), l)).cast("long").alias("node")))  # noqa: E741
+
+
+def nodes_before(number: Column, levels: int) -> Column:
+    """The nodes that cover all whole numbers from 0 to below ``number`` (at most 2 ** levels), each once."""
+    at = lambda l: F.floor(number / F.pow(F.lit(2.0), l)).cast("long")  # noqa: E731, E741
+    odd = F.filter(F.sequence(F.lit(0), F.lit(levels)), lambda l: at(l) % 2 == 1)  # noqa: E741
+    return F.transform(odd, lambda l: F.struct(l.alias("level"), (at(l) - 1).alias("node")))  # noqa: E741
+
+
+def candidates(asked: DataFrame, heads: DataFrame, k: int) -> DataFrame:
+    """(wants, at, ord, overlap): exemplars heads(ord, has, made) among which are the k that share most domains with each of asked(wants, at) and
+    were made before it, of equal ones the earlier.
+
+    Whatever belongs to the best k of a set is among the first k that have all of what they share; so lists of the first k are
+    kept for each part of a set of at most ``PARTS`` domains, and a set looks its own parts up: 2 ** n lists of k rows, however popular
+    a domain is.  "Made before" is a handful of nodes of a tree over the batches, each with lists of its own.  Larger sets meet
+    the others by single domains; the empty part has the first k of all."""
+    levels = int(asked.agg(F.max("at")).first()[0] or 0).bit_length()
+    key = ["part", "n.level", "n.node"]
+    each = heads.select("ord", "has", "made", F.explode(_parts(F.col("has"))).alias("part"))
+    each = each.select("part", "ord", "has", F.explode(nodes_above(F.col("made"), levels)).alias("n")).select("ord", "has", *key)
+    lists = first_in_order(each, k, "part", "level", "node").drop("rank")
+    look = asked.select("wants", "at", F.explode(_parts(F.col("wants"))).alias("part"))
+    look = look.select("wants", "at", "part", F.explode(nodes_before(F.col("at"), levels)).alias("n")).select("wants", "at", *key)
+    found = look.join(lists, ["part", "level", "node"]).select("wants", "at", "ord", "has")
+    large = lambda c: F.size(c) > PARTS
+    wide = cut(asked.where(large("wants"))), cut(heads.where(large("has")))
+    if not (wide[0].isEmpty() and wide[1].isEmpty()):
+        one = lambda df, c: df.select(c).distinct().select(c, F.explode(c).alias("domain"))
+        both = [(wide[0], heads), (asked.where(~large("wants")), wide[1])]
+        for q, e in both:
+            shared = one(q, "wants").join(one(e, "has"), "domain").select("wants", "has").distinct()
+            found = found.unionByName(q.join(shared, "wants").join(e, "has").where("made < at").select("wants", "at", "ord", "has"))
+    overlap_of = F.size(F.array_intersect("wants", "has")).cast("long")
+    return found.dropDuplicates(["wants", "at", "ord", "has"]).select("wants", "at", "ord", overlap_of.alias("overlap"))
+
+
 def retrieve(queries: DataFrame, exemplars: DataFrame, k: int) -> DataFrame:
     """(query_id, ord, overlap, rank): the k exemplars(ord, domains) that share most domains with each query(query_id,
     domains), of equal ones the earlier; a query that shares none with any gets the first k of all.
 
     Exemplars of the same set of domains count by their first k only, and queries of the same set are answered
-    once: what is compared is sets.  With ``batch_no`` on both sides only exemplars of earlier batches count; then
-    sets are kept apart by batch."""
+    once: what is compared is sets.  With ``batch_no`` (from 0) on both sides only exemplars of earlier batches count.
+    Null domains and null sets count as none."""
     batched = "batch_no" in queries.columns and "batch_no" in exemplars.columns
-    as_set = F.array_sort(F.array_distinct("domains"))
-    at = F.col("batch_no") if batched else F.lit(0)
+    as_set = F.array_sort(F.array_distinct(F.filter(F.coalesce("domains", F.array().cast("array<string>")), lambda x: x.isNotNull())))
+    at = F.col("batch_no") if batched else F.lit(1)
     q = queries.select("query_id", as_set.alias("wants"), at.alias("at"))
     asked = cut(q.select("wants", "at").distinct())
-    heads = exemplars.select("ord", as_set.alias("has"), (at if batched else F.lit(-1)).alias("made"))
+    heads = exemplars.select("ord", as_set.alias("has"), (at if batched else F.lit(0)).alias("made"))
     heads = cut(first_in_order(heads, k, "has", "made").drop("rank"))
-    one = lambda df, c: df.select(c).distinct().select(c, F.explode(c).alias("domain"))
-    shared = one(asked, "wants").join(one(heads, "has"), "domain").groupBy("wants", "has").agg(F.count("*").alias("overlap"))
     best = Window.partitionBy("wants", "at").orderBy(F.desc("overlap"), "ord")
-    found = asked.join(shared, "wants").join(heads, "has").where("made < at")
-    found = cut(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("wants", "at", "ord", "overlap", "rank"))
-    none = asked.join(found.select("wants", "at").distinct(), ["wants", "at"], "left_anti")
-    firsts = cut(first_in_order(heads, k, "made").drop("rank"))
-    before = none.select("at").distinct().join(firsts, F.col("made") < F.col("at"))
-    before = first_in_order(before, k, "at").select("at", "ord", F.lit(0).cast("long").alias("overlap"), "rank")
-    found = found.unionByName(none.join(before, "at"))
+    top = F.max("overlap").over(Window.partitionBy("wants", "at"))
+    found = candidates(asked, heads, k).withColumns({"rank": F.row_number().over(best), "top": top}).where((F.col("rank") <= k) & ((F.col("overlap") > 0) | (F.col("top") == 0)))
     return q.join(found, ["wants", "at"]).select("query_id", "ord", "overlap", "rank")
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..functions.lineage import checkpoint_dir, cut
 from ..operators import corpus as C
+from ..operators import memory as M
 from ..operators import slots
 from ..sources import readers as R
 from ..sources import writers as W
@@ -169,6 +172,35 @@ def t1(spark, d):
     return spark.read.parquet(f"{p}/out").agg(F.sum("n").alias("n"), F.sum("r").alias("n_requested"))
 
 
+@query(
+    "t2_memory_stream",
+    "domains",
+    "SELECT * FROM best UNION ALL SELECT query_id, ord, 0, rank FROM (SELECT q.dialogue_id AS query_id, e.dialogue_id AS ord, row_number() OVER (PARTITION BY q.dialogue_id ORDER BY e.dialogue_id) AS rank FROM s q JOIN s e ON e.b < q.b AND e.good WHERE q.dialogue_id NOT IN (SELECT query_id FROM best)) WHERE rank <= 3",
+    """s AS (SELECT DISTINCT dialogue_id, dialogue_id // 7 % 3 AS b, dialogue_id % 4 <> 1 AS good FROM domains),
+ov AS (SELECT a.dialogue_id AS query_id, b.dialogue_id AS ord, count(*) AS overlap FROM domains a JOIN domains b ON a.domain = b.domain AND b.dialogue_id // 7 % 3 < a.dialogue_id // 7 % 3 AND b.dialogue_id % 4 <> 1 GROUP BY ALL),
+best AS (SELECT query_id, ord, overlap, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, ord) AS rank FROM ov) WHERE rank <= 3)""",
+)
+def t2s(spark, d):
+    """Three micro-batches; the second fails after its writes and is run again from the checkpoint."""
+    p = _place(spark)
+    rows = cut(M.batch_domains(fx(spark, d, "domains"), "dialogue_id").select(F.col("dialogue_id").cast("long").alias("query_id"), "domains", F.col("dialogue_id").cast("long").alias("ord"), (F.col("dialogue_id") % 4 != 1).alias("success"), F.expr("dialogue_id div 7 % 3").alias("b")))
+    schema = "query_id long, domains array<string>, ord long, success boolean"
+
+    def run(after=None):
+        S.grow_memory(spark.readStream.schema(schema).parquet(f"{p}/in"), 3, f"{p}/memory", f"{p}/found", f"{p}/state", after).awaitTermination()
+
+    def stop(number):
+        raise RuntimeError("stopped after its writes")
+
+    for batch in range(3):
+        rows.where(F.col("b") == batch).drop("b").write.mode("append").parquet(f"{p}/in")
+        if batch == 1:
+            with contextlib.suppress(StreamingQueryException):
+                run(stop)
+        run()
+    return spark.read.schema("query_id long, ord long, overlap long, rank int, step int").parquet(f"{p}/found").drop("step")
+
+
 @query(
     "t3_running_state",
     "turns",

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..operators.memory import retrieve
 from ..sources.writers import write_step
 
 
@@ -22,6 +24,29 @@ def score_batches(stream: DataFrame, score: Callable[[DataFrame], DataFrame], pa
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+MEMORY = "ord long, domains array<string>, step int"
+
+
+def grow_memory(stream: DataFrame, k: int, memory: str, found: str, checkpoint: str, after: Callable[[int], None] | None = None):
+    """A memory that grows while it is used: stream(query_id, domains, ord, success).
+
+    Each micro-batch looks its queries up in what earlier batches have added, writes what it found below ``found``, and then adds its own
+    successes below ``memory``.  Both are steps by the batch's number: batch i reads steps below i only, and a batch that runs again
+    replaces what it had written, so that it sees and leaves the same whatever had been written when it failed.  ``after`` is
+    called at the end of a batch.  Returns the running query; the stream's checkpoint says where to go on."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if number:
+            known = spark.read.schema(MEMORY).option("basePath", memory).option("ignoreMissingFiles", "true").parquet(memory).where(F.col("step") < number)
+            write_step(spark, retrieve(batch.select("query_id", "domains"), known.select("ord", "domains"), k), found, number)
+        write_step(spark, batch.where("success").select("ord", "domains"), memory, number)
+        if after:
+            after(number)
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _carry(key, frames, state):
     domain, booked, seen = state.get if state.exists else (None, [], None)
     booked = list(booked)

@@ -1,6 +1,7 @@
 """Worked examples and traps, by hand."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +133,39 @@ def test_retrieval(spark):
     assert [(r.query_id, r.ord) for r in got] == [("h", 2), ("h", 3), ("p", 1), ("p", 2)]
 
 
+@pytest.mark.parametrize("batches", [0, 9])
+def test_retrieve_many_sets(spark, batches):
+    """2,000 different sets of 40 domains, one of them in most sets, against brute force; the pairs that are compared are few and linear in the sets."""
+    rng = random.Random(batches)
+    names = [f"d{i:02}" for i in range(40)]
+
+    def some():
+        n = rng.choice([0, 1, 2, 3, 4, 5, 6, 7] + [11] * (batches > 0))
+        return sorted(set(rng.sample(names, n)) | ({"d00"} if rng.random() < 0.7 else set()))
+
+    sets = [some() for _ in range(2000)]
+    batch = [rng.randrange(max(batches, 1)) for _ in sets]
+    cols = "long, domains array<string>" + (", batch_no int" if batches else "")
+    row = lambda i, s: (i, s, batch[i]) if batches else (i, s)
+    mem = spark.createDataFrame([row(i, s) for i, s in enumerate(sets)], f"ord {cols}")
+    ask = spark.createDataFrame([row(i, s) for i, s in enumerate(sets)] + [(2000, ["none"], 5) if batches else (2000, ["none"])], f"query_id {cols}")
+    got = {}
+    for r in memory.retrieve(ask, mem, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.ord, r.overlap))
+    have = [set(s) for s in sets]
+    for i, s, *b in ask.collect():
+        earlier = [j for j in range(2000) if not b or batch[j] < b[0]]
+        best = sorted(((-len(have[j] & set(s)), j) for j in earlier))[:3]
+        if best and best[0][0] < 0:
+            best = [x for x in best if x[0] < 0]
+        assert got.get(i, []) == [(j, -n) for n, j in best], (i, s)
+    if not batches:
+        heads, asked = mem.select("ord", F.col("domains").alias("has"), F.lit(0).alias("made")), ask.select(F.col("domains").alias("wants"), F.lit(1).alias("at")).distinct()
+        n, m = memory.candidates(asked, heads, 3).count(), asked.count()
+        half = memory.candidates(asked.where(F.xxhash64("wants") % 2 == 0), heads, 3).count()
+        assert n < 80 * m and half < 0.7 * n
+
+
 def test_soft_match(spark):
     like = spark.createDataFrame([("abc", "xxabcxx"), ("abc", "abd"), ("", "a")], "a string, b string").select(entities.partial_ratio("a", "b").alias("x")).collect()
     assert [round(r.x) for r in like] == [100, 67, 0]
