@@ -119,11 +119,14 @@ def first_fence(c) -> Column:
 
 
 def patch_payload(c) -> Column:
-    """From the first opening fence to the last closing one, else the outermost braces, else null."""
+    """From the first line that opens a ``json`` fence to the last line that closes one; null if none does.  Without such a
+    fence the whole text, if it begins with a brace, else null."""
     c = F.col(c) if isinstance(c, str) else c
-    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*\n(.*)\n?```", 1)
-    bare = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
-    return F.when(fenced != "", strip(fenced)).when(bare != "", bare)
+    # How fences open and close.
+    opens, shut = r"```json[^\n]*\n", r"(?dm:^)```[ \t]*\r?(?dm:$)"
+    tail = F.regexp_extract(c, rf"(?s){opens}(.*)", 1)
+    body = F.when(tail.rlike(shut), strip(F.regexp_extract(tail, rf"(?s)\A(.*){shut}", 1)))
+    return F.when(c.rlike(opens), body).when(strip(c).startswith("{"), strip(c))
 
 
 def references(c) -> Column:
@@ -132,11 +135,15 @@ def references(c) -> Column:
 
 
 def front_matter(c) -> Column:
-    """struct(name, description, body) of a text that opens with a ``---`` block; body is all of any other."""
+    """struct(name, description, body) of a text that opens with a ``---`` block; body is all of any other.
+
+    The opening line may end in blanks; a value may stand in quotes, which go, and ends with its line or at a quote."""
     c = F.col(c) if isinstance(c, str) else c
-    head = F.regexp_extract(c, r"(?s)\A---\n(.*?)\n---", 1)
-    field = lambda k: strip(F.regexp_extract(head, rf"(?m)^{k}:[ \t]*(.*)$", 1))
-    return F.struct(field("name").alias("name"), field("description").alias("description"), strip(F.regexp_replace(c, r"(?s)\A---\n.*?\n---\n?", "")).alias("body"))
+    # The marks of the block and of its values.
+    block = r"(?sU)\A---\s*\n(.*?)\n---"
+    head = F.regexp_extract(c, block, 1)
+    field = lambda k: strip(F.regexp_extract(head, rf"(?dmU)^{k}:\s*[\"']?([^\"'\n]+)", 1))
+    return F.struct(field("name").alias("name"), field("description").alias("description"), strip(F.regexp_replace(c, block, "")).alias("body"))
 
 
 def response_parts(c) -> Column:
@@ -162,8 +169,8 @@ def issues(*checks: tuple[Column, str]) -> Column:
     return F.filter(F.array(*[F.when(c, F.lit(t)) for c, t in checks]), lambda x: x.isNotNull())
 
 
-# What marks a reply as a provider's error that is worth another try.
-TRANSIENT = (r"\b429\b", "mpe-429", "resource exhausted", "resource_exhausted", "rate limit", "too many requests", "请求服务异常", "模型提供方限流")
+# What marks a reply as a provider's error that is worth another try; a provider's own messages are given besides.
+TRANSIENT = (r"\b429\b", "resource exhausted", "resource_exhausted", "rate limit", "too many requests")
 
 
 def canonical_json(c: Column) -> Column:
@@ -176,8 +183,9 @@ def cache_key(model, messages) -> Column:
     return F.sha2(F.concat_ws("\n", model, canonical_json(F.col(messages) if isinstance(messages, str) else messages)).cast("binary"), 256)
 
 
-def is_transient(c) -> Column:
-    return F.lower(c).rlike("|".join(TRANSIENT))
+def is_transient(c, marks: tuple[str, ...] = TRANSIENT) -> Column:
+    """Whether a reply has one of the marks (patterns, of lower-case letters)."""
+    return F.lower(c).rlike("|".join(marks))
 
 
 def clock(c) -> Column:

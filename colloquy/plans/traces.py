@@ -179,16 +179,21 @@ def m17(spark, d):
 
 def _payloads(spark, d):
     good = F.concat(F.lit('{"reasoning": "r", "edits": [{"file": "f", "op": "create"}, "text", {"file": "'), F.when(F.col("doc_id") % 2 == 0, "g").otherwise(""), F.lit('"}]'), F.when(F.col("doc_id") % 7 == 0, ', "changelog_entries": "none"').when(F.col("doc_id") % 3 == 0, ', "changelog_entries": ["```c```"]').otherwise(""), F.lit("}"))
-    body = F.when(F.col("doc_id") % 5 == 0, "no json").otherwise(F.concat(F.lit("text ```json\n"), good, F.lit("\n``` more")))
+    k, fence = F.col("doc_id") % 11, F.concat(F.lit("text ```json\n"), good)
+    body = F.when(F.col("doc_id") % 5 == 0, "no json").when(k == 1, fence).when(k == 2, F.concat(F.lit("see "), good)).when(k == 3, F.concat(F.lit("\n "), good, F.lit(" "))).otherwise(F.concat(fence, F.lit("\n```\nmore ``` of it")))
     return fx(spark, d, "documents").select("doc_id", T.patch_payload(body).alias("payload"))
 
 
-@query("m18_patch_payload", "", "SELECT doc_id, doc_id % 5 <> 0 AS has_payload, CASE WHEN doc_id % 5 <> 0 THEN 'r' END AS reasoning FROM documents")
+#: Documents whose fence closes, or whose text begins with a brace.
+_HAS = "doc_id % 5 <> 0 AND doc_id % 11 NOT IN (1, 2)"
+
+
+@query("m18_patch_payload", "", f"SELECT doc_id, {_HAS} AS has_payload, CASE WHEN {_HAS} THEN 'r' END AS reasoning FROM documents")
 def m18(spark, d):
     return _payloads(spark, d).select("doc_id", F.col("payload").isNotNull().alias("has_payload"), F.get_json_object("payload", "$.reasoning").alias("reasoning"))
 
 
-@query("p13_payload_issues", "", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Top-level field ''changelog_entries'' must be a list; ' WHEN doc_id % 3 = 0 THEN '' ELSE 'Missing top-level field: changelog_entries; ' END || 'Edit #2 must be an object; ' || CASE WHEN doc_id % 2 = 1 THEN 'Edit #3 is missing required field: file; ' ELSE '' END || 'Edit #3 is missing required field: op' AS issues FROM documents WHERE doc_id % 5 <> 0")
+@query("p13_payload_issues", "", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Top-level field ''changelog_entries'' must be a list; ' WHEN doc_id % 3 = 0 THEN '' ELSE 'Missing top-level field: changelog_entries; ' END || 'Edit #2 must be an object; ' || CASE WHEN doc_id % 2 = 1 THEN 'Edit #3 is missing required field: file; ' ELSE '' END || 'Edit #3 is missing required field: op' AS issues FROM documents WHERE " + _HAS)
 def p13(spark, d):
     return _payloads(spark, d).where("payload is not null").select("doc_id", F.array_join(P.payload_issues("payload"), "; ").alias("issues"))
 

@@ -233,6 +233,63 @@ def test_ids_of_logs(spark):
     assert {r.instance_id: r.log_file for r in found} == {"a_1": "cli_agent_a_1.md", "13-1": "run_13-1.md", "none": None}
 
 
+def test_logs_and_reports_of_one_id_stay_apart(spark):
+    logs = spark.createDataFrame([("a", "[thought] 1\n[action] x\n[observation] o\nACTION: y\n[thought] 2"), ("a", "**Think 3\n[action] z"), ("a", None), ("b", "nothing")], "instance_id string, text string")
+    steps = traces.trajectory_steps(logs)
+    assert sorted((r.step, r.thought or "", r.action or "", r.observation or "") for r in steps.collect()) == [(0, "**Think 3", "[action] z", ""), (0, "[thought] 1", "[action] x", "[observation] o"), (1, "", "ACTION: y", "")]
+    item = "# Success Memory Item {}\n## Title\n{}\n# Content\nc\n***\n"
+    reports = spark.createDataFrame([("a", item.format(1, "one") + item.format(99999999999, "big")), ("a", "# Title\nstray\n" + item.format(2, "two") + "## Title\nlast"), ("a", "")], "instance_id string, report string")
+    items = traces.success_items(reports)
+    assert sorted((r.number or 0, r.title, r.description, r.content) for r in items.collect()) == [(0, "big", "", "c"), (1, "one", "", "c"), (2, "last", "", "c")]
+    texts = spark.createDataFrame([("a", "## R\n1\n### s\n## Q\n2"), ("a", "x\n ## R \n3"), ("a", "none")], "instance_id string, text string")
+    cut = traces.section(texts, "## R")
+    assert sorted(r.section for r in cut.collect()) == [" ## R \n3", "## R\n1\n### s"]
+    for df in (steps, items, cut):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    big = spark.createDataFrame([("i", "# Failure Cause Item 99999999999\n## Title\nT")], "instance_id string, report string")
+    assert [i.number for i in traces.parse_reports(big)[0].first()["items"]] == [None]
+
+
+def test_tool_calls_in_the_engine(spark):
+    rng = random.Random(1)
+
+    def brute(t):
+        depth, low = 0, None
+        for i, c in enumerate(t):
+            if c == "{":
+                low = i if depth == 0 else low
+                depth += 1
+            elif c == "}":
+                depth -= 1
+                if depth == 0 and low is not None:
+                    return t[low : i + 1]
+
+    texts = ["".join(rng.choice("{}{}ab\0é😀\n") for _ in range(rng.randrange(25))) for _ in range(400)] + ["", "{}", "}{", "x\0{\0}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", traces.first_object(F.col("t")).alias("x"))
+    assert {r.i: r.x for r in rows.collect()} == {i: brute(t) for i, t in enumerate(texts)}
+    nul = spark.createDataFrame([("a\0b Action: {\"name\": \"q\"}",), ("Action: {",)], "response string")
+    out = traces.tool_calls(nul)
+    assert [(r.kind, r.tool) for r in out.collect()] == [("action", "q"), ("format_error", None)] and "Arrow" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_payloads_and_front_matter(spark):
+    texts = ["some {text} here", "```json\n{\"a\": 1}", "```json x\n{\"a\": 1}\n```\n```json\n{}\n``` \nend ``` of", " {\"a\": 1} ", "```\n{}\n```", "```json\n```", ""]
+    want = [None, None, "{\"a\": 1}\n```\n```json\n{}", "{\"a\": 1}", None, "", None]
+    rows = spark.createDataFrame(list(zip(texts, want)), "t string, w string").select("w", T.patch_payload("t").alias("p")).collect()
+    assert [r.p for r in rows] == [r.w for r in rows]
+    heads = ["---\nname: \"my skill\"\ndescription: 'it''s'\n---\n\nbody", "---  \nname:  x y \n---\nb", "--- no\nname: x\n---\n", "---\nother: 1\n---"]
+    got = [tuple(r.m) for r in spark.createDataFrame([(t,) for t in heads], "t string").select(T.front_matter("t").alias("m")).collect()]
+    assert got == [("my skill", "it", "body"), ("x y", "", "b"), ("", "", "--- no\nname: x\n---"), ("", "", "")]
+    assert [r[0] for r in spark.createDataFrame([("HTTP 429",), ("quota of x",), ("1429",)], "t string").select(T.is_transient("t")).collect()] == [True, False, False]
+    assert spark.createDataFrame([("quota of x",)], "t string").select(T.is_transient("t", ("quota",))).first()[0]
+
+
+def test_tokens_of_other_letters(spark):
+    rows = [("ein hôtel in Zürich", "hôtel", 1, 1), ("ein hôtel in Zürich", "zürich", 3, 3)]
+    got = corpus.align_spans(spark.createDataFrame(rows, "utterance string, value string, start_word int, end_word int")).collect()
+    assert [(r.start, r.end, r.category) for r in got] == [(4, 9, "exact"), (13, 19, "exact")]
+
+
 def test_likeness():
     assert entities.likeness("", "") == 100 and entities.likeness("", "a") == 0 and entities.likeness("a", "a") == 100
     assert entities.likeness("yankees", "new york yankees") == 100 and entities.likeness("abcd", "XXbcdeEEE") == 75
