@@ -12,23 +12,30 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, MapType
 
 from ..functions.lineage import cut, if_few
 from ..functions.text import clock
+from .ranges import nodes_above, nodes_before
 
 # Attributes that results leave out, other names of attributes, and the
 # values that mean "any".
 META = ("id", "location", "takesbookings", "introduction", "openhours", "price")
 RENAMED = {"hotel": {"pricerange": "price range"}, "restaurant": {"pricerange": "price range"}, "attraction": {"pricerange": "price range"}, "train": {"arriveBy": "arrive by", "leaveAt": "leave at", "trainID": "train id"}}
 ANY = ("", "dont care", "not mentioned", "don't care", "dontcare", "do n't care")
+#: Domains that are looked up whole, or by one attribute, and how many rows they return.
+WHOLE, BY_DEPARTMENT = "police", "hospital"
+#: Times as numbers, hours times 100 plus minutes, are below this.
+LATEST = 1 << 14
 QUERY_NAMES = {"arrive by": "arriveBy", "leave at": "leaveAt", "train id": "trainID", "price range": "pricerange"}
 
 
 def rename_attributes(entities: DataFrame) -> DataFrame:
-    """entities(domain, attrs) with attribute names as slots are called."""
+    """entities(domain, attrs) with attribute names as slots are called; where an entity has both names, the value of the slot's name stays."""
     names = F.create_map(*[F.lit(x) for d, m in RENAMED.items() for k, v in m.items() for x in (f"{d}\x1f{k}", v)])
-    return entities.withColumn("attrs", F.transform_keys("attrs", lambda k, v: F.coalesce(F.try_element_at(names, F.concat_ws("\x1f", "domain", k)), k)))
+    new = lambda k: F.try_element_at(names, F.concat_ws("\x1f", "domain", k))
+    single = F.map_filter("attrs", lambda k, v: new(k).isNull() | ~F.array_contains(F.map_keys("attrs"), F.coalesce(new(k), k)))
+    return entities.withColumn("attrs", F.transform_keys(single, lambda k, v: F.coalesce(new(k), k)))
 
 
 def drop_meta(attrs) -> Column:
@@ -42,7 +49,8 @@ def first_in_order(found: DataFrame, most: int, *by: str) -> DataFrame:
 
 def _distinct(queries: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
     """(queries(query_id, s), sets(s, columns)): queries that want the same are answered once; s numbers what they want."""
-    plain = [F.to_json(F.struct(F.col("domain"), *[F.array_sort(F.map_entries(c)).alias(c) for c in columns]))]
+    entries = lambda c: F.map_entries(c) if isinstance(queries.schema[c].dataType, MapType) else F.col(c)
+    plain = [F.to_json(F.struct(F.col("domain"), *[F.array_sort(entries(c)).alias(c) for c in columns]))]
     keyed = queries.select("query_id", F.sha2(F.concat(*plain).cast("binary"), 256).alias("s"), "domain", *columns)
     return keyed.select("query_id", "s"), cut(keyed.drop("query_id").dropDuplicates(["s"]))
 
@@ -114,16 +122,20 @@ def satisfying(entities: DataFrame, queries: DataFrame, most: int = 10, ignore_o
 
     Values that mean "any" and attributes an entity has not got or has as ``?`` do not count.  ``leaveAt``
     wants that time or later, ``arriveBy`` that or earlier; other hard constraints want equal values,
-    without regard to case, soft ones values that are ``ratio`` alike.  With ``ref``, the position as eight digits.
+    without regard to case, soft ones values that are ``ratio`` alike.  Two names of one attribute are two constraints.  With ``ref``, the position as
+    eight digits.  The ``police`` domain has all its entities for an answer and ``hospital`` those of the wanted department (all, if none is
+    wanted), both without a limit, other constraints or a ``ref``.
 
     A set of constraints takes the entities that have its rarest wanted value or none at all there, by an equality join on
-    (domain, attribute, value), or those of the hours that its time admits.  Soft
+    (domain, attribute, value).  One that wants a time of departure alone, or nothing, takes the first entities of a handful of nodes of a tree
+    over the times; one that wants more takes the entities of the hours that its time admits.  Soft
     values are compared once for each different pair of texts."""
     names = F.create_map(*[F.lit(x) for kv in QUERY_NAMES.items() for x in kv])
     key = lambda k: F.coalesce(F.try_element_at(names, k), k)
     fix = lambda k, v: F.when((k == "area") & (v == "center"), F.lit("centre")).otherwise(v)
     empty = F.create_map().cast("map<string,string>")
-    clean = queries.select("query_id", "domain", F.transform_keys(F.transform_values(F.coalesce("hard", empty), fix), lambda k, v: key(k)).alias("hard"), F.coalesce("soft", empty).alias("soft"))
+    named = F.transform(F.map_entries(F.coalesce("hard", empty)), lambda e: F.struct(key(e["key"]).alias("key"), fix(e["key"], e["value"]).alias("value")))
+    clean = queries.where(~F.col("domain").isin(WHOLE, BY_DEPARTMENT)).select("query_id", "domain", F.array_sort(F.array_distinct(named)).alias("hard"), F.coalesce("soft", empty).alias("soft"))
     ids, sets = _distinct(clean, "hard", "soft")
     plain = lambda c: F.lower(F.trim(c))
     times = ("leaveAt", "arriveBy")
@@ -141,7 +153,7 @@ def satisfying(entities: DataFrame, queries: DataFrame, most: int = 10, ignore_o
         return skipped(e["key"], e["value"]) | F.when(e["key"].isin(*times), F.coalesce(by_time, F.lit(True))).otherwise(plain(have) == plain(e["value"]))
 
     open_keys = ("destination", "departure") if ignore_open else ()
-    each = sets.select("s", "domain", F.explode("hard").alias("k", "v")).where(F.col("v").isNotNull() & ~F.col("v").isin(*ANY) & ~F.col("k").isin(*times, *open_keys))
+    each = sets.select("s", "domain", F.inline("hard").alias("k", "v")).where(F.col("v").isNotNull() & ~F.col("v").isin(*ANY) & ~F.col("k").isin(*times, *open_keys))
     wants = cut(each.select("s", "domain", "k", plain("v").alias("v")))
     # an entity stands under its value of every attribute that is asked for, or under null where that does not count
     asked = cut(wants.select("domain", "k").distinct().groupBy("domain").agg(F.collect_set("k").alias("keys")))
@@ -152,14 +164,18 @@ def satisfying(entities: DataFrame, queries: DataFrame, most: int = 10, ignore_o
     chosen = sets.drop("domain").join(rarest, "s").select("s", "hard", "soft", "x.domain", "x.k", F.explode(F.array(F.col("x.v"), F.lit(None))).alias("v"))
     mark = lambda df: df.withColumn("v", F.coalesce(F.concat(F.lit("="), "v"), F.lit("")))
     by_value = mark(chosen).join(mark(placed), ["domain", "k", "v"])
-    # without such a constraint: by the hour of departure, if one is wanted, else all of the domain
-    rest = sets.join(wants.select("s").distinct(), "s", "left_anti")
-    hour = lambda c: F.when(clock(c).isNotNull(), F.least(F.floor(clock(c) / 100), F.lit(24))).cast("int")
-    wanted = hour(F.try_element_at("hard", F.lit("leaveAt")))
-    rest = rest.withColumn("hour", F.explode(F.concat(F.array(F.lit(-1)), F.sequence(F.coalesce(wanted, F.lit(0)), F.lit(24)))))
-    by_hour = rest.join(entities.select("domain", "ord", "attrs", F.coalesce(hour(F.try_element_at("attrs", F.lit("leaveAt"))), F.lit(-1)).alias("hour")), ["domain", "hour"])
+    # without such a constraint: by the time of departure, if one is wanted, else all of the domain
+    wanted = lambda k: F.array_max(F.transform(F.filter("hard", lambda e: (e["key"] == k) & ~e["value"].isin(*ANY)), lambda e: clock(e["value"])))
+    rest = cut(sets.join(wants.select("s").distinct(), "s", "left_anti").withColumns({"leave": wanted("leaveAt"), "arrive": wanted("arriveBy")}))
+    alone = (F.size("soft") == 0) & F.col("arrive").isNull()
+    timed = entities.select("domain", "ord", "attrs", clock(F.try_element_at("attrs", F.lit("leaveAt"))).alias("at"))
     columns = ["s", "domain", "hard", "soft", "ord", "attrs"]
-    found = _checked(by_value.select(*columns).unionByName(by_hour.select(*columns)), F.forall(F.map_entries("hard"), meets))
+    by_node = _first_of_times(timed, rest.where(alone).withColumnRenamed("leave", "at"), most).select(*columns)
+    rest = rest.where(~alone)
+    hour = lambda c: F.when(c.isNotNull(), F.least(F.floor(c / 100), F.lit(24))).cast("int")
+    rest = rest.withColumn("hour", F.explode(F.concat(F.array(F.lit(-1)), F.sequence(F.coalesce(hour(F.col("leave")), F.lit(0)), F.lit(24)))))
+    by_hour = rest.join(timed.withColumn("hour", F.coalesce(hour(F.col("at")), F.lit(-1))), ["domain", "hour"])
+    found = _checked(by_value.select(*columns).unionByName(by_hour.select(*columns)).unionByName(by_node), F.forall("hard", meets))
     plainly = first_in_order(found.where(F.size("soft") == 0).select("s", "domain", "ord", "attrs"), most, "s")
     if sets.where(F.size("soft") > 0).isEmpty():
         rows = plainly
@@ -170,24 +186,60 @@ def satisfying(entities: DataFrame, queries: DataFrame, most: int = 10, ignore_o
         soft = soft.join(like, ["a", "b"], "left").withColumn("ok", F.col("skip") | (F.col("like") >= ratio))
         good = soft.groupBy("s", "domain", "ord").agg(F.bool_and("ok").alias("ok"), F.first("attrs").alias("attrs")).where("ok").drop("ok")
         rows = plainly.unionByName(first_in_order(good, most, "s"))
-    return ids.join(rows, "s").select("query_id", "domain", "ord", "attrs", "rank", F.lpad(F.col("ord").cast("string"), 8, "0").alias("ref"))
+    answers = ids.join(rows, "s").select("query_id", "domain", "ord", "attrs", "rank", F.lpad(F.col("ord").cast("string"), 8, "0").alias("ref"))
+    return answers.unionByName(_special(entities, queries))
+
+
+def _special(entities: DataFrame, queries: DataFrame) -> DataFrame:
+    """The answers of the domains without constraints, in source order."""
+    hard = F.coalesce("hard", F.create_map().cast("map<string,string>"))
+    wanted = F.nullif(F.when(F.col("domain") == BY_DEPARTMENT, F.try_element_at(hard, F.lit("department"))), F.lit(""))
+    asked = queries.where(F.col("domain").isin(WHOLE, BY_DEPARTMENT)).select("query_id", "domain", F.lower(F.trim(wanted)).alias("want"))
+    rows = entities.where(F.col("domain").isin(WHOLE, BY_DEPARTMENT)).select("domain", "ord", "attrs", F.explode(F.array(F.lit(None).cast("string"), F.coalesce(F.lower(F.try_element_at("attrs", F.lit("department"))), F.lit("")))).alias("want"))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("domain", "want").orderBy("ord")))
+    mark = lambda df: df.withColumn("want", F.coalesce(F.concat(F.lit("="), "want"), F.lit("")))
+    return mark(asked).join(mark(rows), ["domain", "want"]).select("query_id", "domain", "ord", "attrs", "rank", F.lit(None).cast("string").alias("ref"))
+
+
+_LEVELS = LATEST.bit_length() - 1
+
+
+def _later(at: Column) -> Column:
+    """The nodes (level, node) of the times from ``at`` on."""
+    return nodes_before(F.lit(LATEST) - F.least(at, F.lit(LATEST)), _LEVELS)
+
+
+def _placed_times(have: DataFrame) -> DataFrame:
+    """have(at, ...) with the nodes ``n`` above each time; times count from the latest down."""
+    return have.withColumn("n", F.explode(nodes_above(F.greatest(F.lit(LATEST - 1) - F.col("at"), F.lit(0)), _LEVELS)))
+
+
+def _first_of_times(timed: DataFrame, sets: DataFrame, most: int) -> DataFrame:
+    """sets(domain, at, ...) with the first entities timed(domain, ord, attrs, at) at that time or later, or at any time or none if null, and those without a time.
+
+    Each node of a tree over the times has its domain's first ``most`` entities; a set takes the nodes of its times."""
+    none = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).cast("long").alias("node")))
+    whole = F.array(F.struct(F.lit(_LEVELS).alias("level"), F.lit(0).cast("long").alias("node")))
+    lists = _placed_times(timed.where("at is not null")).unionByName(timed.where("at is null").withColumn("n", F.explode(none)))
+    lists = first_in_order(lists.select("domain", "ord", "attrs", "n.level", "n.node"), most, "domain", "level", "node").drop("rank")
+    nodes = F.concat(none, F.coalesce(F.when(F.col("at").isNotNull(), _later(F.col("at"))), whole))
+    return sets.withColumn("n", F.explode(nodes)).withColumns({"level": F.col("n.level"), "node": F.col("n.node")}).join(lists, ["domain", "level", "node"])
 
 
 def within_times(entities: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
     """(query_id, n, ords): how many of entities(domain, ord, leave_at) leave at want_leave_at or later, and the first ``most``.
 
-    Entities are counted by their time, and times and wanted times are added up from the last on: a row for each
-    different time of a domain, whatever the number of entities and queries."""
+    Entities are counted by their time, and each node of a tree over the times has its count and its first ``most``; a wanted time
+    takes the nodes of the times from it on, about ten of them, whatever the number of entities and queries."""
     have = entities.select("domain", "ord", clock("leave_at").alias("at")).where("at is not null")
-    have = have.withColumn("r", F.row_number().over(Window.partitionBy("domain", "at").orderBy("ord")))
-    first = F.array_sort(F.collect_list(F.when(F.col("r") <= most, F.col("ord"))))
-    counted = have.groupBy("domain", "at").agg(F.count("*").alias("n"), first.alias("ords")).withColumn("want", F.lit(False))
-    q = queries.select("query_id", "domain", clock("want_leave_at").alias("at"))
-    asked = q.where("at is not null").select("domain", "at").distinct().select("domain", "at", F.lit(0).cast("long").alias("n"), F.array().cast(counted.schema["ords"].dataType).alias("ords"), F.lit(True).alias("want"))
-    later = Window.partitionBy("domain").orderBy(F.desc("at"), "want").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    up = counted.unionByName(asked).withColumns({"n": F.sum("n").over(later), "all": F.collect_list("ords").over(later)})
-    up = up.where("want").select("domain", "at", "n", F.slice(F.array_sort(F.flatten("all")), 1, most).alias("ords"))
-    return q.join(up, ["domain", "at"]).where("n > 0").select("query_id", "n", "ords")
+    counts = _placed_times(have.groupBy("domain", "at").agg(F.count("*").alias("c"))).groupBy("domain", "n").agg(F.sum("c").alias("c"))
+    lists = first_in_order(_placed_times(first_in_order(have, most, "domain", "at").drop("rank")), most, "domain", "n")
+    lists = lists.groupBy("domain", "n").agg(F.collect_list("ord").alias("ords"))
+    nodes = counts.join(lists, ["domain", "n"]).select("domain", "n.level", "n.node", "c", "ords")
+    q = queries.select("query_id", "domain", clock("want_leave_at").alias("at")).where("at is not null")
+    asked = q.select("domain", "at").distinct().withColumn("n", F.explode(_later(F.col("at")))).select("domain", "at", "n.level", "n.node")
+    found = asked.join(nodes, ["domain", "level", "node"]).groupBy("domain", "at").agg(F.sum("c").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("ords"))), 1, most).alias("ords"))
+    return q.join(found, ["domain", "at"]).select("query_id", "n", "ords")
 
 
 def as_text(found: DataFrame, queries: DataFrame, most: int = 5) -> DataFrame:

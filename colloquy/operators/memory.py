@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from ..functions.text import cache_key
 from .entities import first_in_order
+from .ranges import nodes_above, nodes_before
 
 
 #: Domains of a set up to which it is found by its parts; larger sets meet by single domains.
@@ -25,18 +26,6 @@ def _parts(domains: Column) -> Column:
     return F.when(F.size(domains) > PARTS, none).otherwise(F.transform(F.sequence(F.lit(0), power(F.least(F.size(domains), F.lit(PARTS))) - 1), part))
 
 
-def nodes_above(number: Column, levels: int) -> Column:
-    """The nodes (level, node) of a binary tree over whole numbers from 0 that a number lies under."""
-    return F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda l: F.struct(l.alias("level"), F.floor(number / F.pow(F.lit(2.0), l)).cast("long").alias("node")))  # noqa: E741
-
-
-def nodes_before(number: Column, levels: int) -> Column:
-    """The nodes that cover all whole numbers from 0 to below ``number`` (at most 2 ** levels), each once."""
-    at = lambda l: F.floor(number / F.pow(F.lit(2.0), l)).cast("long")  # noqa: E731, E741
-    odd = F.filter(F.sequence(F.lit(0), F.lit(levels)), lambda l: at(l) % 2 == 1)  # noqa: E741
-    return F.transform(odd, lambda l: F.struct(l.alias("level"), (at(l) - 1).alias("node")))  # noqa: E741
-
-
 def candidates(asked: DataFrame, heads: DataFrame, k: int) -> DataFrame:
     """(wants, at, ord, overlap): exemplars heads(ord, has, made) among which are the k that share most domains with each of asked(wants, at) and
     were made before it, of equal ones the earlier.

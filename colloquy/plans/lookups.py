@@ -61,6 +61,23 @@ def j6s(spark, d):
     return E.satisfying(_entities(spark, d), q).select("query_id", "ord", "ref")
 
 
+_SPECIAL = """e AS (SELECT 'police' AS domain, r_regionkey AS ord, CAST(NULL AS VARCHAR) AS department FROM region UNION ALL SELECT 'hospital', n_nationkey, n_name FROM nation),
+q AS (SELECT s_suppkey AS query_id, CASE WHEN s_suppkey % 7 = 0 THEN 'police' ELSE 'hospital' END AS domain, CASE WHEN s_suppkey % 5 <> 0 THEN n_name END AS want FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey)"""
+
+
+@query("j6_special_domains", "", "SELECT query_id, ord, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS rank, CAST(NULL AS VARCHAR) AS ref FROM q JOIN e ON q.domain = e.domain AND (q.domain = 'police' OR want IS NULL OR want = e.department)", _SPECIAL)
+def j6d(spark, d):
+    """Police has all its rows for an answer, hospital those of the wanted department; neither has a limit."""
+    name = lambda k, c: F.create_map(F.lit(k), c)
+    e = fx(spark, d, "region").select(F.lit("police").alias("domain"), F.col("r_regionkey").alias("ord"), name("name", F.col("r_name")).alias("attrs"))
+    e = e.unionByName(fx(spark, d, "nation").select(F.lit("hospital"), "n_nationkey", name("department", F.col("n_name"))).toDF("domain", "ord", "attrs"))
+    q = fx(spark, d, "supplier").join(F.broadcast(fx(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    want = F.when(F.col("s_suppkey") % 5 == 0, "").otherwise(F.concat(F.lit(" "), F.lower("n_name")))
+    hard = F.create_map(F.lit("department"), want, F.lit("phone"), F.lit("not asked for"))
+    q = q.select(F.col("s_suppkey").alias("query_id"), F.when(F.col("s_suppkey") % 7 == 0, "police").otherwise("hospital").alias("domain"), hard.alias("hard"), F.create_map().cast("map<string,string>").alias("soft"))
+    return E.satisfying(e, q, 3).select("query_id", "ord", "rank", "ref")
+
+
 @query("j7_time_range", "entities entity_queries", "SELECT query_id, count(*) AS n, array_to_string(list(ord ORDER BY ord)[1:10], ',') AS ords FROM entity_queries q JOIN entities e ON q.domain = e.domain AND CAST(replace(e.leave_at, ':', '') AS INT) >= CAST(replace(want_leave_at, ':', '') AS INT) GROUP BY query_id")
 def j7(spark, d):
     return E.within_times(fx(spark, d, "entities"), fx(spark, d, "entity_queries")).select("query_id", "n", F.array_join("ords", ",").alias("ords"))

@@ -290,6 +290,39 @@ def test_tokens_of_other_letters(spark):
     assert [(r.start, r.end, r.category) for r in got] == [(4, 9, "exact"), (13, 19, "exact")]
 
 
+def test_first_of_times_and_two_names(spark):
+    """Sets that want a time alone, against brute force; two spellings of a name are two constraints, or one attribute."""
+    rng = random.Random(3)
+    clock = lambda: f"{rng.randrange(26):02}:{rng.randrange(60):02}"
+    rows = [(rng.choice(["train", "bus"]), i, {k: v for k, v in (("leaveAt", rng.choice([clock(), clock(), None, "?", "late"])), ("arriveBy", rng.choice([clock(), None]))) if v}) for i in range(300)]
+    asks = [(i, rng.choice(["train", "bus", "none"]), rng.choice([{}, {"leave at": clock()}, {"leaveAt": clock(), "leave at": clock()}, {"leaveAt": "dontcare"}, {"leaveAt": clock(), "arrive by": clock()}, {"arriveBy": "x"}]), {}) for i in range(60)]
+    e = spark.createDataFrame(rows, "domain string, ord long, attrs map<string,string>")
+    q = spark.createDataFrame(asks, "query_id long, domain string, hard map<string,string>, soft map<string,string>")
+    got = {}
+    for r in entities.satisfying(e, q, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.ord)
+    number = lambda x: int(x[:2]) * 100 + int(x[3:]) if x and x[:2].isdigit() else None
+
+    def ok(want, attrs):
+        for k, v in want.items():
+            k = {"leave at": "leaveAt", "arrive by": "arriveBy"}.get(k, k)
+            a, b = number(v), number(attrs.get(k))
+            if a is not None and b is not None and (b < a if k == "leaveAt" else b > a):
+                return False
+        return True
+
+    for i, d, want, _ in asks:
+        assert got.get(i, []) == [o for dd, o, at in rows if dd == d and ok(want, at)][:4], (i, want)
+    times = spark.createDataFrame([(d, o, a.get("leaveAt")) for d, o, a in rows], "domain string, ord long, leave_at string")
+    wants = spark.createDataFrame([(i, d, next(iter(w.values()), None)) for i, d, w, _ in asks], "query_id long, domain string, want_leave_at string")
+    have = {r.query_id: (r.n, r.ords) for r in entities.within_times(times, wants, 3).collect()}
+    for i, d, w in wants.collect():
+        hits = [o for dd, o, at in rows if dd == d and number(w) is not None and number(at.get("leaveAt")) is not None and number(at["leaveAt"]) >= number(w)]
+        assert have.get(i, (0, [])) == (len(hits), hits[:3])
+    both = spark.createDataFrame([("train", 1, {"leaveAt": "05:00", "leave at": "06:00", "x": "y"}), ("train", 2, {"leaveAt": "07:00"})], "domain string, ord long, attrs map<string,string>")
+    assert [r.attrs for r in entities.rename_attributes(both).orderBy("ord").collect()] == [{"leave at": "06:00", "x": "y"}, {"leave at": "07:00"}]
+
+
 def test_likeness():
     assert entities.likeness("", "") == 100 and entities.likeness("", "a") == 0 and entities.likeness("a", "a") == 100
     assert entities.likeness("yankees", "new york yankees") == 100 and entities.likeness("abcd", "XXbcdeEEE") == 75
