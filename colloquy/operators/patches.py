@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut, numbered
+from ..functions.lineage import cut, if_few, numbered
 from ..functions.text import issues, references, strip
 from .splits import balanced_no
 
@@ -89,26 +89,59 @@ def longest(edits: DataFrame, *key: str) -> DataFrame:
     return rows.where("__rn = 1").withColumn("ord", F.col("__first")).drop("__rn", "__first")
 
 
+KINDS = ("reasoning", "edits", "changelog")
+
+
+def patch_parts(patches: DataFrame, *by: str) -> DataFrame:
+    """(by, kind, pos, body): a row for each part of patches(by, reasoning, edits, changelog): the reasoning, if it is not blank, and each edit and entry
+    of the changelog with its place from 0; what is no text is JSON."""
+    lists = {k: F.filter(F.array(k), lambda r: r.isNotNull() & (r != "")) if k == "reasoning" else F.col(k) for k in KINDS}
+    text = lambda k: "body" if k == "reasoning" or patches.schema[k].dataType.elementType.typeName() == "string" else F.to_json("body").alias("body")
+    each = [patches.select(*by, F.posexplode(x).alias("pos", "body")).select(*by, F.lit(k).alias("kind"), F.col("pos").cast("long").alias("pos"), text(k)) for k, x in lists.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
 def coalesced(patches: DataFrame, *by: str) -> DataFrame:
-    """Patches(ord, reasoning, edits, changelog) of a group as one, in order: reasoning parts that are not blank with an
-    empty line between, edits and changelog entries one after the other."""
-    row = F.array_sort(F.collect_list(F.struct("ord", "reasoning", "edits", "changelog")))
-    rows = patches.groupBy(*by).agg(row.alias("x"), F.min("ord").alias("ord"))
-    return rows.select(*by, "ord", F.array_join(F.filter("x.reasoning", lambda r: r != ""), "\n\n").alias("reasoning"), F.flatten("x.edits").alias("edits"), F.flatten("x.changelog").alias("changelog"))
+    """(by, kind, pos, body): the patches(by, ord, reasoning, edits, changelog) of a group as one, as its parts: those of its patches one after the other.
 
+    All parts are numbered at once, in the order of groups, kinds and patches, and count from the first of their group and kind: no row
+    or task has all of a group, however large it is."""
+    rows = numbered(patch_parts(patches, *by, "ord"), *by, "kind", "ord", "pos")
+    first = cut(rows.groupBy(*by, "kind").agg(F.min("__i").alias("__first")))
+    return rows.join(if_few(first), [*by, "kind"]).select(*by, "kind", (F.col("__i") - F.col("__first")).alias("pos"), "body")
 
-def merged(patches: DataFrame, size: int, max_levels: int = 10) -> DataFrame:
-    """All patches as one, merged level by level in balanced groups of ``size``, with ``levels``.
 
-    A group has at most 1.5 times ``size`` members and the loop at most ``max_levels`` + 1 rounds; the last one takes all that is left."""
-    now, level = cut(patches), 0
+def patch_text(parts: DataFrame, *by: str) -> DataFrame:
+    """(by, reasoning, edits, changelog): parts put together, for a sink: reasoning with an empty line between, the others as lists."""
+    of = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("pos", "body")))), lambda x: x["body"])
+    return parts.groupBy(*by).agg(F.array_join(of("reasoning"), "\n\n").alias("reasoning"), of("edits").alias("edits"), of("changelog").alias("changelog"))
+
+
+def merged(patches: DataFrame, size: int, max_levels: int = 10) -> DataFrame:
+    """(kind, pos, body, levels): all patches(ord, reasoning, edits, changelog) as one, merged level by level in balanced groups of ``size``, as its parts.
+
+    A group has at most 1.5 times ``size`` members and the loop at most ``max_levels`` + 1 rounds; the last one takes all that is left.  Only numbers are
+    merged: each level has how many parts its patches have and, by sums over the members before, where a member begins in
+    its group.  From the last level down, these sums say where every patch begins in the whole, and its parts are renumbered: two
+    tables of a row a patch and a row a part, and no text is moved before a sink wants it."""
+    given = cut(numbered(patches, "ord").drop("__n", "ord").withColumnRenamed("__i", "id"))
+    count = {"reasoning": (F.coalesce("reasoning", F.lit("")) != "").cast("long"), "edits": F.greatest(F.size("edits"), F.lit(0)).cast("long"), "changelog": F.greatest(F.size("changelog"), F.lit(0)).cast("long")}
+    now, levels = cut(given.select("id", *[c.alias(k) for k, c in count.items()])), []
     while (n := now.count()) > 1:
-        place = numbered(now, "ord").drop("__n")
-        forced = level == max_levels
+        forced = len(levels) == max_levels
         no = F.lit(0) if forced else balanced_no(F.col("__i"), F.lit(n), size)
-        now = cut(coalesced(place.withColumn("batch_no", no).drop("__i"), "batch_no").drop("batch_no"))
-        level += 1
-    return now.withColumn("levels", F.lit(level))
+        place = numbered(now, "id").withColumn("group", no.cast("long"))
+        before = Window.partitionBy("group").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+        inside = {f"from_{k}": F.coalesce(F.sum(k).over(before), F.lit(0)) for k in KINDS}
+        levels.append(cut(place.select("id", F.min("id").over(Window.partitionBy("group")).alias("up"), *KINDS, *[c.alias(k) for k, c in inside.items()])))
+        now = cut(levels[-1].groupBy(F.col("up").alias("id")).agg(*[F.sum(k).alias(k) for k in KINDS]))
+    starts = [f"from_{k}" for k in KINDS]
+    base = now.select("id", *[F.lit(0).cast("long").alias(c) for c in starts])
+    for level in reversed(levels):
+        whole = base.select(F.col("id").alias("up"), *[F.col(c).alias(f"up_{c}") for c in starts])
+        base = cut(level.join(whole, "up").select("id", *[(F.col(c) + F.col(f"up_{c}")).alias(c) for c in starts]))
+    start = F.when(F.col("kind") == "reasoning", F.col("from_reasoning")).when(F.col("kind") == "edits", F.col("from_edits")).otherwise(F.col("from_changelog"))
+    return patch_parts(given, "id").join(base, "id").select("kind", (start + F.col("pos")).alias("pos"), "body", F.lit(len(levels)).alias("levels"))
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.lineage import checkpoint_dir
+from ..functions.lineage import checkpoint_dir, cut
 from ..operators import memory as M
 from ..operators import patches as P
 from ..operators import traces as R
@@ -313,24 +313,44 @@ def _patches(spark, d):
     return _edits(spark, d).select("batch_index", "ord", F.when(F.col("ord") % 3 == 0, "").otherwise(F.col("ord").cast("string")).alias("reasoning"), F.array("file").alias("edits"), F.array(F.col("op")).alias("changelog"))
 
 
-@query("a21_coalesced", "edits", "SELECT batch_index, coalesce(string_agg(CASE WHEN ord % 3 <> 0 THEN CAST(ord AS STRING) END, chr(10) || chr(10) ORDER BY ord), '') AS reasoning, string_agg(file, ',' ORDER BY ord) AS files, string_agg(op, ',' ORDER BY ord) AS ops FROM edits GROUP BY batch_index")
+_PARTS = """SELECT {0} AS {1}, 'reasoning' AS kind, row_number() OVER (PARTITION BY {0} ORDER BY ord) - 1 AS pos, CAST(ord AS VARCHAR) AS body FROM e WHERE ord % 3 <> 0
+UNION ALL SELECT {0}, kind, pos, CASE kind WHEN 'edits' THEN file ELSE op END FROM (SELECT *, row_number() OVER (PARTITION BY {0} ORDER BY ord) - 1 AS pos FROM e), (VALUES ('edits'), ('changelog')) v(kind)"""
+_CUSTOMERS = "e AS (SELECT edits.*, o_custkey AS k FROM edits JOIN orders ON ord = o_orderkey)"
+
+
+@query("a21_coalesced", "edits", _PARTS.format("batch_index", "batch_index"), "e AS (SELECT * FROM edits)")
 def a21(spark, d):
-    return P.coalesced(_patches(spark, d), "batch_index").select("batch_index", "reasoning", F.array_join("edits", ",").alias("files"), F.array_join("changelog", ",").alias("ops"))
+    """The patches of a batch as one, as a table of its parts."""
+    return P.coalesced(_patches(spark, d), "batch_index").select("batch_index", "kind", "pos", "body")
+
+
+def _of_customers(spark, d):
+    key = fx(spark, d, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("k"))
+    return _patches(spark, d).join(key, "ord")
+
+
+@query("a21_patch_text", "edits", "SELECT k, coalesce(string_agg(CASE WHEN ord % 3 <> 0 THEN CAST(ord AS STRING) END, chr(10) || chr(10) ORDER BY ord), '') AS reasoning, string_agg(file, ',' ORDER BY ord) AS files, string_agg(op, ',' ORDER BY ord) AS ops FROM e GROUP BY k", _CUSTOMERS)
+def a21t(spark, d):
+    """The patches of every customer as one, put together as a sink would write it."""
+    return P.patch_text(P.coalesced(_of_customers(spark, d), "k"), "k").select("k", "reasoning", F.array_join("edits", ",").alias("files"), F.array_join("changelog", ",").alias("ops"))
 
 
 @query(
     "k13_merged",
     "edits",
-    """SELECT (SELECT string_agg(CAST(ord AS STRING), ' ' ORDER BY CAST(ord AS STRING)) FROM e WHERE ord % 3 <> 0) AS reasoning, (SELECT count(*) FROM e) AS n_edits, (SELECT string_agg(file, ',' ORDER BY file) FROM e) AS files, CAST(max(level) AS INTEGER) AS levels FROM s""",
-    """e AS (SELECT edits.*, o_custkey AS k FROM edits JOIN orders ON ord = o_orderkey),
+    """SELECT kind, body, count(*) OVER (PARTITION BY kind) AS n, CAST((SELECT max(level) FROM s) AS INTEGER) AS levels FROM (SELECT 'reasoning' AS kind, string_agg(CAST(ord AS VARCHAR), chr(10) || chr(10) ORDER BY ord) AS body FROM e WHERE ord % 3 <> 0 GROUP BY k UNION ALL SELECT 'edits', file FROM e UNION ALL SELECT 'changelog', op FROM e)""",
+    _CUSTOMERS
+    + """,
 s AS (WITH RECURSIVE s(n, level) AS (SELECT count(DISTINCT k), 0 FROM e UNION ALL SELECT CASE WHEN n <= 5 THEN 1 WHEN n % 5 BETWEEN 1 AND 2 THEN n // 5 ELSE n // 5 + CAST(n % 5 > 0 AS BIGINT) END, level + 1 FROM s WHERE n > 1) SELECT * FROM s)""",
 )
 def k13(spark, d):
-    """The edits of every customer are a patch; all patches are merged in groups of five, level by level; nothing is lost."""
-    key = fx(spark, d, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("k"))
-    patches = P.coalesced(_patches(spark, d).join(key, "ord"), "k").drop("ord").withColumnRenamed("k", "ord")
-    parts = F.array_join(F.array_sort(F.split("reasoning", "\n\n")), " ")  # rests are dealt to the groups before them, so the order is another
-    return P.merged(patches, 5).select(parts.alias("reasoning"), F.size("edits").cast("long").alias("n_edits"), F.array_join(F.array_sort("edits"), ",").alias("files"), "levels")
+    """The edits of every customer are a patch; all patches are merged in groups of five, level by level; nothing is lost.
+
+    ``n`` is the last place of the kind and one more, so every part must have a place of its own."""
+    parts = P.patch_text(P.coalesced(_of_customers(spark, d), "k"), "k").withColumnRenamed("k", "ord")
+    rows = cut(P.merged(parts, 5))
+    n = rows.groupBy("kind").agg((F.max("pos") + 1).alias("n"), F.count_distinct("pos").alias("places"))
+    return rows.join(F.broadcast(n.where("n = places")), "kind").select("kind", "body", "n", "levels")
 
 
 @query("u1_tagged_union", "logs", "SELECT row_id, CASE outcome WHEN 'FAILED' THEN 'error' ELSE 'success' END AS source, CASE outcome WHEN 'FAILED' THEN 0 ELSE 1 END AS source_order FROM l", _L)

@@ -323,6 +323,33 @@ def test_first_of_times_and_two_names(spark):
     assert [r.attrs for r in entities.rename_attributes(both).orderBy("ord").collect()] == [{"leave at": "06:00", "x": "y"}, {"leave at": "07:00"}]
 
 
+@pytest.mark.parametrize("n,most", [(0, 10), (1, 10), (4, 10), (5, 10), (23, 10), (131, 10), (131, 1)])
+def test_merged_patches(spark, n, most):
+    """The places of all parts against a merge of lists, group by group and level by level."""
+    rng = random.Random(n)
+    rows = [(3 * i, rng.choice(["", f"r{i}", None]), [f"e{i}.{j}" for j in range(rng.randrange(3))], [f"c{i}.{j}" for j in range(rng.randrange(2))]) for i in range(n)]
+    schema = "ord long, reasoning string, edits array<string>, changelog array<string>"
+    now, levels = [([r] if r else [], e, c) for _, r, e, c in rows], 0
+    while len(now) > 1:
+        size, m = 5, len(now)
+        full = m // size
+        no = lambda i: 0 if levels == most or m <= size else i // size if i < full * size else (i - full * size) % full if m % size < size / 2 else full
+        groups = {}
+        for i, p in enumerate(now):
+            groups.setdefault(no(i), []).append(p)
+        now = [tuple(sum((p[k] for p in g), []) for k in range(3)) for _, g in sorted(groups.items())]
+        levels += 1
+    got = patches.merged(spark.createDataFrame(rows, schema).repartition(3), 5, most)
+    parts = {k: [r.body for r in got.where(F.col("kind") == k).orderBy("pos").collect()] for k in patches.KINDS}
+    assert parts == dict(zip(patches.KINDS, now[0] if now else ([], [], []))) and all(r.levels == levels for r in got.collect())
+    if n == 23:
+        x = spark.createDataFrame([(r[0] % 2, *r) for r in rows], f"g long, {schema}")
+        text = {r.g: r for r in patches.patch_text(patches.coalesced(x, "g"), "g").collect()}
+        for g in (0, 1):
+            mine = [r for r in rows if r[0] % 2 == g]
+            assert text[g].reasoning == "\n\n".join(r[1] for r in mine if r[1]) and text[g].edits == sum((r[2] for r in mine), []) and text[g].changelog == sum((r[3] for r in mine), [])
+
+
 def test_likeness():
     assert entities.likeness("", "") == 100 and entities.likeness("", "a") == 0 and entities.likeness("a", "a") == 100
     assert entities.likeness("yankees", "new york yankees") == 100 and entities.likeness("abcd", "XXbcdeEEE") == 75
