@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.memory import retrieve
 from ..sources.writers import write_step
@@ -47,27 +47,59 @@ def grow_memory(stream: DataFrame, k: int, memory: str, found: str, checkpoint:
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _carry(key, frames, state):
-    domain, booked, seen = state.get if state.exists else (None, [], None)
-    booked = list(booked)
-    rows, out = pd.concat(list(frames)).sort_values("utt_idx"), []
-    for r in rows.itertuples():
-        named = r.act_domain if isinstance(r.act_domain, str) and r.act_domain else None
-        late = seen is not None and r.utt_idx <= seen
-        new = bool(r.booked) and named is not None and named not in booked
-        if not late:
-            domain, seen = named or domain, int(r.utt_idx)
-            booked += [named] if new else []
-        out.append((key[0], r.utt_idx, named or domain, named if new and not late else None))
-    state.update((domain, booked, seen))
-    yield pd.DataFrame(out, columns=["dialogue_id", "utt_idx", "current_domain", "booked_domain"])
-
-
-def running_state(turns: DataFrame) -> DataFrame:
-    """(dialogue_id, utt_idx, current_domain, booked_domain): the last act domain so far and a domain booked for the first
+class Carried(StatefulProcessor):
+    """The domain and the last turn of a dialogue as a value, the domains that it has booked as a map; a timer closes it."""
+
+    def __init__(self, idle: int):
+        self.idle = idle
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", "domain string, seen long, timer long")
+        self.booked = handle.getMapState("booked", "domain string", "utt_idx long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        domain, seen, timer = self.now.get() if self.now.exists() else (None, None, None)
+        frame, out = pd.concat(list(rows)).sort_values("utt_idx", kind="stable"), []
+        for idx, act, booked in zip(frame["utt_idx"].tolist(), frame["act_domain"].tolist(), frame["booked"].tolist(), strict=True):
+            named = act if isinstance(act, str) and act else None
+            late = seen is not None and idx <= seen
+            new = not late and booked is not None and bool(booked) and named is not None and not self.booked.containsKey((named,))
+            if not late:
+                domain, seen = named or domain, idx
+            if new:
+                self.booked.updateValue((named,), (idx,))
+            out.append((key[0], idx, named or domain, named if new else None, late))
+        if self.idle:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.idle
+            self.handle.registerTimer(timer)
+        self.now.update((domain, seen, timer))
+        yield pd.DataFrame(out, columns=["dialogue_id", "utt_idx", "current_domain", "booked_domain", "late"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.now.clear()
+        self.booked.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def running_state(turns: DataFrame, idle: int = 0) -> DataFrame:
+    """(dialogue_id, utt_idx, current_domain, booked_domain, late): the last act domain so far and a domain booked for the first
     time, of a stream of turns.
 
-    The turns of a dialogue in one batch are taken in their order, however they come.  Between batches the state is
-    the domain, the array of booked domains and the last turn.  A turn that comes after a later one of its dialogue (in an earlier batch) is late:
-    it is answered by its own domain or the current one, books nothing and changes nothing."""
-    return turns.groupBy("dialogue_id").applyInPandasWithState(_carry, "dialogue_id long, utt_idx long, current_domain string, booked_domain string", "domain string, booked array<string>, seen long", "append", GroupStateTimeout.NoTimeout)
+    The turns of a dialogue in one batch are taken in their order, however they come.  Between batches a value state has
+    the domain and the last turn, a map state the booked domains, a key each, in a RocksDB store.  A turn that comes after a later one of its dialogue (in an
+    earlier batch) is ``late``: it is answered by its own domain or the current one, books nothing and changes nothing.  A dialogue
+    without turns for ``idle`` milliseconds is closed and its state dropped (0: never); what comes after that is a new dialogue.  With
+    ``idle`` give the stream a trigger of processing time: batches go on, so that timers can fire, and an available-now one would not end."""
+    turns.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    kind = turns.schema["dialogue_id"].dataType.simpleString()
+    out = f"dialogue_id {kind}, utt_idx long, current_domain string, booked_domain string, late boolean"
+    return turns.groupBy("dialogue_id").transformWithStateInPandas(Carried(idle), out, "append", "ProcessingTime" if idle else "None")

@@ -380,8 +380,9 @@ def test_state_over_batches(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         q = batches.running_state(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
         q.writeStream.format("parquet").option("path", str(tmp_path / f"out{i}")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination() if i == 0 else q.writeStream.foreachBatch(lambda b, _: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
-    first = spark.read.schema("dialogue_id long, utt_idx long, current_domain string, booked_domain string").parquet(str(tmp_path / "out0")).collect()
-    got = sorted(tuple(r) for r in [*first, *out] if r.dialogue_id == 1)
+    first = spark.read.schema("dialogue_id long, utt_idx long, current_domain string, booked_domain string, late boolean").parquet(str(tmp_path / "out0")).collect()
+    got = sorted(tuple(r)[:4] for r in [*first, *out] if r.dialogue_id == 1)
+    assert [(r.dialogue_id, r.utt_idx) for r in [*first, *out] if r.late] == [(1, 1)]
     late = (1, 1, "police", None)
     assert late in got
     got.remove(late)
@@ -389,6 +390,30 @@ def test_state_over_batches(spark, tmp_path):
     assert sorted((r.utt_idx, r.booked_domain) for r in [*first, *out] if r.dialogue_id == 2) == [(0, None), (1, "taxi"), (2, None)]
 
 
+def test_state_goes_with_its_timer(spark, tmp_path):
+    import time
+
+    from colloquy.streaming import batches
+
+    schema = "dialogue_id long, utt_idx long, act_domain string, booked boolean"
+    out, path = [], str(tmp_path / "in")
+    parts = [[(1, 5, "hotel", True)], [(1, 6, None, False), (2, 0, None, None)], [(1, 2, None, False)]]
+    spark.createDataFrame(parts[0], schema).coalesce(1).write.mode("append").parquet(path)
+    q = batches.running_state(spark.readStream.schema(schema).parquet(path), 15000)
+    stream = q.writeStream.foreachBatch(lambda b, _: out.extend(map(tuple, b.collect()))).option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start()
+    try:
+        for i, want in enumerate((1, 3, 4)):
+            if i:
+                time.sleep(25 if i == 2 else 0)
+                spark.createDataFrame(parts[i], schema).coalesce(1).write.mode("append").parquet(path)
+            until = time.time() + 40
+            while len(out) < want and time.time() < until:
+                time.sleep(0.2)
+    finally:
+        stream.stop()
+    assert sorted(out) == [(1, 2, None, None, False), (1, 5, "hotel", "hotel", False), (1, 6, "hotel", None, False), (2, 0, None, None, False)]
+
+
 def test_key_is_canonical(spark):
     row = spark.range(1).select(F.struct(F.lit("x").alias("role"), F.lit("y").alias("content")).alias("a"), F.struct(F.lit("y").alias("content"), F.lit("x").alias("role")).alias("b"))
     r = row.select(T.cache_key(F.lit("m"), F.array("a")).alias("a"), T.cache_key(F.lit("m"), F.array("b")).alias("b")).first()
