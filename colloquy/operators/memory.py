@@ -125,6 +125,41 @@ def score_with_cache(calls: DataFrame, cache: DataFrame, fn: Callable, model: st
     return keyed.drop("__json").join(known, "key", "left"), new
 
 
+def reply_table(spark, name: str, path: str | None = None, buckets: int = 64) -> str:
+    """The name of a table of replies(key, reply), bucketed by key, made if it is not there.  With ``path`` its files outlive the
+    session and its catalog; they must be opened with the number of buckets that they were written with."""
+    place = f" LOCATION '{path}'" if path else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (key STRING, reply STRING) USING parquet CLUSTERED BY (key) INTO {int(buckets)} BUCKETS{place}")
+    return name
+
+
+def score_through(calls: DataFrame, table: str, fn: Callable, buckets: int = 64, model: str = "model", messages: str = "messages") -> DataFrame:
+    """calls with ``key``, ``reply`` and ``hit`` (the table had it before); what it had not is appended, so that the next call finds it.
+
+    Different calls are gathered first and written, so a call that is made very often is one row of the join with the
+    table and a skewed key that the engine may split in the join with the calls.  The table is read by bucket and is not
+    moved; a call that runs again after it was stopped finds what it has appended.  Two callers at once may append a key
+    twice: its least reply counts, for both of them from their next call on.  The function gets JSON messages, each missing key once
+    (again where a task is tried again), and must give as many replies; null replies are kept.  Null messages are a call like others."""
+    spark = calls.sparkSession
+    keyed = calls.withColumn("key", cache_key(F.col(model), F.col(messages)))
+    asked = cut(keyed.groupBy("key").agg(F.any_value(F.to_json(messages)).alias("json")))
+
+    def stored() -> DataFrame:
+        return spark.table(table).groupBy("key").agg(F.min("reply").alias("reply")).hint("merge")
+
+    def run(frames):
+        for frame in frames:
+            yield frame.assign(reply=fn(frame["json"]))[["key", "reply"]]
+
+    before = cut(asked.join(stored().select("key", F.lit(True).alias("hit")), "key", "left").withColumn("hit", F.coalesce("hit", F.lit(False))))
+    new = before.where("not hit").select("key", "json").mapInPandas(run, "key string, reply string")
+    new.repartition(buckets, "key").write.mode("append").insertInto(table)
+    spark.catalog.refreshTable(table)
+    replies = cut(before.select("key", "hit").join(stored(), "key"))
+    return keyed.join(replies, "key")
+
+
 def analyse(rows: DataFrame, fn: Callable, key: str = "instance_id") -> DataFrame:
     """(key, report, error): a caller's function of one row (a dict) for each row; what it raises becomes the row's error."""
     kind = rows.schema[key].dataType.simpleString()

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 #: A spreadsheet cell: kind is number, time, datetime, string or empty.
 CELL = "kind string, num double, str string, ts timestamp"
@@ -51,29 +48,31 @@ def cells_of(df: DataFrame, column: str = "range", max_row=None, max_column=None
     return rows.withColumn("cell", F.concat(column_letters(F.col("__c")), F.col("__r").cast("string"))).drop("__c", "__r")
 
 
-@F.pandas_udf(DoubleType())
-def round_half_even(x: pd.Series) -> pd.Series:
+def round_half_even(x: Column) -> Column:
     """To two decimals, exactly as the binary double is nearer (half to even).
 
-    A hundredfold double tells on which side of a half the value is, unless it is within its rounding error of
-    one; only those few values are rounded exactly one by one."""
-    v = x.to_numpy(np.float64, na_value=np.nan)
-    with np.errstate(invalid="ignore", over="ignore"):
-        scaled = v * 100
-        plain = np.abs(v) < 1e12
-        out = np.where(plain, np.rint(scaled) / 100, v)
-        half = np.abs(np.abs(scaled - np.trunc(scaled)) - 0.5) <= np.abs(scaled) * 1e-15
-        close = np.flatnonzero(np.isfinite(v) & (half | ~plain))
-    out[close] = [round(float(e), 2) for e in v[close]]
-    return pd.Series(out).where(x.notna(), None)
+    The hundredfold is kept as a sum of two doubles without an error: the rounded product and, from the two halves of
+    the value's digits, what rounding took from it.  Where the product is on a half, the second one tells the side.
+    From 2 ** 46 a double next to the rounded value is the value itself."""
 
+    def rounded(v: Column) -> Column:
+        high = v * 134217729.0 - (v * 134217729.0 - v)  # the upper 26 bits
+        whole = v * 100.0
+        rest = (high * 100.0 - whole) + (v - high) * 100.0
+        near = F.rint(whole)
+        off = whole - near
+        cents = F.when((off == 0.5) & (rest > 0), near + 1).when((off == -0.5) & (rest < 0), near - 1).otherwise(near)
+        return F.when(F.abs(v) < float(1 << 46), cents / 100.0).otherwise(v)
 
-def normal_cell(kind: Column, num: Column, text: Column, ts: Column, rounded=round_half_even) -> Column:
+    return F.element_at(F.transform(F.array(x), rounded), 1)
+
+
+def normal_cell(kind: Column, num: Column, text: Column, ts: Column) -> Column:
     """struct(kind, num, str): numbers and numeric texts to two decimals, date times to whole serial days, times to
     HH:MM; an empty text is an empty cell."""
     as_number = F.coalesce(F.when(kind == "number", num), F.when((kind == "string") & text.rlike(r"^\s*[+-]?(\d+(_\d+)*\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), F.regexp_replace(F.trim(text), "_", "").try_cast("double")))
     days = F.unix_micros(ts) / F.lit(86_400_000_000.0) + 25569
-    n = F.when(kind == "datetime", F.rint(days)).otherwise(rounded(as_number))
+    n = F.when(kind == "datetime", F.rint(days)).otherwise(round_half_even(as_number))
     new = F.when(kind.isNull() | (kind == "empty") | (kind == "string") & (text == ""), "empty").when(n.isNotNull(), "number").otherwise(kind)
     s = F.when(new == "time", F.date_format(ts, "HH:mm")).when(new == "string", text)
     return F.struct(new.alias("kind"), F.when(new == "number", n).alias("num"), s.alias("str"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -455,6 +456,23 @@ def x3(spark, d):
     return M.score_with_cache(calls, cache, lambda s: s.map(lambda x: "new"))[0].select("dialogue_id", "utt_idx", "reply")
 
 
+_CALLED = "first AS (SELECT DISTINCT speaker, utterance FROM turns WHERE dialogue_id % 2 = 0)"
+
+
+@query("x3_reply_table", "turns", "SELECT dialogue_id, utt_idx, f.speaker IS NOT NULL AS hit, CAST(length(t.utterance) AS VARCHAR) AS reply FROM turns t LEFT JOIN first f ON t.speaker = f.speaker AND t.utterance = f.utterance", _CALLED)
+def x3_table(spark, d):
+    """Replies of two calls through one table: what the first one asked is not asked again by the second."""
+    msg = F.array(F.struct(F.col("speaker").alias("role"), F.col("utterance").alias("content")))
+    calls = fx(spark, d, "turns").select("dialogue_id", "utt_idx", F.lit("m").alias("model"), msg.alias("messages"))
+    name = f"replies_{uuid.uuid4().hex}"
+    M.reply_table(spark, name, f"{checkpoint_dir(spark)}/{name}")
+    reply = lambda s: s.map(lambda x: str(len(json.loads(x)[0]["content"])))
+    M.score_through(calls.where("dialogue_id % 2 = 0"), name, reply)
+    out = M.score_through(calls, name, reply).select("dialogue_id", "utt_idx", "hit", "reply")
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 @query("x4_analyse", "turns", "SELECT dialogue_id, utt_idx, CASE WHEN act_domain IS NOT NULL THEN act_domain || '!' END AS report, CASE WHEN act_domain IS NULL THEN 'ValueError: no domain' END AS error FROM turns")
 def x4(spark, d):
     def fn(row):

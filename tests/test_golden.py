@@ -456,11 +456,51 @@ def test_lookups_against_brute_force(spark):
         assert got.get(i, []) == [o for x, o, a in ents if x == d and ok(a, i, c)][:4], (i, d, c)
 
 
-def test_rounding():
+def test_rounding(spark, tmp_path):
+    """Against the language's own rounding: random values of all sizes, and those next to and on a half."""
     import numpy as np
     import pandas as pd
 
     rng = np.random.default_rng(0)
-    x = np.concatenate([rng.normal(size=5000) * 10.0 ** rng.integers(-3, 15, 5000), rng.integers(-100000, 100000, 5000) / 1000 + 0.005, np.arange(-300, 300) / 200, [2.675, 1.005, 1e300, -1e-300, np.inf, -np.inf, 4503599627370497.5]])
-    got = scoring.round_half_even.func(pd.Series(x)).to_numpy(float)
-    assert all(g == round(float(v), 2) or not np.isfinite(v) for g, v in zip(got, x))
+    halves = rng.integers(-(10**9), 10**9, 100_000) / 1000 + 0.005
+    ties = rng.integers(-(2**40), 2**40, 50_000) / 8
+    big = rng.integers(2**50, 2**55, 50_000) / 128
+    tiny = [2.675, 1.005, 0.125, 0.375, 1e300, -1e-300, 5e-324, np.inf, -np.inf, np.nan, 4503599627370497.5, 0.0, -0.0]
+    x = np.concatenate([rng.normal(size=800_000) * 10.0 ** rng.integers(-6, 18, 800_000), halves, np.nextafter(halves, 0), np.nextafter(halves, 1e18), ties, big, -big, np.arange(-300, 300) / 200, tiny])
+    pd.DataFrame({"i": range(len(x)), "x": x}).to_parquet(tmp_path / "x.parquet")
+    rows = spark.read.parquet(str(tmp_path / "x.parquet")).select("i", scoring.round_half_even(F.col("x")).alias("r"))
+    assert "Python" not in rows._jdf.queryExecution().toString() and "Arrow" not in rows._jdf.queryExecution().toString()
+    got = rows.toArrow().to_pandas().sort_values("i")["r"].to_numpy(float)
+    want = np.array([round(float(v), 2) if np.isfinite(v) else v for v in x])
+    assert np.array_equal(got, want, equal_nan=True)
+    assert spark.range(1).select(scoring.round_half_even(F.lit(None).cast("double")).alias("r")).first().r is None
+
+
+def test_reply_table(spark, tmp_path):
+    """Two calls: the second one asks nothing that the first one has; a repeated key is asked once; keys that came twice have one reply."""
+    name = memory.reply_table(spark, "replies_of_test", str(tmp_path / "replies"), 8)
+    msg = F.array(F.struct(F.lit("user").alias("role"), (F.col("id") % 50).cast("string").alias("content")))
+    calls = spark.range(400).select("id", F.lit("m").alias("model"), F.when(F.col("id") != 399, msg).alias("messages"), F.lit("own").alias("json"))
+    first = memory.score_through(calls.where("id < 25 or id = 399"), name, lambda s: s.fillna("none").str.upper(), 8)
+    assert first.where("not hit").count() == 26
+    second = memory.score_through(calls, name, lambda s: s.fillna("none").str.upper(), 8).collect()
+    assert len(second) == 400 and sum(r.hit for r in second) == 25 * 8 + 1 and len({r.reply for r in second}) == 51
+    assert spark.table(name).count() == 51
+
+    def never(s):
+        raise AssertionError("asked again")
+
+    third = memory.score_through(calls, name, never, 8)
+    assert third.where("hit").count() == 400 and third.where("json = 'own'").count() == 400
+    assert memory.score_through(calls.limit(0), name, never, 8).count() == 0
+    key = second[0].key
+    spark.createDataFrame([(key, "A")], "key string, reply string").write.insertInto(name)
+    again = memory.score_through(calls, name, never, 8).where(F.col("key") == key).collect()
+    assert {r.reply for r in again} == {min("A", second[0].reply)} and len(again) == sum(r.key == key for r in second)
+    asked = calls.select(memory.cache_key(F.col("model"), F.col("messages")).alias("key")).distinct().checkpoint()
+    plan = asked.join(spark.table(name).groupBy("key").agg(F.min("reply").alias("reply")).hint("merge"), "key", "left")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan and "SelectedBucketsCount: 8 out of 8" in plan
+    # a session that does not know the table finds its files
+    spark.sql(f"DROP TABLE {name}")
+    memory.reply_table(spark, name, str(tmp_path / "replies"), 8)
+    assert memory.score_through(calls, name, never, 8).where("hit").count() == 400
