@@ -117,6 +117,26 @@ def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([likeness(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
 
 
+def _letters(v: Column) -> Column:
+    """The letters of a text, each with its number among equal ones, so that common elements count common letters."""
+    each = lambda ch: F.transform(F.sequence(F.lit(1), F.length(v) - F.length(F.replace(v, ch, F.lit("")))), lambda i: F.concat(ch, i.cast("string")))
+    return F.flatten(F.transform(F.array_distinct(F.split(v, "")), each))
+
+
+def alike(pairs: DataFrame, ratio: float) -> DataFrame:
+    """The different (a, b) of pairs that are ``ratio`` alike (``likeness``); a null is an empty text.
+
+    A part that is alike enough has so many letters of the shorter text that both texts must have r / (2 - r) of its length in common.
+    Letters are put in order once for each different text; only pairs that keep that bound are compared letter by letter."""
+    pairs = cut(pairs.select(F.coalesce("a", F.lit("")).alias("a"), F.coalesce("b", F.lit("")).alias("b")).distinct())
+    r = max(ratio - 0.5, 0) / 100  # a likeness is rounded
+    words = cut(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct().select("w", F.when(F.col("w") == "", F.array().cast("array<string>")).otherwise(_letters(F.col("w"))).alias("bag")))
+    side = lambda c, bag: if_few(words, items=F.size("bag") + 1).select(F.col("w").alias(c), F.col("bag").alias(bag))
+    both = pairs.join(side("a", "bag_a"), "a").join(side("b", "bag_b"), "b")
+    near = F.size(F.array_intersect("bag_a", "bag_b")) >= F.least(F.size("bag_a"), F.size("bag_b")) * F.lit(r / (2 - r)) - 1e-9
+    return both.where(near).select("a", "b").repartition("a", "b").where(partial_ratio("a", "b") >= ratio)
+
+
 def satisfying(entities: DataFrame, queries: DataFrame, most: int = 10, ignore_open: bool = False, ratio: float = 60) -> DataFrame:
     """entities(domain, ord, attrs) that meet queries(query_id, domain, hard, soft: map<string,string>).
 
@@ -182,8 +202,8 @@ def satisfying(entities: DataFrame, queries: DataFrame, most: int = 10, ignore_o
     else:
         soft = cut(found.where(F.size("soft") > 0).select("s", "domain", "ord", "attrs", F.explode("soft").alias("k", "v")))
         soft = soft.withColumns({"skip": skipped(F.col("k"), F.col("v")), "a": plain("v"), "b": plain(have)})
-        like = soft.where("not skip").select("a", "b").distinct().repartition("a", "b").withColumn("like", partial_ratio("a", "b"))
-        soft = soft.join(like, ["a", "b"], "left").withColumn("ok", F.col("skip") | (F.col("like") >= ratio))
+        like = alike(soft.where("not skip"), ratio).withColumn("like", F.lit(True))
+        soft = soft.join(like, ["a", "b"], "left").withColumn("ok", F.col("skip") | F.coalesce("like", F.lit(False)))
         good = soft.groupBy("s", "domain", "ord").agg(F.bool_and("ok").alias("ok"), F.first("attrs").alias("attrs")).where("ok").drop("ok")
         rows = plainly.unionByName(first_in_order(good, most, "s"))
     answers = ids.join(rows, "s").select("query_id", "domain", "ord", "attrs", "rank", F.lpad(F.col("ord").cast("string"), 8, "0").alias("ref"))

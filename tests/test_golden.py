@@ -171,6 +171,24 @@ def test_soft_match(spark):
     assert [round(r.x) for r in like] == [100, 67, 0]
 
 
+def test_alike(spark):
+    """As pair by pair, for texts around the limit; few pairs pass the bound of letters."""
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("abcdé𝒳 +") for _ in range(n))
+    pairs = [("", ""), ("", "a"), ("a", ""), (None, ""), ("aa", "a"), ("ab", "ba")]
+    for _ in range(600):
+        a = word(rnd.randrange(1, 14))
+        b = list(a * rnd.randrange(1, 3))
+        for _ in range(rnd.randrange(len(b) + 1)):
+            b[rnd.randrange(len(b))] = rnd.choice("abcdxyz")
+        pairs += [(a, "".join(b)), (a, word(rnd.randrange(1, 20)))]
+    df = spark.createDataFrame(pairs + pairs[:50], "a string, b string")
+    for ratio in (60, 85, 100, 0):
+        got = sorted((r.a, r.b) for r in entities.alike(df, ratio).collect())
+        assert got == sorted({(a or "", b) for a, b in pairs if entities.likeness(a or "", b) >= ratio}), ratio
+    assert entities.alike(df.limit(0), 60).count() == 0
+
+
 def test_spans(spark):
     rows = [("at 5:00 for two", "05:00", 1, 1), ("at 5:00 for two", "2", 3, 3), ("the Gon ville hotel", "gonville", 1, 2), ("a b c d here", "d", 1, 1), ("x", "y", 0, 0), ("", "y", 0, 0)]
     got = corpus.align_spans(spark.createDataFrame(rows, "utterance string, value string, start_word int, end_word int")).collect()
