@@ -83,10 +83,14 @@ def sanitized(edits: DataFrame, existing: DataFrame, by: str = "batch_index") ->
 
 
 def longest(edits: DataFrame, *key: str) -> DataFrame:
-    """Of edits of the same key the one of the longest content (of equal ones the earlier), at the first one's place ``ord``."""
-    w = Window.partitionBy(*key)
-    rows = edits.withColumns({"__rn": F.row_number().over(w.orderBy(F.desc(F.length("content")), "ord")), "__first": F.min("ord").over(w)})
-    return rows.where("__rn = 1").withColumn("ord", F.col("__first")).drop("__rn", "__first")
+    """Of edits of the same key the one of the longest content (of equal ones the earlier), at the first one's place ``ord``.
+
+    An aggregation, so that each task sends one edit a key, however many edits a key has; a content that is null is the shortest."""
+    rest = [c for c in edits.columns if c not in key]
+    best = F.max_by(F.struct(*rest), F.struct(F.length("content"), -F.col("ord"))).alias("__best")
+    rows = edits.groupBy(*key).agg(best, F.min("ord").alias("__first"))
+    value = {**{c: F.col(f"__best.{c}") for c in rest}, "ord": F.col("__first")}
+    return rows.select(*[value[c].alias(c) if c in value else F.col(c) for c in edits.columns])
 
 
 KINDS = ("reasoning", "edits", "changelog")

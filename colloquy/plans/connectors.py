@@ -12,6 +12,7 @@ from ..functions.lineage import checkpoint_dir, cut
 from ..operators import corpus as C
 from ..operators import memory as M
 from ..operators import slots
+from ..operators import traces as X
 from ..sources import readers as R
 from ..sources import writers as W
 from ..streaming import batches as S
@@ -103,6 +104,58 @@ def s11(spark, d):
     return fx(spark, d, "reports").select(F.col("instance_id").alias("doc")).withColumn("path", path).select("doc", *R.report_id("path"))
 
 
+def _runs(spark, d, *by):
+    """A log of each supplier (and seed), with a step for each of its lines in the order of the keys; some names are no logs'."""
+    step = F.concat_ws("\n", F.concat(F.lit("[thought] order "), "l_orderkey"), F.concat(F.lit("[action] take "), "l_partkey"), F.concat(F.lit("[observation] line "), "l_linenumber"))
+    rows = fx(spark, d, "lineitem").select("l_suppkey", F.concat(F.lit("seed_"), F.col("l_linenumber") % 3).alias("seed"), F.struct("l_orderkey", "l_linenumber", "l_partkey", step.alias("text")).alias("step"))
+    rows = rows.groupBy("l_suppkey", *by).agg(F.array_sort(F.collect_list("step")).alias("steps"), F.sum("step.l_linenumber").alias("t"))
+    end = F.expr("CASE WHEN t % 5 = 0 THEN '.md' WHEN t % 2 = 0 THEN '_FAILED.md' ELSE '_SUCCEED.md' END")
+    return rows.select(*by, F.concat(F.lit("cli_agent_"), "l_suppkey", end).alias("file_name"), F.array_join(F.transform("steps", lambda x: x["text"]), "\n").alias("text"))
+
+
+_RUNS = """r AS (SELECT l_suppkey, {0} AS seed, sum(l_linenumber) AS t FROM lineitem GROUP BY ALL),
+z AS (SELECT l_suppkey, {0} AS seed, row_number() OVER (PARTITION BY l_suppkey, {0} ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS step, l_orderkey, l_partkey, l_linenumber FROM lineitem),
+x AS (SELECT CAST(l_suppkey AS STRING) AS instance_id, seed, CASE WHEN t % 2 = 0 THEN 'FAILED' ELSE 'SUCCEED' END AS outcome, step,
+ '[thought] order ' || l_orderkey AS thought, '[action] take ' || l_partkey AS action, '[observation] line ' || l_linenumber AS observation FROM z JOIN r USING (l_suppkey, seed) WHERE t % 5 <> 0)"""
+
+
+@query("s9_scan_logs", "", "SELECT instance_id, outcome, step, thought, action, observation FROM x", _RUNS.format("''"))
+def s9(spark, d):
+    """A folder of logs, written and scanned, and the steps in them."""
+    p = _place(spark)
+    W.write_texts(_runs(spark, d), p, "file_name")
+    logs = R.read_logs(spark, p, stored=True)
+    steps = X.trajectory_steps(logs.withColumn("instance_id", F.concat_ws("/", "instance_id", "outcome")))
+    return steps.select(F.split_part("instance_id", F.lit("/"), F.lit(1)).alias("instance_id"), F.split_part("instance_id", F.lit("/"), F.lit(2)).alias("outcome"), "step", "thought", "action", "observation")
+
+
+@query("s10_scan_seeds", "", "SELECT instance_id || '_' || seed AS run_id, step, action FROM x", _RUNS.format("'seed_' || l_linenumber % 3"))
+def s10(spark, d):
+    """Logs in the folders of their seeds, written and scanned; those of one instance stay apart."""
+    p = _place(spark)
+    W.write_texts(_runs(spark, d, "seed"), p, "seed", "file_name")
+    logs = X.with_seed(R.read_logs(spark, p, seeds=True, stored=True))
+    return X.trajectory_steps(logs.withColumn("instance_id", F.col("run_id"))).select(F.col("instance_id").alias("run_id"), "step", "action")
+
+
+@query(
+    "s11_scan_reports",
+    "",
+    """SELECT CAST(s_suppkey AS STRING) AS instance_id, s_suppkey % 3 = 0 AS in_directory, n AS number, s_name AS title, CASE n WHEN 1 THEN CAST(s_nationkey AS STRING) ELSE 'again' END AS content
+ FROM supplier, (VALUES (1), (2)) v(n) WHERE s_suppkey % 3 < 2 AND n <= 1 + s_nationkey % 2""",
+)
+def s11s(spark, d):
+    """Reports, flat or in a folder of their instance, written and scanned, and the items in them; prompts are none."""
+    p, i = _place(spark), F.col("s_suppkey").cast("string")
+    kind = F.col("s_suppkey") % 3
+    name = F.when(kind == 0, "analysis_report.md").otherwise(F.concat(F.lit("error_analysis_"), i, F.when(kind == 1, ".md").otherwise("_prompt.md")))
+    item = lambda head, text: F.concat(F.lit(f"# {head}\n## Title\n"), "s_name", F.lit("\n## Content\n"), text, F.lit("\n"))
+    text = F.concat(item("Failure Cause Item 1", F.col("s_nationkey").cast("string")), F.when(F.col("s_nationkey") % 2 == 1, item("Failure Memory Item 2", F.lit("again"))).otherwise(""))
+    W.write_texts(fx(spark, d, "supplier").select(F.when(kind == 0, i).otherwise("flat").alias("folder"), name.alias("file_name"), text.alias("text")), p, "folder", "file_name")
+    rows = X.parse_reports(R.read_reports(spark, p, stored=True))[0]
+    return rows.select("instance_id", "in_directory", F.explode("items").alias("i")).select("instance_id", "in_directory", "i.number", "i.title", "i.content")
+
+
 @query("s12_evaluation_sink", "slots", f"SELECT 'per_dialogue' AS part, CAST(dialogue_id AS STRING) AS key, info_rate AS rate, CAST(1 AS BIGINT) AS n FROM met UNION ALL SELECT 'overall', '', micro_rate, n_dialogues FROM (SELECT {SUMMARY} FROM met) UNION ALL SELECT 'per_domain', domain, sum(CAST(correct AS INT)) FILTER (kind <> 'booking')::DOUBLE / count(*) FILTER (kind <> 'booking'), count(DISTINCT dialogue_id) FROM scored GROUP BY domain", SCORED)
 def s12(spark, d):
     """All three tables of an evaluation, written and read back."""

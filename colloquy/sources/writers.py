@@ -38,6 +38,14 @@ def write_triage(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_texts(texts: DataFrame, path: str, *folders: str) -> None:
+    """Each ``text`` as a file of its own, in folders named after the given columns (the last one is the file's name), as
+    ``read_logs`` and ``read_reports`` read them with ``stored``.  Names are of letters, digits, ``_``, ``-`` and ``.``; texts of the
+    same name share a file."""
+    rows = texts.select(*folders, F.col("text").alias("value")).repartition(*folders)
+    rows.write.mode("overwrite").partitionBy(*folders).text(path)
+
+
 def append_calls(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

@@ -124,6 +124,25 @@ def test_longest_edit(spark):
     rows = [(1, "k", "aa"), (2, "k", "bbbb"), (3, "k", "cc"), (4, "j", "q")]
     got = patches.longest(spark.createDataFrame(rows, "ord int, file string, content string"), "file").orderBy("ord").collect()
     assert [(r.ord, r.content) for r in got] == [(1, "bbbb"), (4, "q")]
+    odd = spark.createDataFrame([(1, "k", None), (3, "k", "ab"), (2, "k", "cd"), (5, None, None)], "ord int, file string, content string")
+    got = patches.longest(odd, "file")
+    assert got.columns == odd.columns and sorted((r.ord, r.content) for r in got.collect()) == [(1, "cd"), (5, None)]
+    plan = patches.longest(odd, "file")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1
+
+
+def test_stored_texts(spark, tmp_path):
+    p = str(tmp_path)
+    rows = [("seed_1", "agent_a_FAILED.md", "x\ny\n"), ("seed_2", "agent_a_FAILED.md", ""), ("seed_2", "notes.md", "no log"), ("seed_2", "agent_b-1_SUCCEED.md", "é\n\nz")]
+    texts = spark.createDataFrame(rows, "seed string, file_name string, text string")
+    writers.write_texts(texts, p + "/l", "seed", "file_name")
+    got = sorted((r.seed, r.instance_id, r.outcome, r.text) for r in readers.read_logs(spark, p + "/l", seeds=True, stored=True).collect())
+    assert got == [("seed_1", "a", "FAILED", "x\ny\n"), ("seed_2", "a", "FAILED", ""), ("seed_2", "b-1", "SUCCEED", "é\n\nz")]
+    writers.write_texts(texts.where("seed = 'seed_2'"), p + "/f", "file_name")
+    assert sorted(r.instance_id for r in readers.read_logs(spark, p + "/f", stored=True).collect()) == ["a", "b-1"]
+    reports = spark.createDataFrame([("7", "analysis_report.md", "r"), ("x", "success_analysis_8.md", "s"), ("x", "success_analysis_8_prompt.md", "p")], "folder string, file_name string, text string")
+    writers.write_texts(reports, p + "/r", "folder", "file_name")
+    assert sorted((r.instance_id, r.in_directory, r.report) for r in readers.read_reports(spark, p + "/r", stored=True).collect()) == [("7", True, "r"), ("8", False, "s")]
 
 
 def test_retrieval(spark):
