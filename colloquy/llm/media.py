@@ -185,14 +185,19 @@ def _listed(box: dict, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, i
     return offset, size, key, int(sum(a * d for a, d in times.tolist()))
 
 
-def _fragment(head: _Box, runs: list[_Box], moof: int, preset: tuple[int, int, int], most: int):
-    """(offset, size, is keyframe, duration) of the samples that a fragment's runs list."""
+def _fragment(head: _Box, runs: list[_Box], moof: int, before: int | None, preset: tuple[int, int, int], most: int):
+    """The (offset, size, is keyframe, duration) of the samples of each of a fragment's runs, and where its data end.
+
+    Without an offset of its own its data begin at the moof if it says so (default-base-is-moof), else where those of
+    the fragment before it in the moof end (``before``; the moof for the first one, None if that is not known)."""
     f = head.flags
-    base = head.number(8) if f & 1 else moof
+    base = head.number(8) if f & 1 else moof if f & 0x20000 else before
+    if base is None:
+        raise ValueError("where the data begin is not known")
     if f & 2:
         head.number(4)
     duration, size, flags = (head.number(4) if f & bit else old for bit, old in zip((8, 16, 32), preset, strict=True))
-    at = base
+    at, out = base, []
     for b in runs:
         n = b.number(4)
         if b.flags & 1:
@@ -206,12 +211,32 @@ def _fragment(head: _Box, runs: list[_Box], moof: int, preset: tuple[int, int, i
         sizes, marks = column(1, size), column(2, flags).copy()
         if first is not None and n:
             marks[0] = first
-        before = np.concatenate(([0], np.cumsum(sizes)))
-        yield at + before[:-1], sizes, marks >> 16 & 1 == 0, int(column(0, duration).sum())
-        at += int(before[-1])
+        sums = np.concatenate(([0], np.cumsum(sizes)))
+        out.append((at + sums[:-1], sizes, marks >> 16 & 1 == 0, int(column(0, duration).sum())))
+        at += int(sums[-1])
+    return out, at
 
 
-def _track(data: bytes, box: dict[bytes, tuple[int, int]], scale: int, presets: dict, fragments: dict) -> Track:
+def _fragments(data: bytes, moofs: dict, presets: dict) -> dict[int, list | None]:
+    """Runs by track, from the fragments of each moof one after the other; None for a track that has a broken one."""
+    out: dict[int, list | None] = {}
+    ends: dict[int, int | None] = {}
+    for (moof, _), part in moofs.items():
+        before, ends[moof], number = ends.get(moof, moof), None, None
+        try:
+            (low, high), *_ = part.get(b"tfhd") or [(0, 0)]
+            head = _Box(data, low, high)
+            number = head.number(4)
+            runs, ends[moof] = _fragment(head, [_Box(data, *r) for r in part.get(b"trun", ())], moof, before, presets.get(number, (0, 0, 0)), len(data))
+        except (ValueError, OverflowError):
+            out[number] = None
+            continue
+        if out.setdefault(number, []) is not None:
+            out[number].extend(runs)
+    return out
+
+
+def _track(data: bytes, box: dict[bytes, tuple[int, int]], scale: int, fragments: dict) -> Track:
     full = {k: _Box(data, *box[k]) for k in (b"mdhd", b"hdlr", b"stsd", b"stts", b"stsc", b"stsz", b"stz2", b"stco", b"co64", b"stss", b"tkhd", b"elst") if k in box}
     b = full[b"mdhd"]
     w = 8 if b.version == 1 else 4
@@ -227,7 +252,9 @@ def _track(data: bytes, box: dict[bytes, tuple[int, int]], scale: int, presets:
     b = full[b"tkhd"]
     b.at += 16 if b.version == 1 else 8
     number = b.number(4)
-    parts = [x for moof, head, runs in fragments.get(number, ()) for x in _fragment(_Box(data, *head), [_Box(data, *r) for r in runs], moof, presets.get(number, (0, 0, 0)), len(data))]
+    parts = fragments.get(number, ())
+    if parts is None:
+        raise ValueError("a fragment that is not whole")
     if parts:
         n = len(offset)
         more = np.concatenate([p[2] for p in parts])
@@ -266,15 +293,11 @@ def tracks(data: bytes) -> list[Track]:
                 moofs.setdefault((starts[0], starts[path.index(b"traf")]), {}).setdefault(path[-1], []).append((body, end))
         except ValueError:
             continue
-    fragments: dict[int, list] = {}
-    for (moof, _), part in moofs.items():
-        for head in part.get(b"tfhd", ())[:1]:
-            with suppress(ValueError):
-                fragments.setdefault(_Box(data, *head).number(4), []).append((moof, (head[0], head[1]), part.get(b"trun", [])))
+    fragments = _fragments(data, moofs, presets)
     out = []
     for box in found.values():
         with suppress(ValueError, KeyError, OverflowError):
-            out.append(_track(data, box, scale, presets, fragments))
+            out.append(_track(data, box, scale, fragments))
     return out
 
 
@@ -360,5 +383,8 @@ def _digests(batches):
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Sizes and digests of each text's file and of what is read back from it, and its feature: codec, seconds, samples, keyframe ranges."""
+    """Sizes and digests of each text's file and of what is read back from it, and its feature: codec, seconds, samples, keyframe ranges.
+
+    A row for each row of docs(doc_id, text, ..), repeated ones too, and none for an empty table; further columns go.  A null text is
+    an empty one, a null id stays null; equal texts have equal values, whatever their ids."""
     return docs.select("doc_id", "text").mapInArrow(_digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -344,7 +344,13 @@ def test_media(spark):
         want = raw + b" " * (-len(raw) % 192 if raw else 192)
         r = rows[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-16:]))
+        file = media.wrap(want)
+        frames, start = len(want) // 192, file.index(b"mdat") + 4
+        keys = ",".join(f"{start + 192 * k}+192" for k in range(0, frames, 8))
+        assert file[start : start + len(want)] == want and r.feature == f"codec=raw;seconds={frames / 25:.2f};samples={frames};keyframes={keys}"
+        assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
     assert rows[1].feature == rows[2].feature and rows[4].media_sha256 == rows[5].media_sha256
+    assert media.report(odd(spark).limit(0)).collect() == []
     files = media.describe(media.with_media(odd(spark)).unionByName(table(spark, [(99, b"junk")], "doc_id long, media binary"), allowMissingColumns=True))
     got = {r.doc_id: r for r in files.collect()}
     assert got[99].codec is None and got[2].codec == "raw " and got[2].duration == pytest.approx(0.04)
@@ -645,6 +651,15 @@ def test_media_tracks(spark):
     got = media.tracks(file)
     assert [(t.codec, t.kind, t.size.tolist(), t.seconds, t.shown) for t in got] == [("avc1", "vide", [3, 4, 5], 0.3, 0.5), ("mp4a", "soun", [2, 2, 2, 2], 0.28, None)]
     assert media.payload(file, got[0]) == bytes(range(12)) and media.payload(file, got[1]) == b"abcdefgh" and got[1].offset[0] == base + len(moof) + 8
+    # Fragments without an offset go on where the one before them in the moof ends, whatever its track, unless they count from the moof.
+    three = lambda offset, flags=0: box(b"moof", box(b"traf", full(b"tfhd", n4(2)), full(b"trun", n4(2), n4(offset), flags=1), full(b"trun", n4(1))), box(b"traf", full(b"tfhd", n4(1), n4(3), flags=16), full(b"trun", n4(1))), box(b"traf", full(b"tfhd", n4(2), flags=flags), full(b"trun", n4(1), n4(offset if flags else 0), flags=1)))
+    for flags, last in ((0, b"jk"), (0x20000, b"ab")):
+        moof = three(len(three(0)) + 8, flags)
+        more = head + data + movie + moof + box(b"mdat", b"abcdefghijkl")
+        got = media.tracks(more)
+        assert media.payload(more, got[1]) == b"abcdef" + last and media.payload(more, got[0]) == bytes(range(12)) + b"ghi"
+    torn = more.replace(moof, box(b"moof", box(b"traf", full(b"tfhd", n4(2)), full(b"trun", n4(9**9))), box(b"traf", full(b"tfhd", n4(1)), full(b"trun", n4(0)))))
+    assert media.tracks(torn) == []
     row = media.describe(table(spark, [(1, file), (2, None), (3, file[:50])], "doc_id long, media binary")).orderBy("doc_id").collect()
     assert [t.codec for t in row[0].tracks] == ["avc1", "mp4a"] and row[0].codec == "avc1" and row[1].tracks is None and row[2].tracks is None
 
