@@ -17,7 +17,10 @@ The curve is fitted on a quarter of the labelled texts with counts of the other
 scores has the counts of all.
 
 Counting is Spark aggregation over all labelled texts, and what it gathers grows
-with them.  The model is a table of seen letter groups; it is sent to the tasks in
+with them.  Letters have codes of 10 bits: the ``DIRECT`` most frequent ones (UTF-16 units) of the labelled texts have one of their own, every other is
+spelled as two codes that nothing else has.  So no two letters share a code, in whatever script.
+
+The model is a table of seen letter groups; it is sent to the tasks in
 blocks of bounded size (by the two letters before the predicted one, which all
 orders of a position share).  Each pass over the texts takes ``CHAIN`` blocks, and passes beyond the first
 give sums a document, which are added up by its id and text hash; texts are neither shuffled nor copied for a score.
@@ -35,8 +38,9 @@ from .session import cut, held_slice, if_small
 
 DISCOUNT = 0.75
 HIGH, LOW = 6, 3
-#: Letters are folded into so many codes of 10 bits (code points below are told apart).
-CODES, BITS = 1021, 10
+#: Letters with a code of their own; the upper and the lower byte of others have one each.
+DIRECT = 510
+CODES, BITS = DIRECT + 2 * 256, 10
 #: Entries of a block of the model (16 bytes each).
 BLOCK = 4_000_000
 #: Blocks that a pass over the texts takes.
@@ -48,7 +52,29 @@ def _mask(m: int) -> int:
     return (1 << BITS * m) - 1
 
 
-def _word_grams(w: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def alphabet(labelled: DataFrame) -> np.ndarray:
+    """The code of each UTF-16 unit, 0 for what is spelled: units of labelled texts by falling number (of equal ones the lesser first).
+
+    Counts are sums of at most 65,536 rows, of which DIRECT reach the driver."""
+    rows = labelled.select("text").mapInArrow(_units, "unit int, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    out = np.zeros(1 << 16, np.uint16)
+    for i, r in enumerate(rows.orderBy(F.desc("n"), "unit").limit(DIRECT).collect()):
+        out[r["unit"]] = i + 1
+    return out
+
+
+def _units(batches):
+    total = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        for _, data, _ in T.pieces(batch):
+            units = np.frombuffer(data.tobytes().decode("utf-8").lower().encode("utf-16-le"), np.uint16)
+            total += np.bincount(units, minlength=1 << 16)
+    seen = np.flatnonzero(total)
+    seen = seen[(seen > 127) | np.isin(seen, np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8))]
+    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["unit", "n"])
+
+
+def _word_grams(w: T.Words, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the different words of w: the word's number for each word of w, the letter
     groups of all its positions (codes of HIGH letters, 0 before the word), and their word."""
     _, some, code = np.unique(w.hashes, return_index=True, return_inverse=True)
@@ -58,37 +84,45 @@ def _word_grams(w: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     gap = at == np.repeat(size - 1, size)
     data = np.where(gap, np.uint8(32), w.data[np.minimum(np.repeat(start, size) + at, len(w.data) - 1)])
-    points = np.frombuffer(data.tobytes().decode("utf-8").lower().encode("utf-32-le"), np.uint32)
-    c = np.where(points == 32, 0, points % CODES + 1).astype(np.uint64)
+    units = np.frombuffer(data.tobytes().decode("utf-8").lower().encode("utf-16-le"), np.uint16)
+    word = np.cumsum(units == 32) - (units == 32)
+    c = np.where(units == 32, 0, letters[units]).astype(np.uint64)
+    spelled = (c == 0) & (units != 32)
+    if spelled.any():
+        first = np.cumsum(1 + spelled) - (1 + spelled)
+        c, word, high = np.repeat(c, 1 + spelled), np.repeat(word, 1 + spelled), first[spelled]
+        c[high], c[high + 1] = DIRECT + 1 + (units[spelled] >> 8), DIRECT + 257 + (units[spelled] & 255)
     out, alive = c.copy(), c > 0
     for j in range(1, HIGH):
         before = np.concatenate((np.zeros(j, np.uint64), c[:-j])) if j < len(c) else np.zeros_like(c)
         alive = alive & (before > 0)
         out += np.where(alive, before, np.uint64(0)) << np.uint64(BITS * j)
-    word = np.cumsum(points == 32) - (points == 32)
     return code, out[c > 0], word[c > 0]
 
 
-def _count(batches):
-    for batch in batches:
-        for rows, data, offsets in T.pieces(batch):
-            w = T.words_of(data, offsets)
-            code, grams, word = _word_grams(w)
-            toxic, apart = (np.repeat(rows.column(c).to_numpy(zero_copy_only=False) == 1, w.counts) for c in ("toxic", "apart"))
-            n = int(code.max()) + 1 if len(code) else 0
-            known, which = np.unique(grams, return_inverse=True)
-            per = [np.bincount(code[some], minlength=n) for some in (toxic, ~toxic, toxic & ~apart, ~toxic & ~apart)]
-            yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), *[pa.array(np.bincount(which, x[word], len(known)).astype(np.int64)) for x in per]], names=["k", *_COUNTS])
+def _count(letters: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            for rows, data, offsets in T.pieces(batch):
+                w = T.words_of(data, offsets)
+                code, grams, word = _word_grams(w, letters)
+                toxic, apart = (np.repeat(rows.column(c).to_numpy(zero_copy_only=False) == 1, w.counts) for c in ("toxic", "apart"))
+                n = int(code.max()) + 1 if len(code) else 0
+                known, which = np.unique(grams, return_inverse=True)
+                per = [np.bincount(code[some], minlength=n) for some in (toxic, ~toxic, toxic & ~apart, ~toxic & ~apart)]
+                yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), *[pa.array(np.bincount(which, x[word], len(known)).astype(np.int64)) for x in per]], names=["k", *_COUNTS])
+
+    return run
 
 
 _COUNTS = ("t0", "o0", "t1", "o1")
 
 
-def counts(labelled: DataFrame) -> DataFrame:
+def counts(labelled: DataFrame, letters: np.ndarray) -> DataFrame:
     """(k, t0, o0, t1, o1): letter group of the highest order, its count in toxic and in ordinary texts of labelled(text, toxic, apart), of
     all of them and of those that are not ``apart`` (1)."""
     rows = labelled if "apart" in labelled.columns else labelled.withColumn("apart", F.lit(0))
-    return rows.select("text", "toxic", "apart").mapInArrow(_count, "k long, t0 long, o0 long, t1 long, o1 long").groupBy("k").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    return rows.select("text", "toxic", "apart").mapInArrow(_count(letters), "k long, t0 long, o0 long, t1 long, o1 long").groupBy("k").agg(*[F.sum(c).alias(c) for c in _COUNTS])
 
 
 def model_table(highest: DataFrame) -> DataFrame:
@@ -198,18 +232,18 @@ def models(table: DataFrame, block: int = BLOCK):
         yield Model(table.where(pair % 8191 % n == i).toArrow(), i, n)
 
 
-def _add(chain: list[Model]):
-    """rows with ``__sum``, the sum of the log ratios of a text's positions in the blocks, and ``__n``, its letters."""
+def _add(chain: list[Model], letters: np.ndarray):
+    """rows with ``__sum``, the sum of the log ratios of a text's positions in the blocks, and ``__n``, its letters (codes)."""
 
     def run(batches):
         for batch in batches:
             for rows, data, offsets in T.pieces(batch):
                 w = T.words_of(data, offsets)
-                code, grams, word = _word_grams(w)
+                code, grams, word = _word_grams(w, letters)
                 n = int(code.max()) + 1 if len(code) else 0
                 each = sum((np.bincount(word, m.ratios(grams), n) for m in chain), np.zeros(n)) if n else np.zeros(0)
-                letters = np.bincount(word, minlength=n) if n else np.zeros(0)
-                total, size = (np.concatenate(([0.0], np.cumsum(x[code] if n else x))) for x in (each, letters))
+                lengths = np.bincount(word, minlength=n) if n else np.zeros(0)
+                total, size = (np.concatenate(([0.0], np.cumsum(x[code] if n else x))) for x in (each, lengths))
                 keep = [c for c in rows.schema.names if c != "text"]
                 found = [pa.array(total[w.first[1:]] - total[w.first[:-1]]), pa.array((size[w.first[1:]] - size[w.first[:-1]]).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), *found], names=[*keep, "__sum", "__n"])
@@ -217,7 +251,7 @@ def _add(chain: list[Model]):
     return run
 
 
-def evidence(docs: DataFrame, table: DataFrame, block: int = BLOCK) -> DataFrame:
+def evidence(docs: DataFrame, table: DataFrame, letters: np.ndarray, block: int = BLOCK) -> DataFrame:
     """docs(doc_id, text, ..) without the text, with ``__n`` letters and ``__sum`` of their log ratios."""
     names = [c for c in docs.columns if c != "text"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + ", __sum double, __n long"
@@ -225,12 +259,12 @@ def evidence(docs: DataFrame, table: DataFrame, block: int = BLOCK) -> DataFrame
     for model in rest:
         chain.append(model)
         if len(chain) == CHAIN:
-            part = docs.mapInArrow(_add(chain), kinds)
+            part = docs.mapInArrow(_add(chain, letters), kinds)
             out, chain = part if out is None else out.unionByName(part), []
     if out is None:
-        return docs.mapInArrow(_add(chain), kinds)
+        return docs.mapInArrow(_add(chain, letters), kinds)
     if chain:
-        out = out.unionByName(docs.mapInArrow(_add(chain), kinds))
+        out = out.unionByName(docs.mapInArrow(_add(chain, letters), kinds))
     return out
 
 
@@ -282,25 +316,26 @@ def report(docs: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     learn = cut(labels.where("toxic in (0, 1) and doc_id is not null").where(mine != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     rows = docs.where(mine != 0).join(if_small(learn), "doc_id")
-    both = model_table(cut(counts(rows.withColumn("apart", (mine == 1).cast("int")))))
-    beta = calibrate(cut(_scores(rows.where(mine == 1), _of(both, 1), block)))
+    letters = alphabet(rows)
+    both = model_table(cut(counts(rows.withColumn("apart", (mine == 1).cast("int")), letters)))
+    beta = calibrate(cut(_scores(rows.where(mine == 1), _of(both, 1), letters, block)))
     table = _of(both, 0)
     share = learn.agg(F.avg("toxic")).first()[0]
     none = float(np.log((share + 1e-6) / (1 - share + 1e-6))) if share is not None else -30.0
     if not beta.any():
         beta = np.array([0.0, 0.0, none])
-    out = _scores(docs, table, block)
+    out = _scores(docs, table, letters, block)
     z = F.when(F.col("__n") > 0, F.lit(float(beta[0])) * _per_letter() + F.lit(float(beta[1])) * _z() + F.lit(float(beta[2]))).otherwise(F.lit(none))
     score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
     return out.select("doc_id", F.coalesce(mine == 0, F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
-def _scores(docs: DataFrame, table: DataFrame, block: int) -> DataFrame:
+def _scores(docs: DataFrame, table: DataFrame, letters: np.ndarray, block: int) -> DataFrame:
     """Each row's evidence; of many blocks the sums are added up by id and text."""
     if table.count() <= CHAIN * block:
-        return evidence(docs, table, block)
+        return evidence(docs, table, letters, block)
     keyed = docs.withColumn("h", F.xxhash64("text"))
-    sums = _summed(evidence(keyed.dropDuplicates(["doc_id", "h"]), table, block), *[c for c in keyed.columns if c != "text"])
+    sums = _summed(evidence(keyed.dropDuplicates(["doc_id", "h"]), table, letters, block), *[c for c in keyed.columns if c != "text"])
     again = keyed.groupBy("doc_id", "h").agg((F.count("*") - 1).cast("int").alias("k")).where("k > 0")
     same = [sums[c].eqNullSafe(again[c]) for c in ("doc_id", "h")]
     k = F.coalesce("k", F.lit(0))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -813,13 +814,16 @@ def test_kneser_ney_against_brute_force(spark):
     rng = random.Random(9)
     texts = [("".join(rng.choice("abcé  ") for _ in range(40)), i % 3 == 0) for i in range(30)]
     rows = table(spark, [(i, t, int(c)) for i, (t, c) in enumerate(texts)], "doc_id long, text string, toxic int")
-    got = toxicity.model_table(toxicity.counts(rows)).where("own").toPandas()
+    letters = toxicity.alphabet(rows)
+    many = Counter(x for t, _ in texts for x in t if x != " ")
+    assert [letters[ord(x)] for x, _ in sorted(many.items(), key=lambda kv: (-kv[1], kv[0]))] == [1, 2, 3, 4] and letters.sum() == 10
+    got = toxicity.model_table(toxicity.counts(rows, letters)).where("own").toPandas()
     want = kneser_ney_brute([(t, int(c)) for t, c in texts])
 
     def key(g):
         out = 0
         for ch in g:
-            out = out << toxicity.BITS | (0 if ch == "^" else ord(ch) % toxicity.CODES + 1)
+            out = out << toxicity.BITS | (0 if ch == "^" else int(letters[ord(ch)]))
         return out
 
     assert (got.v0 == got.v1).all()
@@ -830,15 +834,36 @@ def test_kneser_ney_against_brute_force(spark):
         assert have[len(g), key(g)] == pytest.approx(np.log(want[1, g] / want[0, g])), g
     # a text's evidence is the sum over its letters, of whichever order has seen them
     one = texts[3][0]
-    model = toxicity.evidence(table(spark, [(1, one), (2, None)], "doc_id long, text string"), toxicity._of(toxicity.model_table(toxicity.counts(rows)), 0)).toPandas().set_index("doc_id")
-    half = toxicity.model_table(toxicity.counts(rows.withColumn("apart", F.expr("cast(doc_id % 2 = 1 as int)")))).orderBy("m", "k", "own")
-    alone = toxicity.model_table(toxicity.counts(rows.where("doc_id % 2 = 0"))).orderBy("m", "k", "own")
+    model = toxicity.evidence(table(spark, [(1, one), (2, None)], "doc_id long, text string"), toxicity._of(toxicity.model_table(toxicity.counts(rows, letters)), 0), letters).toPandas().set_index("doc_id")
+    half = toxicity.model_table(toxicity.counts(rows.withColumn("apart", F.expr("cast(doc_id % 2 = 1 as int)")), letters)).orderBy("m", "k", "own")
+    alone = toxicity.model_table(toxicity.counts(rows.where("doc_id % 2 = 0"), letters)).orderBy("m", "k", "own")
     a, b = (toxicity._of(x, i).toPandas() for x, i in ((half, 1), (alone, 0)))
     assert a[["m", "k", "own"]].equals(b[["m", "k", "own"]]) and np.allclose(a.v, b.v)
     total = sum(np.log(want[1, g] / want[0, g]) for w in words(one) for i in range(len(w)) for g in [("^" * toxicity.HIGH + w[: i + 1])[-toxicity.HIGH :]])
     assert model["__sum"][1] == pytest.approx(total) and model["__n"][1] == sum(map(len, words(one))) and model["__n"][2] == 0
 
 
+def test_toxicity_letters(spark):
+    """No two letters share codes, and a word of any script can be told from its groups."""
+    learned = toxicity.alphabet(table(spark, [(1, "жжж да ABBA", 1), (2, None, 0), (3, "", 0), (4, "a-a.", 1)], "doc_id long, text string, toxic int"))
+    assert {chr(u): int(learned[u]) for u in np.flatnonzero(learned)} == {"a": 1, "ж": 2, "b": 3, "а": 4, "д": 5}
+    back = {int(learned[u]): int(u) for u in np.flatnonzero(learned)}
+    signs = [chr(x) for x in (*range(0x61, 0x7B), *range(0x430, 0x450), *range(0x4E00, 0x5600), *range(0x1F600, 0x1F640), 0x10FFFF)]
+    for words_ in (signs, ["жук", "日本語", "aжb", "é😀"]):
+        data, offsets = tokens.text_bytes(pa.array(words_))
+        w = tokens.words_of(data, offsets)
+        code, grams, word = toxicity._word_grams(w, learned)
+        spelled = {}
+        for g, k in zip(grams.tolist(), word.tolist(), strict=True):
+            spelled.setdefault(k, []).append(g & 1023)
+        for sign, k in zip(words_, code.tolist(), strict=True):
+            units, rest = [], iter(spelled[k])
+            for x in rest:
+                units.append(back[x] if x <= toxicity.DIRECT else (x - toxicity.DIRECT - 1) * 256 + next(rest) - toxicity.DIRECT - 257)
+            assert np.array(units, np.uint16).tobytes().decode("utf-16-le") == sign
+    assert toxicity.alphabet(table(spark, [], "doc_id long, text string, toxic int")).sum() == 0
+
+
 def test_language_predictions_against_brute_force(spark):
     rng = random.Random(8)
     alphabets = {"aa": "abcd ", "bb": "bcde ", "cc": "xyzé "}
