@@ -133,7 +133,7 @@ def model_table(highest: DataFrame) -> DataFrame:
     levels = {HIGH: highest}
     for m in range(HIGH - 1, LOW - 2, -1):
         seen = [F.count_if(F.col(c) > 0).alias(c) for c in _COUNTS]
-        levels[m] = levels[m + 1].groupBy(F.col("k").bitwiseAND(F.lit(_mask(m))).alias("k")).agg(*seen)
+        levels[m] = cut(levels[m + 1].groupBy(F.col("k").bitwiseAND(F.lit(_mask(m))).alias("k")).agg(*seen))  # three plans read each
     ctx = F.shiftrightunsigned("k", BITS).alias("h")
     base = levels[LOW - 1].select("k", ctx, *[(F.col(f"t{i}") + F.col(f"o{i}")).alias(f"s{i}") for i in both])
     total = base.groupBy("h").agg(*[x for i in both for x in (F.sum(f"s{i}").alias(f"n{i}"), F.count_if(F.col(f"s{i}") > 0).alias(f"kinds{i}"))])
