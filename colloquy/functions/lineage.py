@@ -39,6 +39,7 @@ def numbered(df: DataFrame, *order) -> DataFrame:
 
 
 def if_few(df: DataFrame, rows: int = 100_000, items=None) -> DataFrame:
-    """Hints a broadcast of a materialised side only if its rows, or the items in them (a column), are few."""
+    """Hints a broadcast of a materialised side if its rows, or the items in them (a column), are few, else a merge join: the engine
+    would go by the bytes of the files that the side was read from, however many rows have come of them."""
     n = df.agg(F.coalesce(F.sum(items if items is not None else F.lit(1)), F.lit(0))).first()[0]
-    return F.broadcast(df) if n <= rows else df
+    return F.broadcast(df) if n <= rows else df.hint("merge")

@@ -70,29 +70,48 @@ def _checked(rows: DataFrame, ok: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array(ok)).alias("__ok")).where("__ok").drop("__ok")
 
 
+def _first_of_kinds(entities: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """Of the entities(domain, ord, attrs) that have the same values of all attributes that are asked(domain, k) of their domain, the
+    first ``most``, with these ``keys``, written; an answer takes no others.  A null k asks for the domain alone.
+
+    Entities are dealt out first, because few and small files may hold many of them."""
+    keys = cut(asked.distinct().groupBy("domain").agg(F.collect_set("k").alias("keys")))
+    rows = entities.select("domain", "ord", "attrs").repartition("domain", "ord").join(if_few(keys, items=F.size("keys") + 1), "domain")
+    rows = rows.withColumn("kind", F.transform("keys", lambda k: F.try_element_at(F.col("attrs"), k)))
+    return cut(first_in_order(rows, most, "domain", "kind").drop("kind", "rank"))
+
+
+def _to_all(ids: DataFrame, found: DataFrame) -> DataFrame:
+    """ids(query_id, s) with what was found(s, attrs, ...) for s."""
+    found = cut(found)
+    return ids.join(if_few(found, items=F.coalesce(F.size("attrs"), F.lit(0)) + 1), "s")
+
+
 def containing(entities: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
     """entities(domain, ord, attrs) of which every constraint of queries(query_id, domain, constraints) is
     part, without regard to case; a constraint on an attribute that is not there fails.  The first ``most``.
 
-    Wanted values and the different values of the entities meet by their parts of three letters; a set of constraints
-    then takes the entities of its rarest one, by an equality join on (domain, attribute, value), and is checked on them.
+    Of entities with the same values of what is asked for only the first count.  Wanted values and the different values of
+    these meet by their parts of three letters; a set of constraints then takes the entities of its rarest one, by an equality join on (domain, attribute, value), and is checked on them.
     Without constraints the first entities of the domain are the answer."""
     ids, sets = _distinct(queries.withColumn("constraints", F.coalesce("constraints", F.create_map().cast("map<string,string>"))), "constraints")
-    each = entities.select("domain", "ord", "attrs", F.explode("attrs").alias("k", "v")).withColumn("v", F.lower("v"))
-    values = cut(each.where("v is not null").groupBy("domain", "k", "v").agg(F.count("*").alias("n")))
+    kept = _first_of_kinds(entities, sets.select("domain", F.explode_outer(F.map_keys("constraints")).alias("k")), most)
+    each = kept.select("domain", "ord", "attrs", F.explode("keys").alias("k")).withColumn("v", F.lower(F.try_element_at(F.col("attrs"), F.col("k")))).where("v is not null")
+    values = cut(each.groupBy("domain", "k", "v").agg(F.count("*").alias("n")))
     wants = cut(sets.select("s", "domain", F.explode("constraints").alias("k", "want")).withColumn("want", F.lower("want")))
     gram = F.left("want", F.lit(3))  # values have all their parts of one to three letters, so any part of the wanted text finds them
-    pairs = wants.select("domain", "k", "want").distinct().withColumn("g", gram).join(values.withColumn("g", F.explode(_grams(F.col("v")))), ["domain", "k", "g"]).where(F.contains("v", "want")).select("domain", "k", "want", "v", "n")
+    texts = cut(wants.select("domain", "k", "want").distinct().withColumn("g", gram))
+    pairs = values.withColumn("g", F.explode(_grams(F.col("v")))).join(if_few(texts), ["domain", "k", "g"]).where(F.contains("v", "want")).select("domain", "k", "want", "v", "n")
     pairs = cut(pairs)
     size = pairs.groupBy("domain", "k", "want").agg(F.sum("n").alias("size"))
     rarest = wants.join(size, ["domain", "k", "want"]).groupBy("s").agg(F.min_by(F.struct("domain", "k", "want"), "size").alias("x"), F.count("*").alias("found"))
     rarest = sets.select("s", "constraints").join(rarest, "s").where("found = size(constraints)").select("s", "constraints", "x.*")
     ok = F.forall(F.map_entries(F.col("constraints")), lambda c: F.coalesce(F.contains(F.lower(F.try_element_at(F.col("attrs"), c["key"])), F.lower(c["value"])), F.lit(False)))
-    hits = _checked(rarest.join(pairs.drop("n"), ["domain", "k", "want"]).join(each, ["domain", "k", "v"]), ok)
+    hits = _checked(rarest.join(pairs.drop("n"), ["domain", "k", "want"]).join(each.hint("merge"), ["domain", "k", "v"]), ok)
     found = first_in_order(hits.select("s", "domain", "ord", "attrs"), most, "s")
-    heads = first_in_order(entities.select("domain", "ord", "attrs"), most, "domain")
+    heads = first_in_order(kept.select("domain", "ord", "attrs"), most, "domain")
     found = found.unionByName(sets.where("size(constraints) = 0").select("s", "domain").join(heads, "domain"))
-    return ids.join(found, "s").select("query_id", "domain", "ord", "attrs", "rank")
+    return _to_all(ids, found).select("query_id", "domain", "ord", "attrs", "rank")
 
 
 def likeness(a: str, b: str) -> float:

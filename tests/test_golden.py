@@ -541,3 +541,17 @@ def test_reply_table(spark, tmp_path):
     spark.sql(f"DROP TABLE {name}")
     memory.reply_table(spark, name, str(tmp_path / "replies"), 8)
     assert memory.score_through(calls, name, never, 8).where("hit").count() == 400
+
+
+def _many_entities(spark):
+    return spark.range(6000).select(F.lit("d").alias("domain"), F.col("id").alias("ord"), F.create_map(F.lit("a"), F.concat(F.lit("A"), F.col("id") % 5), F.lit("id"), F.col("id").cast("string")).alias("attrs"))
+
+
+def test_containing_keeps_few_entities(spark, monkeypatch):
+    """Attributes that nobody asks for are not taken apart, and of equal entities only the first go on."""
+    seen, cut = [], entities.cut
+    monkeypatch.setattr(entities, "cut", lambda df: seen.append(cut(df)) or seen[-1])
+    q = spark.createDataFrame([(1, "d", {"a": "a3"}), (2, "d", {"a": "a"}), (3, "d", {})], "query_id int, domain string, constraints map<string,string>")
+    got = sorted((r.query_id, r.rank, r.ord) for r in entities.containing(_many_entities(spark), q, 2).collect())
+    assert got == [(1, 1, 3), (1, 2, 8), (2, 1, 0), (2, 2, 1), (3, 1, 0), (3, 2, 1)]
+    assert max(df.count() for df in seen) <= 10
