@@ -288,4 +288,4 @@ def as_text(found: DataFrame, queries: DataFrame, most: int = 5) -> DataFrame:
     wanted = F.array_join(F.transform(F.map_entries("constraints"), lambda e: F.concat_ws("=", e["key"], e["value"])), ", ")
     none = F.concat(F.lit("No "), F.col("domain"), F.lit(" found matching: "), F.when(wanted == "", "none").otherwise(wanted))
     some = F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(" "), F.col("domain"), F.lit("(s):\n"), F.array_join("x.line", "\n"))
-    return queries.join(by, "query_id", "left").select("query_id", F.when(F.col("n").isNull(), none).otherwise(some).alias("text"))
+    return queries.join(by.hint("merge"), "query_id", "left").select("query_id", F.when(F.col("n").isNull(), none).otherwise(some).alias("text"))

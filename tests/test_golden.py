@@ -555,3 +555,10 @@ def test_containing_keeps_few_entities(spark, monkeypatch):
     got = sorted((r.query_id, r.rank, r.ord) for r in entities.containing(_many_entities(spark), q, 2).collect())
     assert got == [(1, 1, 3), (1, 2, 8), (2, 1, 0), (2, 2, 1), (3, 1, 0), (3, 2, 1)]
     assert max(df.count() for df in seen) <= 10
+
+
+def test_answers_as_text_are_not_broadcast(spark):
+    q = spark.createDataFrame([(1, "d", {"a": "a3"}), (2, "d", {"a": "x"})], "query_id int, domain string, constraints map<string,string>")
+    text = entities.as_text(entities.containing(_many_entities(spark), q, 2), q)
+    assert {r.query_id: r.text for r in text.collect()} == {1: "Found 2 d(s):\n  1. a: A3\n  2. a: A3", 2: "No d found matching: a=x"}
+    assert "Join LeftOuter" in (plan := text._jdf.queryExecution().optimizedPlan().toString()) and "strategy=merge" in plan
