@@ -165,7 +165,7 @@ def satisfying(entities: DataFrame, queries: DataFrame, most: int = 10, ignore_o
     eight digits.  The ``police`` domain has all its entities for an answer and ``hospital`` those of the wanted department (all, if none is
     wanted), both without a limit, other constraints or a ``ref``.
 
-    A set of constraints takes the entities that have its rarest wanted value or none at all there, by an equality join on
+    Of entities with the same values of what is asked for only the first count.  A set of constraints takes those that have its rarest wanted value or none at all there, by an equality join on
     (domain, attribute, value).  One that wants a time of departure alone, or nothing, takes the first entities of a handful of nodes of a tree
     over the times; one that wants more takes the entities of the hours that its time admits.  Soft
     values are compared once for each different pair of texts."""
@@ -192,28 +192,31 @@ def satisfying(entities: DataFrame, queries: DataFrame, most: int = 10, ignore_o
         return skipped(e["key"], e["value"]) | F.when(e["key"].isin(*times), F.coalesce(by_time, F.lit(True))).otherwise(plain(have) == plain(e["value"]))
 
     open_keys = ("destination", "departure") if ignore_open else ()
+    count = lambda k, v: v.isNotNull() & ~v.isin(*ANY) & ~k.isin(*open_keys)
+    hards, softs = sets.select("domain", F.inline_outer("hard").alias("k", "v")), sets.select("domain", F.explode_outer("soft").alias("k", "v"))
+    kept = _first_of_kinds(entities, hards.unionByName(softs).select("domain", F.when(count(F.col("k"), F.col("v")), F.col("k")).alias("k")), most)
     each = sets.select("s", "domain", F.inline("hard").alias("k", "v")).where(F.col("v").isNotNull() & ~F.col("v").isin(*ANY) & ~F.col("k").isin(*times, *open_keys))
     wants = cut(each.select("s", "domain", "k", plain("v").alias("v")))
     # an entity stands under its value of every attribute that is asked for, or under null where that does not count
     asked = cut(wants.select("domain", "k").distinct().groupBy("domain").agg(F.collect_set("k").alias("keys")))
     have = F.try_element_at(F.col("attrs"), F.col("k"))
-    placed = entities.select("domain", "ord", "attrs").join(if_few(asked, items=F.size("keys")), "domain").select("domain", "ord", "attrs", F.explode("keys").alias("k")).withColumn("v", F.when(F.trim(have) != "?", plain(have)))
+    placed = kept.drop("keys").join(if_few(asked, items=F.size("keys")), "domain").select("domain", "ord", "attrs", F.explode("keys").alias("k")).withColumn("v", F.when(F.trim(have) != "?", plain(have)))
     size = placed.groupBy("domain", "k", "v").agg(F.count("*").alias("n"))
     rarest = wants.join(size, ["domain", "k", "v"], "left").groupBy("s").agg(F.min_by(F.struct("domain", "k", "v"), F.coalesce("n", F.lit(0))).alias("x"))
     chosen = sets.drop("domain").join(rarest, "s").select("s", "hard", "soft", "x.domain", "x.k", F.explode(F.array(F.col("x.v"), F.lit(None))).alias("v"))
     mark = lambda df: df.withColumn("v", F.coalesce(F.concat(F.lit("="), "v"), F.lit("")))
-    by_value = mark(chosen).join(mark(placed), ["domain", "k", "v"])
+    by_value = mark(chosen).join(mark(placed).hint("merge"), ["domain", "k", "v"])
     # without such a constraint: by the time of departure, if one is wanted, else all of the domain
     wanted = lambda k: F.array_max(F.transform(F.filter("hard", lambda e: (e["key"] == k) & ~e["value"].isin(*ANY)), lambda e: clock(e["value"])))
     rest = cut(sets.join(wants.select("s").distinct(), "s", "left_anti").withColumns({"leave": wanted("leaveAt"), "arrive": wanted("arriveBy")}))
     alone = (F.size("soft") == 0) & F.col("arrive").isNull()
-    timed = entities.select("domain", "ord", "attrs", clock(F.try_element_at("attrs", F.lit("leaveAt"))).alias("at"))
+    timed = kept.select("domain", "ord", "attrs", clock(F.try_element_at("attrs", F.lit("leaveAt"))).alias("at"))
     columns = ["s", "domain", "hard", "soft", "ord", "attrs"]
     by_node = _first_of_times(timed, rest.where(alone).withColumnRenamed("leave", "at"), most).select(*columns)
     rest = rest.where(~alone)
     hour = lambda c: F.when(c.isNotNull(), F.least(F.floor(c / 100), F.lit(24))).cast("int")
     rest = rest.withColumn("hour", F.explode(F.concat(F.array(F.lit(-1)), F.sequence(F.coalesce(hour(F.col("leave")), F.lit(0)), F.lit(24)))))
-    by_hour = rest.join(timed.withColumn("hour", F.coalesce(hour(F.col("at")), F.lit(-1))), ["domain", "hour"])
+    by_hour = rest.join(timed.withColumn("hour", F.coalesce(hour(F.col("at")), F.lit(-1))).hint("merge"), ["domain", "hour"])
     found = _checked(by_value.select(*columns).unionByName(by_hour.select(*columns)).unionByName(by_node), F.forall("hard", meets))
     plainly = first_in_order(found.where(F.size("soft") == 0).select("s", "domain", "ord", "attrs"), most, "s")
     if sets.where(F.size("soft") > 0).isEmpty():
@@ -225,7 +228,7 @@ def satisfying(entities: DataFrame, queries: DataFrame, most: int = 10, ignore_o
         soft = soft.join(like, ["a", "b"], "left").withColumn("ok", F.col("skip") | F.coalesce("like", F.lit(False)))
         good = soft.groupBy("s", "domain", "ord").agg(F.bool_and("ok").alias("ok"), F.first("attrs").alias("attrs")).where("ok").drop("ok")
         rows = plainly.unionByName(first_in_order(good, most, "s"))
-    answers = ids.join(rows, "s").select("query_id", "domain", "ord", "attrs", "rank", F.lpad(F.col("ord").cast("string"), 8, "0").alias("ref"))
+    answers = _to_all(ids, rows).select("query_id", "domain", "ord", "attrs", "rank", F.lpad(F.col("ord").cast("string"), 8, "0").alias("ref"))
     return answers.unionByName(_special(entities, queries))
 
 

@@ -562,3 +562,15 @@ def test_answers_as_text_are_not_broadcast(spark):
     text = entities.as_text(entities.containing(_many_entities(spark), q, 2), q)
     assert {r.query_id: r.text for r in text.collect()} == {1: "Found 2 d(s):\n  1. a: A3\n  2. a: A3", 2: "No d found matching: a=x"}
     assert "Join LeftOuter" in (plan := text._jdf.queryExecution().optimizedPlan().toString()) and "strategy=merge" in plan
+
+
+@pytest.mark.parametrize("soft", [False])
+def test_satisfying_keeps_few_entities(spark, monkeypatch, soft):
+    seen, checked = [], entities._checked
+    monkeypatch.setattr(entities, "_checked", lambda rows, ok: seen.append(rows) or checked(rows, ok))
+    want = spark.createDataFrame([(1, "d", {"a": "a3"}), (2, "d", {"a": "a4"})], "query_id int, domain string, want map<string,string>")
+    none = F.create_map().cast("map<string,string>")
+    q = want.select("query_id", "domain", (none if soft else F.col("want")).alias("hard"), (F.col("want") if soft else none).alias("soft"))
+    got = sorted((r.query_id, r.rank, r.ord) for r in entities.satisfying(_many_entities(spark), q, 2, ratio=100).collect())
+    assert got == [(1, 1, 3), (1, 2, 8), (2, 1, 4), (2, 2, 9)]
+    assert sum(df.count() for df in seen) <= 20
