@@ -564,7 +564,7 @@ def test_answers_as_text_are_not_broadcast(spark):
     assert "Join LeftOuter" in (plan := text._jdf.queryExecution().optimizedPlan().toString()) and "strategy=merge" in plan
 
 
-@pytest.mark.parametrize("soft", [False])
+@pytest.mark.parametrize("soft", [False, True])
 def test_satisfying_keeps_few_entities(spark, monkeypatch, soft):
     seen, checked = [], entities._checked
     monkeypatch.setattr(entities, "_checked", lambda rows, ok: seen.append(rows) or checked(rows, ok))
