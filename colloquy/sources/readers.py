@@ -115,19 +115,19 @@ def instance_columns(rows: DataFrame, known=("id", "instruction", "spreadsheet_p
 
 
 def _text_files(reader, path: str, stored: bool) -> DataFrame:
-    """(file, text): the whole text of each file; of ``stored`` ones the folders' values make the path, and the line end that the writer adds goes."""
-    rows = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    if not stored:
-        return rows
-    return rows.select(F.regexp_replace(F.regexp_replace("file", r"/part-[^/]*$", ""), r"(?<=/)[^/=]+=", "").alias("file"), F.regexp_replace("text", r"\n\z", "").alias("text"))
+    """(file, text): the whole text of each file; of ``stored`` ones as ``write_texts`` has put them down."""
+    if stored:
+        return reader.schema("file string, text string").json(path)
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
 def read_logs(spark: SparkSession, path: str, seeds: bool = False, stored: bool = False) -> DataFrame:
     """(file_name, text, instance_id, outcome) of a folder's logs; with ``seeds`` of its seed_* folders, and their ``seed``.
 
     Logs are files, or, if ``stored``, what ``write_texts`` has written by (seed and) file_name."""
-    where = ["seed=*" if stored else "seed_*"] * seeds + ["file_name=*"] * stored
-    rows = _text_files(spark.read, "/".join([path, *where]), stored)
+    rows = _text_files(spark.read, path if stored or not seeds else f"{path}/seed_*", stored)
+    if stored:
+        rows = rows.where(F.size(F.split("file", "/")) == 1 + seeds)
     rows = rows.withColumn("file_name", F.element_at(F.split("file", "/"), -1)).where(F.endswith("file_name", F.lit(".md")))
     if seeds:
         rows = rows.withColumn("seed", F.element_at(F.split("file", "/"), -2))
@@ -145,8 +145,8 @@ def report_id(path) -> list:
 def read_reports(spark: SparkSession, path: str, stored: bool = False) -> DataFrame:
     """(instance_id, in_directory, report) of a folder of reports, flat or a folder for each instance; or, if ``stored``, of what
     ``write_texts`` has written by folder and file_name."""
-    reader = spark.read.option("recursiveFileLookup", True)
-    rows = _text_files(reader if stored else reader.option("pathGlobFilter", "*.md"), path, stored)
+    reader = spark.read if stored else spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md")
+    rows = _text_files(reader, path, stored)
     return rows.select(*report_id("file"), F.col("text").alias("report")).where("instance_id is not null")
 
 

@@ -574,3 +574,14 @@ def test_satisfying_keeps_few_entities(spark, monkeypatch, soft):
     got = sorted((r.query_id, r.rank, r.ord) for r in entities.satisfying(_many_entities(spark), q, 2, ratio=100).collect())
     assert got == [(1, 1, 3), (1, 2, 8), (2, 1, 4), (2, 2, 9)]
     assert sum(df.count() for df in seen) <= 20
+
+
+def test_stored_texts_share_files(spark, tmp_path):
+    """The number of files goes with that of the tasks, not of the texts; any text and name comes back."""
+    p = str(tmp_path / "t")
+    rows = spark.range(0, 400, 1, 2).select(F.concat(F.lit("seed_"), F.col("id") % 3).alias("seed"), F.concat(F.lit("agent_a b="), "id", F.lit("_FAILED.md")).alias("file_name"), F.concat(F.lit("l\r\n\"\\\u2028"), "id", F.lit("\n\n")).alias("text"))
+    writers.write_texts(rows, p, "seed", "file_name")
+    assert len(list((tmp_path / "t").rglob("part-*"))) == 2
+    got = {(r.seed, r.instance_id): r.text for r in readers.read_logs(spark, p, seeds=True, stored=True).collect()}
+    assert got == {(f"seed_{i % 3}", f"a b={i}"): f"l\r\n\"\\\u2028{i}\n\n" for i in range(400)}
+    assert readers.read_logs(spark, p, stored=True).count() == 0
