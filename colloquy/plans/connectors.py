@@ -106,11 +106,11 @@ def s11(spark, d):
 
 def _runs(spark, d, *by):
     """A log of each supplier (and seed), with a step for each of its lines in the order of the keys; some names are no logs'."""
-    step = F.concat_ws("\n", F.concat(F.lit("[thought] order "), "l_orderkey"), F.concat(F.lit("[action] take "), "l_partkey"), F.concat(F.lit("[observation] line "), "l_linenumber"))
-    rows = fx(spark, d, "lineitem").select("l_suppkey", F.concat(F.lit("seed_"), F.col("l_linenumber") % 3).alias("seed"), F.struct("l_orderkey", "l_linenumber", "l_partkey", step.alias("text")).alias("step"))
+    step = lambda x: F.concat_ws("\n", F.concat(F.lit("[thought] order "), x["l_orderkey"]), F.concat(F.lit("[action] take "), x["l_partkey"]), F.concat(F.lit("[observation] line "), x["l_linenumber"]))
+    rows = fx(spark, d, "lineitem").select("l_suppkey", F.concat(F.lit("seed_"), F.col("l_linenumber") % 3).alias("seed"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("step"))
     rows = rows.groupBy("l_suppkey", *by).agg(F.array_sort(F.collect_list("step")).alias("steps"), F.sum("step.l_linenumber").alias("t"))
     end = F.expr("CASE WHEN t % 5 = 0 THEN '.md' WHEN t % 2 = 0 THEN '_FAILED.md' ELSE '_SUCCEED.md' END")
-    return rows.select(*by, F.concat(F.lit("cli_agent_"), "l_suppkey", end).alias("file_name"), F.array_join(F.transform("steps", lambda x: x["text"]), "\n").alias("text"))
+    return rows.select(*by, F.concat(F.lit("cli_agent_"), "l_suppkey", end).alias("file_name"), F.array_join(F.transform("steps", step), "\n").alias("text"))
 
 
 _RUNS = """r AS (SELECT l_suppkey, {0} AS seed, sum(l_linenumber) AS t FROM lineitem GROUP BY ALL),
