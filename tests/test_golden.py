@@ -585,3 +585,13 @@ def test_stored_texts_share_files(spark, tmp_path):
     got = {(r.seed, r.instance_id): r.text for r in readers.read_logs(spark, p, seeds=True, stored=True).collect()}
     assert got == {(f"seed_{i % 3}", f"a b={i}"): f"l\r\n\"\\\u2028{i}\n\n" for i in range(400)}
     assert readers.read_logs(spark, p, stored=True).count() == 0
+
+
+def test_stored_reports_share_files(spark, tmp_path):
+    """A folder for each instance is a part of the path, no folder of the file system."""
+    p = str(tmp_path / "t")
+    rows = spark.range(0, 300, 1, 2).select(F.col("id").cast("string").alias("folder"), F.lit("analysis_report.md").alias("file_name"), F.concat(F.lit("r"), "id").alias("text"))
+    writers.write_texts(rows, p, "folder", "file_name")
+    assert [x.name for x in (tmp_path / "t").iterdir() if x.is_dir()] == [] and len(list((tmp_path / "t").glob("part-*"))) == 2
+    got = sorted((int(r.instance_id), r.in_directory, r.report) for r in readers.read_reports(spark, p, stored=True).collect())
+    assert got == [(i, True, f"r{i}") for i in range(300)]
