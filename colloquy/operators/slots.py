@@ -63,18 +63,23 @@ def booking_hits(needed: DataFrame, references: DataFrame) -> DataFrame:
 def scored(dialogues: DataFrame) -> DataFrame:
     """(dialogue_id, domain, kind, slot, correct) of nested dialogues(dialogue_id, goal, prediction).
 
-    Goal and prediction of a dialogue are in one row, so nothing is joined or shuffled."""
-    d = dialogues.select("dialogue_id", "goal", "prediction")
+    Goal and prediction of a dialogue are in one row, so nothing is joined or shuffled, and all kinds come from one pass."""
     have = lambda m, k: F.try_element_at(m, k)
-    inform = d.select("*", F.explode("goal.inform").alias("domain", "s")).select("*", F.explode("s").alias("slot", "value")).where(~F.col("slot").startswith("book "))
-    inform = inform.select("dialogue_id", "domain", F.lit("inform").alias("kind"), "slot", value_matches(have(have(F.col("prediction.inform_slots"), F.col("domain")), F.col("slot")), "value").alias("correct"))
-    request = d.select("*", F.explode("goal.request").alias("domain", "s")).select("*", F.explode("s").alias("slot", "v")).where("slot <> ''")
-    had = F.transform(F.coalesce(have(F.col("prediction.request_slots"), F.col("domain")), F.array().cast("array<string>")), norm_value)
-    request = request.select("dialogue_id", "domain", F.lit("request").alias("kind"), "slot", F.array_contains(had, norm_value("slot")).alias("correct"))
-    book = d.select("*", F.explode("goal.inform").alias("domain", "s")).where(F.exists(F.map_keys("s"), lambda k: k.startswith("book ")))
+    entries = lambda m, kind: F.map_entries(F.coalesce(m, F.create_map().cast(kind)))
+    part = lambda kind: F.transform(entries(F.col(f"goal.{kind}"), "map<string,map<string,string>>"), lambda e: F.struct(F.lit(kind).alias("kind"), e["key"].alias("domain"), e["value"].alias("s")))
+    d = dialogues.select("dialogue_id", "prediction", F.inline(F.concat(part("inform"), part("request"))))
     ref = have(have(F.col("prediction.booking"), F.col("domain")), F.lit("reference"))
-    book = book.select("dialogue_id", "domain", F.lit("booking").alias("kind"), F.lit(None).cast("string").alias("slot"), F.coalesce(ref != "", F.lit(False)).alias("correct"))
-    return inform.unionByName(request).unionByName(book)
+    d = d.select("dialogue_id", "kind", "domain", "s", have(F.col("prediction.inform_slots"), F.col("domain")).alias("given"), have(F.col("prediction.request_slots"), F.col("domain")).alias("asked"), ref.alias("ref"))
+    inform = F.col("kind") == "inform"
+    row = lambda kind, slot, value: F.struct(kind.alias("kind"), slot.cast("string").alias("slot"), value.cast("string").alias("value"))
+    each = F.transform(entries(F.col("s"), "map<string,string>"), lambda e: row(F.col("kind"), e["key"], e["value"]))
+    each = F.filter(each, lambda x: F.when(x["kind"] == "inform", ~x["slot"].startswith("book ")).otherwise(x["slot"] != ""))
+    books = inform & F.exists(F.map_keys("s"), lambda k: k.startswith("book "))
+    each = F.concat(each, F.when(books, F.array(row(F.lit("booking"), F.lit(None), F.lit(None)))).otherwise(F.array().cast("array<struct<kind:string,slot:string,value:string>>")))
+    d = d.select("dialogue_id", "domain", "given", "asked", "ref", F.inline(each))
+    had = F.transform(F.coalesce("asked", F.array().cast("array<string>")), norm_value)
+    correct = F.when(F.col("kind") == "inform", value_matches(have(F.col("given"), F.col("slot")), "value")).when(F.col("kind") == "request", F.array_contains(had, norm_value("slot"))).otherwise(F.coalesce(F.col("ref") != "", F.lit(False)))
+    return d.select("dialogue_id", "domain", "kind", "slot", correct.alias("correct"))
 
 
 def _counts() -> list:

@@ -90,8 +90,9 @@ def with_fixtures(names: str, body: str, ctes: str = "") -> str:
 def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(dialogue_id, goal, prediction) in the nested form of the sources, a row for each order.
 
-    All maps come from the same two groupings of the slots, which one shuffle by dialogue serves."""
-    s = fixture(spark, sf_dir, "slots").repartition("dialogue_id")
+    The slots and all maps come from groupings that one shuffle by dialogue serves."""
+    lines = spark.sql(FIXTURES["slot_base"], lineitem=fixture(spark, sf_dir, "lineitem").repartition("l_orderkey"))
+    s = spark.sql(FIXTURES["slots"], slot_base=lines)
     ids = fixture(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("dialogue_id")).distinct()
     pair = lambda ok, value, key="slot": F.collect_list(F.when(F.expr(ok), F.struct(F.expr(key).alias("k"), value.alias("v"))))
     by = s.groupBy("dialogue_id", "domain").agg(

@@ -595,3 +595,18 @@ def test_stored_reports_share_files(spark, tmp_path):
     assert [x.name for x in (tmp_path / "t").iterdir() if x.is_dir()] == [] and len(list((tmp_path / "t").glob("part-*"))) == 2
     got = sorted((int(r.instance_id), r.in_directory, r.report) for r in readers.read_reports(spark, p, stored=True).collect())
     assert got == [(i, True, f"r{i}") for i in range(300)]
+
+
+def test_scored_in_one_pass(spark):
+    """The dialogues are read once for all kinds of slots."""
+    rows = [("a", goal({"hotel": {"book stay": "2", "a": "1"}, "none": None}, {"train": {"t": "", "": ""}, "taxi": {}}), ({"hotel": {"a": "one"}}, {"train": ["T."]}, {"hotel": {"reference": "R"}})), ("b", goal(None, {"bus": {"x": ""}}), None), ("c", None, None)]
+    got = slots.scored(spark.createDataFrame(rows, DIALOGUES))
+    assert sorted(map(str, got.select(F.array(*[F.col(c).cast("string") for c in ("dialogue_id", "domain", "kind", "slot", "correct")]).alias("x")).toPandas().x.map(list))) == ["['a', 'hotel', 'booking', None, 'true']", "['a', 'hotel', 'inform', 'a', 'true']", "['a', 'train', 'request', 't', 'true']", "['b', 'bus', 'request', 'x', 'false']"]
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dialogues_in_one_shuffle(spark, data_dir):
+    from colloquy.plans.fixtures import dialogues
+
+    plan = slots.scored(dialogues(spark, data_dir))._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 == plan.count("Exchange hashpartitioning(dialogue_id")  # lines, orders
