@@ -160,7 +160,7 @@ def s11s(spark, d):
 def s12(spark, d):
     """All three tables of an evaluation, written and read back."""
     p, x = _place(spark), dialogues(spark, d)
-    metrics, scored = _metrics(spark, d), slots.scored(x)
+    metrics, scored = cut(_metrics(spark, d)), slots.scored(x)
     W.write_evaluation(metrics, slots.corpus(metrics), slots.per_domain(x, scored), p)
     part = lambda name, key, rate, n: spark.read.schema(f"dialogue_id string, domain string, {rate} double, n_dialogues long").json(f"{p}/{name}").select(F.lit(name).alias("part"), key.alias("key"), F.col(rate).alias("rate"), n.alias("n"))
     n = F.col("n_dialogues")
