@@ -610,3 +610,11 @@ def test_dialogues_in_one_shuffle(spark, data_dir):
 
     plan = slots.scored(dialogues(spark, data_dir))._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 == plan.count("Exchange hashpartitioning(dialogue_id")  # lines, orders
+
+
+def test_failure_cases_read_lines_twice(spark, data_dir):
+    """Once for the metrics, once for the goals."""
+    from colloquy.plans.catalog import QUERIES
+
+    plan = QUERIES["p11_failure_cases"](spark, data_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_linenumber#") > 0 and sum("Relation" in x and "l_orderkey" in x for x in plan.splitlines()) == 2
