@@ -27,22 +27,32 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"{_SPACE}+\z|(?U)\A\s+", "")
 
 
+def _trimmed(c: Column) -> Column:
+    """Lower case, stripped, then trailing ``.,;:!?`` gone; one pattern does both."""
+    return F.regexp_replace(F.lower(c), r"(?U)\A\s+|[.,;:!?]*\s*\z", "")
+
+
+def _folded(v: Column) -> Column:
+    """Don't-care spellings, number words, and runs of white space to one blank, which only values with such a run pay for."""
+    words = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])
+    blanks = F.when(v.rlike(r"(?U)\s\s|[^\S ]|\A\s|\s\z"), F.regexp_replace(strip(v), rf"{_SPACE}+", " ")).otherwise(v)
+    return F.when(v.isin(*DONT_CARE), "dontcare").otherwise(F.coalesce(F.try_element_at(words, v), blanks))
+
+
 def norm_value(c) -> Column:
     """A slot value in comparable form.
 
     In this order: lower case, stripped, trailing ``.,;:!?`` gone, don't-care spellings, number
     words (before blanks are folded: ``one .`` stays a word), runs of white space to one blank."""
     c = F.col(c) if isinstance(c, str) else c
-    v = F.regexp_replace(strip(F.lower(c)), r"[.,;:!?]+\z", "")
-    words = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])
-    folded = F.regexp_replace(strip(v), rf"{_SPACE}+", " ")
-    return F.when(v.isin(*DONT_CARE), "dontcare").otherwise(F.coalesce(F.try_element_at(words, v), folded))
+    return F.element_at(F.transform(F.array(_trimmed(c)), _folded), 1)
 
 
 def value_matches(pred, truth) -> Column:
     """Whether a predicted value equals one of the ``|`` alternatives of the truth; false for no prediction."""
     pred, truth = (F.col(c) if isinstance(c, str) else c for c in (pred, truth))
-    return F.coalesce(F.array_contains(F.transform(F.split(truth, r"\|"), norm_value), norm_value(pred)), F.lit(False))
+    either = F.transform(F.transform(F.split(truth, r"\|"), _trimmed), _folded)
+    return F.coalesce(pred.isNotNull() & F.array_contains(either, norm_value(pred)), F.lit(False))
 
 
 def fix_grammar(c) -> Column:

@@ -90,21 +90,28 @@ def with_fixtures(names: str, body: str, ctes: str = "") -> str:
 def dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(dialogue_id, goal, prediction) in the nested form of the sources, a row for each order.
 
-    The slots and all maps come from groupings that one shuffle by dialogue serves."""
+    One shuffle by dialogue serves the slots and their one grouping; the maps are made of a dialogue's slots inside its row."""
     lines = spark.sql(FIXTURES["slot_base"], lineitem=fixture(spark, sf_dir, "lineitem").repartition("l_orderkey"))
     s = spark.sql(FIXTURES["slots"], slot_base=lines)
     ids = fixture(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("dialogue_id")).distinct()
-    pair = lambda ok, value, key="slot": F.collect_list(F.when(F.expr(ok), F.struct(F.expr(key).alias("k"), value.alias("v"))))
-    by = s.groupBy("dialogue_id", "domain").agg(
-        pair("kind <> 'request'", F.coalesce("gt_value", F.lit("2"))).alias("gi"),
-        pair("kind = 'request'", F.lit("")).alias("gr"),
-        pair("pred_value is not null", F.col("pred_value")).alias("pi"),
-        pair("kind = 'booking'", F.col("booking_ref"), "'reference'").alias("pb"),
-        F.collect_list(F.when(F.col("pred_requested"), F.col("slot"))).alias("pr"),
+    rows = s.groupBy("dialogue_id").agg(F.collect_list(F.struct("domain", "kind", "slot", "gt_value", "pred_value", "pred_requested", "booking_ref")).alias("r"))
+
+    pair = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
+
+    def fold(name, ok, value, inner=F.map_from_entries):
+        """The slots that are ok, by domain: what ``inner`` makes of their values."""
+        domains = F.array_distinct(F.transform(F.filter("r", ok), lambda x: x["domain"]))
+        of = lambda d: inner(F.transform(F.filter("r", lambda x: (x["domain"] == d) & ok(x)), value))
+        return F.map_from_entries(F.transform(domains, lambda d: pair(d, of(d)))).alias(name)
+
+    out = ids.join(rows, "dialogue_id", "left").select(
+        "dialogue_id",
+        fold("gi", lambda x: x["kind"] != "request", lambda x: pair(x["slot"], F.coalesce(x["gt_value"], F.lit("2")))),
+        fold("gr", lambda x: x["kind"] == "request", lambda x: pair(x["slot"], F.lit(""))),
+        fold("pi", lambda x: x["pred_value"].isNotNull(), lambda x: pair(x["slot"], x["pred_value"])),
+        fold("pb", lambda x: x["kind"] == "booking", lambda x: pair(F.lit("reference"), x["booking_ref"])),
+        fold("pr", lambda x: x["pred_requested"], lambda x: x["slot"], lambda slots: slots),
     )
-    fold = lambda c, inner: F.map_from_entries(F.collect_list(F.when(F.size(c) > 0, F.struct(F.col("domain"), inner(F.col(c)).alias("x"))))).alias(c)
-    maps = by.groupBy("dialogue_id").agg(*[fold(c, F.map_from_entries) for c in ("gi", "gr", "pi", "pb")], fold("pr", lambda c: c))
-    out = ids.join(maps, "dialogue_id", "left")
     mm = "map<string,map<string,string>>"
     none = lambda c, t=mm: F.coalesce(c, F.create_map().cast(t)).alias(c)
     out = out.select("dialogue_id", none("gi"), none("gr"), none("pi"), none("pr", "map<string,array<string>>"), none("pb"))

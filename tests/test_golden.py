@@ -618,3 +618,26 @@ def test_failure_cases_read_lines_twice(spark, data_dir):
 
     plan = QUERIES["p11_failure_cases"](spark, data_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_linenumber#") > 0 and sum("Relation" in x and "l_orderkey" in x for x in plan.splitlines()) == 2
+
+
+def test_dialogues_in_one_grouping(spark, data_dir):
+    """A dialogue's slots are gathered once; its maps are made of them inside the row."""
+    from colloquy.plans.fixtures import dialogues
+
+    plan = dialogues(spark, data_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1
+
+
+def test_values_with_blanks(spark):
+    """As by one step after the other."""
+    parts = ["", " ", "\t", "\u00a0", "\u2003", ".", "?!", "One", "b", "don't care", "dont  care"]
+    values = sorted({x + y + z + w for x in parts for y in parts for z in parts for w in ("", ".", "\u00a0", " ;")})
+
+    def slow(s):
+        v = s.lower().strip().rstrip(".,;:!?")
+        return "dontcare" if v in T.DONT_CARE else T.NUMBER_WORDS.get(v, " ".join(v.split()))
+
+    assert column(spark, values, T.norm_value) == [slow(v) for v in values]
+    got = spark.createDataFrame([(None, "a"), ("A. ", "b| a"), ("a", None), ("", "b|")], "p string, t string").select(T.value_matches("p", "t").alias("x"))
+    assert [r.x for r in got.collect()] == [False, True, False, True]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("lower(") <= 2  # each value is put in lower case once
